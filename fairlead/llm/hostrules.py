@@ -94,10 +94,10 @@ def host_verdicts(measured: DataFrame, host_col: str, most_rate: float = 0.5) ->
 
 def with_host_verdicts(rows: DataFrame, verdicts: DataFrame, host_col: str) -> DataFrame:
     """Join host verdicts back to rows: by broadcast up to a checked number of hosts, else by a join that may split hot hosts."""
-    right = verdicts.select(F.col("host").alias("_host"), "host_rate", "host_ok")
+    right = verdicts.select(F.col("host").alias("verdict_of"), "host_rate", "host_ok")
     if verdicts.count() <= MOST_BROADCAST_HOSTS:
         right = F.broadcast(right)
-    return rows.join(right, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
+    return rows.join(right, F.col(host_col).eqNullSafe(F.col("verdict_of")), "left").drop("verdict_of")
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_rate: float = 0.5) -> DataFrame:
@@ -115,5 +115,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     """
     measured = docs.select(F.col(host_col).alias("host"), text_measures(F.col(text_col)).alias("m")).select("host", "m.n_words", "m.n_repeat_words").withColumn("base_failed", base_rule())
     verdicts = host_verdicts(measured, "host", most_rate)
-    rows = docs.withColumn("_m", text_measures(F.col(text_col))).withColumn("_bad", (F.col("_m.n_words") < 20) | (100 * F.col("_m.n_repeat_words") > 30 * F.col("_m.n_words"))).where(~F.col("_bad")).drop("_m", "_bad")
-    return with_host_verdicts(rows, verdicts, host_col).where("host_ok").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host_col).alias("of"), text_measures(F.col(text_col)).alias("m"))
+    passed = rows.select("row", "of", "m.n_words", "m.n_repeat_words").where(~base_rule()).select("row", "of")
+    return with_host_verdicts(passed, verdicts, "of").where("host_ok").select("row.*")

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import stable, words
+from fairlead.llm.unigram import DoubleArrayTrie
 from fairlead.llm.vocabulary import MARK, Vocabulary
 
 #: Words whose figures are broadcast: the most frequent ones of at most 64 bytes; all others are joined.
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
 #: Distinct words a counting task holds before it hands them on.
 MOST_COUNTED = 300_000
+#: Words of up to this many bytes are scored side by side in arrays, SIDE_BY_SIDE of them at once.
+ARRAY_BYTES, SIDE_BY_SIDE = 96, 4096
 #: Mass of the existing scores against one corpus token each.
 PRIOR_MASS = 1_000.0
 
@@ -116,6 +119,116 @@ class Lattice:
                         into_counts[b] = into_counts.get(b, 0.0) + share
 
 
+class TrieArrays:
+    """The pieces' byte trie as arrays, built once and broadcast; values are positions in ``pieces``."""
+
+    def __init__(self, pieces: list[str]):
+        trie = DoubleArrayTrie([(p.encode(), i) for i, p in enumerate(pieces)])
+        self.pieces = pieces
+        self.base, self.check = np.array(trie.base, dtype=np.int64), np.array(trie.check, dtype=np.int64)
+
+
+class BatchLattice:
+    """``Lattice`` for many words at once: the same sums, a start place at a time over an array of words."""
+
+    def __init__(self, model: LatticeModel, trie: TrieArrays):
+        self.single, self.trie = Lattice(model), trie
+        self.weights = np.array([model.pieces[p] for p in trie.pieces])
+        self.byte_weights = np.array(model.bytes)
+
+    def _arrays(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(t) for t in texts])
+        wide = int(n.max()) + 4
+        return np.frombuffer(b"".join([t.ljust(wide, b"\0") for t in texts]), dtype=np.uint8).reshape(len(texts), wide), n
+
+    def _forward(self, bytes_: np.ndarray, n: np.ndarray, keep: list | None) -> np.ndarray:
+        base, check, weights = self.trie.base, self.trie.check, self.weights
+        reach = np.full(bytes_.shape, -np.inf)
+        reach[:, 0] = 0.0
+        for i in range(int(n.max())):
+            rows = np.flatnonzero((n > i) & ((bytes_[:, i] & 0xC0) != 0x80))
+            if not len(rows):
+                continue
+            lead = bytes_[rows, i]
+            width = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+            single = np.zeros(len(bytes_), dtype=bool)
+            alive, node, j, wide = rows, np.zeros(len(rows), dtype=np.int64), i, width
+            while len(alive) and j < bytes_.shape[1]:
+                to = base[node] + bytes_[alive, j] + 1
+                ok = check[to] == node
+                alive, node, wide = alive[ok], to[ok], wide[ok]
+                j += 1
+                end = base[node]
+                value = base[end]
+                hit = (check[end] == node) & (value < 0)
+                if hit.any():
+                    at, piece = alive[hit], -value[hit] - 1
+                    w = weights[piece]
+                    single[at[wide[hit] == j - i]] = True
+                    reach[at, j] = np.logaddexp(reach[at, j], reach[at, i] + w)
+                    if keep is not None:
+                        keep.append((at, i, j, piece, w))
+            bare = ~single[rows]
+            for k in np.unique(width[bare]).tolist():
+                at = rows[bare & (width == k)]
+                w = self.byte_weights[bytes_[at, i : i + k]].sum(axis=1)
+                reach[at, i + k] = np.logaddexp(reach[at, i + k], reach[at, i] + w)
+                if keep is not None:
+                    keep.append((at, i, i + k, None, w))
+        return reach
+
+    def _groups(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        order = np.argsort([len(t) for t in texts], kind="stable")
+        for i in range(0, len(order), SIDE_BY_SIDE):
+            yield order[i : i + SIDE_BY_SIDE]
+
+    def log_probabilities(self, found: list[str]) -> np.ndarray:
+        texts = [(MARK + w).encode() for w in found]
+        out = np.empty(len(texts))
+        short = [i for i, t in enumerate(texts) if len(t) <= ARRAY_BYTES]
+        for i in {*range(len(texts))} - {*short} if len(short) < len(texts) else ():
+            out[i] = self.single.log_probability(found[i])
+        for group in self._groups([texts[i] for i in short]):
+            own = [short[g] for g in group]
+            bytes_, n = self._arrays([texts[i] for i in own])
+            out[own] = self._forward(bytes_, n, None)[np.arange(len(own)), n]
+        return out
+
+    def expect(self, found: list[str], times: np.ndarray, pieces: np.ndarray, bytes_sum: np.ndarray) -> None:
+        """Add the expected uses of pieces and bytes in ``times`` occurrences of each word."""
+        texts = [(MARK + w).encode() for w in found]
+        short = [i for i, t in enumerate(texts) if len(t) <= ARRAY_BYTES]
+        if len(short) < len(texts):
+            place = {p: i for i, p in enumerate(self.trie.pieces)}
+            for i in {*range(len(texts))} - {*short}:
+                more: dict = {}
+                self.single.expect(found[i], float(times[i]), more)
+                for k, m in more.items():
+                    if isinstance(k, str):
+                        pieces[place[k]] += m
+                    else:
+                        bytes_sum[k] += m
+        for group in self._groups([texts[i] for i in short]):
+            own = [short[g] for g in group]
+            bytes_, n = self._arrays([texts[i] for i in own])
+            edges: list = []
+            reach = self._forward(bytes_, n, edges)
+            rest = np.full(bytes_.shape, -np.inf)
+            rest[np.arange(len(own)), n] = 0.0
+            whole, often = reach[np.arange(len(own)), n], times[own]
+            for at, i, j, piece, w in reversed(edges):  # starts from the last to the first
+                onward = w + rest[at, j]
+                rest[at, i] = np.logaddexp(rest[at, i], onward)
+                share = often[at] * np.exp(reach[at, i] + onward - whole[at])
+                if piece is not None:
+                    pieces += np.bincount(piece, weights=share, minlength=len(pieces)) if len(piece) > 500 else 0
+                    if len(piece) <= 500:
+                        np.add.at(pieces, piece, share)
+                else:
+                    for k in range(i, j):
+                        np.add.at(bytes_sum, bytes_[at, k], share)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n_train, n_all)`` over all rows of ``docs(text, learns)``; tasks sum before they shuffle."""
 
@@ -138,7 +251,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "word string, n_train long, n_all long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
-def fit(counts: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int = 1) -> LatticeModel:
+def fit(counts: DataFrame, ends: int, vocabulary: Vocabulary, trie: TrieArrays, rounds: int = 3) -> LatticeModel:
     """Re-estimate the existing weights on ``(word, n_train)`` by expectation maximisation.
 
     Tasks sum the expected uses of pieces; at most one row a piece and byte reaches the driver. The existing
@@ -147,15 +260,17 @@ def fit(counts: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int = 1) -
     prior = model = existing_weights(vocabulary)
     spark = counts.sparkSession
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast((model, trie))
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            lattice, found = Lattice(shared.value), {}
+            model, trie = shared.value
+            lattice = BatchLattice(model, trie)
+            pieces, bytes_sum = np.zeros(len(trie.pieces)), np.zeros(256)
             for batch in batches:
-                for word, n in zip(batch["word"], batch["n_train"]):
-                    lattice.expect(word, float(n), found)
-            keys = list(found)
-            yield pd.DataFrame({"piece": [k if isinstance(k, str) else f"\n{k}" for k in keys], "mass": [found[k] for k in keys]})
+                if len(batch):
+                    lattice.expect(batch["word"].tolist(), batch["n_train"].to_numpy(float), pieces, bytes_sum)
+            at, bytes_at = np.flatnonzero(pieces), np.flatnonzero(bytes_sum)
+            yield pd.DataFrame({"piece": [*(trie.pieces[i] for i in at), *(f"\n{b}" for b in bytes_at)], "mass": [*pieces[at], *bytes_sum[bytes_at]]})
 
         rows = counts.where("n_train > 0").select("word", "n_train").mapInPandas(expect, "piece string, mass double").groupBy("piece").agg(F.sum("mass").alias("mass")).collect()
         mass = {r["piece"]: r["mass"] for r in rows}
@@ -170,7 +285,7 @@ def learns(id_col: str) -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 1, F.lit(True))
 
 
-def score_documents(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     ``base_score`` is the smoothed word model's log10 probability of the text's words and its end, ``score`` the
@@ -187,13 +302,14 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, id
     n, v = counts.agg(F.sum("n_train"), F.count_if(F.col("n_train") > 0)).first()
     n, v = (n or 0) + ends, (v or 0) + (ends > 0)
     scale = n + 0.5 * (v + 1)
-    model = fit(counts, ends, vocabulary, rounds)
-    shared = spark.sparkContext.broadcast(model)
+    trie = TrieArrays(list(vocabulary.pieces))
+    model = fit(counts, ends, vocabulary, trie, rounds)
+    shared = spark.sparkContext.broadcast((model, trie))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value)
+        lattice = BatchLattice(*shared.value)
         for batch in batches:
-            logs = [lattice.log_probability(w) / math.log(10) for w in batch.column(0).to_pylist()]
+            logs = lattice.log_probabilities(batch.column(0).to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "n_train", "n_all", "log_p"])
 
     table = stable(counts.mapInArrow(weigh, "word string, n_train long, n_all long, log_p double"))

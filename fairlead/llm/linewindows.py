@@ -85,16 +85,18 @@ def repeated_spans(docs: DataFrame, width: int, wrap: int, id_col: str, text_col
 
 
 def drop_repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later occurrences of repeated windows cut from the text, and ``n_lines``, ``n_removed`` (long).
+    """``docs`` with later occurrences of repeated windows cut from the text, and ``n_lines``, ``n_removed`` (long; columns of these
+    names are replaced).
 
     A window is ``width`` lines in a row. The first occurrence by (id, hash of the text, position) stays; the lines
     that later ones cover are merged and removed, also within one text. Rows equal in id and text are one document:
     each gets its result. Rows without an id come last in the order. Null texts stay null with no lines, a text may
     become empty, texts of fewer lines than ``width`` stay whole. No row is dropped.
     """
-    names = docs.columns
-    spans = repeated_spans(docs, width, wrap, id_col, text_col).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_copy")), "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    spans = repeated_spans(docs, width, wrap, id_col, text_col)
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("hash"))
+    joined = rows.join(spans, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("copy")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(texts, spans):
@@ -109,5 +111,5 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_col:
             out.append(("".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text, len(lines), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    done = joined.withColumn("_cut", cut(F.col(text_col), F.col("_spans")))
-    return done.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in names], F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_removed").alias("n_removed"))
+    done = joined.select("row", cut(F.col("row")[text_col], F.col("spans")).alias("cut"))
+    return done.select(*[F.col("cut.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], "cut.n_lines", "cut.n_removed")

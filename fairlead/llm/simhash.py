@@ -100,13 +100,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat such an id come down to one, the least by the hash of its text. Rows without an id stay
     only if no member of their group has one; one of them then stays.
     """
-    groups = near_duplicates(docs, id_col, text_col, distance)
+    groups = stable(near_duplicates(docs, id_col, text_col, distance))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col(id_col) == F.col("_stay"), "left_semi")
-    kept = kept.dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    lone = groups.where("component_id is null").select("fp").distinct()
-    if lone.isEmpty():
-        return kept
-    extra = nameless.withColumn("_fp", fingerprint_column(F.col(text_col))).join(lone.withColumnRenamed("fp", "_lone"), F.col("_fp") == F.col("_lone"), "left_semi")
-    return kept.union(extra.dropDuplicates(["_fp"]).drop("_fp"))
+    # Repeated ids are rare; what decides between their texts is settled on (id, hash) rows before texts move.
+    least = rows.select("key", "hash").join(stay, F.col("key") == F.col("doc_id")).groupBy("doc_id").agg(F.min("hash").alias("least"))
+    kept = rows.join(least, (F.col("key") == F.col("doc_id")) & (F.col("hash") == F.col("least")), "left_semi").dropDuplicates(["key", "hash"])
+    lone = groups.where("component_id is null").groupBy("fp").agg(F.count("*").alias("n"))
+    if not lone.isEmpty():
+        nameless = rows.where("key is null").withColumn("print", fingerprint_column(F.col("row")[text_col]))
+        kept = kept.union(nameless.join(lone, F.col("print") == F.col("fp"), "left_semi").dropDuplicates(["print"]).drop("print"))
+    return kept.select("row.*")

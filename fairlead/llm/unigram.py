@@ -14,6 +14,8 @@ from fairlead.llm.vocabulary import MARK, Vocabulary
 
 #: Chunks of text a worker remembers with their ids; it forgets all when there are more.
 MOST_KNOWN = 400_000
+#: Cells of the double array that are tried at once.
+WINDOW = 2048
 
 
 class DoubleArrayTrie:
@@ -24,11 +26,9 @@ class DoubleArrayTrie:
 
     def __init__(self, keys: list[tuple[bytes, int]]):
         keys = sorted(keys)
-        size = 4 * sum(len(k) + 1 for k, _ in keys) + 1024
-        base, check = [0] * size, [-1] * size
-        check[0] = 0
-        taken: set[int] = set()
-        free_from = 1
+        size = 2 * sum(len(k) + 1 for k, _ in keys) + 2 * WINDOW
+        base, check, free = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64), np.ones(size, dtype=bool)
+        check[0], free[0], first_free = 0, False, 1
         level = [(0, 0, len(keys), 0)]  # node, first key, last key, depth
         while level:
             later = []
@@ -45,26 +45,33 @@ class DoubleArrayTrie:
                     i = j
                 if not codes:
                     continue
-                while check[free_from] != -1:
-                    free_from += 1
-                b = max(1, free_from - codes[0])
-                while b in taken or any(check[b + c] != -1 for c in codes):
-                    b += 1
-                    if b + 300 >= len(check):
-                        base += [0] * len(base)
-                        check += [-1] * len(check)
-                taken.add(b)
+                at = first_free
+                while True:
+                    # Free cells for the first code, of which those stay where the other codes are free too.
+                    fits = np.flatnonzero(free[at : at + WINDOW]) + at
+                    if at == first_free and len(fits):
+                        first_free = int(fits[0])
+                    elif at == first_free:
+                        first_free += WINDOW
+                    fits = fits[fits > codes[0]] - codes[0]
+                    for c in codes[1:]:
+                        fits = fits[free[fits + c]]
+                    if len(fits):
+                        b = int(fits[0])
+                        break
+                    at += WINDOW
+                    if at + 2 * WINDOW > len(free):
+                        base, check, free = np.append(base, np.zeros_like(base)), np.append(check, np.full_like(check, -1)), np.append(free, np.ones_like(free))
                 base[node] = b
                 for c, (i, j) in zip(codes, spans):
-                    check[b + c] = node
+                    check[b + c], free[b + c] = node, False
                     if c:
                         later.append((b + c, i, j, depth + 1))
                     else:
                         base[b] = -(keys[j - 1][1] + 1)
             level = later
-        end = max(i for i, c in enumerate(check) if c != -1) + 300
-        self.base, self.check = base[:end], check[:end] + [-1] * max(0, end - len(check))
-        self.base += [0] * (end - len(self.base))
+        end = int(np.flatnonzero(~free)[-1]) + 300
+        self.base, self.check = base[:end].tolist(), check[:end].tolist()
 
     def prefixes(self, text: bytes, start: int) -> Iterator[tuple[int, int]]:
         """``(end, value)`` of every key that starts at ``start``, shortest first."""
