@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_words = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+@cache
+def _runs(wrap: int) -> re.Pattern:
+    """Up to ``wrap`` words in a row, each with the white space behind it."""
+    return re.compile(r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,%d}" % wrap)
+
+
+_word = re.compile(r"[^\x20\x09-\x0D]")
 
 
 def split_lines(text: str, wrap: int) -> list[str]:
@@ -21,35 +29,32 @@ def split_lines(text: str, wrap: int) -> list[str]:
     (in front of the first line: with it). Joined, the pieces are the text.
     """
     out: list[str] = []
+    runs = _runs(wrap)
     for line in text.split("\n"):
         line += "\n"
-        found = _words.findall(line)
-        if not found:
+        cut = runs.findall(line)
+        if not cut:
             if out:
                 out[-1] += line
             else:
                 out.append(line)
             continue
-        lead = line[: len(line) - sum(map(len, found))]
-        cut = ["".join(found[i : i + wrap]) for i in range(0, len(found), wrap)]
-        cut[0] = lead + cut[0]
-        if out and not _words.search(out[-1]):
+        cut[0] = line[: len(line) - sum(map(len, cut))] + cut[0]
+        if len(out) == 1 and not _word.search(out[0]):
             cut[0] = out.pop() + cut[0]
         out += cut
     out[-1] = out[-1][:-1]
     return out
 
 
-def window_hashes(lines: list[str], width: int) -> list[tuple[int, int]]:
+def window_hashes(lines: list[str], width: int) -> list[bytes]:
     """128 bits of every ``width`` lines in a row, white space at their ends aside."""
     clean = [x.strip(" \t\n\r\x0b\x0c").encode() for x in lines]
     if len(clean) < width or not clean[0]:
         return []
-    out = []
-    for i in range(len(clean) - width + 1):
-        h = xxhash.xxh3_128_intdigest(b"\n".join(clean[i : i + width]))
-        out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-    return out
+    digest = xxhash.xxh3_128_digest
+    own = b"".join(map(digest, clean))
+    return [digest(own[i : i + 16 * width]) for i in range(0, len(own) - 16 * (width - 1), 16)]
 
 
 def repeated_spans(docs: DataFrame, width: int, wrap: int, id_col: str, text_col: str) -> DataFrame:
@@ -62,16 +67,13 @@ def repeated_spans(docs: DataFrame, width: int, wrap: int, id_col: str, text_col
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            high, low, docs_, copies, at = [], [], [], [], []
-            for doc, text, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                found = window_hashes(split_lines(text.as_py() or "", wrap), width)
-                high += [h for h, _ in found]
-                low += [x for _, x in found]
-                docs_ += [doc] * len(found)
-                copies += [copy] * len(found)
-                at += range(len(found))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((high, low, docs_, copies, at), kinds)], names=["h1", "h2", "doc_id", "copy", "at"])
+            found = [window_hashes(split_lines(text.as_py() or "", wrap), width) for text in batch.column(1)]
+            counts = np.array([len(x) for x in found], dtype=np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = np.frombuffer(b"".join([h for x in found for h in x]), dtype="<i8").reshape(-1, 2)
+            columns = [pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "copy", "at"])
 
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy")).mapInArrow(windows, "h1 long, h2 long, doc_id long, copy long, at int")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copy", "at")
