@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,37 +16,96 @@ from pyspark.sql import functions as F
 from fairlead.llm.common import stable
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words a worker remembers with their ids; it forgets all when there are more.
+#: Words, and as many parts of words, that a worker remembers with their ids, in two halves: the older half goes when the newer is full.
 MOST_KNOWN = 400_000
+#: Marks that stand around a word as parts of their own, where the tokenizer keeps letters and marks apart.
+EDGES = b'.,;:!?()[]{}"'
+#: Letters A-Z, a-z and those from U+00C0 to U+017F (but for U+0130, whose lower case is two characters), in UTF-8.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+").fullmatch
 #: Ranking groups hold GROUP_ROWS pieces of one length, or more where there would be over MOST_GROUPS of them.
 GROUP_ROWS, MOST_GROUPS = 20_000, 100_000
 
 _tokenizers: dict = {}
 
 
+class Remembered:
+    """Ids by text, about ``most`` of them; what was met again lately stays."""
+
+    def __init__(self, most: int):
+        self.half, self.newer, self.older = most // 2, {}, {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """Those that aren't known; all others are in ``newer`` now, up to the next call."""
+        if len(self.newer) > self.half:
+            self.newer, self.older = {}, self.newer
+        newer, older, out = self.newer, self.older, []
+        for k in keys:
+            if k not in newer:
+                found = older.get(k)
+                if found is None:
+                    out.append(k)
+                else:
+                    newer[k] = found
+        return out
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins text over ASCII white space.
 
-    Such a tokenizer's ids of a text are those of its words in a row, so each word is tokenized once a worker.
+    Such a tokenizer's ids of a text are those of its words in a row. A word of letters with marks around it goes
+    as its parts if the tokenizer keeps them apart, and letters go straight to its model if what stands before that
+    works on each letter for itself; other words go whole. Words and parts are tokenized when a worker first meets them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.parts = Remembered(MOST_KNOWN), Remembered(MOST_KNOWN)
+        own = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        marks = EDGES.decode()
+        self.apart = all(own(f"{m}{w}{m}") == own(m) + own(w) + own(m) for m in [*marks, marks] for w in ("a", "word", "s", "Élan"))
+        letters = [c for c in map(chr, range(0x180)) if LETTERS(c.encode())]
+        self.table = {ord(c): self._before_model(c) for c in letters}
+        self.direct = all(own(w) == self._letters(w.encode()) for w in [*letters, *(f"x{c}" for c in letters), *(f"{c}e" for c in letters), "".join(letters), "word", "WORD"])
+
+    def _before_model(self, text: str) -> str:
+        normal, parts = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = normal.normalize_str(text) if normal else text
+        return "".join([p for p, _ in parts.pre_tokenize_str(text)]) if parts else text
+
+    def _letters(self, word: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.decode().translate(self.table))]
+
+    def _split(self, word: bytes) -> tuple[bytes, ...]:
+        core = word.strip(EDGES) if self.apart else word
+        if len(core) == len(word) or not LETTERS(core):
+            return (word,)
+        front = len(word) - len(word.lstrip(EDGES))
+        return tuple([x for x in (word[:front], core, word[front + len(core) :]) if x])
+
+    def _learn(self, parts: list[bytes]) -> None:
+        known, rest = self.parts.newer, []
+        for p in parts:
+            if self.direct and LETTERS(p):
+                known[p] = array("I", self._letters(p)).tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False) if rest else ()):
+            known[p] = array("I", e.ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = text.encode().split(), self.known
-        new = [w for w in set(words) if w not in known]
+        """Little-endian unsigned 32-bit ids (array's order of bytes is the machine's: little-endian ones are meant)."""
+        words = text.encode().split()
+        new = self.words.missing(set(words))
         if new:
-            if len(known) > MOST_KNOWN:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            split = [self._split(w) for w in new]
+            self._learn(self.parts.missing({p for ps in split for p in ps}))
+            parts = self.parts.newer
+            self.words.newer.update(zip(new, [parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps]) for ps in split]))
+        return b"".join(map(self.words.newer.__getitem__, words))
 
 
 def tokenizer_at(path: str) -> WordTokenizer:
