@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.vocabulary import MARK, Vocabulary
 
-#: Chunks of text a worker remembers with their ids; it forgets all when there are more.
+#: Chunks of text a worker remembers with their ids, in two halves: the older half goes when the newer is full.
 MOST_KNOWN = 400_000
 #: Cells of the double array that are tried at once.
 WINDOW = 2048
@@ -100,7 +101,8 @@ class UnigramCodec:
         pieces = vocabulary.pieces
         self.trie = DoubleArrayTrie([(p.encode(), i) for i, p in enumerate(pieces)])
         self.unknown = min(vocabulary.scores, default=0.0) - 10.0
-        self.known: dict[str, bytes] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # A piece may hold marks only in front, and no line end: then no piece crosses from one chunk to the next.
         apart = all(MARK not in p.lstrip(MARK) and "\n" not in p for p in pieces)
         self.chunks = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n|" if apart else "(?s).+").findall
@@ -109,20 +111,30 @@ class UnigramCodec:
 
     def _viterbi(self, chunk: bytes) -> list[int]:
         n, scores, ids = len(chunk), self.vocabulary.scores, self.vocabulary.ids
+        base, check = self.trie.base, self.trie.check
         best: list[float] = [float("-inf")] * (n + 1)
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         best[0] = 0.0
         i = 0
         while i < n:
-            wide = 1 if chunk[i] < 0x80 else 2 if chunk[i] < 0xE0 else 3 if chunk[i] < 0xF0 else 4
-            here, single = best[i], False
-            for end, value in self.trie.prefixes(chunk, i):
-                single |= end == i + wide
-                if here + scores[value] > best[end]:
-                    best[end], back[end] = here + scores[value], (i, value)
-            if not single and here + self.unknown > best[i + wide]:
-                best[i + wide], back[i + wide] = here + self.unknown, (i, -1)
-            i += wide
+            first = chunk[i]
+            single = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+            here, bare, node = best[i], True, 0
+            for end in range(i + 1, n + 1):  # the same walk as DoubleArrayTrie.prefixes; the arrays have room for any byte
+                to = base[node] + chunk[end - 1] + 1
+                if check[to] != node:
+                    break
+                node, cell = to, base[to]
+                if check[cell] == node and base[cell] < 0:
+                    value = -base[cell] - 1
+                    score = here + scores[value]
+                    if end == single:
+                        bare = False
+                    if score > best[end]:
+                        best[end], back[end] = score, (i, value)
+            if bare and here + self.unknown > best[single]:
+                best[single], back[single] = here + self.unknown, (i, -1)
+            i = single
         out: list[int] = []
         while n:
             i, value = back[n]
@@ -131,7 +143,7 @@ class UnigramCodec:
         return out[::-1]
 
     def encode_bytes(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """Little-endian 32-bit ids (array's order of bytes is the machine's: little-endian ones are meant)."""
         if not text:
             return b""
         if MARK in text:
@@ -143,15 +155,14 @@ class UnigramCodec:
 
     def _encoded(self, text: str, front: bool) -> bytes:
         marked = (MARK if front and self.dummy_prefix else "") + text.replace(" ", MARK)
-        chunks, known = self.chunks(marked), self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) > MOST_KNOWN:
-                known.clear()
-                new = list(set(chunks))
-            for c in new:
-                known[c] = np.array(self._viterbi(c.encode()), dtype="<i4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        chunks = self.chunks(marked)
+        if len(self.newer) > MOST_KNOWN // 2:
+            self.newer, self.older = {}, self.newer
+        known, older = self.newer, self.older
+        for c in set(chunks):
+            if c not in known:
+                known[c] = older.get(c) or array("i", self._viterbi(c.encode())).tobytes()
+        return b"".join(map(known.__getitem__, chunks))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), dtype="<i4").tolist()
