@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -16,19 +17,26 @@ from fairlead.llm.components import connected_components
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit fingerprint: a bit is set if more than half of the shingles' XXH64 have it.
-
-    Fewer than ``width`` words make one shingle; no word gives zero.
-    """
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every ``width`` words in a row; fewer words make one shingle, no word makes none."""
     own = words(text)
     if not own:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined, wide = b" ".join(own), min(width, len(own))
     ends = [x + i for i, x in enumerate(accumulate(map(len, own)))]
     starts = [0, *(x + 1 for x in ends)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[wide - 1 :])], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[wide - 1 :])], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit fingerprint: a bit is set if more than half of the shingles' XXH64 have it.
+
+    Fewer than ``width`` words make one shingle; no word gives zero.
+    """
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -85,7 +93,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = stable(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")))
     nodes = stable(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(hamming_links(nodes.select("fp"), distance))
+    return named_components(own, nodes, hamming_links(nodes.select("fp"), distance))
+
+
+def named_components(own: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for rows ``own(doc_id, fp)``, ``nodes(fp, first_id)`` and links of nodes."""
+    roots = connected_components(links)
     linked = roots.join(nodes, F.col("node") == F.col("fp"))
     named = linked.groupBy("root").agg(F.min("first_id").alias("component"))
     of = linked.select("node", "root").join(named, "root").select("node", "component")
@@ -100,7 +113,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat such an id come down to one, the least by the hash of its text. Rows without an id stay
     only if no member of their group has one; one of them then stays.
     """
-    groups = stable(near_duplicates(docs, id_col, text_col, distance))
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, distance), fingerprint_column, id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, print_of: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """One row of each of ``groups(doc_id, fp, component_id)``; ``print_of`` a text gives its ``fp``."""
+    groups = stable(groups)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # Repeated ids are rare; what decides between their texts is settled on (id, hash) rows before texts move.
@@ -108,6 +126,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = rows.join(least, (F.col("key") == F.col("doc_id")) & (F.col("hash") == F.col("least")), "left_semi").dropDuplicates(["key", "hash"])
     lone = groups.where("component_id is null").groupBy("fp").agg(F.count("*").alias("n"))
     if not lone.isEmpty():
-        nameless = rows.where("key is null").withColumn("print", fingerprint_column(F.col("row")[text_col]))
+        nameless = rows.where("key is null").withColumn("print", print_of(F.col("row")[text_col]))
         kept = kept.union(nameless.join(lone, F.col("print") == F.col("fp"), "left_semi").dropDuplicates(["print"]).drop("print"))
     return kept.select("row.*")

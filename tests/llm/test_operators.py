@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from fairlead.llm import bestfit, exacttopk, hostrules, htmlcrf, kdshard, lattice, linewindows, queries, simhash, unigram, urlgbt
+from fairlead.llm import bestfit, exacttopk, hostrules, htmlcrf, kdshard, lattice, linewindows, queries, shingles, simhash, unigram, urlgbt
 from fairlead.llm.components import connected_components
 from fairlead.llm.vocabulary import Vocabulary, read_vocabulary
 
@@ -97,6 +97,57 @@ def test_simhash_awkward(spark):
     assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
 
 
+def plain_shingles(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_links(texts, at_least=0.8):
+    sets = {d: plain_shingles(t) for d, t in texts.items()}
+    return [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) + 1e-9 >= at_least * len(sets[a] | sets[b])]
+
+
+def test_near_dedup_of_planted_copies(spark, tiny):
+    """Copies of similarity 0.8 to 0.95 go, those under 0.8 and what is alike in no other way stay; a chain and a large group are whole."""
+    draw = random.Random(12)
+    texts, start = {}, {}
+    for i, (n, edits) in enumerate([(400, 4), (400, 8), (400, 12), (300, 6), (200, 4), (400, 40), (300, 20), (100, 2)] * 3):
+        words = [f"w{draw.randrange(10_000)}" for _ in range(n)]
+        copy = list(words)
+        for at in draw.sample(range(0, n, 5), edits):
+            copy[at] = f"z{draw.randrange(10_000)}"
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(copy)
+    base = [f"g{draw.randrange(10_000)}" for _ in range(300)]
+    for k in range(60):
+        own = list(base)
+        own[5 * (k % 60)] = f"e{k}"
+        texts[1000 + k] = " ".join(own)
+    for k in range(10):
+        texts[2000 + k] = " ".join([f"c{j}" for j in range(30 * k, 30 * k + 300)])
+    links = similar_links(texts)
+    shares = [len(a & b) / len(a | b) for a, b in ((plain_shingles(texts[2 * i]), plain_shingles(texts[2 * i + 1])) for i in range(24))]
+    assert sum(0.8 <= x < 0.95 for x in shares) >= 12 and sum(x < 0.8 for x in shares) >= 6
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, tiny).collect()}
+    assert left == set(components(texts, links).values())
+    groups = {r["doc_id"]: r["component_id"] for r in shingles.similar_groups(frame).collect()}
+    assert groups == components(texts, links)
+
+
+def test_near_dedup_matches_all_pairs(spark, tiny):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar_groups(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
+    assert got == components(rows, similar_links(rows))
+
+
+def test_near_dedup_awkward(spark):
+    kept = shingles.one_of_each(awkward(spark))
+    assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+    assert shingles.one_of_each(empty(spark)).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (None, "other words")], "doc_id long, text string")
+    assert shingles.one_of_each(nameless).count() == 2
+
+
 def plain_measures(text):
     w = WORD.findall(text or "")
     seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
