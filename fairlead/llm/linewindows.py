@@ -13,37 +13,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_word = re.compile(r"[^\x20\x09-\x0D]")
+#: Bytes in front of a word's end that decide about a cut behind it.
+CONTEXT = 16
+#: A part of a line that is so many times the wrap without a place to cut repeats itself; it is cut at fixed distances.
+LONGEST = 4
+
+
 @cache
-def _runs(wrap: int) -> re.Pattern:
-    """Up to ``wrap`` words in a row, each with the white space behind it."""
-    return re.compile(r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,%d}" % wrap)
+def _spaces() -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[[32, 9, 10, 11, 12, 13]] = True
+    return out
 
 
-_word = re.compile(r"[^\x20\x09-\x0D]")
+def _places(ends: np.ndarray, data: np.ndarray, line: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarray:
+    """Words (their numbers) behind which content cuts: the hash of the bytes in front of the word's end is less than that of
+    ``reach`` words on either side, all in one line. Ties go to the first."""
+    n = len(ends)
+    if n <= 2 * reach:
+        return np.empty(0, dtype=np.int64)
+    padded = np.concatenate([np.full(CONTEXT, 10, dtype=np.uint8), data])
+    near = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[ends]
+    short = np.flatnonzero(ends - starts < CONTEXT)  # bytes of the line before don't count
+    near[short] = np.where(np.arange(CONTEXT) < CONTEXT - (ends - starts)[short, None], np.uint8(10), near[short])
+    near = near.view("<u8")
+    mixed = near[:, 0] * np.uint64(0x9E3779B97F4A7C15) + (near[:, 1] ^ (near[:, 1] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    inner = mixed[reach : n - reach]
+    fits = line[: n - 2 * reach] == line[2 * reach :]
+    for k in range(1, reach + 1):
+        fits &= (inner < mixed[reach - k : n - reach - k]) & (inner <= mixed[reach + k : n - reach + k])
+    return np.flatnonzero(fits) + reach
 
 
 def split_lines(text: str, wrap: int) -> list[str]:
-    """The text cut after line ends, and within a line after every ``wrap`` words, as a page of that width would be.
+    """The text cut after line ends, and long lines into pieces of at most ``wrap`` words.
 
-    Paragraphs that are one long line thus have lines too. Pieces without a word stay with the line before them
+    Within a line, cuts fall first where the words around them say so, at least half a ``wrap`` from the next such place
+    and from the line's ends: alike wherever a passage starts. What is longer between them is divided evenly; so
+    pieces between two such places are the same in every line. Pieces without a word stay with the line before them
     (in front of the first line: with it). Joined, the pieces are the text.
     """
-    out: list[str] = []
-    runs = _runs(wrap)
-    for line in text.split("\n"):
-        line += "\n"
-        cut = runs.findall(line)
-        if not cut:
-            if out:
-                out[-1] += line
-            else:
-                out.append(line)
-            continue
-        cut[0] = line[: len(line) - sum(map(len, cut))] + cut[0]
-        if len(out) == 1 and not _word.search(out[0]):
-            cut[0] = out.pop() + cut[0]
-        out += cut
-    out[-1] = out[-1][:-1]
+    return _split_together([text], wrap)[0]
+
+
+def split_all(texts: list[str], wrap: int) -> Iterator[list[str]]:
+    """``split_lines`` of each text, about a megabyte of them at once."""
+    own, held = [], 0
+    for text in texts:
+        own.append(text)
+        held += len(text)
+        if held > 1 << 20:
+            yield from _split_together(own, wrap)
+            own, held = [], 0
+    yield from _split_together(own, wrap)
+
+
+def _split_together(texts: list[str], wrap: int) -> list[list[str]]:
+    raws = [x.encode() for x in texts]
+    joined = b"\n".join(raws)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    blank = np.append(_spaces()[data], True)
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        turns = np.insert(turns, 0, 0)
+    begins, ends = turns[::2], turns[1::2]
+    if not len(ends):
+        return [[x] for x in texts]
+    news = np.insert(np.flatnonzero(data == 10) + 1, 0, 0)
+    line = np.searchsorted(news, begins, "right") - 1
+    firsts = np.flatnonzero(np.insert(line[1:] != line[:-1], 0, True))
+    marks = np.union1d(firsts, _places(ends, data, line, news[line], max(1, wrap // 2)) + 1)
+    lengths = np.diff(np.append(marks, len(ends)))
+    parts = -(-lengths // wrap)
+    k = np.repeat(np.arange(len(marks)), parts)
+    i = np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
+    breaks = marks[k] + np.where(lengths[k] > LONGEST * wrap, i * wrap, lengths[k] * i // parts[k])
+    # A piece begins with its first word; the first of a line, with the line; the first of a text, with the text.
+    at = np.where(np.isin(breaks, firsts), news[line[breaks]], begins[breaks])
+    sizes = np.array([len(x) for x in raws])
+    opens = np.cumsum(sizes + 1) - sizes - 1
+    bounds = np.searchsorted(at, np.append(opens, len(joined) + 1)).tolist()
+    at, out = at.tolist(), []
+    for text, raw, start, a, z in zip(texts, raws, opens.tolist(), bounds, bounds[1:]):
+        cuts = [0, *(x - start for x in at[a + 1 : z]), len(raw)]
+        out.append([text[x:y] for x, y in zip(cuts, cuts[1:])] if len(raw) == len(text) else [raw[x:y].decode() for x, y in zip(cuts, cuts[1:])])
     return out
 
 
@@ -67,7 +123,7 @@ def repeated_spans(docs: DataFrame, width: int, wrap: int, id_col: str, text_col
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [window_hashes(split_lines(text.as_py() or "", wrap), width) for text in batch.column(1)]
+            found = [window_hashes(lines, width) for lines in split_all([text.as_py() or "" for text in batch.column(1)], wrap)]
             counts = np.array([len(x) for x in found], dtype=np.int64)
             row = np.repeat(np.arange(len(counts)), counts)
             at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -105,8 +161,8 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_col:
         import pandas as pd
 
         out = []
-        for text, found in zip(texts, spans):
-            lines = split_lines(text, wrap) if text else []
+        for text, found, lines in zip(texts, spans, split_all([x or "" for x in texts], wrap)):
+            lines = lines if text else []
             gone: set[int] = set()
             for s in found if found is not None else ():
                 gone.update(range(s["first"], s["last"]))

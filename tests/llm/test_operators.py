@@ -506,6 +506,31 @@ def test_line_dedup_awkward(spark):
     assert {r["doc_id"]: r["text"] for r in linewindows.drop_repeated_lines(docs).collect()} == {1: "alpha beta\n" + passage, 2: "gamma\ndelta", 3: "x\ny\nx\n"}
 
 
+def test_line_dedup_finds_passages_inside_lines(spark):
+    """Where a passage starts in its line is of no matter: but for its edges, it goes from the second text."""
+    draw = random.Random(21)
+    word = lambda: f"v{draw.randrange(50_000)}"
+    rows, passages = [], {}
+    for k, n in enumerate([150, 200, 400, 5000] * 8):
+        passages[k] = [f"p{k}_{i}" for i in range(n)]
+        for doc, before in ((2 * k, k % 16), (2 * k + 1, 1 + 3 * k)):
+            rows.append((doc, " ".join([*(word() for _ in range(before)), *passages[k], *(word() for _ in range(draw.randrange(9)))])))
+    got = {r["doc_id"]: r["text"] for r in linewindows.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, passage in passages.items():
+        assert got[2 * k] == dict(rows)[2 * k]
+        left = set(got[2 * k + 1].split())
+        kept = [i for i, w in enumerate(passage) if w in left]
+        assert all(i < 64 or i >= len(passage) - 64 for i in kept), (k, len(passage), kept)
+
+
+def test_long_lines_have_short_pieces():
+    draw = random.Random(22)
+    for n in (1, 16, 17, 33, 51, 200, 3000):
+        for words in ([f"v{draw.randrange(9999)}" for _ in range(n)], ["x"] * n, ["a", "b", "c"] * (n // 3 + 1)):
+            pieces = [len(p.split()) for p in linewindows.split_lines(" ".join(words) + "\nnext line", 16)]
+            assert max(pieces) <= 16 and len(pieces) - 1 >= -(-len(words) // 16) and pieces[-1] == 2
+
+
 def test_split_lines_is_lossless():
     draw = random.Random(5)
     for _ in range(300):
@@ -513,6 +538,13 @@ def test_split_lines_is_lossless():
         assert "".join(linewindows.split_lines(text, 3)) == text
 
 
+def test_texts_split_together_as_alone():
+    draw = random.Random(15)
+    texts = ["".join(draw.choice(["a", "é", " ", "\n", "bc ", "日 "]) for _ in range(draw.randrange(200))) for _ in range(300)]
+    for wrap in (3, 16):
+        assert list(linewindows.split_all(texts, wrap)) == [linewindows.split_lines(t, wrap) for t in texts]
+
+
 def test_pipeline(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, tiny)
