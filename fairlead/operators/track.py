@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fairlead.functions.exprs import haversine_m, tenths, valid_position
+from fairlead.functions.exprs import EARTH_M, tenths, valid_position
 from fairlead.schema import CARRY_MS, POSITION_TYPES
 
 
@@ -43,17 +47,31 @@ def drop_repeats_within(packets: DataFrame, window_ms: int, payload: str = "msgt
 def thin(packets: DataFrame, min_ms: int | None = None, min_m: float | None = None) -> DataFrame:
     """Greedy per vessel from its first row: keep a row when it is far enough from the last one kept, in time and place.
 
-    A fold over each vessel's sorted rows, inside the JVM; rows without a position count for time alone.
+    Rows are dealt by vessel and sorted, which spills; the fold holds the last row kept and not the vessel.
     """
-    far = lambda last, x: F.lit(True) if min_m is None else haversine_m(last["lat"], last["lon"], x["lat"], x["lon"]) >= min_m
-    late = lambda last, x: F.lit(True) if min_ms is None else x["time_ms"] - last["time_ms"] >= min_ms
-    rows = packets.where(valid_position()) if min_m is not None else packets
-    point = F.struct("time_ms", "event_id", "lat", "lon")
-    kind = "array<struct<time_ms:bigint,event_id:bigint,lat:double,lon:double>>"
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        return F.when((F.size(kept) == 0) | (late(last, x) & far(last, x)), F.concat(kept, F.array(x))).otherwise(kept)
-
-    folded = rows.groupBy("mmsi").agg(F.sort_array(F.collect_list(point)).alias("all")).select("mmsi", F.aggregate("all", F.array().cast(kind), step).alias("kept"))
-    return folded.select("mmsi", F.inline("kept"))
+    rows = (packets.where(valid_position()) if min_m is not None else packets).select("mmsi", "time_ms", "event_id", "lat", "lon")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            kept = []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if last is None or row[0] != last[0] or (_late(last, row, min_ms) and _far(last, row, min_m)):
+                    last = row
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return rows.repartition("mmsi").sortWithinPartitions("mmsi", "time_ms", "event_id", "lat", "lon").mapInArrow(fold, rows.schema)
+
+
+def _late(last: tuple, row: tuple, min_ms: int | None) -> bool:
+    return min_ms is None or (last[1] is not None and row[1] is not None and row[1] - last[1] >= min_ms)
+
+
+def _far(last: tuple, row: tuple, min_m: float | None) -> bool:
+    """``haversine_m`` of rows of thin."""
+    if min_m is None:
+        return True
+    half = lambda a, b: math.sin(math.radians(b - a) / 2) ** 2
+    (lat1, lon1), (lat2, lon2) = last[3:], row[3:]
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(half(lat1, lat2) + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half(lon1, lon2)))) >= min_m

@@ -99,6 +99,14 @@ def test_thinning_gaps(spark, times, gap):
     assert got == want
 
 
+def test_thinning_holds_no_vessel_in_a_row(spark):
+    rows = spark.range(30_000).selectExpr("id AS event_id", "IF(id % 3 = 0, 7, id) AS mmsi", "id * 1000 AS time_ms", "CAST(id % 90 AS DOUBLE) AS lat", "0D AS lon")
+    thinned = track.thin(rows, min_ms=9_000)
+    assert "collect_list" not in thinned._jdf.queryExecution().toString()
+    assert thinned.where("mmsi = 7").count() == 3_334 and thinned.where("mmsi <> 7").count() == 19_999
+    assert track.thin(rows.limit(0), min_m=1.0).count() == 0
+
+
 def test_archive_prunes_and_agrees(spark, tiny, tmp_path):
     rows = packets(spark, tiny)
     routing.write_tables(routing.fan_out(rows), str(tmp_path))
