@@ -11,8 +11,10 @@ from fairlead.schema import TABLES
 
 
 def keyed(packets: DataFrame, carry: bool = True) -> DataFrame:
-    """Packets with the position that stands for them and ``mmsi`` -1 where no message could be read."""
+    """Packets with the position that stands for them and ``mmsi`` -1 where no message could be read; carried columns that are there stay."""
     rows = packets.withColumn("mmsi", F.coalesce(F.col("mmsi"), F.lit(-1)))
+    if not carry and "carried_lat" in packets.columns:
+        return rows
     return carry_forward(rows) if carry else rows.withColumns({"carried_lat": F.col("lat"), "carried_lon": F.col("lon")})
 
 

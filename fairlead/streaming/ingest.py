@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fairlead.functions.exprs import valid_position
 from fairlead.operators.routing import fan_out, write_tables
+from fairlead.operators.track import carry_forward
 from fairlead.schema import CARRY_MS
 
-CARRIED = "event_id long, mmsi long, msgtype string, time_ms long, lat double, lon double, aisdata string, digest string, carried_lat double, carried_lon double"
-
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A directory of event files as a stream; ``files_per_batch`` is the rate limit."""
@@ -22,44 +20,43 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def carry_positions(packets: DataFrame, within_ms: int = CARRY_MS) -> DataFrame:
-    """Stateful carry-forward: a vessel's latest position lives ``within_ms`` of event time.
+def carry_positions(packets: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], within_ms: int = CARRY_MS, **trigger) -> StreamingQuery:
+    """Carry positions forward over all micro-batches and give each, with ``carried_lat`` and ``carried_lon``, to ``store``.
 
-    Rows of a micro-batch are taken in time order; an older position never replaces a newer one, and a late packet
-    doesn't see a position from its future. State is one position a vessel and leaves with the watermark.
+    Between batches each vessel's positions of its last ``within_ms`` are kept beside the checkpoint, so that results don't
+    depend on where batches end. There is no watermark: late packets are carried and stored like any other, though those
+    more than ``within_ms`` behind their vessel see the positions of their own batch alone. A batch that is run again finds
+    the positions that the one before it left.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, lat, lon = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["time_ms", "event_id"])
-        lats, lons = [], []
-        for r in rows.itertuples():
-            if pd.notna(r.lat) and pd.notna(r.lon) and (at is None or r.time_ms >= at):
-                at, lat, lon = int(r.time_ms), float(r.lat), float(r.lon)
-            near = at is not None and 0 <= r.time_ms - at <= within_ms
-            own = pd.notna(r.lat) and pd.notna(r.lon)
-            lats.append(r.lat if own else lat if near else None)
-            lons.append(r.lon if own else lon if near else None)
-        if at is not None:
-            state.update((at, lat, lon))
-            state.setTimeoutTimestamp(max(at + within_ms + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.drop(columns=["seen"]).assign(carried_lat=pd.Series(lats, index=rows.index, dtype="float64"), carried_lon=pd.Series(lons, index=rows.index, dtype="float64"))
-
-    rows = packets.select("event_id", "mmsi", "msgtype", "time_ms", "lat", "lon", "aisdata", "digest", F.timestamp_millis("time_ms").alias("seen")).withWatermark("seen", f"{within_ms} milliseconds")
-    return rows.groupBy("mmsi").applyInPandasWithState(step, CARRIED, "at long, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
+    def carry(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("mmsi", F.coalesce(F.col("mmsi"), F.lit(-1))).persist()
+        try:
+            spark, columns = batch.sparkSession, ["mmsi", "time_ms", "event_id" if "event_id" in batch.columns else "digest", "lat", "lon"]
+            own = rows.where(valid_position()).select(*columns)
+            held = own.limit(0)
+            if number:
+                held = spark.read.schema(own.schema).parquet(f"{checkpoint}/positions/{(number - 1) % 2}")
+            known = held.unionByName(own)
+            latest = known.groupBy("mmsi").agg(F.max("time_ms").alias("latest"))
+            near = known.join(latest, "mmsi").where(F.col("latest") - F.col("time_ms") <= within_ms).select(*columns)
+            near.write.mode("overwrite").parquet(f"{checkpoint}/positions/{number % 2}")
+            both = rows.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)), allowMissingColumns=True)
+            store(carry_forward(both, within_ms).where("not held").drop("held"), number)
+        finally:
+            rows.unpersist()
+
+    return packets.writeStream.foreachBatch(carry).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def without_replays(packets: DataFrame, late: str = "1 hour") -> DataFrame:
-    """A packet sent again within ``late`` is taken once."""
-    rows = packets.withColumn("seen", F.timestamp_millis("time_ms")).withWatermark("seen", late)
-    return rows.dropDuplicatesWithinWatermark(["time_ms", "digest"]).drop("seen")
+    """A packet that arrives again within ``late`` is taken once; none is dropped for its age, since the clock of arrival counts."""
+    rows = packets.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", late)
+    return rows.dropDuplicatesWithinWatermark(["time_ms", "digest"]).drop("arrived")
 
 
 def archive(packets: DataFrame, path: str, checkpoint: str, mode: str = "online", cell10: bool = False, **trigger) -> StreamingQuery:
-    """Write each micro-batch to all tables; one that fails goes to ``path/dead_letter`` by batch, and the stream goes on.
+    """Write each micro-batch to all tables, with positions carried from earlier ones; one that fails goes to ``path/dead_letter`` by batch, and the stream goes on.
 
     Batches may be written again after a failure: readers come down to one row by primary key.
     """
@@ -67,13 +64,13 @@ def archive(packets: DataFrame, path: str, checkpoint: str, mode: str = "online"
     def store(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            write_tables(fan_out(batch, mode, cell10), path)
+            write_tables(fan_out(batch, mode, cell10, carry=False), path)
         except Exception:  # the batch is kept for replay
             batch.write.mode("overwrite").parquet(f"{path}/dead_letter/batch={number}")
         finally:
             batch.unpersist()
 
-    return packets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return carry_positions(packets, checkpoint, store, **trigger)
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:

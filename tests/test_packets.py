@@ -1,6 +1,7 @@
 """Scalar rules, parameters, filters, layout and streams of the packet archive."""
 
 import io
+import os
 import zipfile
 from datetime import datetime, timezone
 
@@ -170,5 +171,28 @@ def test_stream_equals_batch(spark, tiny, tmp_path):
     assert ingest.source_group("a=h:1,i:2") == ("a", [("h", 1), ("i", 2)])
 
 
+def test_stream_of_small_batches_equals_batch(spark, tiny, tmp_path):
+    """Carried positions cross batches; a late file is stored too, and a file sent again is taken once."""
+    from fairlead.sources.testdata import packets_of
+
+    rows = spark.read.parquet(f"{tiny}/events.parquet").withColumn("user_id", F.col("event_id") % 2 + 1).withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00' + make_dt_interval(0, 0, 0, event_id)"))
+    # In order but for the earliest rows, which come last, a day late; part of the first file comes again.
+    early = rows.where("event_id < 100").withColumn("ts", F.expr("ts - INTERVAL '1' DAY"))
+    files = [rows.where("event_id >= 100 AND event_id < 400"), rows.where("event_id >= 400 AND event_id < 700"), rows.where("event_id >= 700"), rows.where("event_id >= 100 AND event_id < 200"), early]
+    for i, part in enumerate(files):
+        part.coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (file,) = (tmp_path / f"w{i}").glob("part-*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        target = tmp_path / "in" / f"{i}.parquet"
+        file.rename(target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = ingest.without_replays(packets_of(ingest.read_events(spark, str(tmp_path / "in"), files_per_batch=1)))
+    ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = routing.fan_out(packets_of(rows.where("event_id >= 100").union(early)))
+    for name in ("packets_time", "packets_mmsi", "packets_area_cell1", "packets_area_unknown"):
+        got = sorted(r["digest"] for r in spark.read.parquet(str(tmp_path / "out" / name)).collect()) if (tmp_path / "out" / name).exists() else []
+        assert got == sorted(r["digest"] for r in want[name].collect()), name
+
+
 def test_zip_helper_is_bytes():
     assert zipfile.is_zipfile(io.BytesIO(b"x")) is False
