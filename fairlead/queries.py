@@ -317,15 +317,18 @@ def repo_listing_sort(spark, d):
 
 @query(P + "SELECT event_id, clat AS carried_lat, clon AS carried_lon FROM k")
 def stream_carry_forward(spark, d):
-    """The stateful stream over all events in one pass, as the batch window gives it."""
+    """The carrying stream over all events, written to the shared folder and read again, as the batch window gives it.
+
+    One micro-batch: files in no order of time may hold packets of any age. Its window sorts and spills in the executors.
+    """
+    import tempfile
     import uuid
 
     from fairlead.sources.testdata import packets_of
     from fairlead.streaming.ingest import carry_positions
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"carried_{uuid.uuid4().hex}"
-    run = carry_positions(packets_of(source)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("event_id", "carried_lat", "carried_lon")
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='fairlead-')}/carried-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # as a pattern, since a stream takes a path itself for a folder
+    names = ["event_id", "carried_lat", "carried_lon"]
+    carry_positions(packets_of(source), f"{folder}/checkpoint", lambda batch, number: batch.select(*names).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(*names)

@@ -194,5 +194,12 @@ def test_stream_of_small_batches_equals_batch(spark, tiny, tmp_path):
         assert got == sorted(r["digest"] for r in want[name].collect()), name
 
 
+def test_carrying_query_reads_a_table_of_many_files(spark, tiny, tmp_path):
+    from fairlead import queries
+
+    spark.read.parquet(f"{tiny}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(map(tuple, queries.stream_carry_forward(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, queries.carry_forward_position(spark, tiny).collect()), key=str)
+
+
 def test_zip_helper_is_bytes():
     assert zipfile.is_zipfile(io.BytesIO(b"x")) is False
