@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -46,18 +47,65 @@ def _signed(bits: Column, start: int, length: int) -> Column:
     return F.when(F.substring(bits, start + 1, 1) == "1", x - (1 << length)).otherwise(x)
 
 
+_SENTENCE = re.compile(r"((?:\$PGHP,[^\r\n]*\r?\n)?)(![A-Z]{5},[^\r\n]*)")
+#: So many messages may wait for their other sentences at once; the oldest then goes as it is.
+MOST_OPEN = 1000
+
+
+def messages(text: str) -> list[tuple[str, str | None]]:
+    """``(lines, payload)`` of every message of a text, in the order of first sentences.
+
+    Sentences of one talker, total, sequence number and channel that follow in number are one message, others may stand
+    between them. Its lines are all of theirs with their tags; the payloads are joined. A message that lacks a sentence
+    has no payload, so that nothing is made up from a part of it.
+    """
+    out: list[list] = []
+    waiting: dict[tuple, list] = {}
+    for tag, sentence in _SENTENCE.findall(text):
+        f = sentence.split(",")
+        total, number = (int(x) if x.isascii() and x.isdigit() else 1 for x in (f + ["", ""])[1:3])
+        payload = f[5] if len(f) > 5 else ""
+        if total <= 1:
+            out.append([tag + sentence, payload])
+            continue
+        key = (f[0], total, *(f + ["", ""])[3:5])
+        held = waiting.pop(key, None)
+        if held is not None and number == held[2] + 1:
+            held[0] += "\n" + tag + sentence
+            held[2], held[3] = number, held[3] + payload
+        else:
+            held = [tag + sentence, None, number, payload]
+            out.append(held)
+            if number != 1:
+                continue
+        if number == total:
+            held[1] = held[3]
+        else:
+            waiting[key] = held
+            if len(waiting) > MOST_OPEN:
+                waiting.pop(next(iter(waiting)))
+    return [(x[0], x[1]) for x in out]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, text, src in zip(*(batch.column(i) for i in range(3))):
+            found = messages(text.as_py() or "")
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * len(found), pa.string()) for x in (path, src)] + [pa.array([m[k] for m in found], pa.string()) for k in (0, 1)], names=["path", "src_id", "aisdata", "payload"])
+
+
 def packets_of(lines: DataFrame) -> DataFrame:
-    """Packets of ``(path, text, src_id)``: a tag line belongs to the sentence after it.
+    """Packets of ``(path, text, src_id)``: a tag line belongs to the sentence after it, and sentences of one
+    message are one packet with the tag of its first.
 
     The tag gives time, country and base station. Position reports (types 1-3 and 18) give a position; a payload that
     can't be read leaves the message columns null, and a packet without a tag has no time.
     """
-    tagged = lines.select("path", "src_id", F.explode(F.regexp_extract_all("text", F.lit(r"((?:\$PGHP,[^\r\n]*\r?\n)?![A-Z]{5},[^\r\n]*)"), 1)).alias("aisdata"))
+    tagged = lines.select("path", "text", "src_id").mapInArrow(_split, "path string, src_id string, aisdata string, payload string")
     tag = F.split(F.regexp_extract("aisdata", r"\$PGHP,([^\r\n]*)", 1), ",")
-    sentence = F.split(F.regexp_extract("aisdata", r"(![A-Z]{5},[^\r\n]*)", 1), ",")
     number = lambda i: F.try_element_at(tag, F.lit(i)).try_cast("int")
     when = F.try_make_timestamp(number(2), number(3), number(4), number(5), number(6), number(7).cast("decimal(8,6)"))
-    rows = tagged.select("*", when.alias("at"), number(8).alias("ms"), F.try_element_at(tag, F.lit(9)).alias("source_country"), F.try_element_at(tag, F.lit(10)).alias("region"), F.try_element_at(tag, F.lit(11)).alias("base_station"), _bits(F.get(sentence, 5)).alias("bits"))
+    rows = tagged.select("*", when.alias("at"), number(8).alias("ms"), F.try_element_at(tag, F.lit(9)).alias("source_country"), F.try_element_at(tag, F.lit(10)).alias("region"), F.try_element_at(tag, F.lit(11)).alias("base_station"), _bits(F.col("payload")).alias("bits"))
     kind = _unsigned(F.col("bits"), 0, 6)
     rows = rows.select("path", "src_id", "aisdata", (F.unix_millis("at") + F.coalesce("ms", F.lit(0))).alias("time_ms"), "source_country", "region", "base_station", F.when(F.length("bits") >= 38, kind).cast("int").alias("msg_type"), "bits")
     report = {"1": (61, 89, 50, 116), "18": (57, 85, 46, 112)}

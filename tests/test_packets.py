@@ -147,6 +147,20 @@ def test_packet_text(spark, tmp_path):
         assert r["time_ms"] == params.instant_ms("2015-03-06T05:30:07.25Z") and r["source_country"] == "219" and r["base_station"] == "2190047"
 
 
+def test_messages_of_several_sentences(spark, tmp_path):
+    """A static report in two sentences, with another packet between them, is one packet; a lone part has no vessel."""
+    static = encode([(5, 6), (0, 2), (219000123, 30), *[(k % 60, 6) for k in range(62)], (0, 14)])
+    position = encode([(1, 6), (0, 2), (257074900, 30), (0, 4), (0, 8), (123, 10), (0, 1), (int(-10.5 * 600000), 28), (int(55.25 * 600000), 27), (900, 12), (0, 9), (0, 19), (0, 12)])
+    tag = "$PGHP,1,2015,3,6,5,30,7,250,219,,2190047,,2D*5B"
+    parts = [f"!BSVDM,2,{i},3,A,{p},{2 * (i - 1)}*00" for i, p in ((1, static[:58]), (2, static[58:]))]
+    single = f"!BSVDM,1,1,,A,{position},0*2D"
+    (tmp_path / "a.txt").write_text("\n".join([tag, parts[0], single, parts[1], parts[1], parts[0], tag, single, parts[0].replace(",3,A", ",4,B")]))
+    rows = nmea.packets_of(nmea.read_lines(spark, str(tmp_path))).collect()
+    whole = [r for r in rows if r["msg_type"] == 5]
+    assert [(r["mmsi"], r["aisdata"], r["time_ms"]) for r in whole] == [(219000123, f"{tag}\n{parts[0]}\n{parts[1]}", params.instant_ms("2015-03-06T05:30:07.25Z"))]
+    assert sorted(r["mmsi"] or 0 for r in rows) == [0, 0, 0, 219000123, 257074900, 257074900]
+
+
 def test_exports(spark, tiny, tmp_path):
     rows = packets(spark, tiny).where("mmsi = 7").orderBy("time_ms", "digest")
     for kind in sinks.SINKS:
