@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import SPACE, let, stable
+from fairlead.llm.common import SPACE, let, stable, stored
 
 #: Hosts up to this many are broadcast (some 10 MB); beyond, their verdicts are joined by shuffle.
 MOST_BROADCAST_HOSTS = 100_000
@@ -66,8 +66,10 @@ def text_measures(text: Column) -> Column:
     return let(word_array(text), of)
 
 
-def base_rule(fewest_words: int = 20, most_repeated_percent: int = 30) -> Column:
-    return (F.col("n_words") < fewest_words) | (100 * F.col("n_repeat_words") > most_repeated_percent * F.col("n_words"))
+def base_rule(measures: str | None = None, fewest_words: int = 20, most_repeated_percent: int = 30) -> Column:
+    """Whether measures fail: columns of their own, or a struct of that name."""
+    of = lambda name: F.col(f"{measures}.{name}" if measures else name)
+    return (of("n_words") < fewest_words) | (100 * of("n_repeat_words") > most_repeated_percent * of("n_words"))
 
 
 def host_verdicts(measured: DataFrame, host_col: str, most_rate: float = 0.5) -> DataFrame:
@@ -111,10 +113,12 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", most_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass, columns as they are.
 
-    Texts never shuffle: the rules are evaluated once for the host rates and again while filtering.
+    Every text is measured once: rows go to the shared folder with their base verdict, those that fail it without
+    their columns; hosts are judged from two narrow columns of that, and texts never shuffle.
     """
-    measured = docs.select(F.col(host_col).alias("host"), text_measures(F.col(text_col)).alias("m")).select("host", "m.n_words", "m.n_repeat_words").withColumn("base_failed", base_rule())
-    verdicts = host_verdicts(measured, "host", most_rate)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host_col).alias("of"), text_measures(F.col(text_col)).alias("m"))
-    passed = rows.select("row", "of", "m.n_words", "m.n_repeat_words").where(~base_rule()).select("row", "of")
+    measured = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host_col).alias("of"), text_measures(F.col(text_col)).alias("m"))
+    based = measured.select("row", "of", base_rule("m").alias("base_failed"))
+    written, _ = stored(based.select("of", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")), "measured")
+    verdicts = host_verdicts(written.select("of", "base_failed"), "of", most_rate)
+    passed = written.where(~F.col("base_failed")).select("row", "of")
     return with_host_verdicts(passed, verdicts, "of").where("host_ok").select("row.*")

@@ -12,6 +12,8 @@ from fairlead.llm.vocabulary import read_vocabulary
 
 #: Files of public tokenizers; a name or a path that every worker can open.
 PACKING_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+#: Words of a piece that long lines are cut into for windows of lines.
+LINE_WORDS = 12
 #: The query's rules: verdict, host and path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -57,16 +59,17 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlgbt.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    return urlgbt.judge_urls(pages, urlgbt.page_labels(pages), URL_RULES)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode_documents(table(spark, sf_dir, "documents"), read_vocabulary(tokenizer_path(PIECE_MODEL)))
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), read_vocabulary(tokenizer_path(PIECE_MODEL)).with_log_shares())
 
 
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linewindows.drop_repeated_lines(docs)
+    return linewindows.drop_repeated_lines(docs, wrap=LINE_WORDS)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

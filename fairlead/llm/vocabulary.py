@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+import numpy as np
 
 MARK = "▁"
 
@@ -17,6 +19,21 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
     byte_scores: tuple[float, ...]
 
+    def log_shares(self) -> np.ndarray:
+        """Natural-log shares of pieces (in their order), the 256 bytes and the end, in all one, for models whose scores only rank.
+
+        The r-th best score gets a share in proportion to 1 / (r + 3), as words by frequency do; bytes and end get the last.
+        """
+        ranks = np.argsort(np.argsort(-np.array(self.scores), kind="stable"), kind="stable")
+        shares = 1 / (np.append(ranks, np.full(257, len(ranks))) + 3)
+        return np.log(shares / shares.sum())
+
+    def with_log_shares(self) -> Vocabulary:
+        """The same pieces with ``log_shares`` as scores."""
+        logs = self.log_shares().tolist()
+        n = len(self.pieces)
+        return replace(self, scores=tuple(logs[:n]), byte_scores=tuple(logs[n:-1]))
+
 
 def read_vocabulary(path: str) -> Vocabulary:
     """Ordinary and byte pieces of a model file; control, unknown and unused pieces are left out."""
