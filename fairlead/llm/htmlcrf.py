@@ -19,7 +19,6 @@ MOST_LABELLED, COMPOSED = 200, 400
 # Element kinds of HTML.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset(("head", "title"))
 #: An opening tag ends open elements of these kinds, up to the nearest container.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select div article section aside nav main body form blockquote td th".split())
@@ -27,12 +26,21 @@ SCOPE = frozenset("ul ol dl table select div article section aside nav main body
 PAGE_PARTS = frozenset("nav header footer aside form button select option dialog menu fieldset legend search".split())
 PART_NAMES = frozenset("ad advert advertisement alert banner breadcrumb byline comment consent cookie disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related reply search share sharing sidebar signup skip social sponsor sponsored subscribe tag toolbar topbar widget".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What may stand in head; any other element, and text, ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements whose content is never page text: up to their closing tag, or the page's end.
+RAW = frozenset("script style template iframe noembed noframes".split())
+#: As before, but without a closing tag only what stands up to the next tag is theirs.
+PLAIN = frozenset(("title", "textarea"))
+CLOSERS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | PLAIN}
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: An attribute: its name, and its value in quotes or up to white space or the tag's end.
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+NAMES = frozenset(("class", "id", "role"))
+#: References by number that are too long to be read as one, and leading zeros.
+ZEROS, TOO_LONG = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{9,}+|[xX][0-9a-fA-F]{9,}+);?")
+#: Elements inside this many others count as their siblings.
+DEEPEST = 200
 NAME_WORD = re.compile(r"[a-z]+")
 
 
@@ -45,42 +53,144 @@ class Block:
     linked: float
 
 
+class Markup:
+    """The tags and texts of a page in order, in one pass: time grows with the page's length, whatever stands in it.
+
+    As in browsers, a quote inside an unquoted value or a name is a character like others, and ``<`` before anything
+    but a letter, ``/``, ``!`` or ``?`` is text. A value whose quote never closes ends its tag at the next ``>``.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def _find(self, what: str, start: int) -> int:
+        """``str.find`` that looks for what isn't there any more only once."""
+        if what in self.missing:
+            return -1
+        at = self.page.find(what, start)
+        if at < 0:
+            self.missing.add(what)
+        return at
+
+    def _tag_end(self, start: int) -> tuple[int, str]:
+        """Place behind a tag's ``>`` (-1 without one) and its class, id and role names; attributes begin at ``start``."""
+        page = self.page
+        end = self._find(">", start)
+        if end < 0 or page.find("=", start, end) < 0:
+            return end + 1 if end >= 0 else -1, ""
+        names, at = [], start
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if m is None:
+                end = self._find(">", at)
+                break
+            quoted = m[4][:1] if m[4] else ""
+            if quoted in ('"', "'") and self._find(quoted, m.start(4) + 1) < 0:
+                end = self._find(">", m.start(4))
+                break
+            if m[1].lower() in NAMES:
+                names += [x for x in m.groups()[1:] if x]
+            at = m.end()
+        return end + 1 if end >= 0 else -1, " ".join(names).lower()
+
+    def pieces(self) -> Iterator[tuple[str | None, bool, str]]:
+        """``(None, False, text)`` or ``(tag, whether it closes, names)``."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                yield None, False, page[at:lt]
+            if lt == n:
+                return
+            after = page[lt + 1 : lt + 2]
+            if page.startswith("<!--", lt):
+                end = lt + 5 if page.startswith(">", lt + 4) else self._find("-->", lt + 4) + 3
+                at = end if end > 2 else n
+                continue
+            closes = after == "/"
+            m = TAG_NAME.match(page, lt + 1 + closes)
+            if m is None:
+                if closes or after in ("!", "?"):
+                    at = self._find(">", lt) + 1 or n
+                    continue
+                yield None, False, "<"
+                at = lt + 1
+                continue
+            tag = m[0].lower()
+            end, names = self._tag_end(m.end())
+            if end < 0:
+                return
+            at = end
+            yield tag, closes, names
+            if not closes and tag in CLOSERS:
+                shut = None if f"</{tag}" in self.missing else CLOSERS[tag].search(page, at)
+                if shut is not None:
+                    at = shut.start()
+                    continue
+                self.missing.add(f"</{tag}")
+                at = n if tag in RAW else self._find("<", at)
+                if at < 0:
+                    return
+
+
+def plain_text(text: str) -> str:
+    """Character references decoded."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = TOO_LONG.sub("\ufffd", ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order, without those that have no text.
 
     Inline elements and br don't end a block. Open elements end as their kind, their container or a closing tag
-    of an outer element says; scripts, styles, comments and what stands in head are no text.
+    of an outer element says, and head with the first thing that can't stand in it; scripts, styles, comments,
+    templates, text fields and what stands in head are no text.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, int]] = []  # element and its node
+    nodes: dict[tuple[int, str], int] = {}
+    chains: list[tuple[str, ...]] = [()]
+    skipped: dict[str, int] = {}
     parts: list[str] = []
     link_parts: list[str] = []
-    link = False
+    link = in_head = False
 
     def flush() -> None:
         if parts:
-            text = " ".join("".join(parts).split())
-            if text and not any(t in HIDDEN for t, _ in stack):
-                linked = len("".join(link_parts).strip()) / max(1, len(text))
-                out.append(Block(text, tuple(e for _, e in stack), min(linked, 1.0)))
+            text = " ".join(plain_text("".join(parts)).split())
+            if text:
+                linked = len(plain_text("".join(link_parts)).strip()) / len(text)
+                out.append(Block(text, chains[stack[-1][1] if stack else 0], min(linked, 1.0)))
             parts.clear()
             link_parts.clear()
 
-    for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            if "&" in text:
-                text = html.unescape(text)
-            parts.append(text)
-            if link:
-                link_parts.append(text)
-            continue
-        tag = m["tag"]
+    def end_head() -> None:
+        while stack and any(t == "head" for t, _ in stack):
+            stack.pop()
+
+    for tag, closes, more in Markup(page).pieces():
         if tag is None:
+            if in_head:
+                if more.isspace():
+                    continue
+                end_head()
+                in_head = False
+            parts.append(more)
+            if link:
+                link_parts.append(more)
             continue
-        tag = tag.lower()
+        if in_head and (tag == "head" if closes else tag not in IN_HEAD):
+            end_head()
+            in_head = False
+            if closes:
+                continue
         if tag == "a":
-            link = not m["end"]
+            link = not closes
             continue
         if tag not in BLOCK:
             if tag in VOID:
@@ -88,12 +198,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         link = False
-        if m["end"]:
-            if any(t == tag for t, _ in stack):
+        if closes:
+            if skipped.get(tag):
+                skipped[tag] -= 1
+            elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
+                skipped.clear()
             continue
-        if tag in VOID:
+        if tag in VOID or tag in PLAIN:
             continue
         if tag == "body":
             while stack and stack[-1][0] != "html":
@@ -108,9 +221,18 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[i][0] in shut:
                     del stack[i:]
                 i -= 1
-        more = m["more"]
-        names = " ".join(x for g in NAMED.findall(more) for x in g if x).lower() if "=" in more else ""
-        stack.append((tag, f"{tag} {names}" if names else tag))
+        if tag == "head":
+            in_head = True
+        if len(stack) == DEEPEST:
+            skipped[tag] = skipped.get(tag, 0) + 1
+            continue
+        element = f"{tag} {more}" if more else tag
+        parent = stack[-1][1] if stack else 0
+        node = nodes.get((parent, element))
+        if node is None:
+            node = nodes[parent, element] = len(chains)
+            chains.append((*chains[parent], element))
+        stack.append((tag, node))
     flush()
     return out
 
@@ -147,7 +269,7 @@ class ChainModel:
     def emission(self, block: Block) -> tuple[float, float]:
         own = self.of_path.get(block.path)
         if own is None:
-            if len(self.of_path) > 50_000:
+            if len(self.of_path) > 20_000:
                 self.of_path.clear()
             found = [self.weights[f] for f in path_features(block.path) if f in self.weights]
             own = self.of_path[block.path] = (sum(x[0] for x in found), sum(x[1] for x in found))
