@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.llm.common import redealt
 
-_word = re.compile(r"[^\x20\x09-\x0D]")
 #: Bytes in front of a word's end that decide about a cut behind it.
 CONTEXT = 16
 #: A part of a line that is so many times the wrap without a place to cut repeats itself; it is cut at fixed distances.
@@ -48,8 +48,8 @@ def _places(ends: np.ndarray, data: np.ndarray, line: np.ndarray, starts: np.nda
     return np.flatnonzero(fits) + reach
 
 
-def split_lines(text: str, wrap: int) -> list[str]:
-    """The text cut after line ends, and long lines into pieces of at most ``wrap`` words.
+def split_lines(text: str, wrap: int | None) -> list[str]:
+    """The text cut after line ends, and with ``wrap`` long lines into pieces of at most so many words.
 
     Within a line, cuts fall first where the words around them say so, at least half a ``wrap`` from the next such place
     and from the line's ends: alike wherever a passage starts. What is longer between them is divided evenly; so
@@ -59,7 +59,7 @@ def split_lines(text: str, wrap: int) -> list[str]:
     return _split_together([text], wrap)[0]
 
 
-def split_all(texts: list[str], wrap: int) -> Iterator[list[str]]:
+def split_all(texts: list[str], wrap: int | None) -> Iterator[list[str]]:
     """``split_lines`` of each text, about a megabyte of them at once."""
     own, held = [], 0
     for text in texts:
@@ -71,7 +71,17 @@ def split_all(texts: list[str], wrap: int) -> Iterator[list[str]]:
     yield from _split_together(own, wrap)
 
 
-def _split_together(texts: list[str], wrap: int) -> list[list[str]]:
+def _breaks(firsts: np.ndarray, places: np.ndarray, n: int, wrap: int) -> np.ndarray:
+    """Words that pieces begin with: at line starts, at the places that content gives, and evenly between them."""
+    marks = np.union1d(firsts, places)
+    lengths = np.diff(np.append(marks, n))
+    parts = -(-lengths // wrap)
+    k = np.repeat(np.arange(len(marks)), parts)
+    i = np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return marks[k] + np.where(lengths[k] > LONGEST * wrap, i * wrap, lengths[k] * i // parts[k])
+
+
+def _split_together(texts: list[str], wrap: int | None) -> list[list[str]]:
     raws = [x.encode() for x in texts]
     joined = b"\n".join(raws)
     data = np.frombuffer(joined, dtype=np.uint8)
@@ -85,12 +95,7 @@ def _split_together(texts: list[str], wrap: int) -> list[list[str]]:
     news = np.insert(np.flatnonzero(data == 10) + 1, 0, 0)
     line = np.searchsorted(news, begins, "right") - 1
     firsts = np.flatnonzero(np.insert(line[1:] != line[:-1], 0, True))
-    marks = np.union1d(firsts, _places(ends, data, line, news[line], max(1, wrap // 2)) + 1)
-    lengths = np.diff(np.append(marks, len(ends)))
-    parts = -(-lengths // wrap)
-    k = np.repeat(np.arange(len(marks)), parts)
-    i = np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
-    breaks = marks[k] + np.where(lengths[k] > LONGEST * wrap, i * wrap, lengths[k] * i // parts[k])
+    breaks = firsts if wrap is None else _breaks(firsts, _places(ends, data, line, news[line], max(1, wrap // 2)) + 1, len(ends), wrap)
     # A piece begins with its first word; the first of a line, with the line; the first of a text, with the text.
     at = np.where(np.isin(breaks, firsts), news[line[breaks]], begins[breaks])
     sizes = np.array([len(x) for x in raws])
@@ -113,40 +118,61 @@ def window_hashes(lines: list[str], width: int) -> list[bytes]:
     return [digest(own[i : i + 16 * width]) for i in range(0, len(own) - 16 * (width - 1), 16)]
 
 
-def repeated_spans(docs: DataFrame, width: int, wrap: int, id_col: str, text_col: str) -> DataFrame:
+def first_places(hashes: np.ndarray) -> np.ndarray:
+    """For each of a text's windows (rows of two longs), where the same stands first in the text."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    _, first, which = np.unique(hashes.view("V16").ravel(), return_index=True, return_inverse=True)
+    return first[which]
+
+
+def place_in_order(doc_id: Column, copy: Column) -> Column:
+    """One number for the order by id (none: last), then by 62 bits of the text's hash: sums by hash take it, rows of both don't."""
+    number = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(Decimal(1 << 63)))
+    return (number * F.lit(Decimal(1 << 62))).cast("decimal(38,0)") + F.shiftrightunsigned(copy, 2).cast("decimal(19,0)")
+
+
+def repeated_spans(docs: DataFrame, width: int, wrap: int | None, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, copy, spans array<struct<first, last>>)``: line ranges that an earlier occurrence already holds.
 
     ``copy`` is a hash of the text, so that rows are named by id and text. Windows are summed to their first
-    occurrence by (id, copy, position) in the map tasks before they shuffle; repeated windows alone are joined
-    back, and a window that a third of the documents hold is one row on that side and may be split on the other.
+    document by (id, copy) in the map tasks before they shuffle; where a window stands first inside its own document
+    its row says itself. Repeated windows alone are joined back, on a key under an expression, so that both sides
+    shuffle for the join and a window that a third of the documents hold may be split.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [window_hashes(lines, width) for lines in split_all([text.as_py() or "" for text in batch.column(1)], wrap)]
+            found = [np.frombuffer(b"".join(window_hashes(lines, width)), dtype="<i8").reshape(-1, 2) for lines in split_all([text.as_py() or "" for text in batch.column(1)], wrap)]
             counts = np.array([len(x) for x in found], dtype=np.int64)
             row = np.repeat(np.arange(len(counts)), counts)
             at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hashes = np.frombuffer(b"".join([h for x in found for h in x]), dtype="<i8").reshape(-1, 2)
-            columns = [pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "copy", "at"])
-
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy")).mapInArrow(windows, "h1 long, h2 long, doc_id long, copy long, at int")
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copy", "at")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
-    later = found.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(place != F.col("first"))
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
+            hashes = np.concatenate(found) if found else np.empty((0, 2), dtype="<i8")
+            places = at << 32 | np.concatenate([*map(first_places, found), np.empty(0, dtype=np.int64)])
+            columns = [pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(places)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "copy", "places"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
+    found = read.mapInArrow(windows, "h1 long, h2 long, doc_id long, copy long, places long")
+    order = place_in_order(F.col("doc_id"), F.col("copy"))
+    firsts = found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select(redealt("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+    at, own = F.shiftright("places", 32).cast("int"), F.col("places").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    met = found.withColumn("k1", redealt("h1")).withColumn("k2", F.col("h2")).join(firsts, ["k1", "k2"])
+    met = met.select("doc_id", "copy", at.alias("at"), own.alias("own"), (order == F.col("first")).alias("same"))
+    later = met.where(~F.col("same") | (F.col("at") != F.col("own")))
     # A window that overlaps its own first occurrence leaves that one whole.
-    begin = F.when(same, F.greatest("at", F.col("first.at") + width)).otherwise(F.col("at"))
+    begin = F.when(F.col("same"), F.greatest("at", F.col("own") + width)).otherwise(F.col("at"))
     spans = later.select("doc_id", "copy", begin.alias("first"), (F.col("at") + width).alias("last")).where(F.col("first") < F.col("last")).distinct()
     return spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def drop_repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, width: int = 3, wrap: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later occurrences of repeated windows cut from the text, and ``n_lines``, ``n_removed`` (long; columns of these
     names are replaced).
 
-    A window is ``width`` lines in a row. The first occurrence by (id, hash of the text, position) stays; the lines
+    A window is ``width`` lines in a row; with ``wrap``, of the pieces of at most so many words that ``split_lines``
+    cuts long lines into, so that a passage inside a line is found too. The first occurrence by (id, hash of the text, position) stays; the lines
     that later ones cover are merged and removed, also within one text. Rows equal in id and text are one document:
     each gets its result. Rows without an id come last in the order. Null texts stay null with no lines, a text may
     become empty, texts of fewer lines than ``width`` stay whole. No row is dropped.
