@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +20,10 @@ from fairlead.llm.vocabulary import MARK, Vocabulary
 
 #: Words whose figures are broadcast: the most frequent ones of at most 64 bytes; all others are joined.
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
-#: Distinct words a counting task holds before it hands them on.
-MOST_COUNTED = 300_000
+#: Distinct words a counting task holds before it hands them on, and bytes of them.
+MOST_COUNTED, MOST_COUNTED_BYTES = 300_000, 32 << 20
+#: Steps of a histogram of word frequencies for each doubling; it has some 4,000 rows at most.
+STEPS = 64
 #: Words of up to this many bytes are scored side by side in arrays, SIDE_BY_SIDE of them at once.
 ARRAY_BYTES, SIDE_BY_SIDE = 96, 4096
 #: Mass of the existing scores against one corpus token each.
@@ -37,14 +40,9 @@ class LatticeModel:
 
 
 def existing_weights(vocabulary: Vocabulary) -> LatticeModel:
-    """The vocabulary's scores as probabilities: a piece's rank by score gets a Zipf share, byte pieces the last ranks."""
-    order = sorted(range(len(vocabulary.pieces)), key=lambda i: -vocabulary.scores[i])
-    shares = np.empty(len(order) + 257)
-    for rank, i in enumerate(order):
-        shares[i] = 1 / (rank + 3)
-    shares[len(order) :] = 1 / (len(order) + 3)
-    logs = np.log(shares / shares.sum())
-    return LatticeModel(dict(zip(vocabulary.pieces, logs[: len(order)].tolist())), tuple(logs[len(order) : -1].tolist()), float(logs[-1]))
+    """The vocabulary's scores as probabilities (``Vocabulary.log_shares``)."""
+    logs, n = vocabulary.log_shares().tolist(), len(vocabulary.pieces)
+    return LatticeModel(dict(zip(vocabulary.pieces, logs[:n])), tuple(logs[n:-1]), logs[-1])
 
 
 class Lattice:
@@ -58,65 +56,54 @@ class Lattice:
                 self.steps.setdefault(p[:i], None)
         self.steps |= model.pieces
 
-    def edges(self, word: str) -> list[list[tuple[int, str | None, float]]]:
-        """By end: ``(start, piece or None for bytes, log weight)`` over the marked word."""
-        text, steps = MARK + word, self.steps
-        n = len(text)
-        into: list[list[tuple[int, str | None, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                weight = steps.get(piece, 0.0)
-                if weight is None:
-                    continue
-                if weight == 0.0:
-                    break
-                into[j].append((i, piece, weight))
-                single |= j == i + 1
-            if not single:
-                into[i + 1].append((i, None, sum(self.model.bytes[b] for b in text[i].encode())))
-        return into
-
-    def forward(self, into: list[list[tuple[int, str | None, float]]]) -> list[float]:
-        """Log of the summed weight of all segmentations up to each place."""
-        reach = [0.0]
-        for ways in into[1:]:
-            if len(ways) == 1:
-                reach.append(reach[ways[0][0]] + ways[0][2])
+    def ways(self, text: str, i: int) -> Iterator[tuple[int, str | None, float]]:
+        """``(end, piece or None for bytes, log weight)`` of what may start at ``i`` in the marked word."""
+        steps, single = self.steps, False
+        for j in range(i + 1, len(text) + 1):
+            piece = text[i:j]
+            weight = steps.get(piece, 0.0)
+            if weight is None:
                 continue
-            terms = [reach[i] + w for i, _, w in ways]
-            top = max(terms)
-            reach.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+            if weight == 0.0:
+                break
+            single |= j == i + 1
+            yield j, piece, weight
+        if not single:
+            yield i + 1, None, sum([self.model.bytes[b] for b in text[i].encode()])
+
+    def forward(self, text: str) -> array:
+        """Log of the summed weight of all segmentations up to each place; nothing else is held, however long the word."""
+        reach = array("d", [float("-inf")]) * (len(text) + 1)
+        reach[0] = 0.0
+        for i in range(len(text)):
+            here = reach[i]
+            for j, _, weight in self.ways(text, i):
+                reach[j] = _log_sum(reach[j], here + weight)
         return reach
 
     def log_probability(self, word: str) -> float:
-        return self.forward(self.edges(word))[-1]
+        return self.forward(MARK + word)[-1]
 
     def expect(self, word: str, times: float, into_counts: dict) -> None:
         """Add the expected uses of each piece (and byte) in ``times`` occurrences of the word."""
-        into = self.edges(word)
-        reach = self.forward(into)
-        n = len(into) - 1
-        rest = [float("-inf")] * n + [0.0]  # log weight from each place to the end
-        for j in range(n, 0, -1):
-            here = rest[j]
-            if here == float("-inf"):
-                continue
-            for i, piece, w in into[j]:
-                way, old = here + w, rest[i]
-                if old == float("-inf"):
-                    rest[i] = way
-                elif way > old:
-                    rest[i] = way + math.log1p(math.exp(old - way))
-                else:
-                    rest[i] = old + math.log1p(math.exp(way - old))
-                share = times * math.exp(reach[i] + w + here - reach[n])
-                if piece is not None:
-                    into_counts[piece] = into_counts.get(piece, 0.0) + share
-                else:
-                    for b in (MARK + word)[i].encode():
-                        into_counts[b] = into_counts.get(b, 0.0) + share
+        text = MARK + word
+        reach = self.forward(text)
+        n = len(text)
+        rest = array("d", [float("-inf")]) * n + array("d", [0.0])  # log weight from each place to the end
+        for i in range(n - 1, -1, -1):
+            for j, piece, weight in self.ways(text, i):
+                onward = weight + rest[j]
+                rest[i] = _log_sum(rest[i], onward)
+                share = times * math.exp(reach[i] + onward - reach[n])
+                for key in (piece,) if piece is not None else text[i].encode():
+                    into_counts[key] = into_counts.get(key, 0.0) + share
+
+
+def _log_sum(a: float, b: float) -> float:
+    """log(exp a + exp b)."""
+    if a < b:
+        a, b = b, a
+    return a if b == float("-inf") else a + math.log1p(math.exp(b - a))
 
 
 class TrieArrays:
@@ -234,6 +221,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, rest = Counter(), Counter()
+        read = 0
 
         def done() -> pa.RecordBatch:
             keys = list(train.keys() | rest.keys())
@@ -243,8 +231,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, learns in zip(batch.column(0), batch.column(1).to_pylist()):
-                (train if learns else rest).update(words(text.as_py()))
-                if len(train) + len(rest) > MOST_COUNTED:
+                own = words(text.as_py())
+                (train if learns else rest).update(own)
+                if max(map(len, own), default=0) > HEAD_BYTES:
+                    read += sum([len(w) for w in own if len(w) > HEAD_BYTES])
+                if len(train) + len(rest) > MOST_COUNTED or read > MOST_COUNTED_BYTES:
+                    read = 0
                     yield done()
         yield done()
 
@@ -255,7 +247,9 @@ def fit(counts: DataFrame, ends: int, vocabulary: Vocabulary, trie: TrieArrays,
     """Re-estimate the existing weights on ``(word, n_train)`` by expectation maximisation.
 
     Tasks sum the expected uses of pieces; at most one row a piece and byte reaches the driver. The existing
-    weights stay in with PRIOR_MASS tokens, so that every piece keeps a positive weight.
+    scores decide which pieces there are, where the search starts, and stay in with PRIOR_MASS tokens: a piece that
+    training uses m times has weight (m + PRIOR_MASS * share) / total, so for a corpus of many tokens its own counts say
+    nearly all and the existing scores order only what training never uses. ``rounds=0`` scores by them alone.
     """
     prior = model = existing_weights(vocabulary)
     spark = counts.sparkSession
@@ -280,6 +274,21 @@ def fit(counts: DataFrame, ends: int, vocabulary: Vocabulary, trie: TrieArrays,
     return model
 
 
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The most frequent words of ``table(word, n_all, ..)`` of up to HEAD_BYTES, at most ``most`` of them, whatever the number of partitions.
+
+    The cut comes from a histogram of frequencies in steps of a 64th of a doubling; the step in which ``most`` are passed stays out.
+    """
+    short = table.where(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("n_all") * STEPS).cast("int"))
+    held, cut = 0, None
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > most:
+            break
+        cut = r["step"]
+    return short.where(F.col("step") >= cut if cut is not None else F.lit(False)).drop("step")
+
+
 def learns(id_col: str) -> "F.Column":
     """Rows whose CRC-32 of the id as text leaves no remainder 1 by 5; rows without an id learn too."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 1, F.lit(True))
@@ -313,7 +322,7 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 3, id
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "n_train", "n_all", "log_p"])
 
     table = stable(counts.mapInArrow(weigh, "word string, n_train long, n_all long, log_p double"))
-    top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n_all"), "word").limit(head_words).collect()
+    top = most_frequent(table, head_words).collect()
     head = spark.sparkContext.broadcast({r["word"].encode(): (r["n_train"] > 0, math.log10((r["n_train"] + 0.5) / scale), r["log_p"]) for r in top})
     end = (ends > 0, math.log10((ends + 0.5) / scale), model.end / math.log(10))
 
