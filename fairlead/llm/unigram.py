@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from fairlead.llm.vocabulary import MARK, Vocabulary
 
 #: Chunks of text a worker remembers with their ids, in two halves: the older half goes when the newer is full.
-MOST_KNOWN = 400_000
+#: Only chunks of up to KNOWN_BYTES are remembered, so that both bounds together bound the bytes.
+MOST_KNOWN, KNOWN_BYTES = 400_000, 64
+#: Chunks of more bytes than this are searched in arrays of numbers, which take 16 bytes a byte of text.
+LONG_CHUNK = 1 << 14
 #: Cells of the double array that are tried at once.
 WINDOW = 2048
 
@@ -94,6 +97,10 @@ class UnigramCodec:
     bytes, so that decoding gives back any text. A character without a piece costs 10 below the lowest score and
     becomes its byte pieces. Of equally good segmentations the one whose last piece begins first wins, from the
     end backwards.
+
+    The scores are taken as log probabilities. A file of merge ranks has none; ``Vocabulary.with_log_shares`` gives it
+    some, and then the ids are those of the best segmentation by these shares, which merging step by step as the file's
+    own encoder does need not find: the same text comes back from either, in about as many ids.
     """
 
     def __init__(self, vocabulary: Vocabulary, dummy_prefix: bool = True):
@@ -112,8 +119,9 @@ class UnigramCodec:
     def _viterbi(self, chunk: bytes) -> list[int]:
         n, scores, ids = len(chunk), self.vocabulary.scores, self.vocabulary.ids
         base, check = self.trie.base, self.trie.check
-        best: list[float] = [float("-inf")] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        best, begun, chosen = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        if n > LONG_CHUNK:
+            best, begun, chosen = array("d", best), array("i", begun), array("i", chosen)
         best[0] = 0.0
         i = 0
         while i < n:
@@ -131,13 +139,13 @@ class UnigramCodec:
                     if end == single:
                         bare = False
                     if score > best[end]:
-                        best[end], back[end] = score, (i, value)
+                        best[end], begun[end], chosen[end] = score, i, value
             if bare and here + self.unknown > best[single]:
-                best[single], back[single] = here + self.unknown, (i, -1)
+                best[single], begun[single], chosen[single] = here + self.unknown, i, -1
             i = single
         out: list[int] = []
         while n:
-            i, value = back[n]
+            i, value = begun[n], chosen[n]
             out += [ids[value]] if value >= 0 else [self.vocabulary.byte_ids[b] for b in reversed(chunk[i:n])]
             n = i
         return out[::-1]
@@ -158,10 +166,13 @@ class UnigramCodec:
         chunks = self.chunks(marked)
         if len(self.newer) > MOST_KNOWN // 2:
             self.newer, self.older = {}, self.newer
-        known, older = self.newer, self.older
+        known, older, long = self.newer, self.older, {}
         for c in set(chunks):
             if c not in known:
-                known[c] = older.get(c) or array("i", self._viterbi(c.encode())).tobytes()
+                raw = c.encode()
+                (known if len(raw) <= KNOWN_BYTES else long)[c] = older.get(c) or array("i", self._viterbi(raw)).tobytes()
+        if long:
+            return b"".join([known[c] if c in known else long[c] for c in chunks])
         return b"".join(map(known.__getitem__, chunks))
 
     def encode(self, text: str | None) -> list[int]:
