@@ -17,7 +17,8 @@ from fairlead.llm.common import stable
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words, and as many parts of words, that a worker remembers with their ids, in two halves: the older half goes when the newer is full.
-MOST_KNOWN = 400_000
+#: Only those of up to KNOWN_BYTES stay, so that both bounds together bound the bytes.
+MOST_KNOWN, KNOWN_BYTES = 400_000, 64
 #: Marks that stand around a word as parts of their own, where the tokenizer keeps letters and marks apart.
 EDGES = b'.,;:!?()[]{}"'
 #: Letters A-Z, a-z and those from U+00C0 to U+017F (but for U+0130, whose lower case is two characters), in UTF-8.
@@ -48,6 +49,12 @@ class Remembered:
                     newer[k] = found
         return out
 
+    def forget(self, keys: Iterable[bytes]) -> None:
+        """Of ``keys``, the long ones go."""
+        for k in keys:
+            if len(k) > KNOWN_BYTES:
+                self.newer.pop(k, None)
+
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins text over ASCII white space.
@@ -101,11 +108,16 @@ class WordTokenizer:
         words = text.encode().split()
         new = self.words.missing(set(words))
         if new:
+            longest = max(map(len, new))
             split = [self._split(w) for w in new]
             self._learn(self.parts.missing({p for ps in split for p in ps}))
             parts = self.parts.newer
             self.words.newer.update(zip(new, [parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps]) for ps in split]))
-        return b"".join(map(self.words.newer.__getitem__, words))
+        out = b"".join(map(self.words.newer.__getitem__, words))
+        if new and longest > KNOWN_BYTES:
+            self.words.forget(new)
+            self.parts.forget([p for ps in split for p in ps])
+        return out
 
 
 def tokenizer_at(path: str) -> WordTokenizer:
