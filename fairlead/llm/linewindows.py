@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from fairlead.llm.common import redealt
 CONTEXT = 16
 #: A part of a line that is so many times the wrap without a place to cut repeats itself; it is cut at fixed distances.
 LONGEST = 4
+#: Odd factors that mix the two halves of a window's hash.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
 @cache
@@ -56,19 +59,26 @@ def split_lines(text: str, wrap: int | None) -> list[str]:
     pieces between two such places are the same in every line. Pieces without a word stay with the line before them
     (in front of the first line: with it). Joined, the pieces are the text.
     """
-    return _split_together([text], wrap)[0]
+    return next(iter(split_all([text], wrap)))
 
 
 def split_all(texts: list[str], wrap: int | None) -> Iterator[list[str]]:
-    """``split_lines`` of each text, about a megabyte of them at once."""
+    """``split_lines`` of each text."""
+    for group in in_groups(texts, wrap):
+        for i in range(len(group.raws)):
+            yield [x.decode() for x in group.slices(i)]
+
+
+def in_groups(texts: Iterable[str], wrap: int | None) -> Iterator[Pieces]:
+    """Texts in their order, about a megabyte of them at once; there is always a group."""
     own, held = [], 0
     for text in texts:
         own.append(text)
         held += len(text)
         if held > 1 << 20:
-            yield from _split_together(own, wrap)
+            yield Pieces(own, wrap)
             own, held = [], 0
-    yield from _split_together(own, wrap)
+    yield Pieces(own, wrap)
 
 
 def _breaks(firsts: np.ndarray, places: np.ndarray, n: int, wrap: int) -> np.ndarray:
@@ -81,49 +91,66 @@ def _breaks(firsts: np.ndarray, places: np.ndarray, n: int, wrap: int) -> np.nda
     return marks[k] + np.where(lengths[k] > LONGEST * wrap, i * wrap, lengths[k] * i // parts[k])
 
 
-def _split_together(texts: list[str], wrap: int | None) -> list[list[str]]:
-    raws = [x.encode() for x in texts]
-    joined = b"\n".join(raws)
-    data = np.frombuffer(joined, dtype=np.uint8)
-    blank = np.append(_spaces()[data], True)
-    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
-        turns = np.insert(turns, 0, 0)
-    begins, ends = turns[::2], turns[1::2]
-    if not len(ends):
-        return [[x] for x in texts]
-    news = np.insert(np.flatnonzero(data == 10) + 1, 0, 0)
-    line = np.searchsorted(news, begins, "right") - 1
-    firsts = np.flatnonzero(np.insert(line[1:] != line[:-1], 0, True))
-    breaks = firsts if wrap is None else _breaks(firsts, _places(ends, data, line, news[line], max(1, wrap // 2)) + 1, len(ends), wrap)
-    # A piece begins with its first word; the first of a line, with the line; the first of a text, with the text.
-    at = np.where(np.isin(breaks, firsts), news[line[breaks]], begins[breaks])
-    sizes = np.array([len(x) for x in raws])
-    opens = np.cumsum(sizes + 1) - sizes - 1
-    bounds = np.searchsorted(at, np.append(opens, len(joined) + 1)).tolist()
-    at, out = at.tolist(), []
-    for text, raw, start, a, z in zip(texts, raws, opens.tolist(), bounds, bounds[1:]):
-        cuts = [0, *(x - start for x in at[a + 1 : z]), len(raw)]
-        out.append([text[x:y] for x, y in zip(cuts, cuts[1:])] if len(raw) == len(text) else [raw[x:y].decode() for x, y in zip(cuts, cuts[1:])])
-    return out
-
-
-def window_hashes(lines: list[str], width: int) -> list[bytes]:
-    """128 bits of every ``width`` lines in a row, white space at their ends aside."""
-    clean = [x.strip(" \t\n\r\x0b\x0c").encode() for x in lines]
-    if len(clean) < width or not clean[0]:
-        return []
-    digest = xxhash.xxh3_128_digest
-    own = b"".join(map(digest, clean))
-    return [digest(own[i : i + 16 * width]) for i in range(0, len(own) - 16 * (width - 1), 16)]
+class Pieces:
+    """Lines of several texts, or what long lines are cut into, as places in their joined bytes.
 
+    Piece k begins at ``at[k]``; its words reach from ``first[k]`` to ``last[k]``; text i has the pieces from
+    ``bounds[i]`` to ``bounds[i + 1]``, none if it has no word.
+    """
 
-def first_places(hashes: np.ndarray) -> np.ndarray:
-    """For each of a text's windows (rows of two longs), where the same stands first in the text."""
-    if not len(hashes):
-        return np.empty(0, dtype=np.int64)
-    _, first, which = np.unique(hashes.view("V16").ravel(), return_index=True, return_inverse=True)
-    return first[which]
+    def __init__(self, texts: list[str], wrap: int | None):
+        self.raws = [x.encode() for x in texts]
+        self.joined = joined = b"\n".join(self.raws)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        blank = np.append(_spaces()[data], True)
+        turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if not blank[0]:
+            turns = np.insert(turns, 0, 0)
+        begins, ends = turns[::2], turns[1::2]
+        news = np.insert(np.flatnonzero(data == 10) + 1, 0, 0)
+        line = np.searchsorted(news, begins, "right") - 1
+        firsts = np.flatnonzero(np.insert(line[1:] != line[:-1], 0, True)) if len(line) else line
+        breaks = firsts if wrap is None or not len(ends) else _breaks(firsts, _places(ends, data, line, news[line], max(1, wrap // 2)) + 1, len(ends), wrap)
+        # A piece begins with its first word; the first of a line, with the line.
+        self.at = np.where(np.isin(breaks, firsts), news[line[breaks]], begins[breaks])
+        self.first, self.last = begins[breaks], ends[np.append(breaks[1:], len(ends)) - 1] if len(ends) else ends
+        sizes = np.array([len(x) for x in self.raws], dtype=np.int64)
+        self.opens = np.cumsum(sizes + 1) - sizes - 1
+        self.bounds = np.searchsorted(self.at, np.append(self.opens, len(joined) + 1))
+
+    def count(self, i: int) -> int:
+        """Pieces of a text; one without a word is one, an empty one none."""
+        return int(self.bounds[i + 1] - self.bounds[i]) or int(len(self.raws[i]) > 0)
+
+    def slices(self, i: int) -> list[bytes]:
+        raw = self.raws[i]
+        cuts = [0, *(self.at[self.bounds[i] + 1 : self.bounds[i + 1]] - self.opens[i]).tolist(), len(raw)]
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every ``width`` pieces of a text in a row: 128 bits of their words as they stand (rows of two longs), text, number of the first."""
+        digest, joined = xxhash.xxh3_128_digest, self.joined
+        own = np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(self.first.tolist(), self.last.tolist())]), dtype="<u8").reshape(-1, 2)
+        text = np.repeat(np.arange(len(self.raws)), np.diff(self.bounds))
+        n = max(0, len(own) - width + 1)
+        whole = np.flatnonzero(text[:n] == text[width - 1 :])
+        mixed = own[whole]
+        for k in range(1, width):
+            mixed = ((mixed ^ (mixed >> np.uint64(32))) * FACTORS + own[whole + k]) ^ (mixed[:, ::-1] >> np.uint64(29))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * FACTORS
+        return (mixed ^ (mixed >> np.uint64(33))).view("<i8"), text[whole], whole - self.bounds[text[whole]]
+
+
+def first_places(hashes: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each window (as ``Pieces.windows`` gives them), where the same stands first in its text."""
+    order = np.lexsort((at, hashes[:, 1], hashes[:, 0], text))
+    if not len(order):
+        return at
+    h, t = hashes[order], text[order]
+    new = np.insert((t[1:] != t[:-1]) | (h[1:] != h[:-1]).any(axis=1), 0, True)
+    out = np.empty_like(at)
+    out[order] = at[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
 
 
 def place_in_order(doc_id: Column, copy: Column) -> Column:
@@ -143,14 +170,14 @@ def repeated_spans(docs: DataFrame, width: int, wrap: int | None, id_col: str, t
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(b"".join(window_hashes(lines, width)), dtype="<i8").reshape(-1, 2) for lines in split_all([text.as_py() or "" for text in batch.column(1)], wrap)]
-            counts = np.array([len(x) for x in found], dtype=np.int64)
-            row = np.repeat(np.arange(len(counts)), counts)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hashes = np.concatenate(found) if found else np.empty((0, 2), dtype="<i8")
-            places = at << 32 | np.concatenate([*map(first_places, found), np.empty(0, dtype=np.int64)])
-            columns = [pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(places)]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "copy", "places"])
+            before = 0
+            for group in in_groups([text.as_py() or "" for text in batch.column(1)], wrap):
+                hashes, text, at = group.windows(width)
+                row = pa.array(text + before)
+                places = at << 32 | first_places(hashes, text, at)
+                columns = [pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), batch.column(0).take(row), batch.column(2).take(row), pa.array(places)]
+                before += len(group.raws)
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "copy", "places"])
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
     found = read.mapInArrow(windows, "h1 long, h2 long, doc_id long, copy long, places long")
@@ -186,13 +213,13 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3, wrap: int | None = None
     def cut(texts, spans):
         import pandas as pd
 
-        out = []
-        for text, found, lines in zip(texts, spans, split_all([x or "" for x in texts], wrap)):
-            lines = lines if text else []
-            gone: set[int] = set()
-            for s in found if found is not None else ():
-                gone.update(range(s["first"], s["last"]))
-            out.append(("".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text, len(lines), len(gone)))
+        out, rows = [], zip(texts, spans)
+        for group in in_groups([x or "" for x in texts], wrap):
+            for i, (text, found) in enumerate(islice(rows, len(group.raws))):
+                n, gone = group.count(i), set()
+                for s in found if found is not None else ():
+                    gone.update(range(s["first"], s["last"]))
+                out.append((b"".join([x for k, x in enumerate(group.slices(i)) if k not in gone]).decode() if gone else text, n, len(gone)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
     done = joined.select("row", cut(F.col("row")[text_col], F.col("spans")).alias("cut"))

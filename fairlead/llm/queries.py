@@ -13,7 +13,7 @@ from fairlead.llm.vocabulary import read_vocabulary
 #: Files of public tokenizers; a name or a path that every worker can open.
 PACKING_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: Words of a piece that long lines are cut into for windows of lines.
-LINE_WORDS = 12
+LINE_WORDS = 14
 #: The query's rules: verdict, host and path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
