@@ -100,6 +100,16 @@ def iso_instant(ms: Column) -> Column:
     return F.when(ms % 1000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
+def url_encoded(text: Column) -> Column:
+    """As a part of a request: a space is %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def fixed3(x: Column) -> Column:
+    """Three decimals."""
+    return F.format_string("%.3f", x)
+
+
 def blank(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return text.isNull() | (F.trim(text) == "")

@@ -10,6 +10,7 @@ ours. Text compares without case, globs use ``*`` and ``?``. ``&`` binds before
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,13 +21,29 @@ class FilterError(ValueError):
 
 
 TOKEN = re.compile(r"\s*(?:(<=|>=|!=|[()&|,=<>]|(?:in|like|within|bbox)(?=[\s(]))|([^\s()&|,=<>!]+(?: +(?!in\b|like\b|within\b)[^\s()&|,=<>!]+)*))", re.I)
-NUMERIC = frozenset(("mmsi", "imo", "lat", "lon", "sog", "cog", "hdg", "speed", "value", "id"))
-#: Columns of the packet table by field.
-FIELDS = {"m.mmsi": "mmsi", "m.type": "msgtype", "m.lat": "lat", "m.lon": "lon", "m.country": "country", "t.lat": "target_lat", "t.lon": "target_lon", "t.type": "target_type", "t.country": "country", "s.region": "region", "s.type": "source_type", "s.country": "source_country", "s.bs": "base_station", "s.id": "source_id"}
+NUMERIC = frozenset(("mmsi", "imo", "lat", "lon", "sog", "cog", "hdg", "speed", "value", "navstat"))
+#: Columns of a packet by field; those of targets come from ``track.with_targets``.
+FIELDS: dict[str, tuple[str, ...]] = {
+    **{f"m.{c}": (c,) for c in ("mmsi", "imo", "name", "navstat", "lat", "lon", "sog", "cog", "hdg")}, "m.type": ("msgtype",), "m.cs": ("callsign",),
+    **{f"t.{c}": (f"target_{c}",) for c in ("imo", "name", "type", "navstat", "lat", "lon", "sog", "cog", "hdg")}, "t.mmsi": ("mmsi",), "t.cs": ("target_callsign",),
+    "s.id": ("source_id",), "s.type": ("source_type",), "s.country": ("source_country",), "s.region": ("region",), "s.bs": ("base_station",),
+}
+#: With codes of countries of three and two letters (``track.with_countries``); a source's number stays.
+WITH_COUNTRIES = FIELDS | {"m.country": ("country", "country2"), "t.country": ("country", "country2"), "s.country": ("source_country", "source_alpha3", "source_alpha2")}
+
+
+def fields_in(text: str | None) -> set[str]:
+    """Fields that an expression names."""
+    found: set[str] = set()
+    compile_filter(text, WITH_COUNTRIES, seen=found)
+    return found
+
 
+def compile_filter(text: str | None, fields: dict[str, tuple[str, ...]] = FIELDS, only: str = "smt", seen: set[str] | None = None) -> Column:
+    """``only`` restricts prefixes (source filters take ``s`` alone); ``seen`` takes the fields met.
 
-def compile_filter(text: str | None, fields: dict[str, str] = FIELDS, only: str = "smt") -> Column:
-    """``only`` restricts prefixes (source filters take ``s`` alone)."""
+    A field of several columns is equal to a value if one of them is, and unequal if none is.
+    """
     if text is None or not text.strip():
         return F.lit(True)
     tokens, at = [], 0
@@ -92,12 +109,12 @@ def compile_filter(text: str | None, fields: dict[str, str] = FIELDS, only: str
             take(")")
             if field != "pos" or len(box) != 4:
                 raise FilterError("within takes pos and four numbers")
-            lat, lon = column(f"{prefix}.lat"), column(f"{prefix}.lon")
+            (lat,), (lon,) = columns(f"{prefix}.lat"), columns(f"{prefix}.lon")
             return lat.between(min(box[0], box[2]), max(box[0], box[2])) & lon.between(min(box[1], box[3]), max(box[1], box[3]))
-        of = column(name)
+        of = columns(name)
         if op == "like":
             escaped = re.sub(r"([\\%_])", r"\\\1", take()).replace("*", "%").replace("?", "_")
-            return F.upper(of).like(escaped.upper())
+            return any_of([F.upper(x.cast("string")).like(escaped.upper()) for x in of])
         if op == "in":
             take("(")
             found = values()
@@ -106,14 +123,23 @@ def compile_filter(text: str | None, fields: dict[str, str] = FIELDS, only: str
             found = values() if op in ("=", "!=") else [take()]
         if op in ("<", ">", "<=", ">="):
             v = number(found[0])
-            return {"<": of < v, ">": of > v, "<=": of <= v, ">=": of >= v}[op]
-        same = of.isin([number(v) for v in found]) if field in NUMERIC else F.upper(of).isin([v.upper() for v in found])
+            return any_of([{"<": x < v, ">": x > v, "<=": x <= v, ">=": x >= v}[op] for x in of])
+        plain = field in NUMERIC or (prefix, field) == ("m", "type")
+        same = any_of([x.isin([number(v) for v in found]) if plain else F.upper(x.cast("string")).isin([v.upper() for v in found]) for x in of])
         return ~same if op == "!=" else same
 
-    def column(name: str) -> Column:
+    def any_of(tests: list[Column]) -> Column:
+        """Of several columns an unknown one says nothing; a lone unknown one is unknown."""
+        if len(tests) == 1:
+            return tests[0]
+        return reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in tests])
+
+    def columns(name: str) -> list[Column]:
         if name not in fields:
-            raise FilterError(f"unknown field {name!r}")
-        return F.col(fields[name])
+            raise FilterError(f"unknown field {name!r}" if name not in WITH_COUNTRIES else f"{name} needs a table of countries")
+        if seen is not None:
+            seen.add(name)
+        return [F.col(c) for c in fields[name]]
 
     found = either()
     if tokens[0]:
@@ -123,7 +149,7 @@ def compile_filter(text: str | None, fields: dict[str, str] = FIELDS, only: str
 
 def is_valid(text: str | None, **more) -> bool:
     try:
-        compile_filter(text, **more)
+        compile_filter(text, **({"fields": WITH_COUNTRIES} | more))
     except FilterError:
         return False
     return True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
+from urllib.parse import quote
 
 _INSTANT = re.compile(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:T(\d{1,2})(?::(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?)?)?Z?$", re.I)
 _DURATION = re.compile(r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$", re.I)
@@ -42,6 +43,34 @@ def interval_ms(text: str) -> tuple[int, int]:
     return start, start + duration_ms(b) if b.upper().startswith("P") else instant_ms(b)
 
 
+def ending_now(duration: str, now_ms: int) -> tuple[int, int]:
+    """The interval of that length up to now."""
+    return now_ms - duration_ms(duration), now_ms
+
+
+def fixed3(x: float) -> str:
+    """Three decimals, as boxes are written in requests."""
+    return f"{x:.3f}"
+
+
+def request(interval: tuple[int, int], filter: str | None = None, mmsi: list[int] | None = None, box: tuple[float, float, float, float] | None = None, **more) -> str:
+    """A query as the parameters of a request, in their order: north, west, south, east for boxes; values are URL-encoded, blank ones left out.
+
+    ``more`` are further parameters (``output``, ``columns``, ``separator``, ``limit``, ``minDistance``, ``minDuration``,
+    ``duplicateWindow``); ``True`` gives a bare name (``noHeader``).
+    """
+    iso = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    out = [f"interval={iso(interval[0])}/{iso(interval[1])}"]
+    if filter and filter.strip():
+        out.append("filter=" + quote(filter.strip(), safe="!'()*-._~"))
+    out += [f"mmsi={m}" for m in mmsi or ()]
+    if box is not None:
+        south, west, north, east = box
+        out.append("box=" + ",".join(map(fixed3, (north, west, south, east))))
+    out += [k if v is True else f"{k}={v}" for k, v in more.items() if v not in (None, False, "")]
+    return "&".join(out)
+
+
 def bounding_box(text: str) -> tuple[float, float, float, float]:
     """Two opposite corners ``lat,lon,lat,lon`` as (south, west, north, east)."""
     try:

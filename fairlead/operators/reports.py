@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import time
+from urllib.parse import unquote, urlparse
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import timeblock
@@ -35,11 +40,48 @@ def extent(packets: DataFrame) -> DataFrame:
     return packets.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
 
 
+def eta_ms(percent: float, began_ms: int, now_ms: int) -> int | None:
+    """When an export that has covered ``percent`` of its interval will be done at the pace so far; unknown at the start."""
+    return None if percent <= 0 else now_ms + round((now_ms - began_ms) * max(0.0, 100.0 - percent) / percent)
+
+
+class Ingest:
+    """Counts of what passes through a write, and its rate: ``watch`` the rows, write them, then ask."""
+
+    def __init__(self) -> None:
+        self.seen, self.began = Observation("ingest"), time.monotonic()
+
+    def watch(self, packets: DataFrame) -> DataFrame:
+        return packets.observe(self.seen, F.count(F.lit(1)).alias("packets"), F.count("msgtype").alias("decoded"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+
+    def report(self) -> dict[str, float]:
+        """Counters of the finished write, seconds since the watch began and packets a second."""
+        took = max(time.monotonic() - self.began, 1e-9)
+        return {**self.seen.get, "seconds": took, "per_second": self.seen.get["packets"] / took}
+
+
+def is_empty(rows: DataFrame) -> bool:
+    """Whether there is no row; one is looked for."""
+    return rows.isEmpty()
+
+
 def progress(packets: DataFrame, t0_ms: int, t1_ms: int) -> DataFrame:
     """Share of the interval that the rows reach, in percent."""
     return packets.agg((100.0 * (F.max("time_ms") - t0_ms) / F.lit(float(t1_ms - t0_ms))).alias("percent"))
 
 
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, name, updated, size)`` of the files of a folder, without their contents; empty if there are none."""
+    kinds = "path string, name string, updated long, size long"
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], kinds)
+    return found.select("path", F.substring_index("path", "/", -1).alias("name"), F.unix_millis("modificationTime").alias("updated"), F.col("length").alias("size"))
+
+
 def repository(files: DataFrame, suffix: str | None = None) -> DataFrame:
     """``files(path, name, updated, size)``: no hidden ones, with ``complete``; by time, unknown ones first."""
     rows = files.where(~F.col("name").startswith("."))
@@ -49,3 +91,16 @@ def repository(files: DataFrame, suffix: str | None = None) -> DataFrame:
 
 def expired(files: DataFrame, now_ms: int, hours: int = 4) -> DataFrame:
     return files.where(F.col("updated") < now_ms - hours * 3_600_000)
+
+
+def clean_up(spark: SparkSession, path: str, now_ms: int, hours: int = 4) -> int:
+    """Delete expired files of a folder, on the executors, and say how many went."""
+    gone = expired(files_of(spark, path), now_ms, hours)
+
+    def delete(batches):
+        for batch in batches:
+            for name in batch["path"]:
+                os.remove(unquote(urlparse(name).path))
+            yield batch[["path"]]
+
+    return gone.select("path").mapInPandas(delete, "path string").count()

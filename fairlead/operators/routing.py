@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import cell, timeblock, valid_position
 from fairlead.operators.track import carry_forward
-from fairlead.schema import TABLES
+from fairlead.schema import PLACED, TABLES
+
+#: Files of one table and day, at most.
+SPREAD = 16
 
 
 def keyed(packets: DataFrame, carry: bool = True) -> DataFrame:
@@ -30,18 +33,33 @@ def guards(mode: str = "online", cell10: bool = False) -> dict[str, Column]:
     raise ValueError(f"mode is online or bulk, not {mode!r}")
 
 
+def _cellid(table: str) -> Column:
+    if TABLES[table].key != "cellid":
+        return F.lit(None).cast("int")
+    return cell("carried_lat", "carried_lon", 10 if table.endswith("10") else 1)
+
+
 def fan_out(packets: DataFrame, mode: str = "online", cell10: bool = False, carry: bool = True) -> dict[str, DataFrame]:
     """One DataFrame a table, each with its key and time block; one plan over the same packets, no collect."""
     rows, out = keyed(packets, carry), {}
     for name, guard in guards(mode, cell10).items():
         t = TABLES[name]
         own = rows.where(guard).withColumn("timeblock", timeblock("time_ms", t.block_ms))
-        if t.key == "cellid":
-            own = own.withColumn("cellid", cell("carried_lat", "carried_lon", 10 if name.endswith("10") else 1))
-        out[name] = own
+        out[name] = own.withColumn("cellid", _cellid(name)) if t.key == "cellid" else own
     return out
 
 
+def routed(packets: DataFrame, mode: str = "online", cell10: bool = False, carry: bool = True) -> DataFrame:
+    """Each packet once for every table it goes to, named by ``table``, in one pass over the packets."""
+    places = [
+        F.when(guard, F.struct(F.lit(name).alias("table"), _cellid(name).alias("cellid"), timeblock("time_ms", TABLES[name].block_ms).alias("timeblock")))
+        for name, guard in guards(mode, cell10).items()
+    ]
+    rows = keyed(packets, carry)
+    kept = [c for c in rows.columns if c not in ("table", "cellid", "timeblock")]
+    return rows.select(*kept, F.explode(F.array_compact(F.array(*places))).alias("_place")).select(*kept, "_place.*")
+
+
 def route_labels(packets: DataFrame, mode: str = "online", cell10: bool = False) -> DataFrame:
     """``(table_name, n)``: how many packets each table gets, in one pass."""
     rows = keyed(packets)
@@ -54,12 +72,20 @@ def by_primary_key(rows: DataFrame, table: str) -> DataFrame:
     return rows.dropDuplicates(TABLES[table].primary_key)
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Parquet by day, clustered by key and time inside files, so that row groups prune on both."""
-    for name, rows in tables.items():
-        t = TABLES[name]
-        order = [*([t.key] if t.key else []), "time_ms", "digest"]
-        days = rows.withColumn("day", F.floor(F.col("time_ms") / 86_400_000).cast("int"))
-        spread = days.repartition("day", F.pmod(F.hash(t.key or "timeblock"), F.lit(16)))
-        columns = [*([t.key] if t.key else []), "timeblock", "time_ms", "digest", "aisdata", *[c for c in rows.columns if c in ("mmsi", "msgtype", "lat", "lon") and c != t.key], "day"]
-        spread.select(*columns).sortWithinPartitions("day", *order).write.mode(mode).partitionBy("day").parquet(f"{path}/{name}")
+def write_tables(packets: DataFrame, path: str, mode: str = "online", cell10: bool = False, carry: bool = True, save: str = "append") -> None:
+    """All tables in one job: one scan, one shuffle and one commit, so that a failure leaves no table ahead of another.
+
+    Parquet by table and day, clustered by key and time inside files, so that row groups prune on both. Columns that
+    packets lack are stored as null.
+    """
+    rows = routed(packets, mode, cell10, carry)
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PLACED]
+    rows = rows.select(*columns, "table", F.floor(F.col("time_ms") / 86_400_000).cast("int").alias("day"))
+    key = F.when(F.col("table").startswith("packets_area_cell"), F.col("cellid")).when(F.col("table") != "packets_time", F.col("mmsi"))
+    spread = rows.withColumn("_key", key).repartition("table", "day", F.pmod(F.hash(F.coalesce("_key", "timeblock")), F.lit(SPREAD)))
+    spread.sortWithinPartitions("table", "day", "_key", "time_ms", "digest").drop("_key").write.mode(save).partitionBy("table", "day").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One stored table; empty where nothing has been written to it."""
+    return spark.read.parquet(path).where(F.col("table") == name).drop("table")

@@ -10,20 +10,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fairlead.functions.exprs import EARTH_M, tenths, valid_position
+from fairlead.functions.exprs import EARTH_M, blank, tenths, valid_position
 from fairlead.schema import CARRY_MS, POSITION_TYPES
 
 
-def carry_forward(packets: DataFrame, within_ms: int = CARRY_MS) -> DataFrame:
-    """``carried_lat``, ``carried_lon``: the packet's own position or the vessel's latest one at most ``within_ms`` older."""
-    window = W.partitionBy("mmsi").orderBy("time_ms").rangeBetween(-within_ms, 0)
-    own = F.when(valid_position(), F.struct("time_ms", "event_id", "lat", "lon") if "event_id" in packets.columns else F.struct("time_ms", "digest", "lat", "lon"))
+def vessel() -> list[Column]:
+    """What windows over a vessel are dealt by. Packets without a vessel (mmsi null or -1) have no state: they are dealt by their text."""
+    nobody = F.col("mmsi").isNull() | (F.col("mmsi") == -1)
+    return [F.col("mmsi"), F.when(nobody, F.xxhash64("aisdata"))]
+
+
+def carry_forward(packets: DataFrame, within_ms: int = CARRY_MS, tie: str = "digest") -> DataFrame:
+    """``carried_lat``, ``carried_lon``: the packet's own position or the vessel's latest one at most ``within_ms`` older.
+
+    Of equal times the greatest ``tie`` stands.
+    """
+    window = W.partitionBy(*(vessel() if "aisdata" in packets.columns else ["mmsi"])).orderBy("time_ms").rangeBetween(-within_ms, 0)
+    own = F.when(valid_position(), F.struct("time_ms", tie, "lat", "lon"))
     return packets.withColumn("_at", F.max(own).over(window)).withColumns({"carried_lat": F.col("_at.lat"), "carried_lon": F.col("_at.lon")}).drop("_at")
 
 
-def last_positions(packets: DataFrame) -> DataFrame:
-    """Latest valid position of each vessel; of equal times the later arrival."""
-    return packets.where(valid_position()).groupBy("mmsi").agg(F.max(F.struct("time_ms", "event_id", "lat", "lon")).alias("p")).select("mmsi", "p.time_ms", "p.lat", "p.lon")
+#: Columns that a packet's message has and its vessel keeps until it sends others, by the name they have for the vessel.
+TARGET = {"target_imo": "imo", "target_name": "name", "target_callsign": "callsign", "target_type": "shiptype", "target_navstat": "navstat", "target_sog": "sog", "target_cog": "cog", "target_hdg": "hdg"}
+
+
+def with_targets(packets: DataFrame, tie: str = "digest") -> DataFrame:
+    """Each packet with what its vessel had last said up to then: static data, navigation status and position (``target_..``)."""
+    window = W.partitionBy(*vessel()).orderBy("time_ms", tie).rowsBetween(W.unboundedPreceding, 0)
+    seen = {to: F.last(of, ignorenulls=True).over(window) for to, of in TARGET.items() if of in packets.columns}
+    place = F.last(F.when(valid_position(), F.struct("lat", "lon")), ignorenulls=True).over(window)
+    return packets.withColumns(seen | {"_at": place}).withColumns({"target_lat": F.col("_at.lat"), "target_lon": F.col("_at.lon")}).drop("_at")
+
+
+def country_part(mmsi: Column) -> Column:
+    """The country digits of an identity: of vessels, coast stations, search-and-rescue aircraft and craft with 98 or 99 in front; else null."""
+    part = lambda by: F.call_function("div", mmsi, F.lit(by)) % 1000
+    return (
+        F.when(mmsi.between(200_000_000, 799_999_999), part(1_000_000))
+        .when(mmsi.between(2_000_000, 7_999_999), part(10_000))
+        .when(mmsi.between(111_200_000, 111_799_999), part(1_000))
+        .when(mmsi.between(982_000_000, 987_999_999) | mmsi.between(992_000_000, 997_999_999), part(10_000))
+    ).cast("int")
+
+
+def with_countries(packets: DataFrame, mids: DataFrame, mid: Column | None = None) -> DataFrame:
+    """``country``, ``country2`` of the vessel and ``source_alpha3``, ``source_alpha2`` of the source, from a table ``mids(mid int, alpha3, alpha2)``.
+
+    The table has one row for each number that countries have, some hundreds; the planner decides how to join it.
+    ``mid`` says otherwise where a packet's number comes from. Unknown numbers give null.
+    """
+    own = packets.withColumn("_mid", country_part(F.col("mmsi")) if mid is None else mid)
+    of = lambda number, a3, a2: mids.select(F.col("mid").cast("int").alias(number), F.col("alpha3").alias(a3), F.col("alpha2").alias(a2))
+    found = own.join(of("_mid", "country", "country2"), "_mid", "left").drop("_mid")
+    if "source_country" not in packets.columns:
+        return found
+    source = found.withColumn("_mid", F.col("source_country").try_cast("int"))
+    return source.join(of("_mid", "source_alpha3", "source_alpha2"), "_mid", "left").drop("_mid")
+
+
+def last_positions(packets: DataFrame, tie: str = "digest") -> DataFrame:
+    """Latest valid position of each vessel; of equal times the greatest ``tie``."""
+    return packets.where(valid_position()).groupBy("mmsi").agg(F.max(F.struct("time_ms", tie, "lat", "lon")).alias("p")).select("mmsi", "p.time_ms", "p.lat", "p.lon")
 
 
 def past_track(packets: DataFrame, mmsi: int, t0_ms: int, t1_ms: int, source_filter: Column | None = None) -> DataFrame:
@@ -32,36 +79,60 @@ def past_track(packets: DataFrame, mmsi: int, t0_ms: int, t1_ms: int, source_fil
     return (rows if source_filter is None else rows.where(source_filter)).orderBy("time_ms", "digest")
 
 
-def track_json(rows: DataFrame) -> DataFrame:
-    """One JSON object a report; speeds and courses come in tenths, absent ones stay as null."""
-    cells = [F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"), *[tenths(c).alias(c) for c in ("sog", "cog") if c in rows.columns]]
-    return rows.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("json"))
+def track_json(rows: DataFrame, *names: str) -> DataFrame:
+    """``json`` (behind columns named): an object a report, in their order. With a source tag (a time of its own) clock, station, region and, where known, country come first;
+    speeds and courses come in tenths; absent values of a report stay as null."""
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    report = F.struct(F.col("lat"), F.col("lon"), has("acc").cast("int").alias("acc"), has("hdg").cast("int").alias("hdg"), tenths(has("sog")).alias("sog"), tenths(has("cog")).alias("cog"))
+    source = [F.col("time_ms").alias("src.clk"), has("base_station").cast("int").alias("src.id"), has("region").alias("src.reg")]
+    nulls = {"ignoreNullFields": "false"}
+    body = F.substring(F.to_json(report, nulls), F.lit(2), F.lit(1 << 30))
+    opened = lambda *more: F.regexp_replace(F.to_json(F.struct(*source, *more), nulls), r"\}$", ",")
+    country = has("source_alpha2")
+    tag = F.when(country.isNull(), opened()).otherwise(opened(country.alias("src.cty")))
+    return rows.select(*names, F.concat(F.when(F.col("time_ms").isNull(), F.lit("{")).otherwise(tag), body).alias("json"))
 
 
-def drop_repeats_within(packets: DataFrame, window_ms: int, payload: str = "msgtype") -> DataFrame:
-    """Drop a packet when the same vessel sent the same payload, kept or not, at most ``window_ms`` before."""
-    before = F.lag("time_ms").over(W.partitionBy("mmsi", payload).orderBy("time_ms", "event_id"))
-    return packets.withColumn("_gap", F.col("time_ms") - before).where(F.col("_gap").isNull() | (F.col("_gap") > window_ms)).drop("_gap")
+def source_json(rows: DataFrame, *names: str) -> DataFrame:
+    """``json`` (behind columns named): where a packet came from, without what isn't known; a blank region is not known."""
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    region = F.when(~blank(has("region")), has("region"))
+    return rows.select(*names, F.to_json(F.struct(has("source_alpha2").alias("country"), has("source_type").alias("type"), has("base_station").alias("bs"), has("source_id").alias("id"), region.alias("region"))).alias("json"))
+
+
+def drop_repeats_within(packets: DataFrame, window_ms: int, payload: str = "payload", tie: str = "digest") -> DataFrame:
+    """Drop a packet when the same vessel sent the same payload, kept or not, at most ``window_ms`` before.
+
+    Without such a column the payload is what sentences say, whatever their tags.
+    """
+    rows = packets if payload in packets.columns else packets.withColumn(payload, F.regexp_replace("aisdata", r"\$PGHP,[^\r\n]*\r?\n", ""))
+    before = F.lag("time_ms").over(W.partitionBy("mmsi", payload).orderBy("time_ms", tie))
+    kept = rows.withColumn("_gap", F.col("time_ms") - before).where(F.col("_gap").isNull() | (F.col("_gap") > window_ms))
+    return kept.select(*packets.columns)
 
 
-def thin(packets: DataFrame, min_ms: int | None = None, min_m: float | None = None) -> DataFrame:
+def thin(packets: DataFrame, min_ms: int | None = None, min_m: float | None = None, tie: str = "digest") -> DataFrame:
     """Greedy per vessel from its first row: keep a row when it is far enough from the last one kept, in time and place.
 
-    Rows are dealt by vessel and sorted, which spills; the fold holds the last row kept and not the vessel.
+    Rows, whole, are dealt by vessel and sorted, which spills; the fold holds the last row kept and not the vessel.
+    Packets without a vessel are each kept.
     """
-    rows = (packets.where(valid_position()) if min_m is not None else packets).select("mmsi", "time_ms", "event_id", "lat", "lon")
+    rows = packets.where(valid_position()) if min_m is not None else packets
+    names = rows.columns
+    at = [names.index(c) for c in ("mmsi", "time_ms", "lat", "lon")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             kept = []
-            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-                if last is None or row[0] != last[0] or (_late(last, row, min_ms) and _far(last, row, min_m)):
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in at))):
+                if last is None or row[0] != last[0] or row[0] is None or row[0] == -1 or (_late(last, row, min_ms) and _far(last, row, min_m)):
                     last = row
                     kept.append(i)
             yield batch.take(pa.array(kept, pa.int64()))
 
-    return rows.repartition("mmsi").sortWithinPartitions("mmsi", "time_ms", "event_id", "lat", "lon").mapInArrow(fold, rows.schema)
+    dealt = vessel() if "aisdata" in names else [F.col("mmsi")]
+    return rows.repartition(*dealt).sortWithinPartitions("mmsi", "time_ms", tie, "lat", "lon").mapInArrow(fold, rows.schema)
 
 
 def _late(last: tuple, row: tuple, min_ms: int | None) -> bool:
@@ -73,5 +144,5 @@ def _far(last: tuple, row: tuple, min_m: float | None) -> bool:
     if min_m is None:
         return True
     half = lambda a, b: math.sin(math.radians(b - a) / 2) ** 2
-    (lat1, lon1), (lat2, lon2) = last[3:], row[3:]
+    (lat1, lon1), (lat2, lon2) = last[2:], row[2:]
     return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(half(lat1, lat2) + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half(lon1, lon2)))) >= min_m

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import timeblocks
-from fairlead.functions.filters import compile_filter
+from fairlead.functions.filters import FIELDS, WITH_COUNTRIES, compile_filter, fields_in
+from fairlead.operators.routing import read_table
+from fairlead.operators.track import drop_repeats_within, thin, with_countries, with_targets
 from fairlead.schema import TABLES
 
 
@@ -20,6 +22,20 @@ def cells_of(box: tuple[float, float, float, float], degrees: int = 1) -> list[i
     return [r * (360 // degrees) + c for r in rows for c in columns]
 
 
+def in_cells(box: tuple[float, float, float, float], degrees: int = 1) -> Column:
+    """Rows whose ``cellid`` is one of ``cells_of``, as ranges of rows and columns: short for any box, with a range that prunes files."""
+    south, west, north, east = box
+    wide, cell = 360 // degrees, F.col("cellid")
+    r0, r1, c0, c1 = int(south // degrees), int(north // degrees), int((west + 180) // degrees), int((east + 180) // degrees)
+    return cell.between(r0 * wide + c0, r1 * wide + c1) & F.pmod(cell, F.lit(wide)).between(c0, min(c1, wide - 1)) if c1 < wide else _past_the_edge(cell, r0, r1, c0, c1, wide)
+
+
+def _past_the_edge(cell: Column, r0: int, r1: int, c0: int, c1: int, wide: int) -> Column:
+    """A box that reaches 180 degrees east: column ``wide`` is the first of the next row, as the cell rule numbers it."""
+    inner, over = F.pmod(cell, F.lit(wide)).between(c0, wide - 1), F.pmod(cell - wide, F.lit(wide)) + wide <= c1
+    return (cell.between(r0 * wide + c0, r1 * wide + wide - 1) & inner) | (cell.between((r0 + 1) * wide, r1 * wide + c1) & over)
+
+
 @dataclass(frozen=True)
 class Query:
     """Immutable builder; ``to_df`` gives a lazy DataFrame with block, key and time predicates for pruning.
@@ -38,6 +54,9 @@ class Query:
     filter: str | None = None
     after_ms: int | None = None
     limit: int | None = None
+    min_ms: int | None = None
+    min_m: float | None = None
+    repeats_ms: int | None = None
 
     @staticmethod
     def for_time() -> Query:
@@ -73,6 +92,10 @@ class Query:
     def first(self, n: int | None) -> Query:
         return replace(self, limit=n)
 
+    def thinned(self, min_ms: int | None = None, min_m: float | None = None, repeats_ms: int | None = None) -> Query:
+        """Packets of a vessel at least so far apart in time and place, without repeats inside ``repeats_ms``."""
+        return replace(self, min_ms=min_ms, min_m=min_m, repeats_ms=repeats_ms)
+
     def table(self) -> str:
         """The access path; ten-degree cells where they are enabled and ten times fewer."""
         if self.kind != "area":
@@ -80,10 +103,14 @@ class Query:
         few = self.cell10 and 10 * len(cells_of(self.box, 10)) <= len(cells_of(self.box, 1))
         return "packets_area_cell10" if few else "packets_area_cell1"
 
-    def to_df(self, source: SparkSession | dict[str, DataFrame], path: str | None = None) -> DataFrame:
-        """Over tables given by name, or stored under ``path``; ordered by time, then digest."""
+    def to_df(self, source: SparkSession | dict[str, DataFrame], path: str | None = None, mids: DataFrame | None = None, tie: str = "digest") -> DataFrame:
+        """Over tables given by name, or stored under ``path``; ordered by time, then digest.
+
+        Filters on targets see what each vessel had said inside the query's own packets; those on countries need ``mids``
+        (``track.with_countries``). Repeats go before thinning, and both after the filter.
+        """
         name = self.table()
-        rows = source[name] if isinstance(source, dict) else source.read.parquet(f"{path}/{name}")
+        rows = source[name] if isinstance(source, dict) else read_table(source, path, name)
         if self.interval is not None:
             t0, t1 = self.interval
             t0, keep_start = (t0, self.include_start) if self.after_ms is None or self.after_ms < t0 else (self.after_ms, False)
@@ -101,10 +128,24 @@ class Query:
                 asked = F.explode(F.array(*[F.lit(m).cast(rows.schema["mmsi"].dataType) for m in self.mmsi]))
                 rows = rows.join(F.broadcast(spark.range(1).select(asked.alias("mmsi"))), "mmsi")
         elif self.kind == "area":
-            rows = rows.where(F.col("cellid").isin(*cells_of(self.box, 10 if name.endswith("10") else 1)))
+            rows = rows.where(in_cells(self.box, 10 if name.endswith("10") else 1))
             if self.exact:
                 south, west, north, east = self.box
-                lat, lon = ("carried_lat", "carried_lon") if "carried_lat" in rows.columns else ("lat", "lon")
-                rows = rows.where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
-        rows = rows.where(compile_filter(self.filter)).orderBy("time_ms", "digest")
+                rows = rows.where(F.col("carried_lat").between(south, north) & F.col("carried_lon").between(west, east))
+        rows = self._filtered(rows, mids, tie)
+        if self.repeats_ms is not None:
+            rows = drop_repeats_within(rows, self.repeats_ms, tie=tie)
+        if self.min_ms is not None or self.min_m is not None:
+            rows = thin(rows, self.min_ms, self.min_m, tie=tie)
+        rows = rows.orderBy("time_ms", "digest")
         return rows if self.limit is None else rows.limit(self.limit)
+
+    def _filtered(self, rows: DataFrame, mids: DataFrame | None, tie: str) -> DataFrame:
+        names = fields_in(self.filter)
+        more = rows
+        if mids is not None and any(n.endswith(".country") for n in names):
+            more = with_countries(more, mids)
+        if any(n.startswith("t.") for n in names):
+            more = with_targets(more, tie)
+        kept = more.where(compile_filter(self.filter, FIELDS if mids is None else WITH_COUNTRIES))
+        return kept.select(*rows.columns)

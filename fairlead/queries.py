@@ -12,7 +12,7 @@ from fairlead.functions.filters import compile_filter
 from fairlead.functions.params import instant_ms
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
-from fairlead.schema import TEN_MINUTES_MS, TABLES
+from fairlead.schema import CARRY_MS, TEN_MINUTES_MS, TABLES
 from fairlead.sources import sinks
 from fairlead.sources.testdata import packets
 
@@ -20,12 +20,20 @@ T0, T1 = instant_ms("2024-01-05T00:00:00Z"), instant_ms("2024-01-15T12:30:00Z")
 VESSELS = (3, 7, 11)
 BOX = (-30.5, -60.25, 25.75, 40.5)
 WIDE = (-80.0, -170.0, 80.0, 170.0)
-FILTER = "m.type=view,click & (m.lat<-10.5|m.lat>10.5)"
+FILTER = "m.type=1,3 & (m.lat<-10.5|m.lat>10.5)"
 
 P = """WITH p AS (
-  SELECT event_id, user_id AS mmsi, event_type AS msgtype, epoch_us(ts) // 1000 AS time_ms, value,
+  SELECT event_id, CAST(user_id AS INTEGER) AS mmsi, epoch_us(ts) // 1000 AS time_ms, value,
+    CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 18 WHEN 'signup' THEN 5 ELSE 8 END AS msgtype,
     CASE WHEN event_type IN ('view','click','purchase') THEN CAST((event_id * 7919) % 18000 AS DOUBLE) / 1e2 - 9e1 END AS lat,
     CASE WHEN event_type IN ('view','click','purchase') THEN CAST((event_id * 104729) % 36000 AS DOUBLE) / 1e2 - 1.8e2 END AS lon,
+    CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 400 AS INTEGER) END AS sog, CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 3600 AS INTEGER) END AS cog,
+    CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 360 AS INTEGER) END AS hdg, CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 2 AS INTEGER) END AS acc,
+    CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 16 AS INTEGER) END AS navstat, CASE WHEN event_type = 'signup' THEN CAST(9000000 + event_id % 1000000 AS INTEGER) END AS imo,
+    CASE WHEN event_type = 'signup' THEN 'SHIP ' || CAST(event_id % 50 AS VARCHAR) END AS name, CASE WHEN event_type = 'signup' THEN 'CS' || CAST(event_id % 70 AS VARCHAR) END AS callsign,
+    CASE WHEN event_type = 'signup' THEN CAST(30 + event_id % 10 AS INTEGER) END AS shiptype,
+    'src' || CAST(event_id % 3 AS VARCHAR) AS source_id, CASE WHEN event_id % 4 = 0 THEN 'SAT' ELSE 'LIVE' END AS source_type, CAST(event_id % 25 AS VARCHAR) AS source_country,
+    CASE WHEN event_id % 9 = 0 THEN ' ' ELSE CAST(event_id % 8 + 800 AS VARCHAR) END AS region, CASE WHEN event_id % 7 <> 0 THEN CAST(2190000 + event_id % 10 AS VARCHAR) END AS base_station,
     CAST(event_id AS VARCHAR) || '|' || props AS aisdata, md5(CAST(event_id AS VARCHAR) || '|' || props) AS digest
   FROM events),
 c AS (SELECT *, max(CASE WHEN lat IS NOT NULL THEN {'t': time_ms, 'e': event_id, 'lat': lat, 'lon': lon} END)
@@ -49,12 +57,14 @@ def query(sql: str | None = None):
 
 
 def tables(spark: SparkSession, sf_dir: str, mode: str = "online", cell10: bool = False) -> dict[str, DataFrame]:
-    return routing.fan_out(packets(spark, sf_dir), mode, cell10)
+    """Tables for an area scan from T0 to T1: packets of that time and as long before as positions are carried."""
+    rows = track.carry_forward(packets(spark, sf_dir, T0 - CARRY_MS, T1), tie="event_id")
+    return routing.fan_out(rows, mode, cell10, carry=False)
 
 
-def time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def time_table(spark: SparkSession, sf_dir: str, *between: int) -> DataFrame:
     """The time table alone, without the positions that only areas need."""
-    rows = packets(spark, sf_dir).where("time_ms > 0")
+    rows = packets(spark, sf_dir, *between).where("time_ms > 0")
     return rows.withColumn("timeblock", exprs.timeblock("time_ms", TEN_MINUTES_MS))
 
 
@@ -63,19 +73,19 @@ SHOWN = ["event_id", "time_ms", "aisdata"]
 
 @query(P + f"SELECT event_id, time_ms, aisdata FROM p WHERE {INSIDE}")
 def time_range_scan(spark, d):
-    return Query.for_time().between(T0, T1).to_df({"packets_time": time_table(spark, d)}).select(*SHOWN)
+    return Query.for_time().between(T0, T1).to_df({"packets_time": time_table(spark, d, T0, T1)}).select(*SHOWN)
 
 
 @query(P + f"SELECT count(*) AS n FROM p WHERE time_ms >= {T0} AND time_ms < {T1}")
 def stats_half_open(spark, d):
-    return packets(spark, d).where((F.col("time_ms") >= T0) & (F.col("time_ms") < T1)).agg(F.count("*").alias("n"))
+    return packets(spark, d, T0, T1).where((F.col("time_ms") >= T0) & (F.col("time_ms") < T1)).agg(F.count("*").alias("n"))
 
 
 @query(P + f""", ch AS (SELECT unnest(range(0, ({(T1 - 1) // 600000} - {T0 // 600000}) // 10 + 1)) AS k),
 n AS (SELECT (time_ms // 600000 - {T0 // 600000}) // 10 AS k, count(*) AS n FROM p WHERE time_ms >= {T0} AND time_ms < {T1} GROUP BY 1)
 SELECT CAST(ch.k * 10 + {T0 // 600000} AS BIGINT) AS first_block, CAST(least(ch.k * 10 + {T0 // 600000} + 9, {(T1 - 1) // 600000}) AS BIGINT) AS last_block, CAST(coalesce(n.n, 0) AS BIGINT) AS n FROM ch LEFT JOIN n USING (k)""")
 def stats_chunked(spark, d):
-    return reports.chunk_counts(packets(spark, d), T0, T1, 10)
+    return reports.chunk_counts(packets(spark, d, T0, T1), T0, T1, 10)
 
 
 @query(P + f"SELECT event_id, time_ms, aisdata FROM p WHERE mmsi IN (3, 7, 11) AND {INSIDE}")
@@ -84,7 +94,7 @@ def mmsi_scan_multi(spark, d):
 
 
 def mmsi_table(spark, d):
-    rows = packets(spark, d).where("mmsi > 0")
+    rows = packets(spark, d, T0, T1).where("mmsi > 0")
     return {"packets_mmsi": rows.withColumn("timeblock", exprs.timeblock("time_ms", TABLES["packets_mmsi"].block_ms))}
 
 
@@ -148,12 +158,12 @@ def route_bulk(spark, d):
 
 @query(P + "SELECT event_id, clat AS carried_lat, clon AS carried_lon FROM k")
 def carry_forward_position(spark, d):
-    return track.carry_forward(packets(spark, d)).select("event_id", "carried_lat", "carried_lon")
+    return track.carry_forward(packets(spark, d), tie="event_id").select("event_id", "carried_lat", "carried_lon")
 
 
 @query(P + ", r AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms DESC, event_id DESC) AS rn FROM p WHERE lat IS NOT NULL) SELECT mmsi, time_ms, lat, lon FROM r WHERE rn = 1")
 def last_position_per_mmsi(spark, d):
-    return track.last_positions(packets(spark, d))
+    return track.last_positions(packets(spark, d), tie="event_id")
 
 
 STORED = "event_id % 3 <> 0"
@@ -171,70 +181,112 @@ def diff_counts(spark, d):
     return reports.diff_counts(rows, rows.where(STORED))
 
 
-@query(P + f"SELECT event_id, time_ms, lat, lon FROM p WHERE mmsi = 7 AND {INSIDE} AND msgtype IN ('view','click','purchase') AND value > 1")
+@query(P + f"SELECT event_id, time_ms, lat, lon FROM p WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27) AND source_type = 'LIVE' AND region IN ('801', '803', '806')")
 def past_track(spark, d):
-    return track.past_track(packets(spark, d), 7, T0, T1, F.col("value") > 1).select("event_id", "time_ms", "lat", "lon")
+    return track.past_track(packets(spark, d, T0, T1), 7, T0, T1, compile_filter("s.type=LIVE & s.region=801,803,806", only="s")).select("event_id", "time_ms", "lat", "lon")
 
 
-@query(P + "SELECT event_id, CASE WHEN lat IS NULL THEN '{}' ELSE CAST(to_json({'lat': lat, 'lon': lon}) AS VARCHAR) END AS json FROM p WHERE event_id % 7 = 0")
+@query(P + "SELECT event_id, CASE WHEN lat IS NULL THEN '{}' ELSE CAST(to_json({'lat': lat, 'lon': lon}) AS VARCHAR) END AS json FROM p")
 def position_json(spark, d):
-    return packets(spark, d).where("event_id % 7 = 0").select("event_id", F.to_json(F.struct("lat", "lon")).alias("json"))
+    return packets(spark, d).select("event_id", F.to_json(F.struct("lat", "lon")).alias("json"))
 
 
-@query(P + "SELECT event_id FROM p WHERE msgtype IN ('view', 'click') AND (lat < -10.5 OR lat > 10.5)")
+@query(P + "SELECT event_id FROM p WHERE msgtype IN (1, 3) AND (lat < -10.5 OR lat > 10.5)")
 def filter_and_or(spark, d):
     return packets(spark, d).where(compile_filter(FILTER)).select("event_id")
 
 
-@query(P + "SELECT event_id FROM p WHERE mmsi IN (1, 2, 3) AND msgtype <> 'error'")
+@query(P + "SELECT event_id FROM p WHERE mmsi IN (1, 2, 3) AND msgtype <> 8")
 def filter_in_list(spark, d):
-    return packets(spark, d).where(compile_filter("m.mmsi in (1,2,3) & m.type!=error")).select("event_id")
+    return packets(spark, d).where(compile_filter("m.mmsi in (1,2,3) & m.type!=8")).select("event_id")
 
 
-@query(P + "SELECT event_id FROM p WHERE upper(msgtype) LIKE 'P%' OR upper(msgtype) LIKE '_RROR'")
+@query(P + "SELECT event_id FROM p WHERE upper(name) LIKE 'SHIP 1%' OR upper(callsign) LIKE 'CS_'")
 def filter_like(spark, d):
-    return packets(spark, d).where(compile_filter("m.type like p* | m.type like ?rror")).select("event_id")
+    return packets(spark, d).where(compile_filter("m.name like ship 1* | m.cs like cs?")).select("event_id")
 
 
 @query(P + "SELECT event_id FROM k WHERE clat BETWEEN -18 AND 15 AND clon BETWEEN -14 AND 10 AND (clat < -0.3 OR clat > 0.3)")
 def filter_bbox(spark, d):
-    rows = track.carry_forward(packets(spark, d)).withColumns({"target_lat": F.col("carried_lat"), "target_lon": F.col("carried_lon")})
+    rows = track.carry_forward(packets(spark, d), tie="event_id").withColumns({"target_lat": F.col("carried_lat"), "target_lon": F.col("carried_lon")})
     return rows.where(compile_filter("t.pos within bbox(15,-14,-18,10) & (t.lat<-0.3|t.lat>0.3)")).select("event_id")
 
 
-@query(P + ", t AS (SELECT *, last_value(CASE WHEN msgtype = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY time_ms, event_id ROWS UNBOUNDED PRECEDING) AS static_id FROM p) SELECT event_id, static_id FROM t WHERE static_id % 2 = 0")
+@query(P + """, t AS (SELECT *, last_value(shiptype IGNORE NULLS) OVER w AS target_type, last_value(name IGNORE NULLS) OVER w AS target_name, last_value(navstat IGNORE NULLS) OVER w AS target_navstat
+  FROM p WINDOW w AS (PARTITION BY mmsi ORDER BY time_ms, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, target_type, target_name, target_navstat FROM t WHERE target_type IN (30, 32, 35) AND (upper(target_name) LIKE 'SHIP 1%' OR target_navstat = 5)""")
 def target_attr_filter(spark, d):
-    from pyspark.sql import Window as W
+    rows = track.with_targets(packets(spark, d), tie="event_id")
+    return rows.where(compile_filter("t.type=30,32,35 & (t.name like ship 1* | t.navstat=5)")).select("event_id", "target_type", "target_name", "target_navstat")
 
-    seen = F.last(F.when(F.col("msgtype") == "signup", F.col("event_id")), ignorenulls=True).over(W.partitionBy("mmsi").orderBy("time_ms", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    return packets(spark, d).withColumn("static_id", seen).where("static_id % 2 = 0").select("event_id", "static_id")
+
+def countries(spark, d) -> DataFrame:
+    """The test tables' nations as a table of country numbers."""
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("mid"), F.col("n_name").alias("alpha3"), F.upper(F.substring("n_name", 1, 2)).alias("alpha2"))
 
 
 @query(P + "SELECT event_id, n_name AS country FROM p JOIN nation ON n_nationkey = mmsi % 25")
 def country_dim_join(spark, d):
-    nations = F.broadcast(spark.read.parquet(f"{d}/nation.parquet"))  # a fixed list of countries
-    return packets(spark, d).join(nations, F.col("n_nationkey") == F.col("mmsi") % 25).select("event_id", F.col("n_name").alias("country"))
+    return track.with_countries(packets(spark, d), countries(spark, d), F.col("mmsi") % 25).select("event_id", "country")
+
+
+@query(P + f"SELECT event_id FROM p JOIN nation s ON CAST(s.n_nationkey AS VARCHAR) = source_country WHERE {INSIDE} AND (s.n_name IN ('CHINA', 'FRANCE') OR upper(s.n_name[1:2]) = 'IN')")
+def filter_source_country(spark, d):
+    query = Query.for_time().between(T0, T1).where("s.country=china,FRANCE,IN")
+    return query.to_df({"packets_time": time_table(spark, d, T0, T1)}, mids=countries(spark, d)).select("event_id")
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN m BETWEEN 200000000 AND 799999999 THEN m // 1000000 WHEN m BETWEEN 2000000 AND 7999999 THEN m // 10000 WHEN m BETWEEN 111200000 AND 111799999 THEN m // 1000 % 1000 WHEN m BETWEEN 982000000 AND 987999999 OR m BETWEEN 992000000 AND 997999999 THEN m // 10000 % 1000 END AS INTEGER) AS part FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 7919 % 1000000000 WHEN 1 THEN o_orderkey * 104729 % 10000000 WHEN 2 THEN 111000000 + o_orderkey * 31 % 1000000 ELSE 980000000 + o_orderkey * 911 % 20000000 END AS m FROM orders)")
+def country_numbers(spark, d):
+    k = F.col("o_orderkey")
+    mmsi = F.when(k % 4 == 0, k * 7919 % 1_000_000_000).when(k % 4 == 1, k * 104729 % 10_000_000).when(k % 4 == 2, 111_000_000 + k * 31 % 1_000_000).otherwise(980_000_000 + k * 911 % 20_000_000)
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", track.country_part(mmsi).alias("part"))
+
+
+@query(P + f"""SELECT event_id, '{{"src.clk":' || time_ms || ',"src.id":' || coalesce(base_station, 'null') || ',"src.reg":"' || region || '"'
+  || CASE WHEN n_name IS NULL THEN '' ELSE ',"src.cty":"' || upper(n_name[1:2]) || '"' END AS tag, sog, cog, acc, hdg
+FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_country WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27)""")
+def past_track_json(spark, d):
+    """The past-track objects, taken apart again: numbers in JSON are written differently in different engines."""
+    rows = track.with_countries(track.past_track(packets(spark, d, T0, T1), 7, T0, T1), countries(spark, d))
+    json = F.col("json")
+    number = lambda name: F.get_json_object(json, f"$.{name}").cast("double")
+    shown = track.track_json(rows, "event_id")
+    return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *[F.round(number(c) * 10).cast("int").alias(c) for c in ("sog", "cog")], *[number(c).cast("int").alias(c) for c in ("acc", "hdg")])
+
+
+@query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || upper(n_name[1:2]) || '"', '"type":"' || source_type || '"', '"bs":"' || base_station || '"', '"id":"' || source_id || '"', CASE WHEN trim(region) <> '' THEN '"region":"' || region || '"' END) || '}' AS json
+FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_country""")
+def source_json(spark, d):
+    return track.source_json(track.with_countries(packets(spark, d), countries(spark, d)), "event_id")
+
+
+@query(P + f"SELECT event_id, url_encode('src ' || aisdata) AS encoded, printf('%.3f', lat) AS lat3 FROM p WHERE lat IS NOT NULL")
+def request_text(spark, d):
+    rows = packets(spark, d).where("lat is not null")
+    return rows.select("event_id", exprs.url_encoded(F.concat(F.lit("src "), "aisdata")).alias("encoded"), exprs.fixed3(F.col("lat")).alias("lat3"))
 
 
-@query(P + f"SELECT concat_ws(';', CAST(mmsi AS VARCHAR), CAST(time_ms AS VARCHAR), msgtype) AS value FROM p WHERE {INSIDE}")
+@query(P + f"SELECT concat_ws(';', CAST(mmsi AS VARCHAR), CAST(time_ms AS VARCHAR), CAST(msgtype AS VARCHAR)) AS value FROM p WHERE {INSIDE}")
 def table_export(spark, d):
-    rows = Query.for_time().between(T0, T1).to_df({"packets_time": time_table(spark, d)})
+    rows = Query.for_time().between(T0, T1).to_df({"packets_time": time_table(spark, d, T0, T1)})
     return sinks.table_lines(rows, ["mmsi", "time_ms", "msgtype"], ";")
 
 
-@query()
+@query(P + """, r AS (SELECT *, time_ms // 86400000 AS day, (row_number() OVER (PARTITION BY mmsi, time_ms // 86400000 ORDER BY time_ms, digest) - 1) // 10000 AS run FROM p WHERE lat IS NOT NULL)
+SELECT mmsi, '<Placemark><name>' || mmsi || '</name><LineString><coordinates>' || string_agg(printf('%.6f,%.6f', lon, lat), ' ' ORDER BY time_ms, digest) || '</coordinates></LineString></Placemark>' AS value FROM r GROUP BY mmsi, day, run""")
 def kml_tracks(spark, d):
     return sinks.kml_tracks(packets(spark, d))
 
 
 @query(P + f"SELECT event_id FROM p WHERE time_ms > {T0 + 86_400_000} AND time_ms < {T1}")
 def resume_filter(spark, d):
-    return Query.for_time().between(T0, T1).resume_after(T0 + 86_400_000).to_df({"packets_time": time_table(spark, d)}).select("event_id")
+    return Query.for_time().between(T0, T1).resume_after(T0 + 86_400_000).to_df({"packets_time": time_table(spark, d, T0, T1)}).select("event_id")
 
 
 @query(P + ", g AS (SELECT event_id, time_ms - lag(time_ms) OVER (PARTITION BY mmsi, msgtype ORDER BY time_ms, event_id) AS gap FROM p) SELECT event_id FROM g WHERE gap IS NULL OR gap > 3600000")
 def duplicate_window(spark, d):
-    return track.drop_repeats_within(packets(spark, d), 3_600_000).select("event_id")
+    return track.drop_repeats_within(packets(spark, d).withColumn("payload", F.col("msgtype")), 3_600_000, tie="event_id").select("event_id")
 
 
 THIN_SQL = P.replace("WITH p", "WITH RECURSIVE p").replace("{", "{{").replace("}", "}}") + """, s AS (SELECT mmsi, event_id, time_ms, lat, lon, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms, event_id) AS rn FROM p {where}),
@@ -246,17 +298,17 @@ FAR_SQL = "(2 * 6371000.0 * asin(sqrt(pow(sin(radians(s.lat - w.klat) / 2), 2) +
 
 @query(THIN_SQL.format(where="", far="(s.time_ms - w.kt >= 21600000)"))
 def min_duration_thin(spark, d):
-    return track.thin(packets(spark, d), min_ms=21_600_000).select("event_id")
+    return track.thin(packets(spark, d), min_ms=21_600_000, tie="event_id").select("event_id")
 
 
 @query(THIN_SQL.format(where="WHERE lat IS NOT NULL", far=FAR_SQL))
 def min_distance_thin(spark, d):
-    return track.thin(packets(spark, d), min_m=2_500_000).select("event_id")
+    return track.thin(packets(spark, d), min_m=2_500_000, tie="event_id").select("event_id")
 
 
 @query(P + f"SELECT event_id FROM p WHERE {INSIDE} ORDER BY time_ms, digest LIMIT 100")
 def limit_ordered(spark, d):
-    return Query.for_time().between(T0, T1).first(100).to_df({"packets_time": time_table(spark, d)}).select("event_id")
+    return Query.for_time().between(T0, T1).first(100).to_df({"packets_time": time_table(spark, d, T0, T1)}).select("event_id")
 
 
 @query(P + "SELECT min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM p")
@@ -330,5 +382,5 @@ def stream_carry_forward(spark, d):
     folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='fairlead-')}/carried-{uuid.uuid4().hex}"
     source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # as a pattern, since a stream takes a path itself for a folder
     names = ["event_id", "carried_lat", "carried_lon"]
-    carry_positions(packets_of(source), f"{folder}/checkpoint", lambda batch, number: batch.select(*names).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).awaitTermination()
+    carry_positions(packets_of(source), f"{folder}/checkpoint", lambda batch, number: batch.select(*names).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), tie="event_id").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*names)

@@ -9,13 +9,19 @@ from pyspark.sql import types as T
 TEN_MINUTES_MS, THIRTY_DAYS_MS = 600_000, 30 * 86_400_000
 #: How long a position stands for later packets of the same vessel.
 CARRY_MS = 20 * 60_000
-#: Message types that report a vessel's position.
-POSITION_TYPES = ("view", "click", "purchase")
+#: Message types that report a vessel's position.
+POSITION_TYPES = (1, 2, 3, 18, 19, 27)
 
+#: One packet: what its message says (null where it doesn't), and what the tag in front of it says about its source.
 PACKET = T.StructType([
-    T.StructField("mmsi", T.IntegerType()), T.StructField("msgtype", T.StringType()), T.StructField("time_ms", T.LongType()),
-    T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("aisdata", T.StringType()),
+    T.StructField(name, kind) for kind, names in (
+        (T.LongType(), ("time_ms",)), (T.StringType(), ("digest", "aisdata")), (T.IntegerType(), ("mmsi", "msgtype")), (T.DoubleType(), ("lat", "lon")),
+        (T.IntegerType(), ("sog", "cog", "hdg", "acc", "navstat", "imo")), (T.StringType(), ("name", "callsign")), (T.IntegerType(), ("shiptype",)),
+        (T.StringType(), ("source_id", "source_type", "source_country", "region", "base_station")),
+    ) for name in names
 ])
+#: What routing adds: the position that stands for a packet, and the keys of its place in a table.
+PLACED = T.StructType([*PACKET, T.StructField("carried_lat", T.DoubleType()), T.StructField("carried_lon", T.DoubleType()), T.StructField("cellid", T.IntegerType()), T.StructField("timeblock", T.IntegerType())])
 
 
 @dataclass(frozen=True)
@@ -37,14 +43,7 @@ TABLES = {t.name: t for t in (
 )}
 
 
-def table_schema(name: str) -> T.StructType:
-    """The stored columns (and ``day``, the directory key: ten-minute directories would be tiny files)."""
-    t = TABLES[name]
-    key = [T.StructField(t.key, T.IntegerType())] if t.key else []
-    return T.StructType([*key, T.StructField("timeblock", T.IntegerType()), T.StructField("time_ms", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("aisdata", T.StringType())])
-
-
-def create_table_sql(name: str, location: str | None = None) -> str:
-    """DDL for a catalog table, partitioned by day."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table_schema(name))
-    return f"CREATE TABLE IF NOT EXISTS {name} ({columns}, day INT) USING parquet PARTITIONED BY (day)" + (f" LOCATION '{location}'" if location else "")
+def create_table_sql(name: str, location: str) -> str:
+    """DDL for a catalog table over one table of an archive, partitioned by day (ten-minute directories would be tiny files)."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PLACED)
+    return f"CREATE TABLE IF NOT EXISTS {name} ({columns}, day INT) USING parquet PARTITIONED BY (day) LOCATION '{location}/table={name}'"

@@ -1,4 +1,4 @@
-"""Text files of tag lines and VDM sentences as packets."""
+"""Text files of tag lines and VDM sentences as packets (columns of ``schema.PACKET``)."""
 
 from __future__ import annotations
 
@@ -11,11 +11,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairlead.schema import PACKET
+
 #: Undefined values of position reports.
 NO_LON, NO_LAT = 181.0, 91.0
-
-
-def read_lines(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, tag: str | None = None) -> DataFrame:
+# Where messages hold their fields, as (types, first bit, bits) and for positions the parts of a degree.
+POSITIONS = {
+    "lon": [((1, 2, 3, 9), 61, 28, 600_000), ((18, 19), 57, 28, 600_000), ((4,), 79, 28, 600_000), ((21,), 164, 28, 600_000), ((27,), 44, 18, 600)],
+    "lat": [((1, 2, 3, 9), 89, 27, 600_000), ((18, 19), 85, 27, 600_000), ((4,), 107, 27, 600_000), ((21,), 192, 27, 600_000), ((27,), 62, 17, 600)],
+}
+NUMBERS = {
+    "sog": [((1, 2, 3), 50, 10), ((18, 19), 46, 10)],
+    "cog": [((1, 2, 3, 9), 116, 12), ((18, 19), 112, 12)],
+    "hdg": [((1, 2, 3), 128, 9), ((18, 19), 124, 9)],
+    "acc": [((1, 2, 3, 9), 60, 1), ((18, 19), 56, 1), ((4,), 78, 1), ((21,), 163, 1), ((27,), 38, 1)],
+    "navstat": [((1, 2, 3), 38, 4), ((27,), 40, 4)],
+    "imo": [((5,), 40, 30)],
+    "shiptype": [((5,), 232, 8), ((19,), 263, 8)],
+}
+TEXTS = {"name": [((5,), 112, 120), ((19,), 143, 120), ((21,), 43, 120)], "callsign": [((5,), 70, 42)]}
+#: Type 24 says in two bits which of its parts it is: 0 has the name, 1 the ship's type and call sign.
+PART_NAME, PART_TYPE, PART_CALLSIGN = (40, 120), (40, 8), (90, 42)
+#: Six-bit characters by value.
+SIX_BIT = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
+
+
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*", recursive: bool = True, tag: str | None = None) -> DataFrame:
     """``(path, text, src_id)``: whole files; zip archives are unpacked, member by member, on the executors."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
 
@@ -47,6 +68,13 @@ def _signed(bits: Column, start: int, length: int) -> Column:
     return F.when(F.substring(bits, start + 1, 1) == "1", x - (1 << length)).otherwise(x)
 
 
+def _text(bits: Column, start: int, length: int) -> Column:
+    """Six-bit text up to its first ``@``, without spaces at its end; null if none is left."""
+    letter = lambda i: F.substring(F.lit(SIX_BIT), F.conv(F.substring(bits, start + 1 + 6 * i, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1))
+    joined = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length // 6 - 1)), letter), "")
+    return F.nullif(F.rtrim(F.regexp_replace(joined, "@.*$", "")), F.lit(""))
+
+
 _SENTENCE = re.compile(r"((?:\$PGHP,[^\r\n]*\r?\n)?)(![A-Z]{5},[^\r\n]*)")
 #: So many messages may wait for their other sentences at once; the oldest then goes as it is.
 MOST_OPEN = 1000
@@ -94,28 +122,45 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * len(found), pa.string()) for x in (path, src)] + [pa.array([m[k] for m in found], pa.string()) for k in (0, 1)], names=["path", "src_id", "aisdata", "payload"])
 
 
-def packets_of(lines: DataFrame) -> DataFrame:
-    """Packets of ``(path, text, src_id)``: a tag line belongs to the sentence after it, and sentences of one
+def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
+    """Packets of ``(path, text, src_id)``, with ``path``: a tag line belongs to the sentence after it, and sentences of one
     message are one packet with the tag of its first.
 
-    The tag gives time, country and base station. Position reports (types 1-3 and 18) give a position; a payload that
-    can't be read leaves the message columns null, and a packet without a tag has no time.
+    The tag gives time, country (its number), region and base station; ``source_type`` is what the caller knows of the
+    source. Position reports give position, speed, course, heading and status; static reports (types 5, 19 and 24) give
+    IMO number, name, call sign and ship type. A payload that can't be read, or is too short for a field, leaves it null,
+    and a packet without a tag has no time.
     """
     tagged = lines.select("path", "text", "src_id").mapInArrow(_split, "path string, src_id string, aisdata string, payload string")
     tag = F.split(F.regexp_extract("aisdata", r"\$PGHP,([^\r\n]*)", 1), ",")
-    number = lambda i: F.try_element_at(tag, F.lit(i)).try_cast("int")
+    part = lambda i: F.nullif(F.try_element_at(tag, F.lit(i)), F.lit(""))
+    number = lambda i: part(i).try_cast("int")
     when = F.try_make_timestamp(number(2), number(3), number(4), number(5), number(6), number(7).cast("decimal(8,6)"))
-    rows = tagged.select("*", when.alias("at"), number(8).alias("ms"), F.try_element_at(tag, F.lit(9)).alias("source_country"), F.try_element_at(tag, F.lit(10)).alias("region"), F.try_element_at(tag, F.lit(11)).alias("base_station"), _bits(F.col("payload")).alias("bits"))
-    kind = _unsigned(F.col("bits"), 0, 6)
-    rows = rows.select("path", "src_id", "aisdata", (F.unix_millis("at") + F.coalesce("ms", F.lit(0))).alias("time_ms"), "source_country", "region", "base_station", F.when(F.length("bits") >= 38, kind).cast("int").alias("msg_type"), "bits")
-    report = {"1": (61, 89, 50, 116), "18": (57, 85, 46, 112)}
-    pick = lambda k, f: F.when((F.length("bits") >= 149) & F.col("msg_type").isin(1, 2, 3), f(report["1"][k])).when((F.length("bits") >= 149) & (F.col("msg_type") == 18), f(report["18"][k]))
-    bits = F.col("bits")
-    lon, lat = pick(0, lambda s: _signed(bits, s, 28) / 600000.0), pick(1, lambda s: _signed(bits, s, 27) / 600000.0)
-    return rows.select(
-        "path", "src_id", "aisdata", "time_ms", "source_country", "region", "base_station", "msg_type",
-        F.when(F.col("msg_type").isNotNull(), _unsigned(bits, 8, 30)).cast("int").alias("mmsi"),
-        F.when(lat != NO_LAT, lat).alias("lat"), F.when(lon != NO_LON, lon).alias("lon"),
-        pick(2, lambda s: _unsigned(bits, s, 10)).cast("int").alias("sog"), pick(3, lambda s: _unsigned(bits, s, 12)).cast("int").alias("cog"),
-        F.md5("aisdata").alias("digest"),
-    )
+    rows = tagged.select("path", F.col("src_id").alias("source_id"), "aisdata", when.alias("at"), number(8).alias("ms"), part(9).alias("source_country"), part(10).alias("region"), part(11).alias("base_station"), _bits(F.col("payload")).alias("bits"))
+    bits, n = F.col("bits"), F.length("bits")
+    rows = rows.withColumn("msgtype", F.when(n >= 38, _unsigned(bits, 0, 6)).cast("int"))
+
+    def pick(places: list[tuple], value) -> Column:
+        return F.coalesce(*[F.when(F.col("msgtype").isin(*types) & (n >= start + length), value(start, length, *more)) for types, start, length, *more in places], F.lit(None))
+
+    part_24 = F.when((F.col("msgtype") == 24) & (n >= 160), _unsigned(bits, 38, 2))
+    of_24 = lambda which, value, start, length: F.when((part_24 == which) & (n >= start + length), value(bits, start, length))
+    said = {c: pick(at, lambda s, k: _unsigned(bits, s, k).cast("int")) for c, at in NUMBERS.items()}
+    said |= {c: pick(at, lambda s, k, parts: _signed(bits, s, k) / float(parts)) for c, at in POSITIONS.items()}
+    said |= {c: pick(at, lambda s, k: _text(bits, s, k)) for c, at in TEXTS.items()}
+    said |= {
+        "lat": F.when(said["lat"] != NO_LAT, said["lat"]), "lon": F.when(said["lon"] != NO_LON, said["lon"]),
+        "imo": F.when(said["imo"] > 0, said["imo"]),
+        "name": F.coalesce(said["name"], of_24(0, _text, *PART_NAME)),
+        "callsign": F.coalesce(said["callsign"], of_24(1, _text, *PART_CALLSIGN)),
+        "shiptype": F.coalesce(said["shiptype"], of_24(1, _unsigned, *PART_TYPE).cast("int")),
+        "mmsi": F.when(F.col("msgtype").isNotNull(), _unsigned(bits, 8, 30)).cast("int"),
+        "time_ms": F.unix_millis("at") + F.coalesce("ms", F.lit(0)), "digest": F.md5("aisdata"), "source_type": F.lit(source_type).cast("string"),
+    }
+    rows = rows.withColumns(said)
+    return rows.select("path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET])
+
+
+def decodable(packets: DataFrame) -> DataFrame:
+    """Packets whose message could be read."""
+    return packets.where("msgtype is not null")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import iso_instant
+from fairlead.plans.query import Query
 
 
 def raw_lines(rows: DataFrame) -> DataFrame:
@@ -27,8 +32,6 @@ def table_lines(rows: DataFrame, columns: list[str], separator: str = ",") -> Da
 
 def kml_tracks(rows: DataFrame, max_points: int = 10_000) -> DataFrame:
     """One placemark for each vessel and run of ``max_points`` positions, so that no row grows with a vessel's history."""
-    from pyspark.sql import Window as W
-
     placed = rows.where("lat is not null and lon is not null")
     # Runs are cut by day first: a vessel's day is bounded by what a transponder can send.
     day = F.floor(F.col("time_ms") / 86_400_000)
@@ -49,6 +52,14 @@ def prefixed_sentences(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(" ", iso_instant(F.col("time_ms")), F.col("aisdata")).alias("value"))
 
 
+def kml_document(rows: DataFrame, name: str = "Tracks") -> DataFrame:
+    """Placemarks of ``kml_tracks`` between a document's first and last lines; ``part`` orders them."""
+    spark = rows.sparkSession
+    lines = [(0, '<?xml version="1.0" encoding="UTF-8"?>'), (0, f'<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{escape(name)}</name>'), (2, "</Document></kml>")]
+    frame = spark.createDataFrame(lines, "part int, value string")
+    return kml_tracks(rows).select(F.lit(1).alias("part"), "value").unionByName(frame)
+
+
 SINKS: dict[str, Callable[..., DataFrame]] = {
     "raw": lambda rows, **_: raw_lines(rows),
     "json": lambda rows, **_: json_lines(rows),
@@ -60,22 +71,68 @@ SINKS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def export(rows: DataFrame, path: str, output: str = "raw", columns: list[str] | None = None, separator: str = ",", header: bool = True, mode: str = "error") -> int:
-    """Write rows in a format; the number of rows written (observed by the write itself) comes back."""
+def export(rows: DataFrame, path: str, output: str = "raw", columns: list[str] | None = None, separator: str = ",", header: bool = True, mode: str = "error", footer: bool = False) -> int:
+    """Write rows in a format, as a folder of part files; the number of rows written (observed by the write itself) comes back.
+
+    ``footer`` adds a file that says it. A kml export has its document's first lines in a part before all others and its last in one behind.
+    """
     if output not in SINKS:
         raise ValueError(f"unknown output {output!r}: {', '.join(sorted(SINKS))}")
-    from pyspark.sql import Observation
-
     seen = Observation("export")
     counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
     if output == "table":
         counted.select(*(columns or rows.columns)).write.mode(mode).csv(path, sep=separator, header=header)
+    elif output == "kml":
+        ordered = kml_document(counted).repartitionByRange("part", F.xxhash64("value")).sortWithinPartitions("part", F.desc(F.col("value").startswith("<?xml")))
+        ordered.select("value").write.mode(mode).text(path)
     else:
         SINKS[output](counted, columns=columns, separator=separator).write.mode(mode).text(path)
+    if footer:
+        one_line(rows.sparkSession, f"{seen.get['n']} packets", f"{path}/_footer")
     return seen.get["n"]
 
 
+def one_line(spark: SparkSession, text: str, path: str) -> None:
+    """Write a line of text to a folder of its own, which replaces what was there."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def zipped(spark: SparkSession, path: str, target: str, member: str = "doc.kml") -> None:
+    """The part files of an export, in their order, as one member of a zip file on the driver's disk (kmz); read a line at a time."""
+    parts = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w", force_zip64=True) as out:
+        for part in parts:
+            for r in spark.read.text(part).toLocalIterator():
+                out.write(r["value"].encode() + b"\n")
+
+
 def resume_meta(rows: DataFrame, filename: str) -> str:
     """What a later export needs to go on: the last time and the number of packets so far."""
     r = rows.agg(F.max("time_ms").alias("t"), F.count("*").alias("n")).first()
     return json.dumps({"filename": filename, "timestamp": r["t"], "packageCount": r["n"]})
+
+
+def resumed_export(query: Query, spark: SparkSession, archive: str, path: str, force: bool = False, **how) -> dict:
+    """Export what an earlier run into ``path`` hasn't: packets behind the last time its meta file names are appended.
+
+    The meta file (``path``/_meta, one JSON line) is written after the packets; a run that fails between the two isn't
+    noticed, and its packets come again. ``force`` begins anew.
+    """
+    before = {"filename": path, "timestamp": None, "packageCount": 0}
+    if not force:
+        try:
+            before = json.loads(spark.read.text(f"{path}/_meta").first()["value"])
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+    rows = query.resume_after(before["timestamp"]).to_df(spark, archive).persist()
+    try:
+        new = json.loads(resume_meta(rows, path))
+        if new["packageCount"] or force:
+            export(rows, path, mode="overwrite" if force else "append", **how)
+    finally:
+        rows.unpersist()
+    last = [t for t in (before["timestamp"], new["timestamp"]) if t is not None]
+    meta = {"filename": path, "timestamp": max(last, default=None), "packageCount": before["packageCount"] + new["packageCount"]}
+    one_line(spark, json.dumps(meta), f"{path}/_meta")
+    return meta

@@ -1,4 +1,4 @@
-"""The ``events`` table read as ship-position packets."""
+"""The ``events`` table read as ship-position packets: kinds of events stand for types of AIS messages."""
 
 from __future__ import annotations
 
@@ -6,18 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import digest, time_ms
-from fairlead.schema import POSITION_TYPES
+
+# Fixed values of this stand-in: AIS type by kind of event; the first three have positions, a sign-up static data.
+TYPES = {"view": 1, "click": 3, "purchase": 18, "signup": 5}
+OTHER = 8
 
 
 def packets_of(events: DataFrame) -> DataFrame:
-    has = F.col("event_type").isin(*POSITION_TYPES)
+    n = F.col("event_id")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.col("event_type")], F.lit(OTHER))
+    has, static = F.col("event_type").isin("view", "click", "purchase"), F.col("event_type") == "signup"
     return events.select(
-        "event_id", F.col("user_id").alias("mmsi"), F.col("event_type").alias("msgtype"), time_ms("ts").alias("time_ms"),
-        F.when(has, ((F.col("event_id") * 7919) % 18000).cast("double") / 100.0 - 90.0).alias("lat"),
-        F.when(has, ((F.col("event_id") * 104729) % 36000).cast("double") / 100.0 - 180.0).alias("lon"),
-        F.concat(F.col("event_id").cast("string"), F.lit("|"), F.col("props")).alias("aisdata"), F.col("value"),
+        "event_id", F.col("user_id").cast("int").alias("mmsi"), kind.alias("msgtype"), time_ms("ts").alias("time_ms"),
+        F.when(has, ((n * 7919) % 18000).cast("double") / 100.0 - 90.0).alias("lat"),
+        F.when(has, ((n * 104729) % 36000).cast("double") / 100.0 - 180.0).alias("lon"),
+        F.when(has, (n % 400).cast("int")).alias("sog"), F.when(has, (n % 3600).cast("int")).alias("cog"), F.when(has, (n % 360).cast("int")).alias("hdg"),
+        F.when(has, (n % 2).cast("int")).alias("acc"), F.when(has, (n % 16).cast("int")).alias("navstat"),
+        F.when(static, (9_000_000 + n % 1_000_000).cast("int")).alias("imo"), F.when(static, F.concat(F.lit("SHIP "), (n % 50).cast("string"))).alias("name"),
+        F.when(static, F.concat(F.lit("CS"), (n % 70).cast("string"))).alias("callsign"), F.when(static, (30 + n % 10).cast("int")).alias("shiptype"),
+        F.concat(F.lit("src"), (n % 3).cast("string")).alias("source_id"), F.when(n % 4 == 0, F.lit("SAT")).otherwise(F.lit("LIVE")).alias("source_type"),
+        (n % 25).cast("string").alias("source_country"), F.when(n % 9 == 0, F.lit(" ")).otherwise((n % 8 + 800).cast("string")).alias("region"),
+        F.when(n % 7 != 0, (2_190_000 + n % 10).cast("string")).alias("base_station"),
+        F.concat(n.cast("string"), F.lit("|"), F.col("props")).alias("aisdata"), F.col("value"),
     ).withColumn("digest", digest("aisdata"))
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def packets(spark: SparkSession, sf_dir: str, t0_ms: int | None = None, t1_ms: int | None = None) -> DataFrame:
+    """All packets, or those from ``t0_ms`` to ``t1_ms``; the bounds are on the stored column too, so that they reach the scan."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = lambda ms: F.expr(f"timestampadd(MILLISECOND, {ms}L, timestamp_ntz'1970-01-01 00:00:00')")
+    if t0_ms is not None:
+        events = events.where(F.col("ts") >= at(t0_ms))
+    if t1_ms is not None:
+        events = events.where(F.col("ts") < at(t1_ms + 1))
+    return packets_of(events)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+import os
+import zipfile
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fairlead.functions.exprs import valid_position
-from fairlead.operators.routing import fan_out, write_tables
+from fairlead.operators.routing import write_tables
 from fairlead.operators.track import carry_forward
 from fairlead.schema import CARRY_MS
+from fairlead.sources import nmea
+
+log = logging.getLogger(__name__)
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -20,7 +27,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def carry_positions(packets: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], within_ms: int = CARRY_MS, **trigger) -> StreamingQuery:
+def carry_positions(packets: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], within_ms: int = CARRY_MS, tie: str = "digest", **trigger) -> StreamingQuery:
     """Carry positions forward over all micro-batches and give each, with ``carried_lat`` and ``carried_lon``, to ``store``.
 
     Between batches each vessel's positions of its last ``within_ms`` are kept beside the checkpoint, so that results don't
@@ -32,7 +39,7 @@ def carry_positions(packets: DataFrame, checkpoint: str, store: Callable[[DataFr
     def carry(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("mmsi", F.coalesce(F.col("mmsi"), F.lit(-1))).persist()
         try:
-            spark, columns = batch.sparkSession, ["mmsi", "time_ms", "event_id" if "event_id" in batch.columns else "digest", "lat", "lon"]
+            spark, columns = batch.sparkSession, ["mmsi", "time_ms", tie, "lat", "lon"]
             own = rows.where(valid_position()).select(*columns)
             held = own.limit(0)
             if number:
@@ -42,7 +49,7 @@ def carry_positions(packets: DataFrame, checkpoint: str, store: Callable[[DataFr
             near = known.join(latest, "mmsi").where(F.col("latest") - F.col("time_ms") <= within_ms).select(*columns)
             near.write.mode("overwrite").parquet(f"{checkpoint}/positions/{number % 2}")
             both = rows.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)), allowMissingColumns=True)
-            store(carry_forward(both, within_ms).where("not held").drop("held"), number)
+            store(carry_forward(both, within_ms, tie).where("not held").drop("held"), number)
         finally:
             rows.unpersist()
 
@@ -55,27 +62,82 @@ def without_replays(packets: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["time_ms", "digest"]).drop("arrived")
 
 
-def archive(packets: DataFrame, path: str, checkpoint: str, mode: str = "online", cell10: bool = False, **trigger) -> StreamingQuery:
-    """Write each micro-batch to all tables, with positions carried from earlier ones; one that fails goes to ``path/dead_letter`` by batch, and the stream goes on.
+def archive(
+    packets: DataFrame, path: str, checkpoint: str, mode: str = "online", cell10: bool = False, tie: str = "digest",
+    handlers: tuple[Callable[[DataFrame, int], None], ...] = (), on_failure: Callable[[DataFrame, int, Exception], None] | None = None, **trigger,
+) -> StreamingQuery:
+    """Write each micro-batch to all tables, with positions carried from earlier ones, in one job.
 
-    Batches may be written again after a failure: readers come down to one row by primary key.
+    ``handlers`` see the batch first, in their order. A batch that fails is logged with its cause and given to ``on_failure``
+    (which by default keeps it under ``path/_dead_letter`` by hour and number), and the stream goes on; if that fails too,
+    the stream stops, so that no packet is lost without a word. Batches may be written again after a failure: readers come
+    down to one row by primary key.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            write_tables(fan_out(batch, mode, cell10, carry=False), path)
-        except Exception:  # the batch is kept for replay
-            batch.write.mode("overwrite").parquet(f"{path}/dead_letter/batch={number}")
+            for handle in handlers:
+                handle(batch, number)
+            write_tables(batch, path, mode, cell10, carry=False)
+        except Exception as e:  # the batch is kept for replay
+            log.exception("batch %d was not stored", number)
+            (on_failure or (lambda rows, n, _: keep_failed(rows, path, n)))(batch, number, e)
         finally:
             batch.unpersist()
 
-    return carry_positions(packets, checkpoint, store, **trigger)
+    return carry_positions(packets, checkpoint, store, tie=tie, **trigger)
+
+
+def keep_failed(batch: DataFrame, path: str, number: int) -> None:
+    """The batch as Parquet under ``path/_dead_letter``, in a folder for each hour of failure and number of batch."""
+    hour = batch.sparkSession.sql("SELECT date_format(current_timestamp(), 'yyyyMMddHH')").first()[0]
+    batch.write.mode("overwrite").parquet(f"{path}/_dead_letter/hour={hour}/batch={number}")
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
     """Packets of failed batches, to be written again."""
-    return spark.read.parquet(f"{path}/dead_letter").drop("batch")
+    return spark.read.parquet(f"{path}/_dead_letter").drop("hour", "batch")
+
+
+def replay_files(spark: SparkSession, folder: str, store: Callable[[DataFrame], None], glob: str = "*.zip", most_files: int = 50) -> dict[str, int]:
+    """Take up to ``most_files`` backup files of a watched folder: ``store`` their packets, then delete them; say how many were taken and how many set aside.
+
+    A file that can't be read as a zip archive is renamed to end in ``.unreadable`` by the task that meets it, and the rest go on.
+    Files go only after ``store`` has come back, so that a failure leaves them for the next call. The folder is one
+    that all executors mount.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").orderBy("path").limit(most_files)
+
+    def sound(batches: Iterator) -> Iterator:
+        for batch in batches:
+            good = []
+            for name in batch["path"]:
+                at = unquote(urlparse(name).path)
+                try:
+                    with zipfile.ZipFile(at) as z:
+                        good.append(z.testzip() is None)
+                except (zipfile.BadZipFile, EOFError, OSError):
+                    good.append(False)
+                if not good[-1]:
+                    os.rename(at, at + ".unreadable")
+            yield batch.assign(good=good)
+
+    names = [(r["path"], r["good"]) for r in found.mapInPandas(sound, "path string, good boolean").collect()]  # a bounded list
+    good = [n for n, ok in names if ok]
+    for n, ok in names:
+        if not ok:
+            log.warning("%s is unreadable and set aside", n)
+    if good:
+        store(nmea.packets_of(nmea.read_lines(spark, good)))
+        for n in good:
+            os.remove(unquote(urlparse(n).path))
+    return {"taken": len(good), "unreadable": len(names) - len(good)}
+
+
+def live_packets(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:
+    """Packets of live sources: each line is read for itself, so a message of several sentences on several lines has no payload."""
+    return nmea.packets_of(live_sources(spark, sources).select(F.lit(None).cast("string").alias("path"), F.col("value").alias("text"), "src_id"), "LIVE")
 
 
 def live_sources(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:

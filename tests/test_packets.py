@@ -1,15 +1,19 @@
 """Scalar rules, parameters, filters, layout and streams of the packet archive."""
 
 import io
+import json
 import os
 import zipfile
+from collections import Counter
 from datetime import datetime, timezone
+from xml.etree import ElementTree
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fairlead import cli
 from fairlead.functions import exprs, filters, params
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
@@ -47,9 +51,9 @@ def test_bad_filters(spark, text):
 
 def test_filters(spark):
     assert filters.is_valid("") and filters.is_valid(None) and filters.is_valid("s.region=806", only="s") and not filters.is_valid("m.mmsi=1", only="s")
-    rows = spark.createDataFrame([(1, "a_b", 5.0, 5.0), (2, "axb", -5.0, 0.1), (3, None, 0.0, 0.0)], "mmsi int, msgtype string, target_lat double, target_lon double")
+    rows = spark.createDataFrame([(1, "a_b", 5.0, 5.0), (2, "axb", -5.0, 0.1), (3, None, 0.0, 0.0)], "mmsi int, name string, target_lat double, target_lon double")
     ids = lambda t: sorted(r["mmsi"] for r in rows.where(filters.compile_filter(t)).collect())
-    assert ids("m.type like a_b") == [1] and ids("m.type like A?B") == [1, 2] and ids("m.mmsi=1 | m.mmsi=2 & m.type=zz") == [1]
+    assert ids("m.name like a_b") == [1] and ids("m.name like A?B") == [1, 2] and ids("m.mmsi=1 | m.mmsi=2 & m.name=zz") == [1]
     assert ids("t.pos within bbox(15,-18,-10,14) & (t.lat<-0.3|t.lat>0.3)") == [1, 2] and ids("m.mmsi in (1,3)") == [1, 3]
     assert filters.compose(source_type="any", source_region=["806", ""], message_country=["DNK", "SWE"]) == "s.region=806 & m.country=DNK,SWE"
 
@@ -74,7 +78,7 @@ def test_access_path():
 
 
 def test_guards_differ_for_mmsi_zero_and_old_times(spark):
-    rows = spark.createDataFrame([(1, 0, "view", 5_000, 1.0, 1.0), (2, 9, "view", 0, 1.0, 1.0), (3, None, "error", 7_000, None, None), (4, 9, "view", 9_000, 91.0, 0.0)], "event_id long, mmsi int, msgtype string, time_ms long, lat double, lon double").withColumns({"aisdata": F.col("event_id").cast("string"), "digest": F.md5(F.col("event_id").cast("string"))})
+    rows = spark.createDataFrame([(1, 0, 1, 5_000, 1.0, 1.0), (2, 9, 1, 0, 1.0, 1.0), (3, None, 8, 7_000, None, None), (4, 9, 1, 9_000, 91.0, 0.0)], "event_id long, mmsi int, msgtype int, time_ms long, lat double, lon double").withColumns({"aisdata": F.col("event_id").cast("string"), "digest": F.md5(F.col("event_id").cast("string"))})
     ids = lambda mode, t: sorted(r["event_id"] for r in routing.fan_out(rows, mode)[t].collect())
     assert ids("online", "packets_mmsi") == [2, 4] and ids("bulk", "packets_mmsi") == [1, 4]
     assert ids("online", "packets_area_cell1") == [4] and ids("bulk", "packets_area_cell1") == [1, 4] and ids("online", "packets_area_unknown") == []
@@ -84,14 +88,14 @@ def test_guards_differ_for_mmsi_zero_and_old_times(spark):
 def test_carry_forward_boundary(spark):
     rows = [(1, 5, 0, 1.0, 2.0), (2, 5, 1_200_000, None, None), (3, 5, 1_200_001, None, None), (4, 6, 1, None, None)]
     frame = spark.createDataFrame(rows, "event_id long, mmsi int, time_ms long, lat double, lon double")
-    assert {r["event_id"]: r["carried_lat"] for r in track.carry_forward(frame).collect()} == {1: 1.0, 2: 1.0, 3: None, 4: None}
+    assert {r["event_id"]: r["carried_lat"] for r in track.carry_forward(frame, tie="event_id").collect()} == {1: 1.0, 2: 1.0, 3: None, 4: None}
 
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=30), st.integers(1, 100))
 def test_thinning_gaps(spark, times, gap):
     frame = spark.createDataFrame([(i, 1, t, 0.0, 0.0) for i, t in enumerate(times)], "event_id long, mmsi int, time_ms long, lat double, lon double")
-    got = sorted(r["time_ms"] for r in track.thin(frame, min_ms=gap).collect())
+    got = sorted(r["time_ms"] for r in track.thin(frame, min_ms=gap, tie="event_id").collect())
     want, last = [], None
     for t in sorted(times):
         if last is None or t - last >= gap:
@@ -102,29 +106,61 @@ def test_thinning_gaps(spark, times, gap):
 
 def test_thinning_holds_no_vessel_in_a_row(spark):
     rows = spark.range(30_000).selectExpr("id AS event_id", "IF(id % 3 = 0, 7, id) AS mmsi", "id * 1000 AS time_ms", "CAST(id % 90 AS DOUBLE) AS lat", "0D AS lon")
-    thinned = track.thin(rows, min_ms=9_000)
+    thinned = track.thin(rows, min_ms=9_000, tie="event_id")
     assert "collect_list" not in thinned._jdf.queryExecution().toString()
     assert thinned.where("mmsi = 7").count() == 3_334 and thinned.where("mmsi <> 7").count() == 19_999
-    assert track.thin(rows.limit(0), min_m=1.0).count() == 0
+    assert track.thin(rows.limit(0), min_m=1.0, tie="event_id").count() == 0
 
 
 def test_archive_prunes_and_agrees(spark, tiny, tmp_path):
-    rows = packets(spark, tiny)
-    routing.write_tables(routing.fan_out(rows), str(tmp_path))
+    rows, path = packets(spark, tiny), str(tmp_path / "archive")
+    routing.write_tables(rows, path)
     t0, t1 = params.interval_ms("2024-01-05/2024-01-06T12:00:00Z")
     query = Query.for_time().between(t0, t1)
-    stored, direct = query.to_df(spark, str(tmp_path)), query.to_df(routing.fan_out(rows))
+    stored, direct = query.to_df(spark, path), query.to_df(routing.fan_out(rows))
     assert [r["digest"] for r in stored.collect()] == [r["digest"] for r in direct.collect()] and stored.count() > 0
     plan = stored._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(timeblock)" in plan
+    filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "(table#" in filters and "(day#" in filters and "IsNotNull(timeblock)" in plan[plan.index("PushedFilters: [") :]
     first, rest = query.between(t0, t0 + 40_000_000), query.resume_after(t0 + 39_999_999)
-    assert first.to_df(spark, str(tmp_path)).count() + rest.to_df(spark, str(tmp_path)).count() == stored.count()
+    assert first.to_df(spark, path).count() + rest.to_df(spark, path).count() == stored.count()
     files = routing.fan_out(rows)["packets_time"]
     missing, held = reports.missing_from(files, stored), reports.diff_counts(files, stored).first()
     assert missing.count() == held["not_in_store"] and held["processed"] == held["in_store"] + held["not_in_store"]
-    spark.sql(create_table_sql("packets_time", str(tmp_path / "ddl")))
-    assert "timeblock" in spark.table("packets_time").columns
+    spark.sql(create_table_sql("packets_time", path))
+    spark.sql("MSCK REPAIR TABLE packets_time")
+    assert spark.table("packets_time").count() == files.count()
     spark.sql("DROP TABLE packets_time")
+    for box in ((-30.5, -60.25, 25.75, 40.5), (-80.0, -170.0, 80.0, 180.0), (0.0, 179.5, 10.0, 180.0)):
+        for cell10 in (False, True):
+            tables = routing.fan_out(rows, cell10=True)
+            area = Query.for_area(box, cell10=cell10, exact=True)
+            want = {r["digest"] for r in track.carry_forward(rows).where("mmsi > 0").where(F.col("carried_lat").between(box[0], box[2]) & F.col("carried_lon").between(box[1], box[3])).collect()}
+            assert {r["digest"] for r in area.to_df(tables).collect()} == want
+            if not cell10:
+                assert {r["digest"] for r in area.to_df(spark, path).collect()} == want
+            cells = set(cells_of(box, 10 if area.table().endswith("10") else 1))
+            whole = Query.for_area(box, cell10=cell10).to_df(tables)
+            assert whole.count() == tables[area.table()].where(F.col("cellid").isin(*cells)).count() if len(cells) < 8000 else True
+
+
+def test_tables_are_written_in_one_job(spark, tiny, tmp_path):
+    """The plan has one scan and one shuffle for the tables; all of them, or none, are there afterwards."""
+    plan = routing.routed(packets(spark, tiny), "bulk", cell10=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+    for mode in ("online", "bulk"):
+        routing.write_tables(packets(spark, tiny), str(tmp_path / mode), mode, cell10=True)
+        want = routing.fan_out(packets(spark, tiny), mode, cell10=True)
+        for name, rows in want.items():
+            assert routing.read_table(spark, str(tmp_path / mode), name).count() == rows.count(), (mode, name)
+
+
+def test_packets_without_a_vessel_are_dealt(spark):
+    """Undecodable packets carry nothing and share no window."""
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, -1, 5) AS mmsi", "id * 1000 AS time_ms", "CAST(id AS STRING) AS aisdata", "CAST(id AS STRING) AS digest", "IF(id % 3 = 1, 1.0D, NULL) AS lat", "IF(id % 3 = 1, 2.0D, NULL) AS lon")
+    done = track.carry_forward(rows)
+    assert done.where("mmsi = -1 AND carried_lat IS NOT NULL").count() == 0 and done.where("mmsi = 5 AND carried_lat IS NULL").count() == 0
+    assert rows.repartition(4, *track.vessel()).where("mmsi = -1").select(F.spark_partition_id()).distinct().count() == 4
 
 
 def encode(fields):
@@ -141,9 +177,9 @@ def test_packet_text(spark, tmp_path):
         z.writestr("c.txt", f"{tag}\r\n{line}\r\n")
     rows = nmea.packets_of(nmea.read_lines(spark, str(tmp_path), tag="x")).collect()
     good = [r for r in rows if r["mmsi"]]
-    assert len(rows) == 3 and len(good) == 2 and {r["src_id"] for r in rows} == {"x"}
+    assert len(rows) == 3 and len(good) == 2 and {r["source_id"] for r in rows} == {"x"}
     for r in good:
-        assert (r["mmsi"], r["msg_type"], r["lat"], r["lon"], r["sog"], r["cog"]) == (257074900, 1, 55.25, -10.5, 123, 900)
+        assert (r["mmsi"], r["msgtype"], r["lat"], r["lon"], r["sog"], r["cog"]) == (257074900, 1, 55.25, -10.5, 123, 900)
         assert r["time_ms"] == params.instant_ms("2015-03-06T05:30:07.25Z") and r["source_country"] == "219" and r["base_station"] == "2190047"
 
 
@@ -156,19 +192,181 @@ def test_messages_of_several_sentences(spark, tmp_path):
     single = f"!BSVDM,1,1,,A,{position},0*2D"
     (tmp_path / "a.txt").write_text("\n".join([tag, parts[0], single, parts[1], parts[1], parts[0], tag, single, parts[0].replace(",3,A", ",4,B")]))
     rows = nmea.packets_of(nmea.read_lines(spark, str(tmp_path))).collect()
-    whole = [r for r in rows if r["msg_type"] == 5]
+    whole = [r for r in rows if r["msgtype"] == 5]
     assert [(r["mmsi"], r["aisdata"], r["time_ms"]) for r in whole] == [(219000123, f"{tag}\n{parts[0]}\n{parts[1]}", params.instant_ms("2015-03-06T05:30:07.25Z"))]
     assert sorted(r["mmsi"] or 0 for r in rows) == [0, 0, 0, 219000123, 257074900, 257074900]
 
 
-def test_exports(spark, tiny, tmp_path):
-    rows = packets(spark, tiny).where("mmsi = 7").orderBy("time_ms", "digest")
+SIX = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
+
+
+def text_bits(text, chars):
+    return [(SIX.index(c), 6) for c in text.ljust(chars, "@")]
+
+
+def position(kind, mmsi, lat, lon, sog=0, cog=0, hdg=511, navstat=0):
+    if kind < 4:
+        return encode([(kind, 6), (0, 2), (mmsi, 30), (navstat, 4), (0, 8), (sog, 10), (1, 1), (round(lon * 600_000), 28), (round(lat * 600_000), 27), (cog, 12), (hdg, 9), (0, 31)])
+    return encode([(kind, 6), (0, 2), (mmsi, 30), (0, 8), (sog, 10), (1, 1), (round(lon * 600_000), 28), (round(lat * 600_000), 27), (cog, 12), (hdg, 9), (0, 35)])
+
+
+def static(mmsi, imo, callsign, name, shiptype):
+    return encode([(5, 6), (0, 2), (mmsi, 30), (0, 2), (imo, 30), *text_bits(callsign, 7), *text_bits(name, 20), (shiptype, 8), (0, 184)])
+
+
+def tag(second, country="219", region="806", station="2190047"):
+    return f"$PGHP,1,2015,3,6,5,{second // 60},{second % 60},0,{country},{region},{station},,2D*5B"
+
+
+def sentences(payload, second, **more):
+    if len(payload) <= 60:
+        return f"{tag(second, **more)}\n!BSVDM,1,1,,A,{payload},0*00\n"
+    return f"{tag(second, **more)}\n!BSVDM,2,1,{second % 10},A,{payload[:58]},0*00\n!BSVDM,2,2,{second % 10},A,{payload[58:]},2*00\n"
+
+
+@pytest.fixture
+def real(spark, tmp_path):
+    """An archive of packet text: two vessels with static data, one without, and noise."""
+    danish, norwegian = 219_000_123, 257_074_900
+    text = sentences(static(danish, 9_074_729, "OXAB2", "HAMLET", 70), 0)
+    text += sentences(encode([(24, 6), (0, 2), (norwegian, 30), (0, 2), *text_bits("NORD STAR", 20), (0, 8)]), 1, region="", station="")
+    text += sentences(encode([(24, 6), (0, 2), (norwegian, 30), (1, 2), (36, 8), (0, 42), *text_bits("LKAA", 7), (0, 36)]), 2)
+    for k in range(20):
+        text += sentences(position(1, danish, 55.0 + k / 100, 10.0, 100 + k, 900, 91, 5), 10 + 30 * k)
+        text += sentences(position(18, norwegian, 60.0, 5.0 + k / 100, 10, 10 * k), 11 + 30 * k, country="257")
+    text += sentences(position(3, 503_000_001, -33.5, 151.25), 700) + "!BSVDM,1,1,,A,1,0*00\nnoise\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(text)
+    cli.main(["import", str(tmp_path / "in"), "--tag", "x", "--archive", str(tmp_path / "archive")], spark)
+    spark.createDataFrame([(219, "DNK", "DK"), (257, "NOR", "NO"), (503, "AUS", "AU")], "mid int, alpha3 string, alpha2 string").coalesce(1).write.csv(str(tmp_path / "mids"), header=True)
+    return tmp_path
+
+
+def test_static_reports(spark, real):
+    rows = {(r["mmsi"], r["msgtype"], r["name"], r["callsign"], r["imo"], r["shiptype"]) for r in nmea.packets_of(nmea.read_lines(spark, str(real / "in"))).where("msgtype in (5, 24)").collect()}
+    assert rows == {(219_000_123, 5, "HAMLET", "OXAB2", 9_074_729, 70), (257_074_900, 24, "NORD STAR", None, None, None), (257_074_900, 24, None, "LKAA", None, 36)}
+    assert nmea.decodable(nmea.packets_of(nmea.read_lines(spark, str(real / "in")))).count() == 44
+
+
+@pytest.mark.parametrize("text, n", [
+    ("m.type=1", 20), ("m.type=18,3", 21), ("s.country=219", 24), ("s.country=257", 20), ("s.region=806", 43), ("s.bs=2190047 & m.mmsi=219000123", 21), ("s.id=x", 44),
+    ("t.name=HAMLET", 21), ("t.name like h*", 21), ("t.cs=LKAA & m.type=18", 20), ("t.imo=9074729 & t.navstat=5", 20), ("t.type=36", 21), ("m.name like nord*", 1), ("m.imo=9074729", 1), ("m.cs=oxab2", 1), ("m.navstat=5", 20),
+    ("t.pos within bbox(54,9,56,11)", 20), ("m.country=DNK", 21), ("m.country in (DK, no)", 43), ("t.country=AUS", 1), ("s.country=NOR", 20), ("s.country=DK,NO", 44), ("m.sog>=110 & m.cog=900", 10),
+])
+def test_filters_on_packets_from_text(spark, real, text, n):
+    (when,) = (params.interval_ms("2015-03-06T05:00/2015-03-06T06:00"),)
+    mids = spark.read.csv(str(real / "mids"), header=True)
+    rows = Query.for_time().between(when[0] - 1, when[1]).where(text).to_df(spark, str(real / "archive"), mids)
+    assert rows.count() == n and filters.is_valid(text)
+    if "country" in text and text[0] != "s":
+        with pytest.raises(filters.FilterError):
+            Query.for_time().between(*when).where(text).to_df(spark, str(real / "archive"))
+
+
+def run_cli(spark, real, *more):
+    cli.main(["export", "--archive", str(real / "archive"), "--interval", "2015-03-06T04:59:59/2015-03-06T06:00", *more], spark)
+
+
+def lines_of(spark, path):
+    return [r["value"] for r in spark.read.text(str(path)).collect()]
+
+
+def test_operators_on_packets_from_text(spark, real, capsys):
+    between = params.interval_ms("2015-03-06T04:59:59/2015-03-06T06:00")
+    rows = Query.for_mmsi(219_000_123).between(*between).to_df(spark, str(real / "archive"))
+    assert track.past_track(rows, 219_000_123, *between, filters.compile_filter("s.region=806", only="s")).count() == 20
+    assert [(r["time_ms"], r["lat"]) for r in track.last_positions(rows).collect()] == [(params.instant_ms("2015-03-06T05:09:40Z"), 55.19)]
+    with_c = track.with_countries(rows, spark.read.csv(str(real / "mids"), header=True)).orderBy("time_ms")
+    first, second = (json.loads(r["json"]) for r in track.track_json(with_c).take(2))
+    assert first["src.cty"] == "DK" and first["lat"] is None and (second["src.clk"], second["src.id"], second["src.reg"]) == (params.instant_ms("2015-03-06T05:00:10Z"), 2190047, "806")
+    assert (second["lat"], second["lon"], second["acc"], second["hdg"], second["sog"], second["cog"]) == (55.0, 10.0, 1, 91, 10.0, 90.0)
+    assert list(second) == ["src.clk", "src.id", "src.reg", "src.cty", "lat", "lon", "acc", "hdg", "sog", "cog"]
+    assert json.loads(track.source_json(with_c).first()["json"]) == {"country": "DK", "bs": "2190047", "id": "x", "region": "806"}
+    blank = Query.for_mmsi(257_074_900).between(*between).to_df(spark, str(real / "archive")).where("region is null")
+    assert [json.loads(r["json"]) for r in track.source_json(blank).collect()] == [{"id": "x"}]
+    untagged = track.track_json(rows.withColumn("time_ms", F.lit(None).cast("long"))).first()["json"]
+    assert untagged.startswith('{"lat"')
+    run_cli(spark, real, "--min-duration", "PT2M", "--filter", "m.type=1", "--output-format", "table", "--columns", "time_ms", "-")
+    assert len(capsys.readouterr().out.split()) == 5
+    run_cli(spark, real, "--mmsi", "219000123", "--min-distance", "3000", "--output-format", "table", "--columns", "lat")
+    assert len(capsys.readouterr().out.split()) == 7
+    same = track.drop_repeats_within(rows.union(rows.withColumn("time_ms", F.col("time_ms") + 5)), 5)
+    assert same.count() == 21
+
+
+def test_exports(spark, real, capsys):
+    """Each format says what it should, and a resumed export ends as one that ran through."""
     for kind in sinks.SINKS:
-        assert sinks.export(rows, str(tmp_path / kind), kind, columns=["mmsi", "time_ms"]) == rows.count()
-    assert spark.read.csv(str(tmp_path / "table"), header=True).columns == ["mmsi", "time_ms"]
-    assert '"packageCount": ' in sinks.resume_meta(rows, "f.txt")
+        run_cli(spark, real, "--mmsi", "257074900", "--output-format", kind, "--columns", "mmsi;name", str(real / kind))
+    assert capsys.readouterr().out.split() == ["22", "packets"] * len(sinks.SINKS)
+    raw = "\n".join(lines_of(spark, real / "raw"))
+    assert raw.count("$PGHP") == 22 and raw.count("!BSVDM") == 22
+    assert all(json.loads(x)["mmsi"] == 257_074_900 for x in lines_of(spark, real / "json"))
+    assert Counter(lines_of(spark, real / "jsonObject")) == Counter({'{"mmsi":257074900}': 21, '{"mmsi":257074900,"name":"NORD STAR"}': 1})
+    assert Counter(lines_of(spark, real / "table")) == Counter({"mmsi,name": 1, "257074900,": 21, "257074900,NORD STAR": 1})
+    assert Counter(lines_of(spark, real / "html")) == Counter({"<tr><td>257074900</td><td></td></tr>": 21, "<tr><td>257074900</td><td>NORD STAR</td></tr>": 1})
+    stamped = lines_of(spark, real / "prefixed_sentences")
+    assert sum(x.startswith("2015-03-06T05:0") for x in stamped) == 22 and stamped[0].split(" ", 1)[1].startswith("$PGHP")
+    run_cli(spark, real, "--mmsi", "257074900", "--output-format", "kmz", str(real / "t.kmz"))
+    with zipfile.ZipFile(real / "t.kmz") as z:
+        document = ElementTree.fromstring(z.read("doc.kml"))
+    (line,) = document.iter("{http://www.opengis.net/kml/2.2}coordinates")
+    assert line.text.split() == [f"{5 + k / 100:.6f},60.000000" for k in range(20)]
+    rows = Query.for_mmsi(257_074_900).between(*params.interval_ms("2015-03-06/P1D")).to_df(spark, str(real / "archive"))
+    assert sinks.export(rows, str(real / "foot"), footer=True) == 22 and lines_of(spark, real / "foot" / "_footer") == ["22 packets"]
+    half, whole = (Query.for_time().between(*params.interval_ms(f"2015-03-06T05:00/{end}")) for end in ("2015-03-06T05:05", "2015-03-06T06:00"))
+    first, then = (sinks.resumed_export(q, spark, str(real / "archive"), str(real / "again")) for q in (half, whole))
+    assert first["packageCount"] < then["packageCount"] == whole.to_df(spark, str(real / "archive")).count() and then["timestamp"] == params.instant_ms("2015-03-06T05:11:40Z")
+    assert Counter(lines_of(spark, real / "again")) == Counter(x for r in whole.to_df(spark, str(real / "archive")).collect() for x in r["aisdata"].split("\n"))
+    assert sinks.resumed_export(whole, spark, str(real / "archive"), str(real / "again"))["packageCount"] == then["packageCount"]
+    assert sinks.resumed_export(half, spark, str(real / "archive"), str(real / "again"), force=True) == first | {"filename": str(real / "again")}
     with pytest.raises(ValueError):
-        sinks.export(rows, str(tmp_path / "no"), "nope")
+        sinks.export(rows, str(real / "no"), "nope")
+
+
+def test_backup_files_are_taken_or_set_aside(spark, real, tmp_path):
+    folder = tmp_path / "backup"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "good.zip", "w") as z:
+        z.writestr("a.txt", (real / "in" / "a.txt").read_text())
+    (folder / "bad.zip").write_bytes(b"PK no zip")
+    taken = []
+    assert ingest.replay_files(spark, str(folder), lambda p: taken.append(p.count())) == {"taken": 1, "unreadable": 1}
+    assert taken == [45] and sorted(x.name for x in folder.iterdir()) == ["bad.zip.unreadable"]
+    assert ingest.replay_files(spark, str(folder), lambda p: taken.append(p.count())) == {"taken": 0, "unreadable": 0} and len(taken) == 1
+
+
+def test_failed_batches_are_logged_and_kept(spark, tiny, tmp_path, caplog):
+    def fails(batch, number):
+        raise ValueError("no room")
+
+    from fairlead.sources.testdata import packets_of
+
+    spark.read.parquet(f"{tiny}/events.parquet").write.parquet(str(tmp_path / "in"))
+    stream = packets_of(ingest.read_events(spark, str(tmp_path / "in")))
+    ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp"), handlers=(fails,)).awaitTermination()
+    assert "no room" in caplog.text and "was not stored" in caplog.text
+    assert ingest.replay(spark, str(tmp_path / "out")).count() == packets(spark, tiny).count()
+
+
+def test_reports_of_files_and_writes(spark, real):
+    files = reports.files_of(spark, str(real / "in"))
+    assert [(r["name"], r["complete"]) for r in reports.repository(files).collect()] == [("a.txt", True)] and files.first()["size"] > 1000
+    assert reports.is_empty(reports.files_of(spark, str(real / "nowhere"))) and not reports.is_empty(files)
+    seen = reports.Ingest()
+    seen.watch(nmea.packets_of(nmea.read_lines(spark, str(real / "in")))).write.format("noop").mode("overwrite").save()
+    assert (seen.report()["packets"], seen.report()["decoded"]) == (45, 44) and seen.report()["per_second"] > 0
+    assert reports.eta_ms(25.0, 0, 1000) == 4000 and reports.eta_ms(0.0, 0, 5) is None and reports.eta_ms(100.0, 0, 7) == 7
+    now = files.first()["updated"]
+    assert reports.clean_up(spark, str(real / "in"), now + 1000) == 0 and reports.clean_up(spark, str(real / "in"), now + 5 * 3_600_000) == 1
+    assert not list((real / "in").glob("*.txt"))
+
+
+def test_requests():
+    between = params.interval_ms("2015-01-05T06:00/PT1H")
+    text = params.request(between, "m.country=DNK & t.name like H*", [1, 2], (40.0, -10.0, 60.12345, 20.0), output="table", columns="lat;lon", noHeader=True, limit=None)
+    assert text == "interval=2015-01-05T06:00:00Z/2015-01-05T07:00:00Z&filter=m.country%3DDNK%20%26%20t.name%20like%20H*&mmsi=1&mmsi=2&box=60.123,-10.000,40.000,20.000&output=table&columns=lat;lon&noHeader"
+    assert params.ending_now("PT1H", 10_000_000) == (6_400_000, 10_000_000)
 
 
 def test_stream_equals_batch(spark, tiny, tmp_path):
@@ -181,7 +379,7 @@ def test_stream_equals_batch(spark, tiny, tmp_path):
     ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = routing.fan_out(packets(spark, tiny))
     for name in ("packets_time", "packets_mmsi", "packets_area_cell1", "packets_area_unknown"):
-        assert spark.read.parquet(str(tmp_path / "out" / name)).count() == want[name].count()
+        assert routing.read_table(spark, str(tmp_path / "out"), name).count() == want[name].count()
     assert ingest.source_group("a=h:1,i:2") == ("a", [("h", 1), ("i", 2)])
 
 
@@ -204,7 +402,7 @@ def test_stream_of_small_batches_equals_batch(spark, tiny, tmp_path):
     ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = routing.fan_out(packets_of(rows.where("event_id >= 100").union(early)))
     for name in ("packets_time", "packets_mmsi", "packets_area_cell1", "packets_area_unknown"):
-        got = sorted(r["digest"] for r in spark.read.parquet(str(tmp_path / "out" / name)).collect()) if (tmp_path / "out" / name).exists() else []
+        got = sorted(r["digest"] for r in routing.read_table(spark, str(tmp_path / "out"), name).collect())
         assert got == sorted(r["digest"] for r in want[name].collect()), name
 
 
