@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,9 @@ from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
 from fairlead.schema import CARRY_MS, TEN_MINUTES_MS, TABLES
 from fairlead.sources import sinks
-from fairlead.sources.testdata import packets
+from fairlead.sources.testdata import packets, packets_of
+from fairlead.streaming import ingest
+from fairlead.streaming.ingest import carry_positions
 
 T0, T1 = instant_ms("2024-01-05T00:00:00Z"), instant_ms("2024-01-15T12:30:00Z")
 VESSELS = (3, 7, 11)
@@ -367,20 +371,35 @@ def repo_listing_sort(spark, d):
     return reports.repository(files)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; in local mode (tests) a temporary one where none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='fairlead-')}/{name}-{uuid.uuid4().hex}"
+
+
 @query(P + "SELECT event_id, clat AS carried_lat, clon AS carried_lon FROM k")
 def stream_carry_forward(spark, d):
     """The carrying stream over all events, written to the shared folder and read again, as the batch window gives it.
 
     One micro-batch: files in no order of time may hold packets of any age. Its window sorts and spills in the executors.
     """
-    import tempfile
-    import uuid
-
-    from fairlead.sources.testdata import packets_of
-    from fairlead.streaming.ingest import carry_positions
-
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='fairlead-')}/carried-{uuid.uuid4().hex}"
+    folder = scratch(spark, "carried")
     source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # as a pattern, since a stream takes a path itself for a folder
     names = ["event_id", "carried_lat", "carried_lon"]
     carry_positions(packets_of(source), f"{folder}/checkpoint", lambda batch, number: batch.select(*names).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), tie="event_id").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*names)
+
+
+@query(route_sql("online"))
+def stream_archive(spark, d):
+    """All events archived in several micro-batches, in the order of their weeks, and counted by table as a batch routes them."""
+    folder, ts = scratch(spark, "archived"), F.col("ts")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    edges = [F.lit(None), *[F.lit(f"2024-01-{day}").cast("timestamp_ntz") for day in ("08", "15", "22")], F.lit(None)]
+    for low, high in zip(edges, edges[1:]):
+        events.where(F.coalesce(ts >= low, F.lit(True)) & F.coalesce(ts < high, F.lit(True))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = packets_of(ingest.read_events(spark, f"{folder}/in"))
+    ingest.archive(stream, f"{folder}/out", f"{folder}/checkpoint", tie="event_id").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy(F.col("table").alias("table_name")).agg(F.count("*").alias("n"))
