@@ -225,8 +225,8 @@ def target_attr_filter(spark, d):
 
 
 def countries(spark, d) -> DataFrame:
-    """The test tables' nations as a table of country numbers."""
-    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("mid"), F.col("n_name").alias("alpha3"), F.upper(F.substring("n_name", 1, 2)).alias("alpha2"))
+    """The test tables' nations as a table of country numbers; XA and on are their codes of two letters."""
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("mid"), F.col("n_name").alias("alpha3"), F.concat(F.lit("X"), F.char(65 + F.col("n_nationkey"))).alias("alpha2"))
 
 
 @query(P + "SELECT event_id, n_name AS country FROM p JOIN nation ON n_nationkey = mmsi % 25")
@@ -234,9 +234,9 @@ def country_dim_join(spark, d):
     return track.with_countries(packets(spark, d), countries(spark, d), F.col("mmsi") % 25).select("event_id", "country")
 
 
-@query(P + f"SELECT event_id FROM p JOIN nation s ON CAST(s.n_nationkey AS VARCHAR) = source_country WHERE {INSIDE} AND (s.n_name IN ('CHINA', 'FRANCE') OR upper(s.n_name[1:2]) = 'IN')")
+@query(P + f"SELECT event_id FROM p JOIN nation s ON CAST(s.n_nationkey AS VARCHAR) = source_country WHERE {INSIDE} AND (s.n_name IN ('NATION_3', 'NATION_7') OR s.n_nationkey = 4)")
 def filter_source_country(spark, d):
-    query = Query.for_time().between(T0, T1).where("s.country=china,FRANCE,IN")
+    query = Query.for_time().between(T0, T1).where("s.country=nation_3,NATION_7,XE")
     return query.to_df({"packets_time": time_table(spark, d, T0, T1)}, mids=countries(spark, d)).select("event_id")
 
 
@@ -248,7 +248,7 @@ def country_numbers(spark, d):
 
 
 @query(P + f"""SELECT event_id, '{{"src.clk":' || time_ms || ',"src.id":' || coalesce(base_station, 'null') || ',"src.reg":"' || region || '"'
-  || CASE WHEN n_name IS NULL THEN '' ELSE ',"src.cty":"' || upper(n_name[1:2]) || '"' END AS tag, sog, cog, acc, hdg
+  || CASE WHEN n_name IS NULL THEN '' ELSE ',"src.cty":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"' END AS tag, sog, cog, acc, hdg
 FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_country WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27)""")
 def past_track_json(spark, d):
     """The past-track objects, taken apart again: numbers in JSON are written differently in different engines."""
@@ -259,7 +259,7 @@ def past_track_json(spark, d):
     return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *[F.round(number(c) * 10).cast("int").alias(c) for c in ("sog", "cog")], *[number(c).cast("int").alias(c) for c in ("acc", "hdg")])
 
 
-@query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || upper(n_name[1:2]) || '"', '"type":"' || source_type || '"', '"bs":"' || base_station || '"', '"id":"' || source_id || '"', CASE WHEN trim(region) <> '' THEN '"region":"' || region || '"' END) || '}' AS json
+@query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"', '"type":"' || source_type || '"', '"bs":"' || base_station || '"', '"id":"' || source_id || '"', CASE WHEN trim(region) <> '' THEN '"region":"' || region || '"' END) || '}' AS json
 FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_country""")
 def source_json(spark, d):
     return track.source_json(track.with_countries(packets(spark, d), countries(spark, d)), "event_id")
