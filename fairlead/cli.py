@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     give.add_argument("--min-distance", type=float, help="metres")
     give.add_argument("--min-duration", type=params.duration_ms, help="as PT30S")
     give.add_argument("--duplicate-window", type=int, help="milliseconds")
+    give.add_argument("--once", action="store_true", help="packets that were written again come once")
     give.add_argument("--resume", action="store_true", help="append what the last run into this folder didn't have")
     give.add_argument("--force", action="store_true", help="begin anew")
     give.add_argument("--resume-after", type=int)
@@ -70,6 +71,7 @@ def give_out(spark: SparkSession, a: argparse.Namespace) -> None:
     between = params.interval_ms(a.interval) if a.interval else params.ending_now(a.last, int(time.time() * 1000))
     query = Query.choose(a.mmsi, params.bounding_box(a.area) if a.area else None).between(*between).where(a.filter).resume_after(a.resume_after).first(a.limit)
     query = query.thinned(a.min_duration, a.min_distance, a.duplicate_window)
+    query = query.once() if a.once else query
     mids = spark.read.csv(a.mids, header=True) if a.mids else None
     how = {"output": a.output_format, "columns": a.columns, "separator": a.separator, "header": not a.no_header}
     if a.resume or a.force:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import timeblocks
 from fairlead.functions.filters import FIELDS, WITH_COUNTRIES, compile_filter, fields_in
-from fairlead.operators.routing import read_table
+from fairlead.operators.routing import by_primary_key, read_table
 from fairlead.operators.track import drop_repeats_within, thin, with_countries, with_targets
 from fairlead.schema import TABLES
 
@@ -57,6 +57,7 @@ class Query:
     min_ms: int | None = None
     min_m: float | None = None
     repeats_ms: int | None = None
+    unrepeated: bool = False
 
     @staticmethod
     def for_time() -> Query:
@@ -96,6 +97,10 @@ class Query:
         """Packets of a vessel at least so far apart in time and place, without repeats inside ``repeats_ms``."""
         return replace(self, min_ms=min_ms, min_m=min_m, repeats_ms=repeats_ms)
 
+    def once(self) -> Query:
+        """A packet that was written again (a batch after a failure, a file imported twice) comes once."""
+        return replace(self, unrepeated=True)
+
     def table(self) -> str:
         """The access path; ten-degree cells where they are enabled and ten times fewer."""
         if self.kind != "area":
@@ -132,6 +137,8 @@ class Query:
             if self.exact:
                 south, west, north, east = self.box
                 rows = rows.where(F.col("carried_lat").between(south, north) & F.col("carried_lon").between(west, east))
+        if self.unrepeated:
+            rows = by_primary_key(rows, name)
         rows = self._filtered(rows, mids, tie)
         if self.repeats_ms is not None:
             rows = drop_repeats_within(rows, self.repeats_ms, tie=tie)

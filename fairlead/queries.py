@@ -15,8 +15,8 @@ from fairlead.functions.params import instant_ms
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
 from fairlead.schema import CARRY_MS, TEN_MINUTES_MS, TABLES
-from fairlead.sources import sinks
-from fairlead.sources.testdata import packets, packets_of
+from fairlead.sources import nmea, sinks
+from fairlead.sources.testdata import as_text, packets, packets_of
 from fairlead.streaming import ingest
 from fairlead.streaming.ingest import carry_positions
 
@@ -265,6 +265,27 @@ def source_json(spark, d):
     return track.source_json(track.with_countries(packets(spark, d), countries(spark, d)), "event_id")
 
 
+@query(P + """SELECT event_id, mmsi, msgtype, time_ms, lat, lon, sog, cog, hdg, acc, CASE WHEN msgtype IN (1, 3) THEN navstat END AS navstat, imo, name, callsign, shiptype,
+  source_id, source_country, region, base_station FROM p""")
+def packet_text(spark, d):
+    """Every event written as packet text and read back: sentences, tags and all fields of their messages."""
+    lines = as_text(spark.read.parquet(f"{d}/events.parquet"))
+    names = ["mmsi", "msgtype", "time_ms", "lat", "lon", "sog", "cog", "hdg", "acc", "navstat", "imo", "name", "callsign", "shiptype", "source_id", "source_country", "region", "base_station"]
+    return nmea.packets_of(lines).select(F.col("path").cast("long").alias("event_id"), *names)
+
+
+@query(P + "SELECT event_id, CAST(sog AS DOUBLE) / 10 AS tenths, upper(md5(aisdata)) AS request, trim(region) = '' AS blank FROM p")
+def text_rules(spark, d):
+    return packets(spark, d).select("event_id", exprs.tenths("sog").alias("tenths"), exprs.request_name(F.col("aisdata")).alias("request"), exprs.blank("region").alias("blank"))
+
+
+@query(P + f"SELECT event_id FROM p WHERE {INSIDE}")
+def scan_of_repeated_writes(spark, d):
+    """Packets that were written twice come once."""
+    rows = time_table(spark, d, T0, T1)
+    return Query.for_time().between(T0, T1).once().to_df({"packets_time": rows.union(rows)}).select("event_id")
+
+
 @query(P + f"SELECT event_id, url_encode('src ' || aisdata) AS encoded, printf('%.3f', lat) AS lat3 FROM p WHERE lat IS NOT NULL")
 def request_text(spark, d):
     rows = packets(spark, d).where("lat is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import digest, time_ms
+from fairlead.sources.nmea import SIX_BIT
 
 # Fixed values of this stand-in: AIS type by kind of event; the first three have positions, a sign-up static data.
 TYPES = {"view": 1, "click": 3, "purchase": 18, "signup": 5}
@@ -40,3 +41,41 @@ def packets(spark: SparkSession, sf_dir: str, t0_ms: int | None = None, t1_ms: i
     if t1_ms is not None:
         events = events.where(F.col("ts") < at(t1_ms + 1))
     return packets_of(events)
+
+
+def _bits(value, width: int):
+    """A whole number, or a negative one in two's complement, as so many 0 and 1."""
+    return F.substring(F.lpad(F.bin(value.cast("long")), 64, "0"), 65 - width, width)
+
+
+def _text_bits(text, chars: int):
+    code = lambda c: F.call_function("instr", F.lit(SIX_BIT), c) - 1
+    padded = F.rpad(text, chars, "@")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chars - 1)), lambda i: _bits(code(F.substring(padded, i + 1, F.lit(1))), 6)), "")
+
+
+def as_text(events: DataFrame) -> DataFrame:
+    """``(path, text, src_id)``: each event as the packet text that says it, to be read back; ``path`` is its id.
+
+    Static reports come in two sentences. Types without a position say their vessel alone.
+    """
+    p = packets_of(events)
+    c, kind, zero = F.col, F.col("msgtype"), lambda n: F.lit("0" * n)
+    head = [_bits(kind, 6), zero(2), _bits(c("mmsi"), 30)]
+    place = [_bits(c("acc"), 1), _bits(F.round(c("lon") * 600_000), 28), _bits(F.round(c("lat") * 600_000), 27), _bits(c("cog"), 12), _bits(c("hdg"), 9)]
+    bits = (
+        F.when(kind.isin(1, 3), F.concat(*head, _bits(c("navstat"), 4), zero(8), _bits(c("sog"), 10), *place, zero(31)))
+        .when(kind == 18, F.concat(*head, zero(8), _bits(c("sog"), 10), *place, zero(35)))
+        .when(kind == 5, F.concat(*head, zero(2), _bits(c("imo"), 30), _text_bits(c("callsign"), 7), _text_bits(c("name"), 20), _bits(c("shiptype"), 8), zero(184)))
+        .otherwise(F.concat(*head, zero(16)))
+    )
+    value = lambda i: F.conv(F.substring(c("bits"), i * 6 + 1, F.lit(6)), 2, 10).cast("int")
+    letter = lambda i: F.char(value(i) + F.when(value(i) < 40, 48).otherwise(56))
+    payload = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("bits") / 6).cast("int") - 1), letter), "")
+    ts = F.timestamp_millis(c("time_ms"))
+    none = lambda x: F.coalesce(x, F.lit(""))
+    tag = F.concat(F.lit("$PGHP,1,"), F.date_format(ts, "y,M,d,H,m,s,"), (c("time_ms") % 1000).cast("string"), F.lit(","), F.concat_ws(",", "source_country", none(c("region")), none(c("base_station"))), F.lit(",,2D*5B\n"))
+    one = F.concat(tag, F.lit("!BSVDM,1,1,,A,"), c("payload"), F.lit(",0*00"))
+    two = F.concat(tag, F.lit("!BSVDM,2,1,3,A,"), F.substring("payload", 1, 58), F.lit(",0*00\n!BSVDM,2,2,3,A,"), F.substring(c("payload"), F.lit(59), F.lit(999)), F.lit(",2*00"))
+    rows = p.withColumn("bits", bits).withColumn("payload", payload)
+    return rows.select(c("event_id").cast("string").alias("path"), F.when(kind == 5, two).otherwise(one).alias("text"), c("source_id").alias("src_id"))

@@ -3,9 +3,13 @@
 import io
 import json
 import os
+import shutil
+import subprocess
+import sys
 import zipfile
 from collections import Counter
 from datetime import datetime, timezone
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pytest
@@ -415,3 +419,20 @@ def test_carrying_query_reads_a_table_of_many_files(spark, tiny, tmp_path):
 
 def test_zip_helper_is_bytes():
     assert zipfile.is_zipfile(io.BytesIO(b"x")) is False
+
+
+def test_library_stands_without_its_optional_part(tmp_path):
+    """Without the subpackage and the pipeline the entry module imports and offers the other queries; a fault inside them is no absence."""
+    root = Path(__file__).parent.parent
+    for name in ("fairlead", "__spark_entry__.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    ask = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    run = lambda: subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    shutil.rmtree(tmp_path / "fairlead" / "llm", ignore_errors=True)
+    from fairlead import queries
+
+    assert run().stdout.split() == [str(len(queries.QUERIES)), "False", "True"]
+    (tmp_path / "fairlead" / "llm").mkdir()
+    (tmp_path / "fairlead" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    assert "no_such_module" in run().stderr
