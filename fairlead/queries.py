@@ -29,17 +29,21 @@ FILTER = "m.type=1,3 & (m.lat<-10.5|m.lat>10.5)"
 P = """WITH p AS (
   SELECT event_id, CAST(user_id AS INTEGER) AS mmsi, epoch_us(ts) // 1000 AS time_ms, value,
     CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 18 WHEN 'signup' THEN 5 ELSE 8 END AS msgtype,
-    CASE WHEN event_type IN ('view','click','purchase') THEN CAST((event_id * 7919) % 18000 AS DOUBLE) / 1e2 - 9e1 END AS lat,
-    CASE WHEN event_type IN ('view','click','purchase') THEN CAST((event_id * 104729) % 36000 AS DOUBLE) / 1e2 - 1.8e2 END AS lon,
-    CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 400 AS INTEGER) END AS sog, CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 3600 AS INTEGER) END AS cog,
-    CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 360 AS INTEGER) END AS hdg, CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 2 AS INTEGER) END AS acc,
-    CASE WHEN event_type IN ('view','click','purchase') THEN CAST(event_id % 16 AS INTEGER) END AS navstat, CASE WHEN event_type = 'signup' THEN CAST(9000000 + event_id % 1000000 AS INTEGER) END AS imo,
-    CASE WHEN event_type = 'signup' THEN 'SHIP ' || CAST(event_id % 50 AS VARCHAR) END AS name, CASE WHEN event_type = 'signup' THEN 'CS' || CAST(event_id % 70 AS VARCHAR) END AS callsign,
-    CASE WHEN event_type = 'signup' THEN CAST(30 + event_id % 10 AS INTEGER) END AS shiptype,
-    'src' || CAST(event_id % 3 AS VARCHAR) AS source_id, CASE WHEN event_id % 4 = 0 THEN 'SAT' ELSE 'LIVE' END AS source_type, CAST(event_id % 25 AS VARCHAR) AS source_country,
-    CASE WHEN event_id % 9 = 0 THEN ' ' ELSE CAST(event_id % 8 + 800 AS VARCHAR) END AS region, CASE WHEN event_id % 7 <> 0 THEN CAST(2190000 + event_id % 10 AS VARCHAR) END AS base_station,
+    CASE WHEN has THEN CAST((event_id * 7919) % 18000 AS DOUBLE) / 1e2 - 9e1 END AS lat,
+    CASE WHEN has THEN CAST((event_id * 104729) % 36000 AS DOUBLE) / 1e2 - 1.8e2 END AS lon,
+    CASE WHEN has THEN CAST(event_id % 400 AS INTEGER) END AS sog, CASE WHEN has THEN CAST(event_id % 3600 AS INTEGER) END AS cog,
+    CASE WHEN has THEN CAST(event_id % 360 AS INTEGER) END AS hdg, CASE WHEN has THEN CAST(event_id % 2 AS INTEGER) END AS acc,
+    CASE WHEN has THEN CAST(event_id % 16 AS INTEGER) END AS navstat,
+    CASE WHEN static THEN CAST(9000000 + event_id % 1000000 AS INTEGER) END AS imo,
+    CASE WHEN static THEN 'SHIP ' || CAST(event_id % 50 AS VARCHAR) END AS name,
+    CASE WHEN static THEN 'CS' || CAST(event_id % 70 AS VARCHAR) END AS callsign,
+    CASE WHEN static THEN CAST(30 + event_id % 10 AS INTEGER) END AS shiptype,
+    'src' || CAST(event_id % 3 AS VARCHAR) AS source_id, CASE WHEN event_id % 4 = 0 THEN 'SAT' ELSE 'LIVE' END AS source_type,
+    CAST(event_id % 25 AS VARCHAR) AS source_country,
+    CASE WHEN event_id % 9 = 0 THEN ' ' ELSE CAST(event_id % 8 + 800 AS VARCHAR) END AS region,
+    CASE WHEN event_id % 7 <> 0 THEN CAST(2190000 + event_id % 10 AS VARCHAR) END AS base_station,
     CAST(event_id AS VARCHAR) || '|' || props AS aisdata, md5(CAST(event_id AS VARCHAR) || '|' || props) AS digest
-  FROM events),
+  FROM (SELECT *, event_type IN ('view', 'click', 'purchase') AS has, event_type = 'signup' AS static FROM events)),
 c AS (SELECT *, max(CASE WHEN lat IS NOT NULL THEN {'t': time_ms, 'e': event_id, 'lat': lat, 'lon': lon} END)
         OVER (PARTITION BY mmsi ORDER BY time_ms RANGE BETWEEN 1200000 PRECEDING AND CURRENT ROW) AS pos FROM p),
 k AS (SELECT *, pos.lat AS clat, pos.lon AS clon FROM c)
@@ -87,7 +91,10 @@ def stats_half_open(spark, d):
 
 @query(P + f""", ch AS (SELECT unnest(range(0, ({(T1 - 1) // 600000} - {T0 // 600000}) // 10 + 1)) AS k),
 n AS (SELECT (time_ms // 600000 - {T0 // 600000}) // 10 AS k, count(*) AS n FROM p WHERE time_ms >= {T0} AND time_ms < {T1} GROUP BY 1)
-SELECT CAST(ch.k * 10 + {T0 // 600000} AS BIGINT) AS first_block, CAST(least(ch.k * 10 + {T0 // 600000} + 9, {(T1 - 1) // 600000}) AS BIGINT) AS last_block, CAST(coalesce(n.n, 0) AS BIGINT) AS n FROM ch LEFT JOIN n USING (k)""")
+SELECT CAST(ch.k * 10 + {T0 // 600000} AS BIGINT) AS first_block, CAST(least(ch.k * 10 + {T0 // 600000} + 9,
+    {(T1 - 1) // 600000}) AS BIGINT) AS last_block, CAST(coalesce(n.n, 0) AS BIGINT) AS n
+  FROM ch
+  LEFT JOIN n USING (k)""")
 def stats_chunked(spark, d):
     return reports.chunk_counts(packets(spark, d, T0, T1), T0, T1, 10)
 
@@ -132,7 +139,9 @@ def timeblock_derivation(spark, d):
     return packets(spark, d).select("event_id", exprs.timeblock("time_ms", 600_000).alias("block10m"), exprs.timeblock("time_ms", 2_592_000_000).alias("block30d"))
 
 
-@query(P + f"SELECT event_id, {CELL.format(d=1, n=360).replace('clat', 'lat').replace('clon', 'lon')} AS cell1, {CELL.format(d=10, n=36).replace('clat', 'lat').replace('clon', 'lon')} AS cell10, digest FROM p")
+@query(P + f"""SELECT event_id, {CELL.format(d=1, n=360).replace('clat', 'lat').replace('clon', 'lon')} AS cell1, {CELL.format(d=10, n=36).replace('clat',
+    'lat').replace('clon', 'lon')} AS cell10, digest
+  FROM p""")
 def derived_keys(spark, d):
     return packets(spark, d).select("event_id", exprs.cell("lat", "lon").alias("cell1"), exprs.cell("lat", "lon", 10).alias("cell10"), "digest")
 
@@ -165,7 +174,11 @@ def carry_forward_position(spark, d):
     return track.carry_forward(packets(spark, d), tie="event_id").select("event_id", "carried_lat", "carried_lon")
 
 
-@query(P + ", r AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms DESC, event_id DESC) AS rn FROM p WHERE lat IS NOT NULL) SELECT mmsi, time_ms, lat, lon FROM r WHERE rn = 1")
+@query(P + """, r AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms DESC, event_id DESC) AS rn
+  FROM p
+  WHERE lat IS NOT NULL) SELECT mmsi, time_ms, lat, lon
+  FROM r
+  WHERE rn = 1""")
 def last_position_per_mmsi(spark, d):
     return track.last_positions(packets(spark, d), tie="event_id")
 
@@ -179,13 +192,19 @@ def diff_missing(spark, d):
     return reports.missing_from(rows, rows.where(STORED)).select("event_id")
 
 
-@query(P + ", h AS (SELECT DISTINCT time_ms FROM p WHERE event_id % 3 <> 0) SELECT count(*) AS processed, count(h.time_ms) AS in_store, count(*) - count(h.time_ms) AS not_in_store FROM p LEFT JOIN h USING (time_ms)")
+@query(P + """, h AS (SELECT DISTINCT time_ms
+  FROM p
+  WHERE event_id % 3 <> 0) SELECT count(*) AS processed, count(h.time_ms) AS in_store, count(*) - count(h.time_ms) AS not_in_store
+  FROM p
+  LEFT JOIN h USING (time_ms)""")
 def diff_counts(spark, d):
     rows = time_table(spark, d)
     return reports.diff_counts(rows, rows.where(STORED))
 
 
-@query(P + f"SELECT event_id, time_ms, lat, lon FROM p WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27) AND source_type = 'LIVE' AND region IN ('801', '803', '806')")
+@query(P + f"""SELECT event_id, time_ms, lat, lon
+  FROM p
+  WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27) AND source_type = 'LIVE' AND region IN ('801', '803', '806')""")
 def past_track(spark, d):
     return track.past_track(packets(spark, d, T0, T1), 7, T0, T1, compile_filter("s.type=LIVE & s.region=801,803,806", only="s")).select("event_id", "time_ms", "lat", "lon")
 
@@ -216,9 +235,12 @@ def filter_bbox(spark, d):
     return rows.where(compile_filter("t.pos within bbox(15,-14,-18,10) & (t.lat<-0.3|t.lat>0.3)")).select("event_id")
 
 
-@query(P + """, t AS (SELECT *, last_value(shiptype IGNORE NULLS) OVER w AS target_type, last_value(name IGNORE NULLS) OVER w AS target_name, last_value(navstat IGNORE NULLS) OVER w AS target_navstat
+@query(P + """, t AS (SELECT *, last_value(shiptype IGNORE NULLS) OVER w AS target_type, last_value(name IGNORE NULLS) OVER w AS target_name,
+    last_value(navstat IGNORE NULLS) OVER w AS target_navstat
   FROM p WINDOW w AS (PARTITION BY mmsi ORDER BY time_ms, event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, target_type, target_name, target_navstat FROM t WHERE target_type IN (30, 32, 35) AND (upper(target_name) LIKE 'SHIP 1%' OR target_navstat = 5)""")
+SELECT event_id, target_type, target_name, target_navstat
+  FROM t
+  WHERE target_type IN (30, 32, 35) AND (upper(target_name) LIKE 'SHIP 1%' OR target_navstat = 5)""")
 def target_attr_filter(spark, d):
     rows = track.with_targets(packets(spark, d), tie="event_id")
     return rows.where(compile_filter("t.type=30,32,35 & (t.name like ship 1* | t.navstat=5)")).select("event_id", "target_type", "target_name", "target_navstat")
@@ -234,13 +256,18 @@ def country_dim_join(spark, d):
     return track.with_countries(packets(spark, d), countries(spark, d), F.col("mmsi") % 25).select("event_id", "country")
 
 
-@query(P + f"SELECT event_id FROM p JOIN nation s ON CAST(s.n_nationkey AS VARCHAR) = source_country WHERE {INSIDE} AND (s.n_name IN ('NATION_3', 'NATION_7') OR s.n_nationkey = 4)")
+@query(P + f"""SELECT event_id
+  FROM p
+  JOIN nation s ON CAST(s.n_nationkey AS VARCHAR) = source_country
+  WHERE {INSIDE} AND (s.n_name IN ('NATION_3', 'NATION_7') OR s.n_nationkey = 4)""")
 def filter_source_country(spark, d):
     query = Query.for_time().between(T0, T1).where("s.country=nation_3,NATION_7,XE")
     return query.to_df({"packets_time": time_table(spark, d, T0, T1)}, mids=countries(spark, d)).select("event_id")
 
 
-@query("SELECT o_orderkey, CAST(CASE WHEN m BETWEEN 200000000 AND 799999999 THEN m // 1000000 WHEN m BETWEEN 2000000 AND 7999999 THEN m // 10000 WHEN m BETWEEN 111200000 AND 111799999 THEN m // 1000 % 1000 WHEN m BETWEEN 982000000 AND 987999999 OR m BETWEEN 992000000 AND 997999999 THEN m // 10000 % 1000 END AS INTEGER) AS part FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 7919 % 1000000000 WHEN 1 THEN o_orderkey * 104729 % 10000000 WHEN 2 THEN 111000000 + o_orderkey * 31 % 1000000 ELSE 980000000 + o_orderkey * 911 % 20000000 END AS m FROM orders)")
+@query("""SELECT o_orderkey, CAST(CASE WHEN m BETWEEN 200000000 AND 799999999 THEN m // 1000000 WHEN m BETWEEN 2000000 AND 7999999 THEN m // 10000 WHEN m BETWEEN 111200000 AND 111799999 THEN m // 1000 % 1000 WHEN m BETWEEN 982000000 AND 987999999 OR m BETWEEN 992000000 AND 997999999 THEN m // 10000 % 1000 END AS INTEGER) AS part
+  FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 7919 % 1000000000 WHEN 1 THEN o_orderkey * 104729 % 10000000 WHEN 2 THEN 111000000 + o_orderkey * 31 % 1000000 ELSE 980000000 + o_orderkey * 911 % 20000000 END AS m
+  FROM orders)""")
 def country_numbers(spark, d):
     k = F.col("o_orderkey")
     mmsi = F.when(k % 4 == 0, k * 7919 % 1_000_000_000).when(k % 4 == 1, k * 104729 % 10_000_000).when(k % 4 == 2, 111_000_000 + k * 31 % 1_000_000).otherwise(980_000_000 + k * 911 % 20_000_000)
@@ -259,13 +286,16 @@ def past_track_json(spark, d):
     return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *[F.round(number(c) * 10).cast("int").alias(c) for c in ("sog", "cog")], *[number(c).cast("int").alias(c) for c in ("acc", "hdg")])
 
 
-@query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"', '"type":"' || source_type || '"', '"bs":"' || base_station || '"', '"id":"' || source_id || '"', CASE WHEN trim(region) <> '' THEN '"region":"' || region || '"' END) || '}' AS json
+@query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"',
+    '"type":"' || source_type || '"', '"bs":"' || base_station || '"', '"id":"' || source_id || '"',
+    CASE WHEN trim(region) <> '' THEN '"region":"' || region || '"' END) || '}' AS json
 FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_country""")
 def source_json(spark, d):
     return track.source_json(track.with_countries(packets(spark, d), countries(spark, d)), "event_id")
 
 
-@query(P + """SELECT event_id, mmsi, msgtype, time_ms, lat, lon, sog, cog, hdg, acc, CASE WHEN msgtype IN (1, 3) THEN navstat END AS navstat, imo, name, callsign, shiptype,
+@query(P + """SELECT event_id, mmsi, msgtype, time_ms, lat, lon, sog, cog, hdg, acc, CASE WHEN msgtype IN (1, 3) THEN navstat END AS navstat, imo, name,
+    callsign, shiptype,
   source_id, source_country, region, base_station FROM p""")
 def packet_text(spark, d):
     """Every event written as packet text and read back: sentences, tags and all fields of their messages."""
@@ -298,8 +328,14 @@ def table_export(spark, d):
     return sinks.table_lines(rows, ["mmsi", "time_ms", "msgtype"], ";")
 
 
-@query(P + """, r AS (SELECT *, time_ms // 86400000 AS day, (row_number() OVER (PARTITION BY mmsi, time_ms // 86400000 ORDER BY time_ms, digest) - 1) // 10000 AS run FROM p WHERE lat IS NOT NULL)
-SELECT mmsi, '<Placemark><name>' || mmsi || '</name><LineString><coordinates>' || string_agg(printf('%.6f,%.6f', lon, lat), ' ' ORDER BY time_ms, digest) || '</coordinates></LineString></Placemark>' AS value FROM r GROUP BY mmsi, day, run""")
+@query(P + """, r AS (SELECT *, time_ms // 86400000 AS day, (row_number() OVER (PARTITION BY mmsi, time_ms // 86400000 ORDER BY time_ms,
+    digest) - 1) // 10000 AS run
+  FROM p
+  WHERE lat IS NOT NULL)
+SELECT mmsi, '<Placemark><name>' || mmsi || '</name><LineString><coordinates>' || string_agg(printf('%.6f,%.6f', lon, lat),
+    ' ' ORDER BY time_ms, digest) || '</coordinates></LineString></Placemark>' AS value
+  FROM r
+  GROUP BY mmsi, day, run""")
 def kml_tracks(spark, d):
     return sinks.kml_tracks(packets(spark, d))
 
@@ -309,16 +345,25 @@ def resume_filter(spark, d):
     return Query.for_time().between(T0, T1).resume_after(T0 + 86_400_000).to_df({"packets_time": time_table(spark, d, T0, T1)}).select("event_id")
 
 
-@query(P + ", g AS (SELECT event_id, time_ms - lag(time_ms) OVER (PARTITION BY mmsi, msgtype ORDER BY time_ms, event_id) AS gap FROM p) SELECT event_id FROM g WHERE gap IS NULL OR gap > 3600000")
+@query(P + """, g AS (SELECT event_id, time_ms - lag(time_ms) OVER (PARTITION BY mmsi, msgtype ORDER BY time_ms, event_id) AS gap
+  FROM p) SELECT event_id
+  FROM g
+  WHERE gap IS NULL OR gap > 3600000""")
 def duplicate_window(spark, d):
     return track.drop_repeats_within(packets(spark, d).withColumn("payload", F.col("msgtype")), 3_600_000, tie="event_id").select("event_id")
 
 
-THIN_SQL = P.replace("WITH p", "WITH RECURSIVE p").replace("{", "{{").replace("}", "}}") + """, s AS (SELECT mmsi, event_id, time_ms, lat, lon, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms, event_id) AS rn FROM p {where}),
+THIN_SQL = P.replace("WITH p", "WITH RECURSIVE p").replace("{", "{{").replace("}", "}}") + """, s AS (SELECT mmsi, event_id, time_ms, lat, lon, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms, event_id) AS rn
+  FROM p {where}),
 w AS (SELECT mmsi, event_id, rn, time_ms AS kt, lat AS klat, lon AS klon, TRUE AS kept FROM s WHERE rn = 1
- UNION ALL SELECT s.mmsi, s.event_id, s.rn, CASE WHEN {far} THEN s.time_ms ELSE w.kt END, CASE WHEN {far} THEN s.lat ELSE w.klat END, CASE WHEN {far} THEN s.lon ELSE w.klon END, {far} FROM w JOIN s ON s.mmsi = w.mmsi AND s.rn = w.rn + 1)
+
+  UNION ALL SELECT s.mmsi, s.event_id, s.rn, CASE WHEN {far} THEN s.time_ms ELSE w.kt END, CASE WHEN {far} THEN s.lat ELSE w.klat END,
+    CASE WHEN {far} THEN s.lon ELSE w.klon END, {far}
+  FROM w
+  JOIN s ON s.mmsi = w.mmsi AND s.rn = w.rn + 1)
 SELECT event_id FROM w WHERE kept"""
-FAR_SQL = "(2 * 6371000.0 * asin(sqrt(pow(sin(radians(s.lat - w.klat) / 2), 2) + cos(radians(w.klat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - w.klon) / 2), 2))) >= 2500000)"
+FAR_SQL = """(2 * 6371000.0 * asin(sqrt(pow(sin(radians(s.lat - w.klat) / 2),
+    2) + cos(radians(w.klat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - w.klon) / 2), 2))) >= 2500000)"""
 
 
 @query(THIN_SQL.format(where="", far="(s.time_ms - w.kt >= 21600000)"))
@@ -346,8 +391,12 @@ def progress_pct(spark, d):
     return reports.progress(packets(spark, d).where(F.col("time_ms") < T1), T0, T1)
 
 
-@query(P + """, m AS (SELECT event_id, lat, lon, CAST(round(abs(lat) * 60000) AS BIGINT) AS a, CAST(round(abs(lon) * 60000) AS BIGINT) AS o FROM p WHERE lat IS NOT NULL)
-SELECT event_id, printf('%02d %06.3f%s %03d %06.3f%s', a // 60000, (a % 60000) / 1000.0, CASE WHEN lat < 0 THEN 'S' ELSE 'N' END, o // 60000, (o % 60000) / 1000.0, CASE WHEN lon < 0 THEN 'W' ELSE 'E' END) AS position FROM m""")
+@query(P + """, m AS (SELECT event_id, lat, lon, CAST(round(abs(lat) * 60000) AS BIGINT) AS a, CAST(round(abs(lon) * 60000) AS BIGINT) AS o
+  FROM p
+  WHERE lat IS NOT NULL)
+SELECT event_id, printf('%02d %06.3f%s %03d %06.3f%s', a // 60000, (a % 60000) / 1000.0, CASE WHEN lat < 0 THEN 'S' ELSE 'N' END,
+    o // 60000, (o % 60000) / 1000.0, CASE WHEN lon < 0 THEN 'W' ELSE 'E' END) AS position
+  FROM m""")
 def format_position(spark, d):
     return packets(spark, d).where("lat is not null").select("event_id", exprs.format_position(F.col("lat"), F.col("lon")).alias("position"))
 
@@ -364,24 +413,35 @@ def unit_convert(spark, d):
     return packets(spark, d).select("event_id", exprs.miles_to_km(v).alias("km"), exprs.km_to_miles(v).alias("nm"), exprs.miles_to_m(v).alias("m"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%kml%' THEN 'kml' WHEN p_name LIKE '%table%' THEN 'csv' WHEN p_name LIKE '%json%' THEN 'json' ELSE 'txt' END AS ending FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN 'kml' WHEN 1 THEN 'table' WHEN 2 THEN 'json' ELSE '' END AS p_name FROM part)")
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%kml%' THEN 'kml' WHEN p_name LIKE '%table%' THEN 'csv' WHEN p_name LIKE '%json%' THEN 'json' ELSE 'txt' END AS ending
+  FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN 'kml' WHEN 1 THEN 'table' WHEN 2 THEN 'json' ELSE '' END AS p_name
+  FROM part)""")
 def file_type(spark, d):
     k = F.col("p_partkey") % 4
     name = F.concat("p_name", F.when(k == 0, "kml").when(k == 1, "table").when(k == 2, "json").otherwise(""))
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", exprs.file_type(name).alias("ending"))
 
 
-@query("SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.1f bytes', n * 1.0) WHEN n < 1048576 THEN printf('%.1f kB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, o_orderkey * 97 + 1 AS n FROM orders)")
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.1f bytes', n * 1.0) WHEN n < 1048576 THEN printf('%.1f kB',
+    floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size
+  FROM (SELECT o_orderkey, o_orderkey * 97 + 1 AS n
+  FROM orders)""")
 def byte_size(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", exprs.byte_size(F.col("o_orderkey") * 97 + 1).alias("size"))
 
 
-@query(P + "SELECT event_id, printf('%02d:%02d:%02d', time_ms // 3600000 % 24, time_ms // 60000 % 60, time_ms // 1000 % 60) AS hms, strftime(make_timestamp(time_ms // 1000 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN time_ms % 1000 = 0 THEN 'Z' ELSE printf('.%03dZ', time_ms % 1000) END AS iso FROM p")
+@query(P + """SELECT event_id, printf('%02d:%02d:%02d', time_ms // 3600000 % 24, time_ms // 60000 % 60, time_ms // 1000 % 60) AS hms,
+    strftime(make_timestamp(time_ms // 1000 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN time_ms % 1000 = 0 THEN 'Z' ELSE printf('.%03dZ',
+    time_ms % 1000) END AS iso
+  FROM p""")
 def time_text(spark, d):
     return packets(spark, d).select("event_id", exprs.hms(F.col("time_ms") % 86_400_000).alias("hms"), exprs.iso_instant(F.col("time_ms")).alias("iso"))
 
 
-REPO_SQL = "SELECT name, updated, size, complete FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '.' ELSE '' END || 'f' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 5 = 0 THEN '.download' ELSE '.zip' END AS name, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS updated, o_orderkey AS size, o_orderkey % 5 <> 0 AS complete FROM orders) WHERE name NOT LIKE '.%'"
+REPO_SQL = """SELECT name, updated, size, complete
+  FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '.' ELSE '' END || 'f' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 5 = 0 THEN '.download' ELSE '.zip' END AS name, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS updated, o_orderkey AS size, o_orderkey % 5 <> 0 AS complete
+  FROM orders)
+  WHERE name NOT LIKE '.%'"""
 
 
 @query(REPO_SQL)
