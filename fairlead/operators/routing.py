@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairlead.functions.exprs import cell, timeblock, valid_position
 from fairlead.operators.track import carry_forward
@@ -88,4 +89,5 @@ def write_tables(packets: DataFrame, path: str, mode: str = "online", cell10: bo
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One stored table; empty where nothing has been written to it."""
-    return spark.read.parquet(path).where(F.col("table") == name).drop("table")
+    stored = T.StructType([*PLACED, T.StructField("table", T.StringType()), T.StructField("day", T.IntegerType())])
+    return spark.read.schema(stored).parquet(path).where(F.col("table") == name).drop("table")

@@ -75,7 +75,7 @@ def _text(bits: Column, start: int, length: int) -> Column:
     return F.nullif(F.rtrim(F.regexp_replace(joined, "@.*$", "")), F.lit(""))
 
 
-_SENTENCE = re.compile(r"((?:\$PGHP,[^\r\n]*\r?\n)?)(![A-Z]{5},[^\r\n]*)")
+_SENTENCE = re.compile(r"((?:\$PGHP,[^\r\n]*\r?\n)?(?:\\[^\\\r\n]*\\)?)(![A-Z]{5},[^\r\n]*)")
 #: So many messages may wait for their other sentences at once; the oldest then goes as it is.
 MOST_OPEN = 1000
 
@@ -126,7 +126,8 @@ def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
     """Packets of ``(path, text, src_id)``, with ``path``: a tag line belongs to the sentence after it, and sentences of one
     message are one packet with the tag of its first.
 
-    The tag gives time, country (its number), region and base station; ``source_type`` is what the caller knows of the
+    The tag gives time, country (its number), region and base station; without one, the time may stand in a comment block
+    in front of the sentence (``c:`` and seconds or milliseconds since the epoch, between backslashes). ``source_type`` is what the caller knows of the
     source. Position reports give position, speed, course, heading and status; static reports (types 5, 19 and 24) give
     IMO number, name, call sign and ship type. A payload that can't be read, or is too short for a field, leaves it null,
     and a packet without a tag has no time.
@@ -143,6 +144,7 @@ def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
     def pick(places: list[tuple], value) -> Column:
         return F.coalesce(*[F.when(F.col("msgtype").isin(*types) & (n >= start + length), value(start, length, *more)) for types, start, length, *more in places], F.lit(None))
 
+    noted = F.regexp_extract("aisdata", r"^\\[^\\]*?\bc:(\d{1,13})\b", 1)
     part_24 = F.when((F.col("msgtype") == 24) & (n >= 160), _unsigned(bits, 38, 2))
     of_24 = lambda which, value, start, length: F.when((part_24 == which) & (n >= start + length), value(bits, start, length))
     said = {c: pick(at, lambda s, k: _unsigned(bits, s, k).cast("int")) for c, at in NUMBERS.items()}
@@ -155,7 +157,7 @@ def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
         "callsign": F.coalesce(said["callsign"], of_24(1, _text, *PART_CALLSIGN)),
         "shiptype": F.coalesce(said["shiptype"], of_24(1, _unsigned, *PART_TYPE).cast("int")),
         "mmsi": F.when(F.col("msgtype").isNotNull(), _unsigned(bits, 8, 30)).cast("int"),
-        "time_ms": F.unix_millis("at") + F.coalesce("ms", F.lit(0)), "digest": F.md5("aisdata"), "source_type": F.lit(source_type).cast("string"),
+        "time_ms": F.coalesce(F.unix_millis("at") + F.coalesce("ms", F.lit(0)), F.when(F.length(noted) > 10, noted.try_cast("long")).otherwise(noted.try_cast("long") * 1000)), "digest": F.md5("aisdata"), "source_type": F.lit(source_type).cast("string"),
     }
     rows = rows.withColumns(said)
     return rows.select("path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET])

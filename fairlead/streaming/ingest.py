@@ -136,8 +136,12 @@ def replay_files(spark: SparkSession, folder: str, store: Callable[[DataFrame],
 
 
 def live_packets(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:
-    """Packets of live sources: each line is read for itself, so a message of several sentences on several lines has no payload."""
-    return nmea.packets_of(live_sources(spark, sources).select(F.lit(None).cast("string").alias("path"), F.col("value").alias("text"), "src_id"), "LIVE")
+    """Packets of live sources; one that says no time has the time of its arrival.
+
+    Each line is read for itself: of a message of several sentences on several lines no vessel is known.
+    """
+    lines = live_sources(spark, sources).select(F.lit(None).cast("string").alias("path"), F.col("value").alias("text"), "src_id")
+    return nmea.packets_of(lines, "LIVE").withColumn("time_ms", F.coalesce("time_ms", F.unix_millis(F.current_timestamp())))
 
 
 def live_sources(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:

@@ -4,8 +4,11 @@ import io
 import json
 import os
 import shutil
+import socket
 import subprocess
 import sys
+import threading
+import time
 import zipfile
 from collections import Counter
 from datetime import datetime, timezone
@@ -340,6 +343,38 @@ def test_backup_files_are_taken_or_set_aside(spark, real, tmp_path):
     assert ingest.replay_files(spark, str(folder), lambda p: taken.append(p.count())) == {"taken": 0, "unreadable": 0} and len(taken) == 1
 
 
+def test_live_sources_are_archived(spark, tmp_path):
+    """Lines of two sockets, with and without a time of their own, end in the tables under their group's name."""
+    noted = [f"\\s:x,c:{1_425_618_000 + k}*00\\!BSVDM,1,1,,A,{position(1, 219_000_123, 55.0, 10.0 + k)},0*00" for k in range(3)]
+    bare = [f"!BSVDM,1,1,,A,{position(18, 257_074_900, 60.0, 5.0)},0*00", "noise"]
+    servers = [socket.create_server(("localhost", 0)) for _ in range(2)]
+
+    def serve(server, lines):
+        peer, _ = server.accept()
+        with peer:
+            peer.sendall(("\n".join(lines) + "\n").encode())
+            done.wait(90)
+
+    done = threading.Event()
+    threads = [threading.Thread(target=serve, args=x, daemon=True) for x in zip(servers, (noted, bare))]
+    for t in threads:
+        t.start()
+    group = {"north": [("localhost", x.getsockname()[1]) for x in servers]}
+    query = ingest.archive(ingest.live_packets(spark, group), str(tmp_path / "out"), str(tmp_path / "cp"), processingTime="1 second")
+    try:
+        began, rows = time.monotonic(), []
+        while len(rows) < 4 and time.monotonic() - began < 90:
+            time.sleep(1)
+            if (tmp_path / "out" / "_SUCCESS").exists():
+                rows = routing.read_table(spark, str(tmp_path / "out"), "packets_mmsi").collect()
+    finally:
+        done.set()
+        query.stop()
+    assert sorted((r["mmsi"], r["lon"]) for r in rows) == [(219_000_123, 10.0), (219_000_123, 11.0), (219_000_123, 12.0), (257_074_900, 5.0)]
+    assert {r["time_ms"] for r in rows if r["mmsi"] == 219_000_123} == {1_425_618_000_000 + 1000 * k for k in range(3)} and all(r["time_ms"] for r in rows)
+    assert {(r["source_id"], r["source_type"]) for r in rows} == {("north", "LIVE")}
+
+
 def test_failed_batches_are_logged_and_kept(spark, tiny, tmp_path, caplog):
     def fails(batch, number):
         raise ValueError("no room")
