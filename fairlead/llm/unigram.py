@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from fairlead.llm.vocabulary import MARK, Vocabulary
 MOST_KNOWN, KNOWN_BYTES = 400_000, 64
 #: Chunks of more bytes than this are searched in arrays of numbers, which take 16 bytes a byte of text.
 LONG_CHUNK = 1 << 14
+#: Chunks of up to ARRAY_BYTES are searched side by side in arrays, SIDE_BY_SIDE of them at once; texts are taken in groups of about GROUP_CHARS.
+ARRAY_BYTES, SIDE_BY_SIDE, GROUP_CHARS = 64, 4096, 1 << 20
 #: Cells of the double array that are tried at once.
 WINDOW = 2048
 
@@ -115,6 +117,99 @@ class UnigramCodec:
         self.chunks = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n|" if apart else "(?s).+").findall
         self.table = {i: p.replace(MARK, " ").encode() for i, p in zip(vocabulary.ids, pieces)}
         self.table |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+        self.arrays = tuple(np.array(x) for x in (self.trie.base, self.trie.check, vocabulary.scores, vocabulary.ids, vocabulary.byte_ids))
+        self.no_nul = all("\0" not in p for p in pieces) and len(vocabulary.byte_ids) == 256
+
+    def _side_by_side(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of short chunks as ``_viterbi`` finds them, a start place at a time over an array of chunks; order as given."""
+        base, check, scores, ids, byte_ids = self.arrays
+        out: list[bytes] = [b""] * len(chunks)
+        order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
+        for a in range(0, len(order), SIDE_BY_SIDE):
+            own = order[a : a + SIDE_BY_SIDE]
+            n = np.array([len(chunks[k]) for k in own])
+            wide = int(n[-1]) + 4
+            text = np.frombuffer(b"".join([chunks[k].ljust(wide, b"\0") for k in own]), dtype=np.uint8).reshape(len(own), wide)
+            best, begun, chosen = np.full(text.shape, -np.inf), np.zeros(text.shape, dtype=np.int16), np.full(text.shape, -1, dtype=np.int32)
+            best[:, 0] = 0.0
+            lead = (text & 0xC0) != 0x80
+            width = 1 + (text >= 0xC0).astype(np.int8) + (text >= 0xE0) + (text >= 0xF0)
+
+            def offer(rows: np.ndarray, i: int, j, score: np.ndarray, value, best=best, begun=begun, chosen=chosen) -> None:
+                better = score > best[rows, j]
+                rows, j = rows[better], j[better] if isinstance(j, np.ndarray) else j
+                best[rows, j], begun[rows, j] = score[better], i
+                chosen[rows, j] = value[better] if isinstance(value, np.ndarray) else value
+
+            for i in range(int(n[-1])):
+                rows = np.flatnonzero((n > i) & lead[:, i])
+                if not len(rows):
+                    continue
+                bare = np.ones(len(own), dtype=bool)
+                alive, node, j = rows, np.zeros(len(rows), dtype=np.int64), i
+                while len(alive):
+                    to = base[node] + text[alive, j] + 1
+                    ok = check[to] == node
+                    alive, node, j = alive[ok], to[ok], j + 1
+                    cell = base[node]
+                    value = base[cell]
+                    hit = (check[cell] == node) & (value < 0)
+                    if hit.any():
+                        at, piece = alive[hit], -value[hit] - 1
+                        bare[at[width[at, i] == j - i]] = False
+                        offer(at, i, j, best[at, i] + scores[piece], piece)
+                left = rows[bare[rows]]
+                if len(left):
+                    offer(left, i, i + width[left, i].astype(np.int64), best[left, i] + self.unknown, -1)
+            # Back from the ends: each piece's id, or each byte's, stands where it begins.
+            found = np.full(text.shape, -1, dtype=np.int32)
+            rows, end = np.arange(len(own)), n.copy()
+            while len(rows):
+                i, value = begun[rows, end].astype(np.int64), chosen[rows, end]
+                known = value >= 0
+                found[rows[known], i[known]] = ids[value[known]]
+                for k in range(4):
+                    more = ~known & (i + k < end)
+                    found[rows[more], i[more] + k] = byte_ids[text[rows[more], i[more] + k]]
+                rows, end = rows[i > 0], i[i > 0]
+            held = found >= 0
+            flat, stops = found[held].astype("<i4").tobytes(), 4 * np.cumsum(held.sum(axis=1))
+            for k, x, y in zip(own, [0, *stops.tolist()], stops.tolist()):
+                out[k] = flat[x:y]
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode_bytes`` of each text; what a group of texts has that isn't known is searched together."""
+        own: list[str] = []
+        held = 0
+        for text in texts:
+            own.append(text)
+            held += len(text)
+            if held > GROUP_CHARS:
+                yield from self._group(own)
+                own, held = [], 0
+        yield from self._group(own)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if len(self.newer) > MOST_KNOWN // 2:
+            self.newer, self.older = {}, self.newer
+        cut = [self.chunks(self._marked(t, True)) if t and MARK not in t else None for t in texts]
+        if self.no_nul:
+            new, raws = [], []
+            for c in set().union(*filter(None, cut)).difference(self.newer):
+                known = self.older.get(c)
+                if known is not None:
+                    self.newer[c] = known
+                    continue
+                raw = c.encode()
+                if len(raw) <= ARRAY_BYTES:
+                    new.append(c)
+                    raws.append(raw)
+            self.newer.update(zip(new, self._side_by_side(raws)))
+        return [self._ids(chunks) if chunks is not None else self.encode_bytes(t, turn=False) for t, chunks in zip(texts, cut)]
+
+    def _marked(self, text: str, front: bool) -> str:
+        return (MARK if front and self.dummy_prefix else "") + text.replace(" ", MARK)
 
     def _viterbi(self, chunk: bytes) -> list[int]:
         n, scores, ids = len(chunk), self.vocabulary.scores, self.vocabulary.ids
@@ -150,10 +245,15 @@ class UnigramCodec:
             n = i
         return out[::-1]
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Little-endian 32-bit ids (array's order of bytes is the machine's: little-endian ones are meant)."""
+    def encode_bytes(self, text: str, turn: bool = True) -> bytes:
+        """Little-endian 32-bit ids (array's order of bytes is the machine's: little-endian ones are meant).
+
+        ``turn`` lets the older half of the known chunks go when it is time.
+        """
         if not text:
             return b""
+        if turn and len(self.newer) > MOST_KNOWN // 2:
+            self.newer, self.older = {}, self.newer
         if MARK in text:
             # Parts between marks; each mark goes by its bytes.
             mark = np.array([self.vocabulary.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
@@ -162,10 +262,13 @@ class UnigramCodec:
         return self._encoded(text, True)
 
     def _encoded(self, text: str, front: bool) -> bytes:
-        marked = (MARK if front and self.dummy_prefix else "") + text.replace(" ", MARK)
-        chunks = self.chunks(marked)
-        if len(self.newer) > MOST_KNOWN // 2:
-            self.newer, self.older = {}, self.newer
+        return self._ids(self.chunks(self._marked(text, front)))
+
+    def _ids(self, chunks: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.newer.__getitem__, chunks))
+        except KeyError:
+            pass
         known, older, long = self.newer, self.older, {}
         for c in set(chunks):
             if c not in known:
@@ -198,11 +301,9 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for batch in batches:
-            parts, trips = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                parts.append(codec.encode_bytes(text))
-                trips.append(codec.decode(np.frombuffer(parts[-1], dtype="<i4").tolist()) == text)
+            texts = [text.as_py() or "" for text in batch.column(1)]
+            parts = list(codec.encode_all(texts))
+            trips = [codec.decode(np.frombuffer(part, dtype="<i4").tolist()) == text for part, text in zip(parts, texts)]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.diff(ends), pa.int64()), pa.array(trips)], names=["doc_id", "ids", "n_ids", "round_trip"])
