@@ -25,13 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder as Parquet and read again, and its path; unlike a checkpoint, by column."""
+_passing: list[str] = []
+
+
+def stored(df: DataFrame, name: str, passing: bool = False) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder as Parquet and read again, and its path; unlike a checkpoint, by column.
+
+    ``passing`` ones are held only by what their operator returns: once that is written, ``sweep`` deletes them.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if passing:
+        _passing.append(path)
     return df.sparkSession.read.parquet(path), path
 
 
+def in_passing() -> int:
+    """How many passing folders there are."""
+    return len(_passing)
+
+
+def sweep(spark: SparkSession, but: int = 0) -> None:
+    """Delete the passing folders but the first so many; the results of their operators have all been written."""
+    while len(_passing) > but:
+        remove(spark, _passing.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``stored`` wrote, once nothing reads it any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

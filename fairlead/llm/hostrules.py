@@ -118,7 +118,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     """
     measured = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host_col).alias("of"), text_measures(F.col(text_col)).alias("m"))
     based = measured.select("row", "of", base_rule("m").alias("base_failed"))
-    written, _ = stored(based.select("of", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")), "measured")
+    written, _ = stored(based.select("of", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")), "measured", passing=True)
     verdicts = host_verdicts(written.select("of", "base_failed"), "of", most_rate)
     passed = written.where(~F.col("base_failed")).select("row", "of")
     return with_host_verdicts(passed, verdicts, "of").where("host_ok").select("row.*")

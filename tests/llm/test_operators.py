@@ -838,7 +838,7 @@ def test_pipeline(spark, tiny):
     roots = components(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
     left = corpus_pipeline.near_dedup(spark, cut, tiny)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(roots.values())
-    folders = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:") + "/pipeline-*"))
+    folders = lambda: {x for kind in ("pipeline", "measured") for x in glob.glob(f"{shared_dir(spark).removeprefix('file:')}/{kind}-*")}
     before = folders()
     packed = corpus_pipeline.run(spark, tiny).collect()
     assert folders() == before
