@@ -14,7 +14,7 @@ from fairlead.functions.filters import compile_filter
 from fairlead.functions.params import instant_ms
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
-from fairlead.schema import CARRY_MS, TEN_MINUTES_MS, TABLES
+from fairlead.schema import CARRY_MS, PACKET, TEN_MINUTES_MS, TABLES
 from fairlead.sources import nmea, sinks
 from fairlead.sources.testdata import as_text, packets, packets_of
 from fairlead.streaming import ingest
@@ -136,7 +136,8 @@ def area_scan_exact(spark, d):
 
 @query(P + "SELECT event_id, CAST(time_ms // 600000 AS INTEGER) AS block10m, CAST(time_ms // 2592000000 AS INTEGER) AS block30d FROM p")
 def timeblock_derivation(spark, d):
-    return packets(spark, d).select("event_id", exprs.timeblock("time_ms", 600_000).alias("block10m"), exprs.timeblock("time_ms", 2_592_000_000).alias("block30d"))
+    block = lambda width, name: exprs.timeblock("time_ms", width).alias(name)
+    return packets(spark, d).select("event_id", block(600_000, "block10m"), block(2_592_000_000, "block30d"))
 
 
 @query(P + f"""SELECT event_id, {CELL.format(d=1, n=360).replace('clat', 'lat').replace('clon', 'lon')} AS cell1, {CELL.format(d=10, n=36).replace('clat',
@@ -206,7 +207,8 @@ def diff_counts(spark, d):
   FROM p
   WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27) AND source_type = 'LIVE' AND region IN ('801', '803', '806')""")
 def past_track(spark, d):
-    return track.past_track(packets(spark, d, T0, T1), 7, T0, T1, compile_filter("s.type=LIVE & s.region=801,803,806", only="s")).select("event_id", "time_ms", "lat", "lon")
+    source = compile_filter("s.type=LIVE & s.region=801,803,806", only="s")
+    return track.past_track(packets(spark, d, T0, T1), 7, T0, T1, source).select("event_id", "time_ms", "lat", "lon")
 
 
 @query(P + "SELECT event_id, CASE WHEN lat IS NULL THEN '{}' ELSE CAST(to_json({'lat': lat, 'lon': lon}) AS VARCHAR) END AS json FROM p")
@@ -248,7 +250,8 @@ def target_attr_filter(spark, d):
 
 def countries(spark, d) -> DataFrame:
     """The test tables' nations as a table of country numbers; XA and on are their codes of two letters."""
-    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("mid"), F.col("n_name").alias("alpha3"), F.concat(F.lit("X"), F.char(65 + F.col("n_nationkey"))).alias("alpha2"))
+    two = F.concat(F.lit("X"), F.char(65 + F.col("n_nationkey")))
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("mid"), F.col("n_name").alias("alpha3"), two.alias("alpha2"))
 
 
 @query(P + "SELECT event_id, n_name AS country FROM p JOIN nation ON n_nationkey = mmsi % 25")
@@ -270,7 +273,12 @@ def filter_source_country(spark, d):
   FROM orders)""")
 def country_numbers(spark, d):
     k = F.col("o_orderkey")
-    mmsi = F.when(k % 4 == 0, k * 7919 % 1_000_000_000).when(k % 4 == 1, k * 104729 % 10_000_000).when(k % 4 == 2, 111_000_000 + k * 31 % 1_000_000).otherwise(980_000_000 + k * 911 % 20_000_000)
+    mmsi = (
+        F.when(k % 4 == 0, k * 7919 % 1_000_000_000)
+        .when(k % 4 == 1, k * 104729 % 10_000_000)
+        .when(k % 4 == 2, 111_000_000 + k * 31 % 1_000_000)
+        .otherwise(980_000_000 + k * 911 % 20_000_000)
+    )
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", track.country_part(mmsi).alias("part"))
 
 
@@ -283,7 +291,9 @@ def past_track_json(spark, d):
     json = F.col("json")
     number = lambda name: F.get_json_object(json, f"$.{name}").cast("double")
     shown = track.track_json(rows, "event_id")
-    return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *[F.round(number(c) * 10).cast("int").alias(c) for c in ("sog", "cog")], *[number(c).cast("int").alias(c) for c in ("acc", "hdg")])
+    tenths = [F.round(number(c) * 10).cast("int").alias(c) for c in ("sog", "cog")]
+    whole = [number(c).cast("int").alias(c) for c in ("acc", "hdg")]
+    return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *tenths, *whole)
 
 
 @query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"',
@@ -300,13 +310,14 @@ def source_json(spark, d):
 def packet_text(spark, d):
     """Every event written as packet text and read back: sentences, tags and all fields of their messages."""
     lines = as_text(spark.read.parquet(f"{d}/events.parquet"))
-    names = ["mmsi", "msgtype", "time_ms", "lat", "lon", "sog", "cog", "hdg", "acc", "navstat", "imo", "name", "callsign", "shiptype", "source_id", "source_country", "region", "base_station"]
+    names = [f.name for f in PACKET if f.name not in ("digest", "aisdata", "source_type")]
     return nmea.packets_of(lines).select(F.col("path").cast("long").alias("event_id"), *names)
 
 
 @query(P + "SELECT event_id, CAST(sog AS DOUBLE) / 10 AS tenths, upper(md5(aisdata)) AS request, trim(region) = '' AS blank FROM p")
 def text_rules(spark, d):
-    return packets(spark, d).select("event_id", exprs.tenths("sog").alias("tenths"), exprs.request_name(F.col("aisdata")).alias("request"), exprs.blank("region").alias("blank"))
+    request = exprs.request_name(F.col("aisdata"))
+    return packets(spark, d).select("event_id", exprs.tenths("sog").alias("tenths"), request.alias("request"), exprs.blank("region").alias("blank"))
 
 
 @query(P + f"SELECT event_id FROM p WHERE {INSIDE}")
@@ -467,9 +478,14 @@ def stream_carry_forward(spark, d):
     One micro-batch: files in no order of time may hold packets of any age. Its window sorts and spills in the executors.
     """
     folder = scratch(spark, "carried")
-    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # as a pattern, since a stream takes a path itself for a folder
+    # As a pattern, since a stream takes a path itself for a folder.
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
     names = ["event_id", "carried_lat", "carried_lon"]
-    carry_positions(packets_of(source), f"{folder}/checkpoint", lambda batch, number: batch.select(*names).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), tie="event_id").awaitTermination()
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.select(*names).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    carry_positions(packets_of(source), f"{folder}/checkpoint", store, tie="event_id").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*names)
 
 

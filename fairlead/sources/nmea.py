@@ -137,7 +137,8 @@ def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
     part = lambda i: F.nullif(F.try_element_at(tag, F.lit(i)), F.lit(""))
     number = lambda i: part(i).try_cast("int")
     when = F.try_make_timestamp(number(2), number(3), number(4), number(5), number(6), number(7).cast("decimal(8,6)"))
-    rows = tagged.select("path", F.col("src_id").alias("source_id"), "aisdata", when.alias("at"), number(8).alias("ms"), part(9).alias("source_country"), part(10).alias("region"), part(11).alias("base_station"), _bits(F.col("payload")).alias("bits"))
+    source = [part(9).alias("source_country"), part(10).alias("region"), part(11).alias("base_station")]
+    rows = tagged.select("path", F.col("src_id").alias("source_id"), "aisdata", when.alias("at"), number(8).alias("ms"), *source, _bits(F.col("payload")).alias("bits"))
     bits, n = F.col("bits"), F.length("bits")
     rows = rows.withColumn("msgtype", F.when(n >= 38, _unsigned(bits, 0, 6)).cast("int"))
 
@@ -145,6 +146,7 @@ def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
         return F.coalesce(*[F.when(F.col("msgtype").isin(*types) & (n >= start + length), value(start, length, *more)) for types, start, length, *more in places], F.lit(None))
 
     noted = F.regexp_extract("aisdata", r"^\\[^\\]*?\bc:(\d{1,13})\b", 1)
+    noted_ms = noted.try_cast("long") * F.when(F.length(noted) > 10, 1).otherwise(1000)
     part_24 = F.when((F.col("msgtype") == 24) & (n >= 160), _unsigned(bits, 38, 2))
     of_24 = lambda which, value, start, length: F.when((part_24 == which) & (n >= start + length), value(bits, start, length))
     said = {c: pick(at, lambda s, k: _unsigned(bits, s, k).cast("int")) for c, at in NUMBERS.items()}
@@ -157,7 +159,7 @@ def packets_of(lines: DataFrame, source_type: str | None = None) -> DataFrame:
         "callsign": F.coalesce(said["callsign"], of_24(1, _text, *PART_CALLSIGN)),
         "shiptype": F.coalesce(said["shiptype"], of_24(1, _unsigned, *PART_TYPE).cast("int")),
         "mmsi": F.when(F.col("msgtype").isNotNull(), _unsigned(bits, 8, 30)).cast("int"),
-        "time_ms": F.coalesce(F.unix_millis("at") + F.coalesce("ms", F.lit(0)), F.when(F.length(noted) > 10, noted.try_cast("long")).otherwise(noted.try_cast("long") * 1000)), "digest": F.md5("aisdata"), "source_type": F.lit(source_type).cast("string"),
+"time_ms": F.coalesce(F.unix_millis("at") + F.coalesce("ms", F.lit(0)), noted_ms), "digest": F.md5("aisdata"), "source_type": F.lit(source_type).cast("string"),
     }
     rows = rows.withColumns(said)
     return rows.select("path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET])
