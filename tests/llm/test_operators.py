@@ -617,6 +617,15 @@ def test_url_trees_learn_forms_and_not_names(spark):
     assert verdicts == ["allow"] * 4 + ["block"] * 2
 
 
+def test_url_rules_of_one_length(spark):
+    """Of two rules of one length that fit, the last by text decides, in whatever order they are given."""
+    rules = [("block", "b.com/"), ("allow", "com/a/")]
+    urls = spark.createDataFrame([("http://a.b.com/a/x",), ("http://a.b.com/c",), ("http://c.com/a/",), ("http://ab.com/a",)], "url string")
+    for order in (rules, rules[::-1]):
+        rows = urlgbt.with_parts(urls).select(*[c.alias(n) for c, n in zip(urlgbt.rule_for(F.col("host"), F.col("path"), order), ("rule", "said"))])
+        assert [tuple(r) for r in rows.collect()] == [("com/a/", "allow"), ("b.com/", "block"), ("com/a/", "allow"), (None, None)]
+
+
 def test_url_labels_come_from_pages(spark, tiny):
     """A page whose text is too short or repeats is labelled bad whatever its URL is; the query judges every page."""
     fine, thin, again = (" ".join(f"w{i}" for i in range(60)), "too short", "one two three four five six seven eight nine " * 9)
