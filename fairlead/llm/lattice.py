@@ -7,6 +7,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -225,7 +226,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             keys = list(train.keys() | rest.keys())
-            out = [pa.array([k.decode() for k in keys], pa.string()), pa.array([train[k] for k in keys], pa.int64()), pa.array([train[k] + rest[k] for k in keys], pa.int64())]
+            learnt, others = (np.fromiter(map(x.get, keys, repeat(0)), np.int64, len(keys)) for x in (train, rest))
+            out = [pa.array(keys, pa.binary()).cast(pa.string()), pa.array(learnt), pa.array(learnt + others)]
             train.clear(), rest.clear()
             return pa.RecordBatch.from_arrays(out, names=["word", "n_train", "n_all"])
 
@@ -323,30 +325,29 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 3, id
 
     table = stable(counts.mapInArrow(weigh, "word string, n_train long, n_all long, log_p double"))
     top = most_frequent(table, head_words).collect()
-    head = spark.sparkContext.broadcast({r["word"].encode(): (r["n_train"] > 0, math.log10((r["n_train"] + 0.5) / scale), r["log_p"]) for r in top})
-    end = (ends > 0, math.log10((ends + 0.5) / scale), model.end / math.log(10))
+    # Places of the words, and their figures with a row of zeros behind for all others.
+    places = {r["word"].encode(): i for i, r in enumerate(top)}
+    figures = np.array([*((r["n_train"] > 0, math.log10((r["n_train"] + 0.5) / scale), r["log_p"]) for r in top), (0, 0, 0)], dtype=float)
+    head = spark.sparkContext.broadcast((places, figures))
+    end = np.array([ends > 0, math.log10((ends + 0.5) / scale), model.end / math.log(10)])
+    names = ["n_tokens", "known", "base", "score", "rare", "times"]
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        places, figures = head.value
         for batch in batches:
-            tokens, found, base, score, rare, times = [], [], [], [], [], []
+            tokens, sums, rare, times = [], [], [], []
             for text in batch.column(1):
                 own = words(text.as_py())
-                k, b, s = int(end[0]), end[1], end[2]
-                others: list[str] = []
-                often: list[int] = []
-                for word, m in Counter(own).items():
-                    x = known.get(word)
-                    if x is None:
-                        others.append(word.decode())
-                        often.append(m)
-                    else:
-                        k, b, s = k + m * x[0], b + m * x[1], s + m * x[2]
-                for to, x in zip((tokens, found, base, score, rare, times), (len(own) + 1, k, b, s, others, often)):
-                    to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            names = ["n_tokens", "known", "base", "score", "rare", "times"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip((tokens, found, base, score, rare, times), kinds))], names=["doc_id", "learns", *names])
+                at = np.fromiter(map(places.get, own, repeat(len(places))), np.int64, len(own))
+                tokens.append(len(own) + 1)
+                sums.append(figures[at].sum(axis=0) + end)
+                others = Counter([own[i] for i in np.flatnonzero(at == len(places)).tolist()])
+                rare.append(list(others))
+                times.append(list(others.values()))
+            known, base, score = np.array(sums).reshape(-1, 3).T
+            columns = [pa.array(tokens, pa.int64()), pa.array(np.rint(known).astype(np.int64)), pa.array(base.copy()), pa.array(score.copy())]
+            columns += [pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "learns", *names])
 
     summed = stable(rows.mapInArrow(total, "doc_id long, learns boolean, n_tokens long, known long, base double, score double, rare array<string>, times array<long>"))
     summed = summed.withColumn("row", F.monotonically_increasing_id())
