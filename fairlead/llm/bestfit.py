@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -76,6 +77,8 @@ class WordTokenizer:
         self.apart = all(own(f"{m}{w}{m}") == own(m) + own(w) + own(m) for m in [*marks, marks] for w in ("a", "word", "s", "Élan"))
         letters = [c for c in map(chr, range(0x180)) if LETTERS(c.encode())]
         self.table = {ord(c): self._before_model(c) for c in letters}
+        #: ASCII letters reach the model in lower case and nothing else happens to them.
+        self.lowers = all(self.table[ord(c)] == c.lower() for c in string.ascii_letters)
         self.direct = all(own(w) == self._letters(w.encode()) for w in [*letters, *(f"x{c}" for c in letters), *(f"{c}e" for c in letters), "".join(letters), "word", "WORD"])
 
     def _before_model(self, text: str) -> str:
@@ -84,11 +87,14 @@ class WordTokenizer:
         return "".join([p for p, _ in parts.pre_tokenize_str(text)]) if parts else text
 
     def _letters(self, word: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.decode().translate(self.table))]
+        text = word.lower().decode() if self.lowers and word.isascii() else word.decode().translate(self.table)
+        return [t.id for t in self.model.tokenize(text)]
 
     def _split(self, word: bytes) -> tuple[bytes, ...]:
-        core = word.strip(EDGES) if self.apart else word
-        if len(core) == len(word) or not LETTERS(core):
+        if not self.apart or word.isalpha():  # of ASCII letters alone
+            return (word,)
+        core = word.strip(EDGES)
+        if len(core) == len(word) or not (core.isalpha() or LETTERS(core)):
             return (word,)
         front = len(word) - len(word.lstrip(EDGES))
         return tuple([x for x in (word[:front], core, word[front + len(core) :]) if x])
@@ -96,7 +102,7 @@ class WordTokenizer:
     def _learn(self, parts: list[bytes]) -> None:
         known, rest = self.parts.newer, []
         for p in parts:
-            if self.direct and LETTERS(p):
+            if self.direct and (p.isalpha() or LETTERS(p)):
                 known[p] = array("I", self._letters(p)).tobytes()
             else:
                 rest.append(p)
