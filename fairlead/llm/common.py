@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _passing: list[str] = []
+_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def stored(df: DataFrame, name: str, passing: bool = False) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder as Parquet and read again, and its path; unlike a checkpoint, by column.
 
-    ``passing`` ones are held only by what their operator returns: once that is written, ``sweep`` deletes them.
+    Its shuffle files go when it is written. ``passing`` ones are held only by what their operator returns: once that is
+    written, ``sweep`` deletes them.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     if passing:
         _passing.append(path)
     return df.sparkSession.read.parquet(path), path

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bestfit, exacttopk, hostrules, htmlcrf, kdshard, lattice, linewindows, simhash, unigram, urlgbt
+from fairlead.llm import bestfit, exacttopk, hostrules, htmlcrf, kdshard, lattice, linewindows, simhash, suffixes, unigram, urlgbt
 from fairlead.llm.vocabulary import read_vocabulary
 
 #: Files of public tokenizers; a name or a path that every worker can open.
@@ -72,6 +72,12 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linewindows.drop_repeated_lines(docs, wrap=LINE_WORDS)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_simhash, op2_host_rules, op3_html_text, op4_lattice_score, op5_kd_shards, op6_exact_top_k, op7_best_fit, op8_url_filter, op9_pieces, op10_line_windows, pipeline]
+    ops = [op1_simhash, op2_host_rules, op3_html_text, op4_lattice_score, op5_kd_shards, op6_exact_top_k, op7_best_fit, op8_url_filter, op9_pieces, op10_line_windows, op13_suffix_dedup, pipeline]
     return {f.__name__: f for f in ops}
 
 
