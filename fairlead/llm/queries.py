@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bestfit, exacttopk, hostrules, htmlcrf, kdshard, lattice, linewindows, simhash, suffixes, unigram, urlgbt
+from fairlead.llm import bestfit, conversations, exacttopk, hardnegatives, hostrules, htmlcrf, kdshard, lattice, linewindows, simhash, suffixes, unigram, urlgbt
 from fairlead.llm.vocabulary import read_vocabulary
 
 #: Files of public tokenizers; a name or a path that every worker can open.
@@ -72,6 +72,16 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linewindows.drop_repeated_lines(docs, wrap=LINE_WORDS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_summary(rows, dropped=F.col("dropped"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
@@ -85,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_simhash, op2_host_rules, op3_html_text, op4_lattice_score, op5_kd_shards, op6_exact_top_k, op7_best_fit, op8_url_filter, op9_pieces, op10_line_windows, op13_suffix_dedup, pipeline]
+    ops = [op1_simhash, op2_host_rules, op3_html_text, op4_lattice_score, op5_kd_shards, op6_exact_top_k, op7_best_fit, op8_url_filter, op9_pieces, op10_line_windows, op11_hard_negatives, op12_conversation_repair, op13_suffix_dedup, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -123,7 +133,22 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+          FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+          CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+        FROM pos p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+        WHERE 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others go beyond SQL (xxHash and shingle bits, trained models, tokenizers, packing) and have brute-force tests."""
-    return {"op2_host_rules": OP2_SQL, "op6_exact_top_k": OP6_SQL}
+    return {"op2_host_rules": OP2_SQL, "op6_exact_top_k": OP6_SQL, "op11_hard_negatives": OP11_SQL}
