@@ -1,4 +1,4 @@
-"""``python -m fairlead.cli archive|import|generate|export|stats|diff ...``."""
+"""``python -m fairlead.cli archive|import|generate|export|stats|diff|compact ...``."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from pyspark.sql import SparkSession
 from fairlead.functions import params
 from fairlead.functions.exprs import timeblock
 from fairlead.operators import reports
-from fairlead.operators.routing import read_table, write_tables
+from fairlead.operators.routing import write_tables
 from fairlead.plans.query import Query
 from fairlead.schema import TEN_MINUTES_MS
-from fairlead.sources import nmea, sinks
+from fairlead.sources import archive, nmea, sinks
 from fairlead.streaming import ingest
 
 
@@ -49,7 +49,6 @@ def parser() -> argparse.ArgumentParser:
     give.add_argument("--min-distance", type=float, help="metres")
     give.add_argument("--min-duration", type=params.duration_ms, help="as PT30S")
     give.add_argument("--duplicate-window", type=int, help="milliseconds")
-    give.add_argument("--once", action="store_true", help="packets that were written again come once")
     give.add_argument("--resume", action="store_true", help="append what the last run into this folder didn't have")
     give.add_argument("--force", action="store_true", help="begin anew")
     give.add_argument("--resume-after", type=int)
@@ -62,7 +61,10 @@ def parser() -> argparse.ArgumentParser:
     less = to.add_parser("diff", help="packets of files that the archive lacks")
     less.add_argument("input")
     less.add_argument("--glob", default="*")
-    for p in (live, take, bulk, give, count, less):
+    small = to.add_parser("compact", help="make one run of days that several have written, and delete what no query needs")
+    small.add_argument("--most-files", type=int, default=archive.SPREAD)
+    small.add_argument("--keep", default="PT4H", type=params.duration_ms, help="how long replaced files stay for queries that still read them")
+    for p in (live, take, bulk, give, count, less, small):
         p.add_argument("--archive", required=True)
     return top
 
@@ -71,7 +73,6 @@ def give_out(spark: SparkSession, a: argparse.Namespace) -> None:
     between = params.interval_ms(a.interval) if a.interval else params.ending_now(a.last, int(time.time() * 1000))
     query = Query.choose(a.mmsi, params.bounding_box(a.area) if a.area else None).between(*between).where(a.filter).resume_after(a.resume_after).first(a.limit)
     query = query.thinned(a.min_duration, a.min_distance, a.duplicate_window)
-    query = query.once() if a.once else query
     mids = spark.read.csv(a.mids, header=True) if a.mids else None
     how = {"output": a.output_format, "columns": a.columns, "separator": a.separator, "header": not a.no_header}
     if a.resume or a.force:
@@ -103,18 +104,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command in ("import", "generate"):
         seen = reports.Ingest()
         packets = seen.watch(nmea.packets_of(nmea.read_lines(spark, a.input, a.glob, tag=a.tag)))
-        write_tables(packets, a.archive, "bulk" if a.command == "generate" else "online", save="error" if a.command == "generate" else "append")
+        if a.command == "generate" and archive.committed(spark, a.archive).version:
+            raise SystemExit(f"{a.archive} has tables already")
+        write_tables(packets, a.archive, "bulk" if a.command == "generate" else "online", cell10=a.command == "generate")
         if a.verbose:
             print(json.dumps(seen.report()))
     elif a.command == "export":
         give_out(spark, a)
     elif a.command == "stats":
         t0, t1 = params.interval_ms(a.interval)
-        for r in reports.chunk_counts(read_table(spark, a.archive, "packets_time"), t0, t1, a.blocks).orderBy("first_block").toLocalIterator():
+        for r in reports.chunk_counts(archive.read_table(spark, a.archive, "packets_time", t0, t1), t0, t1, a.blocks).orderBy("first_block").toLocalIterator():
             print(f"blocks {r['first_block']}..{r['last_block']}: {r['n']}")
+    elif a.command == "compact":
+        print(json.dumps({"replaced": archive.compact(spark, a.archive, a.most_files), "deleted": archive.vacuum(spark, a.archive, int(time.time() * 1000) - a.keep)}))
     else:
         files = nmea.packets_of(nmea.read_lines(spark, a.input, a.glob)).withColumn("timeblock", timeblock("time_ms", TEN_MINUTES_MS))
-        for r in reports.missing_from(files, read_table(spark, a.archive, "packets_time")).toLocalIterator():
+        for r in reports.missing_from(files, archive.read_table(spark, a.archive, "packets_time")).toLocalIterator():
             print(r["aisdata"])
 
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fairlead.functions.exprs import cell, timeblock, valid_position
 from fairlead.operators.track import carry_forward
 from fairlead.schema import PLACED, TABLES
-
-#: Files of one table and day, at most.
-SPREAD = 16
+from fairlead.sources import archive
 
 
 def keyed(packets: DataFrame, carry: bool = True) -> DataFrame:
@@ -73,21 +70,12 @@ def by_primary_key(rows: DataFrame, table: str) -> DataFrame:
     return rows.dropDuplicates(TABLES[table].primary_key)
 
 
-def write_tables(packets: DataFrame, path: str, mode: str = "online", cell10: bool = False, carry: bool = True, save: str = "append") -> None:
-    """All tables in one job: one scan, one shuffle and one commit, so that a failure leaves no table ahead of another.
+def write_tables(packets: DataFrame, path: str, mode: str = "online", cell10: bool = False, carry: bool = True, spread: int = archive.SPREAD) -> None:
+    """All tables as one run of the archive under ``path`` (``sources.archive``): one scan, one shuffle and one commit, so that a
+    failure leaves no table ahead of another. Columns that packets lack are stored as null.
 
-    Parquet by table and day, clustered by key and time inside files, so that row groups prune on both. Columns that
-    packets lack are stored as null.
+    A packet that is written again replaces itself. ``spread``: into how many files a day of a table may go, 1 for small batches.
     """
     rows = routed(packets, mode, cell10, carry)
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PLACED]
-    rows = rows.select(*columns, "table", F.floor(F.col("time_ms") / 86_400_000).cast("int").alias("day"))
-    key = F.when(F.col("table").startswith("packets_area_cell"), F.col("cellid")).when(F.col("table") != "packets_time", F.col("mmsi"))
-    spread = rows.withColumn("_key", key).repartition("table", "day", F.pmod(F.hash(F.coalesce("_key", "timeblock")), F.lit(SPREAD)))
-    spread.sortWithinPartitions("table", "day", "_key", "time_ms", "digest").drop("_key").write.mode(save).partitionBy("table", "day").parquet(path)
-
-
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One stored table; empty where nothing has been written to it."""
-    stored = T.StructType([*PLACED, T.StructField("table", T.StringType()), T.StructField("day", T.IntegerType())])
-    return spark.read.schema(stored).parquet(path).where(F.col("table") == name).drop("table")
+    archive.add_run(rows.select(*columns, "table", F.floor(F.col("time_ms") / archive.DAY_MS).cast("int").alias("day")), path, spread)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import timeblocks
 from fairlead.functions.filters import FIELDS, WITH_COUNTRIES, compile_filter, fields_in
-from fairlead.operators.routing import by_primary_key, read_table
+from fairlead.operators.routing import by_primary_key
 from fairlead.operators.track import drop_repeats_within, thin, with_countries, with_targets
 from fairlead.schema import TABLES
+from fairlead.sources import archive
 
 
 def cells_of(box: tuple[float, float, float, float], degrees: int = 1) -> list[int]:
@@ -98,7 +99,7 @@ class Query:
         return replace(self, min_ms=min_ms, min_m=min_m, repeats_ms=repeats_ms)
 
     def once(self) -> Query:
-        """A packet that was written again (a batch after a failure, a file imported twice) comes once."""
+        """Of tables given by name, a packet that is there again comes once; in an archive it always does."""
         return replace(self, unrepeated=True)
 
     def table(self) -> str:
@@ -109,13 +110,18 @@ class Query:
         return "packets_area_cell10" if few else "packets_area_cell1"
 
     def to_df(self, source: SparkSession | dict[str, DataFrame], path: str | None = None, mids: DataFrame | None = None, tie: str = "digest") -> DataFrame:
-        """Over tables given by name, or stored under ``path``; ordered by time, then digest.
+        """Over tables given by name, or the archive under ``path``; ordered by time, then digest.
+
+        Of an archive only files are read that may hold an answer, and a packet that was written again comes once. The entries of
+        its files say where to cut the interval, so that rows are dealt to their place in the order at once; a query without an
+        interval or with a limit is sorted as a whole.
 
         Filters on targets see what each vessel had said inside the query's own packets; those on countries need ``mids``
         (``track.with_countries``). Repeats go before thinning, and both after the filter.
         """
         name = self.table()
-        rows = source[name] if isinstance(source, dict) else read_table(source, path, name)
+        stored = not isinstance(source, dict)
+        rows = archive.read_table(source, path, name, *self._asked(name)) if stored else source[name]
         if self.interval is not None:
             t0, t1 = self.interval
             t0, keep_start = (t0, self.include_start) if self.after_ms is None or self.after_ms < t0 else (self.after_ms, False)
@@ -137,16 +143,27 @@ class Query:
             if self.exact:
                 south, west, north, east = self.box
                 rows = rows.where(F.col("carried_lat").between(south, north) & F.col("carried_lon").between(west, east))
-        if self.unrepeated:
+        if self.unrepeated and not stored:
             rows = by_primary_key(rows, name)
         rows = self._filtered(rows, mids, tie)
         if self.repeats_ms is not None:
             rows = drop_repeats_within(rows, self.repeats_ms, tie=tie)
         if self.min_ms is not None or self.min_m is not None:
             rows = thin(rows, self.min_ms, self.min_m, tie=tie)
+        if stored and self.interval is not None and self.limit is None:
+            return archive.in_time_order(rows, archive.time_ranges(source, path, name, *self.interval))
         rows = rows.orderBy("time_ms", "digest")
         return rows if self.limit is None else rows.limit(self.limit)
 
+    def _asked(self, name: str) -> tuple:
+        """What ``archive.read_table`` may leave out files by."""
+        cells = None
+        if self.kind == "area":
+            degrees = 10 if name.endswith("10") else 1
+            south, west, north, east = self.box
+            cells = tuple(int(lat // degrees) * (360 // degrees) + int((lon + 180) // degrees) for lat, lon in ((south, west), (north, east)))
+        return (*(self.interval or (self.after_ms, None)), list(self.mmsi) if self.kind == "mmsi" else None, cells)
+
     def _filtered(self, rows: DataFrame, mids: DataFrame | None, tie: str) -> DataFrame:
         names = fields_in(self.filter)
         more = rows

@@ -15,7 +15,7 @@ from fairlead.functions.params import instant_ms
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
 from fairlead.schema import CARRY_MS, PACKET, TEN_MINUTES_MS, TABLES
-from fairlead.sources import nmea, sinks
+from fairlead.sources import archive, nmea, sinks
 from fairlead.sources.testdata import as_text, packets, packets_of
 from fairlead.streaming import ingest
 from fairlead.streaming.ingest import carry_positions
@@ -491,12 +491,45 @@ def stream_carry_forward(spark, d):
 
 @query(route_sql("online"))
 def stream_archive(spark, d):
-    """All events archived in several micro-batches, in the order of their weeks, and counted by table as a batch routes them."""
-    folder, ts = scratch(spark, "archived"), F.col("ts")
-    events = spark.read.parquet(f"{d}/events.parquet")
-    edges = [F.lit(None), *[F.lit(f"2024-01-{day}").cast("timestamp_ntz") for day in ("08", "15", "22")], F.lit(None)]
-    for low, high in zip(edges, edges[1:]):
-        events.where(F.coalesce(ts >= low, F.lit(True)) & F.coalesce(ts < high, F.lit(True))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = packets_of(ingest.read_events(spark, f"{folder}/in"))
-    ingest.archive(stream, f"{folder}/out", f"{folder}/checkpoint", tie="event_id").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy(F.col("table").alias("table_name")).agg(F.count("*").alias("n"))
+    """All events archived as a stream, a file of the given table at a time, and counted by table as a batch routes them."""
+    folder = scratch(spark, "archived")
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
+    ingest.archive(packets_of(source), f"{folder}/out", f"{folder}/checkpoint", tie="event_id").awaitTermination()
+    return archive.entries(spark, f"{folder}/out").groupBy(F.col("table").alias("table_name")).agg(F.sum("rows").alias("n"))
+
+
+def reimported(spark: SparkSession, d: str, compacted: bool) -> str:
+    """A new archive of all packets, those of every third event written a second time; its folder."""
+    folder = scratch(spark, "reimported")
+    rows = packets(spark, d)
+    routing.write_tables(rows, folder)
+    routing.write_tables(rows.where(F.col("event_id") % 3 == 0), folder)
+    if compacted:
+        archive.compact(spark, folder)
+    return folder
+
+
+def event_id():
+    """The event that a packet's text names."""
+    return F.split_part(F.col("aisdata"), F.lit("|"), F.lit(1)).cast("long").alias("event_id")
+
+
+@query(P + f"SELECT event_id, time_ms, aisdata FROM p WHERE {INSIDE}")
+def archive_after_reimport(spark, d):
+    """Packets written to an archive twice are one: a scan by time reads each once."""
+    return Query.for_time().between(T0, T1).to_df(spark, reimported(spark, d, False)).select(event_id(), "time_ms", "aisdata")
+
+
+@query(P + f"SELECT event_id, time_ms, aisdata FROM p WHERE mmsi IN (3, 7, 11) AND {INSIDE}")
+def archive_vessel_scan(spark, d):
+    """A scan by vessel in a compacted archive, of the files that may hold the vessels."""
+    return Query.for_mmsi(*VESSELS).between(T0, T1).to_df(spark, reimported(spark, d, True)).select(event_id(), "time_ms", "aisdata")
+
+
+@query(P + f""", ch AS (SELECT unnest(range(0, ({(T1 - 1) // 600000} - {T0 // 600000}) // 10 + 1)) AS k),
+n AS (SELECT (time_ms // 600000 - {T0 // 600000}) // 10 AS k, count(*) AS n FROM p WHERE time_ms >= {T0} AND time_ms < {T1} GROUP BY 1)
+SELECT CAST(ch.k * 10 + {T0 // 600000} AS BIGINT) AS first_block, CAST(least(ch.k * 10 + {T0 // 600000} + 9, {(T1 - 1) // 600000}) AS BIGINT) AS last_block,
+  CAST(coalesce(n.n, 0) AS BIGINT) AS n FROM ch LEFT JOIN n USING (k)""")
+def archive_counts(spark, d):
+    """Counts by chunks of blocks in an archive that was written to twice."""
+    return reports.chunk_counts(archive.read_table(spark, reimported(spark, d, False), "packets_time", T0, T1), T0, T1, 10)

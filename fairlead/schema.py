@@ -43,7 +43,13 @@ TABLES = {t.name: t for t in (
 )}
 
 
-def create_table_sql(name: str, location: str) -> str:
-    """DDL for a catalog table over one table of an archive, partitioned by day (ten-minute directories would be tiny files)."""
+def create_table_sql(location: str, runs: str = "packet_runs") -> list[str]:
+    """DDL for a catalog: a table of all runs of an archive, and a view for each of its tables in which a packet stands once."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PLACED)
-    return f"CREATE TABLE IF NOT EXISTS {name} ({columns}, day INT) USING parquet PARTITIONED BY (day) LOCATION '{location}/table={name}'"
+    made = [f"CREATE TABLE IF NOT EXISTS {runs} ({columns}, run STRING, `table` STRING, day INT) USING parquet PARTITIONED BY (run, `table`, day) LOCATION '{location}/data'"]
+    for t in TABLES.values():
+        key = ", ".join(["day", *t.primary_key])
+        names = ", ".join([*(f.name for f in PLACED), "day"])
+        once = f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY run DESC) AS place FROM {runs} WHERE `table` = '{t.name}'"
+        made.append(f"CREATE OR REPLACE VIEW {t.name} AS SELECT {names} FROM ({once}) WHERE place = 1")
+    return made

@@ -64,14 +64,14 @@ def without_replays(packets: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def archive(
     packets: DataFrame, path: str, checkpoint: str, mode: str = "online", cell10: bool = False, tie: str = "digest",
-    handlers: tuple[Callable[[DataFrame, int], None], ...] = (), on_failure: Callable[[DataFrame, int, Exception], None] | None = None, **trigger,
+    handlers: tuple[Callable[[DataFrame, int], None], ...] = (), on_failure: Callable[[DataFrame, int, Exception], None] | None = None, spread: int = 1, **trigger,
 ) -> StreamingQuery:
     """Write each micro-batch to all tables, with positions carried from earlier ones, in one job.
 
     ``handlers`` see the batch first, in their order. A batch that fails is logged with its cause and given to ``on_failure``
     (which by default keeps it under ``path/_dead_letter`` by hour and number), and the stream goes on; if that fails too,
-    the stream stops, so that no packet is lost without a word. Batches may be written again after a failure: readers come
-    down to one row by primary key.
+    the stream stops, so that no packet is lost without a word. A batch that is written again after a failure replaces itself.
+    ``spread``: files of a table and day in a batch; ``archive.compact`` makes one of many batches.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -79,7 +79,7 @@ def archive(
         try:
             for handle in handlers:
                 handle(batch, number)
-            write_tables(batch, path, mode, cell10, carry=False)
+            write_tables(batch, path, mode, cell10, carry=False, spread=spread)
         except Exception as e:  # the batch is kept for replay
             log.exception("batch %d was not stored", number)
             (on_failure or (lambda rows, n, _: keep_failed(rows, path, n)))(batch, number, e)

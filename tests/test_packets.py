@@ -24,8 +24,8 @@ from fairlead import cli
 from fairlead.functions import exprs, filters, params
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
-from fairlead.schema import TEN_MINUTES_MS, create_table_sql
-from fairlead.sources import nmea, sinks
+from fairlead.schema import TABLES, TEN_MINUTES_MS, create_table_sql
+from fairlead.sources import archive, nmea, sinks
 from fairlead.sources.testdata import packets
 from fairlead.streaming import ingest
 
@@ -128,16 +128,21 @@ def test_archive_prunes_and_agrees(spark, tiny, tmp_path):
     assert [r["digest"] for r in stored.collect()] == [r["digest"] for r in direct.collect()] and stored.count() > 0
     plan = stored._jdf.queryExecution().toString()
     filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
-    assert "(table#" in filters and "(day#" in filters and "IsNotNull(timeblock)" in plan[plan.index("PushedFilters: [") :]
+    assert "(day#" in filters and "IsNotNull(timeblock)" in plan[plan.index("PushedFilters: [") :] and "rangepartitioning" not in plan and "Window" not in plan
+    assert {r["day"] for r in archive.files_for(spark, path, "packets_time", t0, t1).collect()} == {t0 // 86_400_000, t1 // 86_400_000}
     first, rest = query.between(t0, t0 + 40_000_000), query.resume_after(t0 + 39_999_999)
     assert first.to_df(spark, path).count() + rest.to_df(spark, path).count() == stored.count()
     files = routing.fan_out(rows)["packets_time"]
     missing, held = reports.missing_from(files, stored), reports.diff_counts(files, stored).first()
     assert missing.count() == held["not_in_store"] and held["processed"] == held["in_store"] + held["not_in_store"]
-    spark.sql(create_table_sql("packets_time", path))
-    spark.sql("MSCK REPAIR TABLE packets_time")
-    assert spark.table("packets_time").count() == files.count()
-    spark.sql("DROP TABLE packets_time")
+    routing.write_tables(rows.limit(50), path)
+    for statement in create_table_sql(path):
+        spark.sql(statement)
+    spark.sql("MSCK REPAIR TABLE packet_runs")
+    assert spark.table("packet_runs").where("table = 'packets_time'").count() == files.count() + 50 and spark.table("packets_time").count() == files.count()
+    for name in TABLES:
+        spark.sql(f"DROP VIEW {name}")
+    spark.sql("DROP TABLE packet_runs")
     for box in ((-30.5, -60.25, 25.75, 40.5), (-80.0, -170.0, 80.0, 180.0), (0.0, 179.5, 10.0, 180.0)):
         for cell10 in (False, True):
             tables = routing.fan_out(rows, cell10=True)
@@ -159,7 +164,92 @@ def test_tables_are_written_in_one_job(spark, tiny, tmp_path):
         routing.write_tables(packets(spark, tiny), str(tmp_path / mode), mode, cell10=True)
         want = routing.fan_out(packets(spark, tiny), mode, cell10=True)
         for name, rows in want.items():
-            assert routing.read_table(spark, str(tmp_path / mode), name).count() == rows.count(), (mode, name)
+            assert archive.read_table(spark, str(tmp_path / mode), name).count() == rows.count(), (mode, name)
+
+
+def test_written_again_is_written_once(spark, real, tmp_path, capsys):
+    """A file imported twice changes no query, count or diff; the later row of a key stands; compaction changes nothing but files."""
+    path, between = str(real / "archive"), params.interval_ms("2015-03-06T04:59:59/2015-03-06T06:00")
+    want = {name: sorted(map(str, archive.read_table(spark, path, name).collect())) for name in TABLES}
+
+    def asked():
+        cli.main(["stats", "--archive", path, "--interval", "2015-03-06T05:00/2015-03-06T05:10"], spark)
+        cli.main(["diff", "--archive", path, str(real / "in")], spark)
+        run_cli(spark, real, "--mmsi", "257074900", "-")
+        return capsys.readouterr().out
+
+    before = asked()
+    for _ in range(2):
+        cli.main(["import", str(real / "in"), "--tag", "x", "--archive", path], spark)
+    assert asked() == before and {name: sorted(map(str, archive.read_table(spark, path, name).collect())) for name in TABLES} == want
+    cli.main(["import", str(real / "in"), "--tag", "later", "--archive", path], spark)
+    assert {r["source_id"] for r in Query.for_time().between(*between).to_df(spark, path).collect()} == {"later"}
+    files = archive.entries(spark, path)
+    assert files.groupBy("table", "day").agg(F.count_distinct("run").alias("n")).agg(F.max("n")).first()[0] == 4
+    open_before = Query.for_time().between(*between).to_df(spark, path)
+    assert archive.compact(spark, path) == files.count()
+    assert asked() == before and archive.entries(spark, path).groupBy("table", "day").count().agg(F.max("count")).first()[0] == 1
+    assert archive.compact(spark, path) == 0 and open_before.count() == 44
+    assert archive.vacuum(spark, path, 0) == 0 and archive.vacuum(spark, path, int(time.time() * 1000) + 60_000) == files.count()
+    assert asked() == before
+    cli.main(["compact", "--archive", path], spark)
+    assert json.loads(capsys.readouterr().out) == {"replaced": 0, "deleted": 0}
+    with pytest.raises(SystemExit):
+        cli.main(["generate", str(real / "in"), "--archive", path], spark)
+
+
+def test_repeats_inside_one_write_and_rows_without_a_time(spark, tiny, tmp_path):
+    rows = packets(spark, tiny).withColumn("time_ms", F.when(F.col("event_id") % 10 > 0, F.col("time_ms")))
+    routing.write_tables(rows.union(rows), str(tmp_path / "a"))
+    want = routing.fan_out(rows)
+    for name in want:
+        assert archive.read_table(spark, str(tmp_path / "a"), name).count() == want[name].count()
+    routing.write_tables(rows.limit(0), str(tmp_path / "a"))
+    assert archive.committed(spark, str(tmp_path / "a")).version == 1
+    assert archive.read_table(spark, str(tmp_path / "nowhere"), "packets_time").count() == 0
+
+
+def test_two_writers_both_count(spark, tiny, tmp_path, monkeypatch):
+    """A writer that finds its version taken commits on top of it; many lists of entries become one."""
+    path, rows = str(tmp_path / "a"), packets(spark, tiny)
+    real, raced = archive.commit, []
+
+    def late(session, where, new):
+        if not raced:
+            raced.append(True)
+            routing.write_tables(rows.where("event_id % 2 = 0"), where, spread=1)
+        real(session, where, new)
+
+    monkeypatch.setattr(archive, "commit", late)
+    monkeypatch.setattr(archive, "MOST_LISTS", 1)
+    routing.write_tables(rows.where("event_id % 2 = 1"), path, spread=1)
+    at = archive.committed(spark, path)
+    assert at.version == 2 and len(at.entries) == 1
+    assert archive.read_table(spark, path, "packets_time").count() == rows.count()
+    with pytest.raises(archive.Taken):
+        real(spark, path, archive.Commit(2))
+
+
+def test_a_vessel_is_read_from_its_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(4000).selectExpr("id AS event_id", "CAST(1 + id % 500 AS INT) AS mmsi", "1 AS msgtype", "1704067200000 + id * 20000 AS time_ms", "CAST(id % 80 AS DOUBLE) AS lat", "0D AS lon", "CAST(id AS STRING) AS aisdata", "md5(CAST(id AS STRING)) AS digest")
+    monkeypatch.setattr(archive, "_vessel_bit", lambda mmsi: F.pmod(mmsi, F.lit(archive.VESSEL_BITS)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:  # as a large run has it: files that AQE doesn't join
+        for k, v in zip(kept, ("32", "false")):
+            spark.conf.set(k, v)
+        routing.write_tables(rows, str(tmp_path / "a"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    every, some = archive.files_for(spark, str(tmp_path / "a"), "packets_mmsi"), archive.files_for(spark, str(tmp_path / "a"), "packets_mmsi", vessels=[77])
+    assert 6 <= every.count() <= 16 and some.count() == 1
+    found = Query.for_mmsi(77).between(0, 1 << 60).to_df(spark, str(tmp_path / "a"))
+    assert found.count() == 8 and len(found.inputFiles()) == some.count()
+    north = Query.for_area((70.0, -1.0, 79.5, 1.0)).between(0, 1 << 60)
+    assert north.to_df(spark, str(tmp_path / "a")).count() == rows.where("lat >= 70").count()
+    hours = archive.time_ranges(spark, str(tmp_path / "a"), "packets_time", 1704067200000, 1704067200000 + 80_000_000, 1000)
+    edges = [1704067200000, *hours, 1704067200000 + 80_000_000]
+    assert len(hours) == 3 and all(4_000_000 < b - a < 40_000_000 for a, b in zip(edges, edges[1:]))  # estimates from the entries
 
 
 def test_packets_without_a_vessel_are_dealt(spark):
@@ -365,8 +455,8 @@ def test_live_sources_are_archived(spark, tmp_path):
         began, rows = time.monotonic(), []
         while len(rows) < 4 and time.monotonic() - began < 90:
             time.sleep(1)
-            if (tmp_path / "out" / "_SUCCESS").exists():
-                rows = routing.read_table(spark, str(tmp_path / "out"), "packets_mmsi").collect()
+            if archive.committed(spark, str(tmp_path / "out")).version:
+                rows = archive.read_table(spark, str(tmp_path / "out"), "packets_mmsi").collect()
     finally:
         done.set()
         query.stop()
@@ -418,7 +508,7 @@ def test_stream_equals_batch(spark, tiny, tmp_path):
     ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = routing.fan_out(packets(spark, tiny))
     for name in ("packets_time", "packets_mmsi", "packets_area_cell1", "packets_area_unknown"):
-        assert routing.read_table(spark, str(tmp_path / "out"), name).count() == want[name].count()
+        assert archive.read_table(spark, str(tmp_path / "out"), name).count() == want[name].count()
     assert ingest.source_group("a=h:1,i:2") == ("a", [("h", 1), ("i", 2)])
 
 
@@ -441,7 +531,7 @@ def test_stream_of_small_batches_equals_batch(spark, tiny, tmp_path):
     ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = routing.fan_out(packets_of(rows.where("event_id >= 100").union(early)))
     for name in ("packets_time", "packets_mmsi", "packets_area_cell1", "packets_area_unknown"):
-        got = sorted(r["digest"] for r in routing.read_table(spark, str(tmp_path / "out"), name).collect())
+        got = sorted(r["digest"] for r in archive.read_table(spark, str(tmp_path / "out"), name).collect())
         assert got == sorted(r["digest"] for r in want[name].collect()), name
 
 
