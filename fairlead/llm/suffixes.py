@@ -35,7 +35,7 @@ def places(raw: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     at, since = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for c in range(0, windows, CHUNK):
         part = data[c : min(c + CHUNK, windows) + window + GRAM - 2]
-        mixed = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, GRAM)).view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.ndarray(len(part) - GRAM + 1, "<u8", part, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         least = mixed & np.uint64(0xFFFFFFFF00000000) | np.arange(len(mixed), dtype=np.uint64)
         wide = 1
@@ -51,19 +51,20 @@ def places(raw: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at[new], since[new]
 
 
-def _shapes(at: np.ndarray, since: np.ndarray, size: int, length: int, window: int) -> np.ndarray:
-    """By phrase, the level that each of its blocks needs (``NEVER``: it holds no string) and, above them, that of the place itself.
+def _shapes(at: np.ndarray, since: np.ndarray, size: np.ndarray, length: int, window: int) -> np.ndarray:
+    """Of each place, the level that each of its blocks needs (``NEVER``: it holds no string) and, above them, that of the place itself.
 
     A string's first place lies d bytes behind its start, and block b holds those of d from b * width on. All phrases that
     end ``length - window - GRAM + 1 - d`` bytes behind the place lie inside the string; the level is the power of two below their number.
+    Texts stand behind one another, ``length`` bytes apart; ``size`` says where each place's text ends. The last place of a text has no phrase.
     """
-    wide, last = window // BLOCKS, len(at) - 1
-    far = at[:-1] - since[:-1]
-    near = at[:-1] - np.minimum(since[1:] - 1, size - length)
-    shape = np.zeros(last, dtype=np.int64)
+    wide = window // BLOCKS
+    far, order = at - since, np.arange(len(at))
+    near = at - np.minimum(np.append(since[1:], 0) - 1, size - length)
+    shape = np.zeros(len(at), dtype=np.int64)
     for b in range(BLOCKS):
         reach = length - window - GRAM + 1 - (b + 1) * wide + 1
-        phrases = np.searchsorted(at, at[:-1] + reach, "right") - 1 - np.arange(last)
+        phrases = np.searchsorted(at, at + reach, "right") - 1 - order
         level = np.log2(np.maximum(phrases, 1)).astype(np.int64)
         held = (near <= far) & (near < (b + 1) * wide) & (far >= b * wide)
         shape |= np.where(held, level, NEVER) << 4 * b
@@ -78,13 +79,27 @@ def _phrases(docs: DataFrame, length: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for loc, text in zip(batch.column(0), batch.column(1)):
+            ats, sinces, bases, sizes, ranks, base = [], [], [], [], [], 0
+            for text in batch.column(1):
                 raw = text.as_buffer().to_pybytes()
                 at, since = places(raw, window)
-                ranks = np.array([digest(raw[x : y + GRAM]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())], dtype=np.uint64).view(np.int64)
-                n = len(ranks)
-                columns = [pa.array(ranks), pa.array(np.full(n, loc.as_py())), pa.array(np.arange(n, dtype=np.int32)), pa.array(at[:-1].astype(np.int32)), pa.array(_shapes(at, since, len(raw), length, window).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["rank", "loc", "i", "at", "shape"])
+                ends = at.tolist()
+                ranks += [digest(raw[x : y + GRAM]) for x, y in zip(ends, ends[1:])]
+                ats.append(at + base)
+                sinces.append(since + base)
+                bases.append(base)
+                sizes.append(len(raw))
+                base += len(raw) + length
+            if not ats:
+                continue
+            n = np.array([len(x) for x in ats])
+            at, since, text = np.concatenate(ats), np.concatenate(sinces), np.repeat(np.arange(len(n)), n)
+            first = np.array(bases)[text]
+            kept = np.flatnonzero(np.append(text[1:] == text[:-1], False))
+            shape = _shapes(at, since, first + np.array(sizes)[text], length, window)[kept]
+            number = np.arange(len(at)) - (np.cumsum(n) - n)[text]
+            columns = [pa.array(np.array(ranks, dtype=np.uint64).view(np.int64)), batch.column(0).take(pa.array(text[kept])), *(pa.array(x.astype(np.int32)) for x in (number[kept], (at - first)[kept], shape))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rank", "loc", "i", "at", "shape"])
 
     return docs.where(F.octet_length("text") >= length).mapInArrow(run, "rank long, loc long, i int, at int, shape int")
 
@@ -177,6 +192,7 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
     reach (of the place alone where the text ends first).
     """
     wide = window_of(length) // BLOCKS
+    shared = length - wide + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, full = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
@@ -188,13 +204,11 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
                     np.maximum.at(level, order[np.searchsorted(i, levels.values.field(0).to_numpy(), sorter=order)], levels.values.field(1).to_numpy())
                 raw = text.as_buffer().to_pybytes()
                 starts = [at[(shape >> 4 * b & 15) <= level].astype(np.int64) - b * wide for b in range(BLOCKS)]
-                p = np.concatenate(starts)
-                cores, fulls = [], []
-                for x in p.tolist():
-                    cores.append(core(raw[x : x + length - wide + 1]))
-                    inside = x - wide + 1 >= 0 and x + length <= len(raw)
-                    fulls.append(full(raw[x - wide + 1 : x + length]) if inside else full(b"%d %d" % (loc.as_py(), x)))
-                columns = [*_halves(cores), pa.array(np.frombuffer(b"".join(fulls), dtype="<i8")), pa.array(np.full(len(p), loc.as_py())), pa.array(p.astype(np.int32))]
+                p, own_loc, last = np.concatenate(starts), loc.as_py(), len(raw) - length
+                at_p = p.tolist()
+                cores = [core(raw[x : x + shared]) for x in at_p]
+                fulls = [full(raw[x - wide + 1 : x + length] if wide - 1 <= x <= last else b"%d %d" % (own_loc, x)) for x in at_p]
+                columns = [*_halves(cores), pa.array(np.frombuffer(b"".join(fulls), dtype="<i8")), pa.array(np.full(len(p), own_loc)), pa.array(p.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "f", "loc", "p"])
 
     return texts.mapInArrow(run, "c1 long, c2 long, f long, loc long, p int")
