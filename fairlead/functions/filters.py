@@ -5,6 +5,9 @@
 
 Names are ``s.`` (source), ``t.`` (target) or ``m.`` (message) fields; ``=`` and ``in`` take comma lists, ``!=`` is
 ours. Text compares without case, globs use ``*`` and ``?``. ``&`` binds before ``|``. Blank accepts all.
+
+A value is what stands up to the next ``,``, ``&``, ``|`` or bracket, words of the language too (``m.name=MADE IN CHINA``). With signs of
+the language it stands in quotes, ' or ", and a quote inside is doubled.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ class FilterError(ValueError):
     """The expression can't be read, or names a field that isn't known."""
 
 
-TOKEN = re.compile(r"\s*(?:(<=|>=|!=|[()&|,=<>]|(?:in|like|within|bbox)(?=[\s(]))|([^\s()&|,=<>!]+(?: +(?!in\b|like\b|within\b)[^\s()&|,=<>!]+)*))", re.I)
+NAME = re.compile(r"[A-Za-z]\w*\.\w+")
+OPERATOR = re.compile(r"<=|>=|!=|[=<>]|in(?=\s*\()|(?:like|within)\b", re.I)
+#: A quoted value, or a plain one without the signs of the language.
+QUOTED, PLAIN = re.compile(r"'((?:[^']|'')*)'|\"((?:[^\"]|\"\")*)\""), re.compile(r"[^,&|()=<>!'\"][^,&|()=<>!]*")
 NUMERIC = frozenset(("mmsi", "imo", "lat", "lon", "sog", "cog", "hdg", "speed", "value", "navstat"))
 #: Columns of a packet by field; those of targets come from ``track.with_targets``.
 FIELDS: dict[str, tuple[str, ...]] = {
@@ -46,42 +52,57 @@ def compile_filter(text: str | None, fields: dict[str, tuple[str, ...]] = FIELDS
     """
     if text is None or not text.strip():
         return F.lit(True)
-    tokens, at = [], 0
-    text = text.strip()
-    while at < len(text):
-        m = TOKEN.match(text, at)
-        if not m:
-            raise FilterError(f"unexpected {text[at:]!r}")
-        tokens.append(m[1] or m[2])
-        at = m.end()
-    tokens.append("")
-
-    def take(*want: str) -> str:
-        token = tokens[0]
-        if want and token.lower() not in want:
-            raise FilterError(f"expected {' or '.join(want)}, not {token or 'the end'!r}")
-        return tokens.pop(0) if len(tokens) > 1 else tokens[0]
-
-    def values(end: bool = False) -> list[str]:
-        out = [take()]
-        while tokens[0] == ",":
-            take()
-            out.append(take())
-        if any(not v or v in "()&|=<>" for v in out):
-            raise FilterError("a value is missing")
+    at = 0
+
+    def skip() -> None:
+        nonlocal at
+        while at < len(text) and text[at].isspace():
+            at += 1
+
+    def taken(pattern: re.Pattern, what: str) -> re.Match:
+        nonlocal at
+        skip()
+        found = pattern.match(text, at)
+        if not found:
+            raise FilterError(f"expected {what} at {text[at:]!r}" if text[at:] else f"expected {what}, not the end")
+        at = found.end()
+        return found
+
+    def sign(which: str) -> bool:
+        """Whether the next sign is this one; then it is taken."""
+        nonlocal at
+        skip()
+        if not text.startswith(which, at):
+            return False
+        at += len(which)
+        return True
+
+    def need(which: str) -> None:
+        if not sign(which):
+            raise FilterError(f"expected {which} at {text[at:]!r}")
+
+    def value() -> str:
+        skip()
+        if text[at : at + 1] in ("'", '"'):
+            found = taken(QUOTED, "the end of a quoted value")
+            return found[1].replace("''", "'") if found[1] is not None else found[2].replace('""', '"')
+        return taken(PLAIN, "a value")[0].strip()
+
+    def values() -> list[str]:
+        out = [value()]
+        while sign(","):
+            out.append(value())
         return out
 
     def either() -> Column:
         left = both()
-        while tokens[0] == "|":
-            take()
+        while sign("|"):
             left = left | both()
         return left
 
     def both() -> Column:
         left = one()
-        while tokens[0] == "&":
-            take()
+        while sign("&"):
             left = left & one()
         return left
 
@@ -92,35 +113,34 @@ def compile_filter(text: str | None, fields: dict[str, tuple[str, ...]] = FIELDS
             raise FilterError(f"not a number: {v!r}") from None
 
     def one() -> Column:
-        if tokens[0] == "(":
-            take()
+        if sign("("):
             inner = either()
-            take(")")
+            need(")")
             return inner
-        name = take().lower()
-        prefix, dot, field = name.partition(".")
-        if not dot or prefix not in only:
+        name = taken(NAME, "a field")[0].lower()
+        prefix, _, field = name.partition(".")
+        if prefix not in only:
             raise FilterError(f"unknown field {name!r}")
-        op = take("=", "!=", "<", ">", "<=", ">=", "in", "like", "within").lower()
+        op = taken(OPERATOR, "an operator")[0].lower()
         if op == "within":
-            take("bbox")
-            take("(")
+            taken(re.compile("bbox", re.I), "bbox")
+            need("(")
             box = [number(v) for v in values()]
-            take(")")
+            need(")")
             if field != "pos" or len(box) != 4:
                 raise FilterError("within takes pos and four numbers")
             (lat,), (lon,) = columns(f"{prefix}.lat"), columns(f"{prefix}.lon")
             return lat.between(min(box[0], box[2]), max(box[0], box[2])) & lon.between(min(box[1], box[3]), max(box[1], box[3]))
         of = columns(name)
         if op == "like":
-            escaped = re.sub(r"([\\%_])", r"\\\1", take()).replace("*", "%").replace("?", "_")
+            escaped = re.sub(r"([\\%_])", r"\\\1", value()).replace("*", "%").replace("?", "_")
             return any_of([F.upper(x.cast("string")).like(escaped.upper()) for x in of])
         if op == "in":
-            take("(")
+            need("(")
             found = values()
-            take(")")
+            need(")")
         else:
-            found = values() if op in ("=", "!=") else [take()]
+            found = values() if op in ("=", "!=") else [value()]
         if op in ("<", ">", "<=", ">="):
             v = number(found[0])
             return any_of([{"<": x < v, ">": x > v, "<=": x <= v, ">=": x >= v}[op] for x in of])
@@ -142,8 +162,9 @@ def compile_filter(text: str | None, fields: dict[str, tuple[str, ...]] = FIELDS
         return [F.col(c) for c in fields[name]]
 
     found = either()
-    if tokens[0]:
-        raise FilterError(f"unexpected {tokens[0]!r}")
+    skip()
+    if at < len(text):
+        raise FilterError(f"unexpected {text[at:]!r}")
     return found
 
 
@@ -155,13 +176,21 @@ def is_valid(text: str | None, **more) -> bool:
     return True
 
 
+def quoted(value: str) -> str:
+    """A value as an expression has it."""
+    return value if PLAIN.fullmatch(value) and value == value.strip() else "'" + value.replace("'", "''") + "'"
+
+
 def compose(**facets: list[str] | str | None) -> str:
-    """``source_type='LIVE', m_country=['DNK', 'SWE']`` -> ``s.type=LIVE & m.country=DNK,SWE``; ``any`` and blanks drop out."""
+    """``source_type='LIVE', m_country=['DNK', 'SWE']`` -> ``s.type=LIVE & m.country=DNK,SWE``; ``any`` and blanks drop out.
+
+    Values with signs of the language are put in quotes.
+    """
     out = []
     for name, given in facets.items():
         given = [given] if isinstance(given, str) else list(given or [])
         given = [g for g in given if g and g.lower() != "any"]
         if given:
             prefix, _, field = name.partition("_")
-            out.append(f"{prefix[0]}.{field}={','.join(given)}")
+            out.append(f"{prefix[0]}.{field}={','.join(map(quoted, given))}")
     return " & ".join(out)

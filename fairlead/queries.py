@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions import exprs
-from fairlead.functions.filters import compile_filter
+from fairlead.functions.filters import compile_filter, compose
 from fairlead.functions.params import instant_ms
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of
@@ -231,6 +231,18 @@ def filter_like(spark, d):
     return packets(spark, d).where(compile_filter("m.name like ship 1* | m.cs like cs?")).select("event_id")
 
 
+@query("""SELECT event_id, name FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'MADE IN CHINA' WHEN 1 THEN 'LIKE A VIRGIN' WHEN 2 THEN 'A&B (2), LTD'
+    WHEN 3 THEN 'O''BRIEN "X" WITHIN' WHEN 4 THEN 'MADE IN HASTE|A=B' ELSE 'SHIP ' || CAST(event_id % 50 AS VARCHAR) END AS name FROM events)
+  WHERE name LIKE 'MADE IN %' OR name IN ('LIKE A VIRGIN', 'A&B (2), LTD', 'O''BRIEN "X" WITHIN', 'SHIP 5')""")
+def filter_names(spark, d):
+    """Names that hold words and signs of the filter language."""
+    n = F.col("event_id")
+    strange = ["MADE IN CHINA", "LIKE A VIRGIN", "A&B (2), LTD", "O'BRIEN \"X\" WITHIN", "MADE IN HASTE|A=B"]
+    name = F.coalesce(F.get(F.array(*map(F.lit, strange)), (n % 6).cast("int")), F.concat(F.lit("SHIP "), (n % 50).cast("string")))
+    text = f"m.name like made in * | {compose(m_name=['LIKE A VIRGIN', *strange[2:4]])} | m.name in (ship 5, none)"
+    return packets(spark, d).withColumn("name", name).where(compile_filter(text)).select("event_id", "name")
+
+
 @query(P + "SELECT event_id FROM k WHERE clat BETWEEN -18 AND 15 AND clon BETWEEN -14 AND 10 AND (clat < -0.3 OR clat > 0.3)")
 def filter_bbox(spark, d):
     rows = track.carry_forward(packets(spark, d), tie="event_id").withColumns({"target_lat": F.col("carried_lat"), "target_lon": F.col("carried_lon")})

@@ -56,6 +56,21 @@ def test_bad_filters(spark, text):
     assert not filters.is_valid(text)
 
 
+@pytest.mark.parametrize("text, names", [
+    ("m.name=MADE IN CHINA", ["MADE IN CHINA"]), ("m.name like MADE IN*", ["MADE IN CHINA"]), ("m.name=like a virgin", ["LIKE A VIRGIN"]), ("m.name in (IN, LIKE, WITHIN)", ["IN"]),
+    ("m.name='A&B'", ["A&B"]), ('m.name="AB (2)"|m.name=IN', ["AB (2)", "IN"]), ("m.name='O''NEIL'", ["O'NEIL"]), ('m.name="say ""hi"""', ['SAY "HI"']), ("m.name like 'A&*'", ["A&B"]), ("m.name=O'NEIL", ["O'NEIL"]),
+    ("(m.name=IN & m.name like i?) | m.name='A&B'", ["A&B", "IN"]), ("m.name=X-1/2.5", ["X-1/2.5"]),
+])
+def test_values_of_filters(spark, text, names):
+    known = ["MADE IN CHINA", "LIKE A VIRGIN", "IN", "A&B", "AB (2)", "O'NEIL", 'SAY "HI"', "X-1/2.5", "OTHER"]
+    frame = spark.createDataFrame([(n,) for n in known], "name string")
+    assert sorted(r["name"] for r in frame.where(filters.compile_filter(text)).collect()) == names
+    every = filters.compose(m_name=known[:-1])
+    assert sorted(r["name"] for r in frame.where(filters.compile_filter(every)).collect()) == sorted(known[:-1])
+    for bad in ("m.name='A", "m.name=A(2)", "m.name=", "m.name like", "m.name in (A", "m.name=A=B", "m.name=A B)"):
+        assert not filters.is_valid(bad)
+
+
 def test_filters(spark):
     assert filters.is_valid("") and filters.is_valid(None) and filters.is_valid("s.region=806", only="s") and not filters.is_valid("m.mmsi=1", only="s")
     rows = spark.createDataFrame([(1, "a_b", 5.0, 5.0), (2, "axb", -5.0, 0.1), (3, None, 0.0, 0.0)], "mmsi int, name string, target_lat double, target_lon double")
