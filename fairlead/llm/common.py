@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_passing: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 _CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
 
@@ -44,26 +45,28 @@ def shuffles_go(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, name: str, passing: bool = False) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder as Parquet and read again, and its path; unlike a checkpoint, by column.
 
-    Its shuffle files go when it is written. ``passing`` ones are held only by what their operator returns: once that is
-    written, ``sweep`` deletes them.
+    Its shuffle files go when it is written. ``passing`` ones are held only by what their operator returns: in a ``swept`` block
+    they go at its end.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with shuffles_go(df.sparkSession):
         df.write.parquet(path)
-    if passing:
-        _passing.append(path)
+    if passing and _scope.get() is not None:
+        _scope.get().append(path)
     return df.sparkSession.read.parquet(path), path
 
 
-def in_passing() -> int:
-    """How many passing folders there are."""
-    return len(_passing)
-
-
-def sweep(spark: SparkSession, but: int = 0) -> None:
-    """Delete the passing folders but the first so many; the results of their operators have all been written."""
-    while len(_passing) > but:
-        remove(spark, _passing.pop())
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is stored in passing inside, by this thread, is deleted at the end: the results of the operators have then been written."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in mine:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -199,7 +199,7 @@ def mine(
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("e")))
     width = rows.agg(F.max(F.size("e"))).first()[0] or 1
     width = max(1, width)
-    rows, _ = stored(_coded(rows.select("vec_id", "label", F.coalesce("asks", F.lit(False)).alias("asks"), grid(F.col("e"), scale).alias("v")), width), "codes")
+    rows, _ = stored(_coded(rows.select("vec_id", "label", F.coalesce("asks", F.lit(False)).alias("asks"), grid(F.col("e"), scale).alias("v")), width), "codes", passing=True)
     asked = rows.where("asks").groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("own")).select("vec_id", "own.label", "own.vector")
     n, asks = rows.agg(F.count("*"), F.approx_count_distinct(F.when(F.col("asks"), F.col("vec_id")))).first()
     blocks, chunks = max(1, -(-asks // block)), max(1, -(-n // chunk))
@@ -213,7 +213,7 @@ def mine(
     first = lambda keys, score, other: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), other))
     pairs = met(asked, lambda a, c: _positives(a, c, width, positives), "anchor_id long, positive_id long, positive_score long")
     pairs = pairs.withColumn("place", first(["anchor_id"], "positive_score", "positive_id")).where(F.col("place") <= positives)
-    pairs, _ = stored(pairs.select("anchor_id", "positive_id", "positive_score", "place"), "positives")
+    pairs, _ = stored(pairs.select("anchor_id", "positive_id", "positive_score", "place"), "positives", passing=True)
     wanted = pairs.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_set("positive_score").alias("wanted"))
     near = met(asked.join(wanted, "vec_id"), lambda a, c: _negatives(a, c, width, negatives, share), "anchor_id long, positive_score long, negative_id long, negative_score long")
     near = near.withColumn("rank", first(["anchor_id", "positive_score"], "negative_score", "negative_id")).where(F.col("rank") <= negatives)

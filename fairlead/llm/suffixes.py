@@ -174,7 +174,7 @@ def doubled(docs: DataFrame, length: int) -> DataFrame:
         out = out.join(every.groupBy("loc").agg(F.collect_list("one").alias("levels")), "loc", "left")
     else:
         out = out.withColumn("levels", F.lit(None).cast("array<struct<i:int,level:int>>"))
-    out, _ = stored(out, "doubled")
+    out, _ = stored(out, "doubled", passing=True)
     for path in gone:
         remove(spark, path)
     return out
@@ -261,7 +261,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     strings, strings_path = stored(_strings(_with_texts(docs, asks).select("loc", "text", "p"), length), "strings")
     single = _reranked(strings, ["g1", "g2"], "q").select("loc", F.col("q").alias("start"), (F.col("q") + length).alias("stop"))
     ranges = whole.union(single).groupBy("loc").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    ranges, _ = stored(ranges, "ranges")
+    ranges, _ = stored(ranges, "ranges", passing=True)
     for path in (met_path, strings_path):
         remove(spark, path)
     return ranges

@@ -143,6 +143,29 @@ def test_near_dedup_matches_all_pairs(spark, tiny):
     assert got == components(rows, similar_links(rows))
 
 
+@pytest.mark.parametrize("common", [0.55, 0.7])
+def test_boilerplate_proposes_no_pair(spark, monkeypatch, common):
+    """Texts that share most of their words, but less than the similarity, are compared in proportion to their number; the alike among them link."""
+    compared = []
+    verified = shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, sets, at_least: compared.append(pairs.count()) or verified(pairs, sets, at_least))
+    draw, counts = random.Random(9), []
+    for n in (120, 240):
+        base = [f"b{k}" for k in range(int(300 * common))]
+        texts = {k: " ".join([*base, *(f"u{draw.randrange(10**6)}" for _ in range(300 - len(base)))]) for k in range(n)}
+        for k in range(0, 20, 2):  # ten pairs that are alike
+            words = texts[k].split()
+            words[-1 - k] = "changed"
+            texts[k + 1] = " ".join(words)
+        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        compared.clear()
+        got = {r["doc_id"]: r["component_id"] for r in shingles.similar_groups(frame).collect()}
+        assert got == components(texts, similar_links(texts)) and sum(got[k] != k for k in got) == 10
+        counts.append(sum(compared))
+    # The first round compares each node with its bands' first ones, BANDS of them at most.
+    assert counts[1] <= 2.6 * counts[0] and counts[1] <= shingles.BANDS * 240
+
+
 def test_near_dedup_awkward(spark):
     kept = shingles.one_of_each(awkward(spark))
     assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
@@ -843,8 +866,7 @@ def test_pipeline(spark, tiny):
     cut = corpus_pipeline.line_dedup(spark, kept, tiny)
     want = {d: x[0] for (d, _), x in plain_line_dedup([(d, rows[d]) for d in good]).items()}
     assert cut.columns == docs.columns and {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()} == {d: (t, len(t)) for d, t in want.items()}
-    prints = {d: plain_fingerprint(t) for d, t in want.items()}
-    roots = components(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    roots = components(want, similar_links(want))
     left = corpus_pipeline.near_dedup(spark, cut, tiny)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(roots.values())
     folders = lambda: {x for kind in ("pipeline", "measured") for x in glob.glob(f"{shared_dir(spark).removeprefix('file:')}/{kind}-*")}
