@@ -27,29 +27,59 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def carry_positions(packets: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], within_ms: int = CARRY_MS, tie: str = "digest", **trigger) -> StreamingQuery:
+HOUR_MS = 3_600_000
+
+
+def _hours(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Folders of kept positions by hour."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("hour=")]
+    return {int(n.removeprefix("hour=")): f"{folder}/{n}" for n in names}
+
+
+def _forget(spark: SparkSession, hours: dict[int, str], keep_ms: int) -> None:
+    """Delete positions of hours that lie ``keep_ms`` and more behind the latest one."""
+    for hour, folder in hours.items():
+        if (max(hours) - hour - 1) * HOUR_MS >= keep_ms:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def carry_positions(
+    packets: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], within_ms: int = CARRY_MS, tie: str = "digest", keep_ms: int = 24 * HOUR_MS, **trigger,
+) -> StreamingQuery:
     """Carry positions forward over all micro-batches and give each, with ``carried_lat`` and ``carried_lon``, to ``store``.
 
-    Between batches each vessel's positions of its last ``within_ms`` are kept beside the checkpoint, so that results don't
-    depend on where batches end. There is no watermark: late packets are carried and stored like any other, though those
-    more than ``within_ms`` behind their vessel see the positions of their own batch alone. A batch that is run again finds
-    the positions that the one before it left.
-    """
+    A batch leaves its own positions beside the checkpoint, by hour of their time, and reads those of the hours that its
+    packets may look back to. So what is written follows the batch and not the fleet, and results are those of the batch window however packets
+    are cut into batches, also for packets up to ``keep_ms`` late: older hours are deleted, and with them vessels that fell silent.
+    Later packets are carried and stored like any other, but see the positions of their own batch alone; there is no watermark that drops them. A batch that
+    is run again replaces what it had left and doesn't see it. Positions from the future (an hour past the clock) are not kept.
+    """
 
     def carry(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("mmsi", F.coalesce(F.col("mmsi"), F.lit(-1))).persist()
         try:
-            spark, columns = batch.sparkSession, ["mmsi", "time_ms", tie, "lat", "lon"]
-            own = rows.where(valid_position()).select(*columns)
+            spark, folder = batch.sparkSession, f"{checkpoint}/positions"
+            hour = F.floor(F.col("time_ms") / HOUR_MS).cast("int")
+            columns = ["mmsi", "time_ms", tie, "lat", "lon"]
+            own = rows.where(valid_position() & (F.col("mmsi") != -1) & (F.col("time_ms") <= F.unix_millis(F.current_timestamp()) + HOUR_MS)).select(*columns)
+            kept, back = _hours(spark, folder), -(-within_ms // HOUR_MS)
+            near = [h + k for h in kept for k in range(back + 1)]
+            asked = {r["hour"] for r in rows.select(hour.alias("hour")).where(F.col("hour").isin(near)).distinct().collect()} if kept else set()
+            paths = [path for h, path in kept.items() if any(h + k in asked for k in range(back + 1))]
             held = own.limit(0)
-            if number:
-                held = spark.read.schema(own.schema).parquet(f"{checkpoint}/positions/{(number - 1) % 2}")
-            known = held.unionByName(own)
-            latest = known.groupBy("mmsi").agg(F.max("time_ms").alias("latest"))
-            near = known.join(latest, "mmsi").where(F.col("latest") - F.col("time_ms") <= within_ms).select(*columns)
-            near.write.mode("overwrite").parquet(f"{checkpoint}/positions/{number % 2}")
+            if paths:
+                schema = own.withColumns({"hour": F.lit(0), "batch": F.lit(0).cast("long")}).schema
+                held = spark.read.option("basePath", folder).schema(schema).parquet(*paths).where(F.col("batch") < number).select(*columns)
             both = rows.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)), allowMissingColumns=True)
             store(carry_forward(both, within_ms, tie).where("not held").drop("held"), number)
+            left = own.withColumns({"hour": hour, "batch": F.lit(number).cast("long")}).repartition("hour")
+            left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(folder)
+            _forget(spark, _hours(spark, folder), keep_ms)
         finally:
             rows.unpersist()
 

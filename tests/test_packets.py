@@ -550,6 +550,41 @@ def test_stream_of_small_batches_equals_batch(spark, tiny, tmp_path):
         assert got == sorted(r["digest"] for r in want[name].collect()), name
 
 
+def test_kept_positions_follow_the_batch(spark, tmp_path):
+    """However packets are cut into batches, and late by hours, they get what one window over all that has come by then gives; what is kept is two days,
+    and each batch writes its own alone."""
+    rows = spark.range(3000).selectExpr("id AS event_id", "CAST(id % 7 AS INT) AS mmsi", "1704067200000 + id * 120000 + (id * 7919) % 900000 AS time_ms", "IF(id % 3 = 0, CAST(id % 80 AS DOUBLE), NULL) AS lat", "IF(id % 3 = 0, 1.0D, NULL) AS lon", "CAST(id AS STRING) AS aisdata", "md5(CAST(id AS STRING)) AS digest")
+    rows = rows.withColumn("mmsi", F.when(F.col("event_id") % 100 == 7, -1).when((F.col("event_id") > 500) & (F.col("mmsi") == 3), 4).otherwise(F.col("mmsi")))
+    parts = [f"event_id BETWEEN {a} AND {b - 1}" for a, b in ((0, 400), (500, 900), (400, 500), (900, 901), (901, 1700), (1750, 3000), (1700, 1750))]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(parts):
+        rows.where(part).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (file,) = (tmp_path / f"w{i}").glob("part-*.parquet")
+        file.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got, sizes = {}, []
+
+    def store(batch, number):
+        got.update({r["event_id"]: (r["carried_lat"], r["carried_lon"]) for r in batch.collect()})
+        sizes.append({x: len(list(x.glob("batch=*/*.parquet"))) for x in (tmp_path / "cp" / "positions").glob("hour=*")})
+
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.carry_positions(source, str(tmp_path / "cp"), store, keep_ms=48 * 3_600_000).awaitTermination()
+    known, want = [], {}
+    for part in parts:
+        new = rows.where(part).collect()
+        known += [r for r in new if r["lat"] is not None]
+        for r in new:
+            near = [x for x in (known if r["mmsi"] != -1 else [r]) if x["lat"] is not None and x["mmsi"] == r["mmsi"] and r["time_ms"] - 1_200_000 <= x["time_ms"] <= r["time_ms"]]
+            best = max(near, key=lambda x: (x["time_ms"], x["digest"]), default=None)
+            want[r["event_id"]] = (best["lat"], best["lon"]) if best else (None, None)
+    assert got == want and len({x for x in want.values()}) > 50 and len(sizes) == len(parts)
+    hours = sorted(int(x.name.removeprefix("hour=")) for x in (tmp_path / "cp" / "positions").glob("hour=*"))
+    assert 48 <= hours[-1] - hours[0] + 1 <= 50 and max(len(x) for x in sizes) <= 50 + 42
+    kept = spark.read.parquet(str(tmp_path / "cp" / "positions"))
+    assert kept.groupBy("mmsi", "time_ms", "digest").count().where("count > 1").count() == 0 and kept.where("mmsi IN (3, -1)").count() == 0
+
+
 def test_carrying_query_reads_a_table_of_many_files(spark, tiny, tmp_path):
     from fairlead import queries
 
