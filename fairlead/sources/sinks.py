@@ -83,7 +83,9 @@ def export(rows: DataFrame, path: str, output: str = "raw", columns: list[str] |
     if output == "table":
         counted.select(*(columns or rows.columns)).write.mode(mode).csv(path, sep=separator, header=header)
     elif output == "kml":
-        ordered = kml_document(counted).repartitionByRange("part", F.xxhash64("value")).sortWithinPartitions("part", F.desc(F.col("value").startswith("<?xml")))
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        place = F.when(F.col("part") == 0, 0).when(F.col("part") == 2, n + 1).otherwise(1 + F.pmod(F.hash("value"), F.lit(n)))
+        ordered = kml_document(counted).repartitionById(n + 2, place.cast("int")).sortWithinPartitions("part", F.desc(F.col("value").startswith("<?xml")))
         ordered.select("value").write.mode(mode).text(path)
     else:
         SINKS[output](counted, columns=columns, separator=separator).write.mode(mode).text(path)

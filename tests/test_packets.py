@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import shutil
 import socket
 import subprocess
@@ -309,6 +310,97 @@ def test_messages_of_several_sentences(spark, tmp_path):
     assert sorted(r["mmsi"] or 0 for r in rows) == [0, 0, 0, 219000123, 257074900, 257074900]
 
 
+def as_messages(text):
+    return sorted(map(str, nmea.messages(text)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_cut_lines_are_the_messages_of_the_whole(seed):
+    """Tags, noise, messages of one to three sentences, nested, broken off, doubled; cut into splits anywhere."""
+    draw = random.Random(seed)
+    lines, parts = [], []
+    for k in range(draw.randrange(1, 40)):
+        what = draw.random()
+        if what < 0.15:
+            lines.append(draw.choice(["noise", "", "$XX,1", "x!BSVDM,1,1,,A,mid,0*00", "$PGHP,lone"]))
+        elif what < 0.4:
+            lines += [f"$PGHP,{k}"] * draw.randrange(2) + [f"{draw.choice(['', chr(92) + 'c:1*00' + chr(92)])}!BSVDM,1,1,,A,p{k},0*00"]
+        elif what < 0.7 or not parts:
+            total, number = draw.choice([2, 3]), draw.randrange(2)
+            new = [(f"!BSVDM,{total},{i + 1},{number},{'AB'[k % 2]},q{k}.{i},0*00") for i in range(total)]
+            parts += [([f"$PGHP,{k}.{i}"] if draw.random() < 0.4 else []) + [x] for i, x in enumerate(new)]
+        for _ in range(draw.randrange(3)):
+            if parts:
+                lines += parts.pop(0 if draw.random() < 0.85 else draw.randrange(len(parts)))
+    cuts = sorted(draw.randrange(len(lines) + 1) for _ in range(draw.randrange(5)))
+    splits = [lines[a:b] for a, b in zip([0, *cuts], [*cuts, len(lines)])]
+    sound, left = [], []
+    for i, split in enumerate(splits):
+        cut = nmea.Cut(whole=False)
+        cut.first = i > 0
+        for line in split:
+            cut.add(line)
+        cut.end()
+        sound += nmea.messages("\n".join(cut.sound))
+        left += cut.left
+    last = nmea.Cut(whole=True)
+    for line in left:
+        last.add(line)
+    last.end()
+    joined = [m for text in ("\n".join(last.sound), *last.apart) for m in nmea.messages(text)]
+    assert sorted(map(str, sound + joined)) == as_messages("\n".join(lines))
+
+
+def test_a_file_is_read_by_many_tasks(spark, real):
+    """Packets of one file in splits of a few lines are those of the whole."""
+    want = sorted(map(str, nmea.packets_of(nmea.read_lines(spark, str(real / "in"))).drop("path").collect()))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("301", "1000"):
+            for k, v in zip(kept, (size, "0")):
+                spark.conf.set(k, v)
+            lines = nmea.read_lines(spark, str(real / "in"))
+            assert spark.read.text(str(real / "in")).rdd.getNumPartitions() > 4
+            assert sorted(map(str, nmea.packets_of(lines).drop("path").collect())) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_decoding_reads_each_field_from_its_bits():
+    """Random messages of every type against the bits read one by one; unreadable and short payloads give nulls."""
+    draw, payloads = random.Random(6), [None, "", "1", "0000000", "55?MbV0\x7f00000000000000000000", "1" * 5]
+    for kind in (1, 2, 3, 4, 5, 8, 9, 18, 19, 21, 24, 27) * 6:
+        length = draw.choice([38, 96, 160, 168, 312, 424])
+        payloads.append(encode([(kind, 6), (draw.randrange(4), 2), (draw.getrandbits(30), 30), (draw.randrange(2), 2), *((draw.getrandbits(6), 6) for _ in range((length - 40) // 6 + 1))]))
+    got = {k: v.to_pylist() for k, v in nmea.decoded(payloads).items()}
+
+    def bits_of(p):
+        values = [ord(c) - (56 if ord(c) >= 96 else 48) for c in p or ""]
+        return "".join(f"{v:06b}" for v in values) if all(48 <= ord(c) < 88 or 96 <= ord(c) < 120 for c in p or "") else ""
+
+    def text(b):
+        return "".join(SIX[int(b[i : i + 6], 2)] for i in range(0, len(b), 6)).split("@")[0].rstrip(" ") or None
+
+    for k, p in enumerate(payloads):
+        b = bits_of(p)
+        kind = int(b[:6], 2) if len(b) >= 38 else None
+        assert got["msgtype"][k] == kind and got["mmsi"][k] == (int(b[8:38], 2) if kind is not None else None)
+        for name, places in [*nmea.NUMBERS.items(), *nmea.POSITIONS.items(), *nmea.TEXTS.items()]:
+            want = None
+            for types, start, length, *parts in places:
+                if kind in types and len(b) >= start + length:
+                    field = b[start : start + length]
+                    value = int(field, 2)
+                    want = text(field) if name in nmea.TEXTS else (value - (int(field[0]) << length)) / parts[0] if parts else value
+            if kind == 24 and len(b) >= 160:
+                which = int(b[38:40], 2)
+                want = text(b[40:160]) if name == "name" and which == 0 else int(b[40:48], 2) if name == "shiptype" and which == 1 else text(b[90:132]) if name == "callsign" and which == 1 else want
+            want = None if (name, want) in (("lat", 91.0), ("lon", 181.0), ("imo", 0)) else want
+            assert got[name][k] == want, (name, kind, len(b))
+
+
 SIX = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
 
 
