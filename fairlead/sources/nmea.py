@@ -65,6 +65,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Line that ends an open message of a key in what splits leave over.
 _ENDED = "\x02"
+#: Behind the talker, a sentence that is a message of one part says so.
+_ALONE = ",1,"
 _LINE = re.compile(r"(?:\\[^\\]*\\)?(![A-Z]{5},.*)")
 
 
@@ -160,7 +162,14 @@ def _cut_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield told(True)
                 at, cut = (path, start), Cut(whole=False)
                 cut.first = start > 0
-            cut.add(line)
+            # Most lines are tags and sentences that are whole messages.
+            if line[6:9] == _ALONE and line[0] == "!" and not cut.first:
+                if cut.tag is not None:
+                    cut.sound.append(cut.tag)
+                    cut.tag = None
+                cut.sound.append(line)
+            else:
+                cut.add(line)
         if cut is not None:
             yield told(False)
     if cut is not None:
@@ -194,7 +203,10 @@ def messages(text: str) -> list[tuple[str, str | None]]:
     out: list[list] = []
     waiting: dict[tuple, list] = {}
     for tag, sentence in _SENTENCE.findall(text):
-        f = sentence.split(",")
+        f = sentence.split(",", 6)
+        if sentence[6:9] == _ALONE:
+            out.append([tag + sentence, f[5] if len(f) > 5 else ""])
+            continue
         payload = f[5] if len(f) > 5 else ""
         total, number, key = _fields(sentence)
         if total <= 1:
