@@ -51,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     give.add_argument("--duplicate-window", type=int, help="milliseconds")
     give.add_argument("--resume", action="store_true", help="append what the last run into this folder didn't have")
     give.add_argument("--force", action="store_true", help="begin anew")
+    give.add_argument("--chunk", type=params.duration_ms, default="P1D", help="time that a resumable export commits at once")
     give.add_argument("--resume-after", type=int)
     give.add_argument("--limit", type=int)
     give.add_argument("--dry-run", action="store_true")
@@ -76,7 +77,8 @@ def give_out(spark: SparkSession, a: argparse.Namespace) -> None:
     mids = spark.read.csv(a.mids, header=True) if a.mids else None
     how = {"output": a.output_format, "columns": a.columns, "separator": a.separator, "header": not a.no_header}
     if a.resume or a.force:
-        print(json.dumps(sinks.resumed_export(query, spark, a.archive, a.out, a.force, **how)))
+        told = lambda c: print(f"{c['percent']:.1f} %, {c['packageCount']} packets, done at {c['eta']}", file=sys.stderr)
+        print(json.dumps(sinks.resumed_export(query, spark, a.archive, a.out, a.force, a.chunk, mids, told, **how)))
         return
     rows = query.to_df(spark, a.archive, mids)
     if a.dry_run:
@@ -116,7 +118,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         for r in reports.chunk_counts(archive.read_table(spark, a.archive, "packets_time", t0, t1), t0, t1, a.blocks).orderBy("first_block").toLocalIterator():
             print(f"blocks {r['first_block']}..{r['last_block']}: {r['n']}")
     elif a.command == "compact":
-        print(json.dumps({"replaced": archive.compact(spark, a.archive, a.most_files), "deleted": archive.vacuum(spark, a.archive, int(time.time() * 1000) - a.keep)}))
+        print(json.dumps({"replaced": archive.compact(spark, a.archive, a.most_files), "snapshots": len(archive.take_snapshots(spark, a.archive)), "deleted": archive.vacuum(spark, a.archive, int(time.time() * 1000) - a.keep)}))
     else:
         files = nmea.packets_of(nmea.read_lines(spark, a.input, a.glob)).withColumn("timeblock", timeblock("time_ms", TEN_MINUTES_MS))
         for r in reports.missing_from(files, archive.read_table(spark, a.archive, "packets_time")).toLocalIterator():

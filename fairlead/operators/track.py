@@ -34,8 +34,14 @@ def carry_forward(packets: DataFrame, within_ms: int = CARRY_MS, tie: str = "dig
 TARGET = {"target_imo": "imo", "target_name": "name", "target_callsign": "callsign", "target_type": "shiptype", "target_navstat": "navstat", "target_sog": "sog", "target_cog": "cog", "target_hdg": "hdg"}
 
 
-def with_targets(packets: DataFrame, tie: str = "digest") -> DataFrame:
-    """Each packet with what its vessel had last said up to then: static data, navigation status and position (``target_..``)."""
+def with_targets(packets: DataFrame, tie: str = "digest", history: DataFrame | None = None) -> DataFrame:
+    """Each packet with what its vessel had last said up to then: static data, navigation status and position (``target_..``).
+
+    ``history``: more packets (the columns of ``archive.TARGETS``) that vessels are known by, as ``archive.targets_before`` gives them.
+    """
+    if history is not None:
+        both = packets.withColumn("_own", F.lit(True)).unionByName(history.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+        return with_targets(both, tie).where("_own").drop("_own")
     window = W.partitionBy(*vessel()).orderBy("time_ms", tie).rowsBetween(W.unboundedPreceding, 0)
     seen = {to: F.last(of, ignorenulls=True).over(window) for to, of in TARGET.items() if of in packets.columns}
     place = F.last(F.when(valid_position(), F.struct("lat", "lon")), ignorenulls=True).over(window)

@@ -116,8 +116,8 @@ class Query:
         its files say where to cut the interval, so that rows are dealt to their place in the order at once; a query without an
         interval or with a limit is sorted as a whole.
 
-        Filters on targets see what each vessel had said inside the query's own packets; those on countries need ``mids``
-        (``track.with_countries``). Repeats go before thinning, and both after the filter.
+        Filters on targets see what each vessel had said before, in an archive at any time and place (``archive.targets_before``), else inside the
+        query's own packets; those on countries need ``mids`` (``track.with_countries``). Repeats go before thinning, and both after the filter.
         """
         name = self.table()
         stored = not isinstance(source, dict)
@@ -145,7 +145,10 @@ class Query:
                 rows = rows.where(F.col("carried_lat").between(south, north) & F.col("carried_lon").between(west, east))
         if self.unrepeated and not stored:
             rows = by_primary_key(rows, name)
-        rows = self._filtered(rows, mids, tie)
+        history = None
+        if stored and self.interval is not None and any(n.startswith("t.") for n in fields_in(self.filter)):
+            history = archive.targets_before(source, path, *self.interval)
+        rows = self._filtered(rows, mids, tie, history)
         if self.repeats_ms is not None:
             rows = drop_repeats_within(rows, self.repeats_ms, tie=tie)
         if self.min_ms is not None or self.min_m is not None:
@@ -164,12 +167,12 @@ class Query:
             cells = tuple(int(lat // degrees) * (360 // degrees) + int((lon + 180) // degrees) for lat, lon in ((south, west), (north, east)))
         return (*(self.interval or (self.after_ms, None)), list(self.mmsi) if self.kind == "mmsi" else None, cells)
 
-    def _filtered(self, rows: DataFrame, mids: DataFrame | None, tie: str) -> DataFrame:
+    def _filtered(self, rows: DataFrame, mids: DataFrame | None, tie: str, history: DataFrame | None) -> DataFrame:
         names = fields_in(self.filter)
         more = rows
         if mids is not None and any(n.endswith(".country") for n in names):
             more = with_countries(more, mids)
         if any(n.startswith("t.") for n in names):
-            more = with_targets(more, tie)
+            more = with_targets(more, tie, history)
         kept = more.where(compile_filter(self.filter, FIELDS if mids is None else WITH_COUNTRIES))
         return kept.select(*rows.columns)

@@ -545,3 +545,24 @@ SELECT CAST(ch.k * 10 + {T0 // 600000} AS BIGINT) AS first_block, CAST(least(ch.
 def archive_counts(spark, d):
     """Counts by chunks of blocks in an archive that was written to twice."""
     return reports.chunk_counts(archive.read_table(spark, reimported(spark, d, False), "packets_time", T0, T1), T0, T1, 10)
+
+
+@query(P + f""", t AS (SELECT *, last_value(shiptype IGNORE NULLS) OVER w AS target_type, last_value(name IGNORE NULLS) OVER w AS target_name
+  FROM p WINDOW w AS (PARTITION BY mmsi ORDER BY time_ms, digest ROWS UNBOUNDED PRECEDING))
+SELECT event_id FROM t WHERE {INSIDE} AND (target_type = 32 OR upper(target_name) LIKE 'SHIP 1%')""")
+def archive_targets(spark, d):
+    """Targets as they were known at each packet's time, from before the query's interval too: by a snapshot of vessels and the packets since."""
+    folder = scratch(spark, "targets")
+    routing.write_tables(packets(spark, d), folder)
+    archive.take_snapshot(spark, folder, T0 // archive.DAY_MS - 1)
+    return Query.for_time().between(T0, T1).where("t.type=32 | t.name like SHIP 1*").to_df(spark, folder).select(event_id())
+
+
+@query(P + f"SELECT event_id FROM p WHERE {INSIDE} AND mmsi IN (3, 7, 11)")
+def export_in_chunks(spark, d):
+    """A resumable export that stops after half its interval and goes on, read back from its files."""
+    folder = scratch(spark, "exported")
+    routing.write_tables(packets(spark, d), f"{folder}/archive")
+    for end in ((T0 + T1) // 2, T1):
+        sinks.resumed_export(Query.for_mmsi(*VESSELS).between(T0, end), spark, f"{folder}/archive", f"{folder}/out", chunk_ms=5 * archive.DAY_MS)
+    return spark.read.text(f"{folder}/out/chunk=*").select(F.split_part("value", F.lit("|"), F.lit(1)).cast("long").alias("event_id"))

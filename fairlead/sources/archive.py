@@ -283,3 +283,77 @@ def vacuum(spark: SparkSession, path: str, older_ms: int) -> int:
         n += bool(files.delete(at, False))
     return n
 
+
+
+#: What a vessel keeps saying until it says something else, in the columns of its packets.
+KEPT = ("imo", "name", "callsign", "shiptype", "navstat", "sog", "cog", "hdg")
+TARGETS = T.StructType([f for f in PLACED if f.name in {"mmsi", "time_ms", "digest", "lat", "lon", *KEPT}])
+
+
+def _snapshots(spark: SparkSession, path: str) -> dict[int, tuple[str, str]]:
+    """Snapshots of vessels by day, each the latest taken: the run that was the last one then, and its folder."""
+    jvm, at, files = _paths(spark, f"{path}/targets")
+    found: dict[int, tuple[str, str]] = {}
+    if files.exists(at):
+        for s in files.listStatus(at):
+            name = s.getPath().getName()
+            if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                day, _, run = name.partition("-")
+                found[int(day)] = max(found.get(int(day), ("", "")), (run, f"{path}/targets/{name}"))
+    return found
+
+
+def _last_runs(spark: SparkSession, path: str) -> dict[int, str]:
+    """For each day with packets, the latest run among it and all days before."""
+    rows = entries(spark, path).where("table = 'packets_time' AND day IS NOT NULL").groupBy("day").agg(F.max("run").alias("run")).collect()
+    out, latest = {}, ""
+    for r in sorted(rows, key=lambda r: r["day"]):
+        out[r["day"]] = latest = max(latest, r["run"])
+    return out
+
+
+def _base(runs: dict[int, str], taken: dict[int, tuple[str, str]], before: int) -> tuple[int, str] | None:
+    """The latest snapshot of a day before ``before`` that no run has added to since."""
+    for day in sorted((d for d in taken if d < before), reverse=True):
+        if max((r for d, r in runs.items() if d <= day), default="") <= taken[day][0]:
+            return day, taken[day][1]
+    return None
+
+
+def targets_before(spark: SparkSession, path: str, t0_ms: int, t1_ms: int) -> DataFrame:
+    """``TARGETS`` rows of vessels that say what was known of each up to every time of the closed interval: the latest snapshot before its first
+    day, as a row a vessel at the end of that day, and the packets since. Without a snapshot, all packets up to then."""
+    names = [f.name for f in TARGETS]
+    base = _base(_last_runs(spark, path), _snapshots(spark, path), t0_ms // DAY_MS)
+    since = None if base is None else (base[0] + 1) * DAY_MS
+    rows = read_table(spark, path, "packets_time", since, t1_ms).where((F.col("time_ms") <= t1_ms) & (F.col("mmsi") != -1))
+    if since is None:
+        return rows.select(*names)
+    held = spark.read.schema(TARGETS).parquet(base[1])
+    return rows.where(F.col("time_ms") >= since).select(*names).unionByName(held)
+
+
+def take_snapshot(spark: SparkSession, path: str, day: int) -> None:
+    """Store what is known of each vessel at the end of a day: a row each, from the snapshot before and the packets since."""
+    end = (day + 1) * DAY_MS - 1
+    latest = max(_last_runs(spark, path).values(), default="")
+    rows, order = targets_before(spark, path, day * DAY_MS, end), F.struct("time_ms", "digest")
+    placed = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in KEPT]
+    at = F.max_by(F.struct("lat", "lon"), F.when(placed, order)).alias("at")
+    found = rows.groupBy("mmsi").agg(*last, at).withColumns({"time_ms": F.lit(end).cast("long"), "digest": F.lit(""), "lat": F.col("at.lat"), "lon": F.col("at.lon")})
+    found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TARGETS]).write.parquet(f"{path}/targets/{day}-{latest}")
+
+
+def take_snapshots(spark: SparkSession, path: str, every: int = 10) -> list[int]:
+    """Snapshots of every so many days before the last one, where there is none that still holds; the days taken, in order."""
+    runs = _last_runs(spark, path)
+    if not runs:
+        return []
+    made = []
+    for day in range(min(runs) // every * every, max(runs), every):
+        base = _base(runs, _snapshots(spark, path), day + 1)
+        if day >= min(runs) and (base is None or base[0] < day):
+            take_snapshot(spark, path, day)
+            made.append(day)
+    return made

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import time
 import zipfile
 from collections.abc import Callable
+from dataclasses import replace
 from xml.sax.saxutils import escape
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions.exprs import iso_instant
+from fairlead.operators.reports import eta_ms
 from fairlead.plans.query import Query
 
 
@@ -108,33 +110,61 @@ def zipped(spark: SparkSession, path: str, target: str, member: str = "doc.kml")
                 out.write(r["value"].encode() + b"\n")
 
 
-def resume_meta(rows: DataFrame, filename: str) -> str:
-    """What a later export needs to go on: the last time and the number of packets so far."""
-    r = rows.agg(F.max("time_ms").alias("t"), F.count("*").alias("n")).first()
-    return json.dumps({"filename": filename, "timestamp": r["t"], "packageCount": r["n"]})
-
-
-def resumed_export(query: Query, spark: SparkSession, archive: str, path: str, force: bool = False, **how) -> dict:
-    """Export what an earlier run into ``path`` hasn't: packets behind the last time its meta file names are appended.
-
-    The meta file (``path``/_meta, one JSON line) is written after the packets; a run that fails between the two isn't
-    noticed, and its packets come again. ``force`` begins anew.
-    """
-    before = {"filename": path, "timestamp": None, "packageCount": 0}
-    if not force:
-        try:
-            before = json.loads(spark.read.text(f"{path}/_meta").first()["value"])
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-                raise
-    rows = query.resume_after(before["timestamp"]).to_df(spark, archive).persist()
-    try:
-        new = json.loads(resume_meta(rows, path))
-        if new["packageCount"] or force:
-            export(rows, path, mode="overwrite" if force else "append", **how)
-    finally:
-        rows.unpersist()
-    last = [t for t in (before["timestamp"], new["timestamp"]) if t is not None]
-    meta = {"filename": path, "timestamp": max(last, default=None), "packageCount": before["packageCount"] + new["packageCount"]}
-    one_line(spark, json.dumps(meta), f"{path}/_meta")
-    return meta
+def chunks_of(t0_ms: int, t1_ms: int, chunk_ms: int) -> list[tuple[int, int]]:
+    """An interval cut at multiples of ``chunk_ms``."""
+    edges = [t0_ms, *range((t0_ms // chunk_ms + 1) * chunk_ms, t1_ms, chunk_ms), t1_ms]
+    return list(zip(edges, edges[1:]))
+
+
+def _log(spark: SparkSession, path: str) -> list[dict]:
+    """Commits of an export, in order; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return sorted((json.loads(r["value"]) for r in spark.read.option("recursiveFileLookup", "true").text(f"{path}/_commits").collect()), key=lambda c: c["chunk"])
+
+
+def resumed_export(
+    query: Query, spark: SparkSession, archive: str, path: str, force: bool = False, chunk_ms: int = 86_400_000, mids: DataFrame | None = None,
+    watch: Callable[[dict], None] | None = None, **how,
+) -> dict:
+    """Export a query's interval chunk by chunk of time, and go on where an earlier run into ``path`` ended.
+
+    Each chunk is a folder of its own (``chunk=..``) and counts once its commit stands beside it (``_commits``): how far the export has come, the last
+    time and the number of packets so far, and when it will be done at this pace; ``watch`` sees each. A run that is killed
+    goes on behind the last commit, and what it had begun is written over: no packet is lost or comes twice. ``_meta`` repeats the last commit for
+    readers of that file. A later query may reach further; ``force`` begins anew. A query that thins packets, or takes the first so many,
+    is one chunk, since what it keeps depends on all before.
+    """
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if force:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    done = _log(spark, path)
+    t0, t1 = query.interval
+    last = done[-1] if done else {"chunk": -1, "to": None, "timestamp": None, "packageCount": 0}
+    begin, again = (t0, query.include_start) if last["to"] is None or last["to"] < t0 else (last["to"], True)
+    if query.after_ms is not None and query.after_ms >= begin:
+        begin, again = query.after_ms, False
+    alone = query.limit is not None or query.min_ms is not None or query.min_m is not None or query.repeats_ms is not None
+    began = int(time.time() * 1000)
+    for low, high in [(begin, t1)] if alone and begin < t1 else chunks_of(begin, t1, chunk_ms) if begin < t1 else []:
+        part = replace(query, interval=(low, high), include_start=again, after_ms=None)
+        again = True
+        seen = Observation("chunk")
+        rows = part.to_df(spark, archive, mids).observe(seen, F.max("time_ms").alias("t"), F.count(F.lit(1)).alias("n"))
+        number = last["chunk"] + 1
+        export(rows, f"{path}/chunk={number:06d}", mode="overwrite", **how)
+        percent = 100.0 * (high - t0) / (t1 - t0)
+        last = {
+            "chunk": number, "from": low, "to": high, "timestamp": max((x for x in (last["timestamp"], seen.get["t"]) if x is not None), default=None),
+            "packageCount": last["packageCount"] + seen.get["n"], "percent": percent, "eta": eta_ms(100.0 * (high - begin) / (t1 - begin), began, int(time.time() * 1000)),
+        }
+        one_line(spark, json.dumps(last), f"{path}/_commits/{number:06d}")
+        one_line(spark, json.dumps(_meta(path, last)), f"{path}/_meta")
+        if watch is not None:
+            watch(last)
+    return _meta(path, last)
+
+
+def _meta(path: str, last: dict) -> dict:
+    return {"filename": path, "timestamp": last["timestamp"], "packageCount": last["packageCount"]}

@@ -209,7 +209,7 @@ def test_written_again_is_written_once(spark, real, tmp_path, capsys):
     assert archive.vacuum(spark, path, 0) == 0 and archive.vacuum(spark, path, int(time.time() * 1000) + 60_000) == files.count()
     assert asked() == before
     cli.main(["compact", "--archive", path], spark)
-    assert json.loads(capsys.readouterr().out) == {"replaced": 0, "deleted": 0}
+    assert json.loads(capsys.readouterr().out) == {"replaced": 0, "snapshots": 0, "deleted": 0}
     with pytest.raises(SystemExit):
         cli.main(["generate", str(real / "in"), "--archive", path], spark)
 
@@ -521,13 +521,66 @@ def test_exports(spark, real, capsys):
     half, whole = (Query.for_time().between(*params.interval_ms(f"2015-03-06T05:00/{end}")) for end in ("2015-03-06T05:05", "2015-03-06T06:00"))
     first, then = (sinks.resumed_export(q, spark, str(real / "archive"), str(real / "again")) for q in (half, whole))
     assert first["packageCount"] < then["packageCount"] == whole.to_df(spark, str(real / "archive")).count() and then["timestamp"] == params.instant_ms("2015-03-06T05:11:40Z")
-    assert Counter(lines_of(spark, real / "again")) == Counter(x for r in whole.to_df(spark, str(real / "archive")).collect() for x in r["aisdata"].split("\n"))
+    assert Counter(lines_of(spark, f"{real / 'again'}/chunk=*")) == Counter(x for r in whole.to_df(spark, str(real / "archive")).collect() for x in r["aisdata"].split("\n"))
     assert sinks.resumed_export(whole, spark, str(real / "archive"), str(real / "again"))["packageCount"] == then["packageCount"]
     assert sinks.resumed_export(half, spark, str(real / "archive"), str(real / "again"), force=True) == first | {"filename": str(real / "again")}
     with pytest.raises(ValueError):
         sinks.export(rows, str(real / "no"), "nope")
 
 
+def test_killed_export_goes_on(spark, tiny, tmp_path):
+    """A run that is killed in a chunk leaves those before it and no packet twice; progress rises to its end."""
+    path, out = str(tmp_path / "archive"), str(tmp_path / "out")
+    routing.write_tables(packets(spark, tiny), path)
+    t0, t1 = params.interval_ms("2024-01-05T00:00/2024-01-12T12:30")
+    query, told = Query.for_time().between(t0, t1), []
+
+    class Killed(Exception):
+        pass
+
+    def watch(c):
+        told.append(c)
+        if len(told) == 3:
+            # The next chunk has begun, half of it is there, and the run ends.
+            (tmp_path / "out" / "chunk=000003").mkdir()
+            (tmp_path / "out" / "chunk=000003" / "part-0.txt").write_text("half a chunk\n")
+            raise Killed
+
+    with pytest.raises(Killed):
+        sinks.resumed_export(query, spark, path, out, watch=watch)
+    assert json.loads(lines_of(spark, f"{out}/_meta")[0])["packageCount"] == told[-1]["packageCount"] < query.to_df(spark, path).count()
+    done = sinks.resumed_export(query, spark, path, out, watch=told.append)
+    assert sorted(lines_of(spark, f"{out}/chunk=*")) == sorted(r["aisdata"] for r in query.to_df(spark, path).collect())
+    assert [c["chunk"] for c in told] == list(range(8)) and [c["from"] for c in told[1:]] == [c["to"] for c in told[:-1]] and told[-1]["percent"] == 100.0
+    assert all(a["percent"] < b["percent"] for a, b in zip(told, told[1:])) and told[-1]["eta"] is not None and done["packageCount"] == told[-1]["packageCount"]
+    assert sinks.resumed_export(query, spark, path, out) == done
+    assert sinks.resumed_export(query.first(10), spark, path, out, force=True)["packageCount"] == 10
+
+
+def test_targets_are_known_from_before(spark, real):
+    """An hour, or a place, with a filter on targets is that part of the whole; a snapshot changes nothing, and one that a late packet makes stale isn't used."""
+    path, day = str(real / "archive"), params.instant_ms("2015-03-06") // 86_400_000
+    later = "".join(sentences(position(1, m, lat, 10.0), 0).replace("2015,3,6,5", f"2015,3,{d},7") for d in (9, 20) for m, lat in ((219_000_123, 56.0), (257_074_900, 61.0)))
+    (real / "later").mkdir()
+    (real / "later" / "b.txt").write_text(later)
+    cli.main(["import", str(real / "later"), "--archive", path], spark)
+    hour = Query.for_time().between(*params.interval_ms("2015-03-09T06:30/2015-03-09T07:30"))
+    found = lambda q: sorted(r["mmsi"] for r in q.to_df(spark, path).collect())
+    asked = [(hour.where("t.name=HAMLET"), [219_000_123]), (hour.where("t.cs=LKAA | t.imo=9074729"), [219_000_123, 257_074_900]), (hour.where("t.lat>60.5"), [257_074_900])]
+    asked += [(Query.for_area((55.5, 9.5, 56.5, 10.5)).between(*hour.interval).where("t.type=70"), [219_000_123]), (Query.for_mmsi(257_074_900).between(*hour.interval).where("t.name=HAMLET"), [])]
+    assert [found(q) for q, _ in asked] == [w for _, w in asked]
+    archive.take_snapshot(spark, path, day)
+    assert archive.targets_before(spark, path, *hour.interval).count() == 3 + 2 and [found(q) for q, _ in asked] == [w for _, w in asked]
+    (real / "late").mkdir()
+    (real / "late" / "c.txt").write_text(sentences(static(219_000_123, 9_074_729, "OXAB2", "OTHELLO", 70), 3599))
+    cli.main(["import", str(real / "late"), "--archive", path], spark)
+    assert found(hour.where("t.name=OTHELLO")) == [219_000_123] and found(hour.where("t.name=HAMLET")) == []
+    assert archive.take_snapshots(spark, path, every=3) == [d for d in range(day // 3 * 3, day + 14, 3) if d >= day]
+    assert archive.take_snapshots(spark, path, every=3) == [] and found(hour.where("t.name=OTHELLO")) == [219_000_123]
+    day20 = Query.for_time().between(*params.interval_ms("2015-03-20/P1D")).where("t.name=OTHELLO")
+    assert found(day20) == [219_000_123] and archive.targets_before(spark, path, *day20.interval).count() <= 3 + 2
+
+
 def test_backup_files_are_taken_or_set_aside(spark, real, tmp_path):
     folder = tmp_path / "backup"
     folder.mkdir()
