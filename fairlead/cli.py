@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     give = to.add_parser("export", help="write the packets of a query")
     give.add_argument("--mmsi", type=int, action="append")
     give.add_argument("--area", "--box", help="lat,lon,lat,lon of two corners")
+    give.add_argument("--date-line", action="store_true", help="the area goes from the first corner eastwards to the second")
     when = give.add_mutually_exclusive_group(required=True)
     when.add_argument("--interval")
     when.add_argument("--last", help="a duration up to now")
@@ -72,7 +73,10 @@ def parser() -> argparse.ArgumentParser:
 
 def give_out(spark: SparkSession, a: argparse.Namespace) -> None:
     between = params.interval_ms(a.interval) if a.interval else params.ending_now(a.last, int(time.time() * 1000))
-    query = Query.choose(a.mmsi, params.bounding_box(a.area) if a.area else None).between(*between).where(a.filter).resume_after(a.resume_after).first(a.limit)
+    query = Query.choose(a.mmsi, params.bounding_box(a.area) if a.area else None)
+    if query.kind == "area" and a.date_line:
+        query = Query.for_area(tuple(float(x) for x in a.area.split(",")), wrap=True)
+    query = query.between(*between).where(a.filter).resume_after(a.resume_after).first(a.limit)
     query = query.thinned(a.min_duration, a.min_distance, a.duplicate_window)
     mids = spark.read.csv(a.mids, header=True) if a.mids else None
     how = {"output": a.output_format, "columns": a.columns, "separator": a.separator, "header": not a.no_header}

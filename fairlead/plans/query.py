@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from fairlead.schema import TABLES
 from fairlead.sources import archive
 
 
-def cells_of(box: tuple[float, float, float, float], degrees: int = 1) -> list[int]:
+def cells_of(box: Box, degrees: int = 1) -> list[int]:
     """Ids of all cells that a (south, west, north, east) box meets."""
     south, west, north, east = box
     rows = range(int(south // degrees), int(north // degrees) + 1)
@@ -23,7 +26,7 @@ def cells_of(box: tuple[float, float, float, float], degrees: int = 1) -> list[i
     return [r * (360 // degrees) + c for r in rows for c in columns]
 
 
-def in_cells(box: tuple[float, float, float, float], degrees: int = 1) -> Column:
+def in_cells(box: Box, degrees: int = 1) -> Column:
     """Rows whose ``cellid`` is one of ``cells_of``, as ranges of rows and columns: short for any box, with a range that prunes files."""
     south, west, north, east = box
     wide, cell = 360 // degrees, F.col("cellid")
@@ -37,17 +40,32 @@ def _past_the_edge(cell: Column, r0: int, r1: int, c0: int, c1: int, wide: int)
     return (cell.between(r0 * wide + c0, r1 * wide + wide - 1) & inner) | (cell.between((r0 + 1) * wide, r1 * wide + c1) & over)
 
 
+Box = tuple[float, float, float, float]
+
+
+def inner_cells(box: Box) -> tuple[int, int, int, int] | None:
+    """First and last row, first and last column of the ten-degree cells that lie whole inside the one-degree cells of a box; none if there are none."""
+    south, west, north, east = box
+    rows, columns = (int(south // 1), int(north // 1)), (int((west + 180) // 1), min(359, int((east + 180) // 1)))
+    (r0, r1), (c0, c1) = ((-(-a // 10), (b + 1) // 10 - 1) for a, b in (rows, columns))
+    return (r0, r1, c0, c1) if r0 <= r1 and c0 <= c1 else None
+
+
+def _within(cell: Column, wide: int, r0: int, r1: int, c0: int, c1: int) -> Column:
+    return cell.between(r0 * wide + c0, r1 * wide + c1) & F.pmod(cell, F.lit(wide)).between(c0, c1)
+
+
 @dataclass(frozen=True)
 class Query:
     """Immutable builder; ``to_df`` gives a lazy DataFrame with block, key and time predicates for pruning.
 
     The interval is open at both ends unless ``include_start``. An area query returns all packets of the cells it
-    meets; ``exact`` also tests the box. A vessel named twice comes twice.
+    meets; ``exact`` also tests the box. A vessel named twice comes twice. An area over the date line is two boxes.
     """
 
     kind: str
     mmsi: tuple[int, ...] = ()
-    box: tuple[float, float, float, float] | None = None
+    box: Box | None = None
     interval: tuple[int, int] | None = None
     cell10: bool = False
     exact: bool = False
@@ -59,6 +77,8 @@ class Query:
     min_m: float | None = None
     repeats_ms: int | None = None
     unrepeated: bool = False
+    mixed: bool = False
+    beyond: Box | None = None
 
     @staticmethod
     def for_time() -> Query:
@@ -71,11 +91,22 @@ class Query:
         return Query("mmsi", mmsi=mmsi)
 
     @staticmethod
-    def for_area(box: tuple[float, float, float, float], cell10: bool = False, exact: bool = False) -> Query:
+    def for_area(box: Box, cell10: bool = False, exact: bool = False, mixed: bool = False, wrap: bool = False) -> Query:
+        """Two corners of a box, in any order. ``wrap``: from the first one's longitude eastwards to the second's, over the date line if that is less.
+
+        ``mixed`` takes whole ten-degree cells from their table, and of the one-degree cells only those at the edge: the packets of the
+        one-degree cells, by fewer cells.
+        """
         if box is None:
             raise ValueError("an area query needs a box")
         a, b, c, d = box
-        return Query("area", box=(min(a, c), min(b, d), max(a, c), max(b, d)), cell10=cell10, exact=exact)
+        south, north = min(a, c), max(a, c)
+        if wrap and b > d:
+            return Query("area", box=(south, b, north, 180.0), beyond=(south, -180.0, north, d), cell10=cell10, exact=exact, mixed=mixed)
+        return Query("area", box=(south, min(b, d), north, max(b, d)), cell10=cell10, exact=exact, mixed=mixed)
+
+    def boxes(self) -> list[Box]:
+        return [self.box] if self.beyond is None else [self.box, self.beyond]
 
     @staticmethod
     def choose(mmsi: list[int] | None = None, box=None) -> Query:
@@ -106,7 +137,8 @@ class Query:
         """The access path; ten-degree cells where they are enabled and ten times fewer."""
         if self.kind != "area":
             return {"time": "packets_time", "mmsi": "packets_mmsi"}[self.kind]
-        few = self.cell10 and 10 * len(cells_of(self.box, 10)) <= len(cells_of(self.box, 1))
+        count = lambda degrees: len({c for box in self.boxes() for c in cells_of(box, degrees)})
+        few = self.cell10 and not self.mixed and 10 * count(10) <= count(1)
         return "packets_area_cell10" if few else "packets_area_cell1"
 
     def to_df(self, source: SparkSession | dict[str, DataFrame], path: str | None = None, mids: DataFrame | None = None, tie: str = "digest") -> DataFrame:
@@ -119,7 +151,12 @@ class Query:
         Filters on targets see what each vessel had said before, in an archive at any time and place (``archive.targets_before``), else inside the
         query's own packets; those on countries need ``mids`` (``track.with_countries``). Repeats go before thinning, and both after the filter.
         """
-        name = self.table()
+        if self.mixed and any(inner_cells(box) for box in self.boxes()):
+            return self._mixed_cover(source, path, mids, tie)
+        return self._ordered(self._refined(self._scan(source, path, self.table()), source, path, mids, tie), source, path)
+
+    def _scan(self, source: SparkSession | dict[str, DataFrame], path: str | None, name: str, cells: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Rows of a table by interval, vessels and cells; ``cells`` stands for those of the boxes."""
         stored = not isinstance(source, dict)
         rows = archive.read_table(source, path, name, *self._asked(name)) if stored else source[name]
         if self.interval is not None:
@@ -139,22 +176,37 @@ class Query:
                 asked = F.explode(F.array(*[F.lit(m).cast(rows.schema["mmsi"].dataType) for m in self.mmsi]))
                 rows = rows.join(F.broadcast(spark.range(1).select(asked.alias("mmsi"))), "mmsi")
         elif self.kind == "area":
-            rows = rows.where(in_cells(self.box, 10 if name.endswith("10") else 1))
+            degrees = 10 if name.endswith("10") else 1
+            rows = rows.where(reduce(or_, [in_cells(box, degrees) for box in self.boxes()]) if cells is None else cells(F.col("cellid")))
             if self.exact:
-                south, west, north, east = self.box
-                rows = rows.where(F.col("carried_lat").between(south, north) & F.col("carried_lon").between(west, east))
-        if self.unrepeated and not stored:
-            rows = by_primary_key(rows, name)
+                held = [F.col("carried_lat").between(s, n) & F.col("carried_lon").between(w, e) for s, w, n, e in self.boxes()]
+                rows = rows.where(reduce(or_, held))
+        return by_primary_key(rows, name) if self.unrepeated and not stored else rows
+
+    def _mixed_cover(self, source, path, mids, tie) -> DataFrame:
+        """Ten-degree cells that lie whole inside, from their table, and the one-degree cells around them."""
+        inner = [x for x in map(inner_cells, self.boxes()) if x is not None]
+        whole = lambda cell: reduce(or_, [_within(cell, 36, *x) for x in inner])
+        inside = lambda cell: reduce(or_, [_within(cell, 360, 10 * r0, 10 * r1 + 9, 10 * c0, 10 * c1 + 9) for r0, r1, c0, c1 in inner])
+        edge = lambda cell: reduce(or_, [in_cells(box, 1) for box in self.boxes()]) & ~inside(cell)
+        rows = self._scan(source, path, "packets_area_cell10", whole).unionByName(self._scan(source, path, "packets_area_cell1", edge))
+        return self._ordered(self._refined(rows, source, path, mids, tie), source, path)
+
+    def _refined(self, rows: DataFrame, source, path: str | None, mids: DataFrame | None, tie: str) -> DataFrame:
+        """Filter, repeats and thinning."""
         history = None
-        if stored and self.interval is not None and any(n.startswith("t.") for n in fields_in(self.filter)):
+        if not isinstance(source, dict) and self.interval is not None and any(n.startswith("t.") for n in fields_in(self.filter)):
             history = archive.targets_before(source, path, *self.interval)
         rows = self._filtered(rows, mids, tie, history)
         if self.repeats_ms is not None:
             rows = drop_repeats_within(rows, self.repeats_ms, tie=tie)
         if self.min_ms is not None or self.min_m is not None:
             rows = thin(rows, self.min_ms, self.min_m, tie=tie)
-        if stored and self.interval is not None and self.limit is None:
-            return archive.in_time_order(rows, archive.time_ranges(source, path, name, *self.interval))
+        return rows
+
+    def _ordered(self, rows: DataFrame, source, path: str | None) -> DataFrame:
+        if not isinstance(source, dict) and self.interval is not None and self.limit is None:
+            return archive.in_time_order(rows, archive.time_ranges(source, path, self.table(), *self.interval))
         rows = rows.orderBy("time_ms", "digest")
         return rows if self.limit is None else rows.limit(self.limit)
 
@@ -163,8 +215,8 @@ class Query:
         cells = None
         if self.kind == "area":
             degrees = 10 if name.endswith("10") else 1
-            south, west, north, east = self.box
-            cells = tuple(int(lat // degrees) * (360 // degrees) + int((lon + 180) // degrees) for lat, lon in ((south, west), (north, east)))
+            number = lambda lat, lon: int(lat // degrees) * (360 // degrees) + int((lon + 180) // degrees)
+            cells = min(number(s, w) for s, w, _, _ in self.boxes()), max(number(n, e) for _, _, n, e in self.boxes())
         return (*(self.interval or (self.after_ms, None)), list(self.mmsi) if self.kind == "mmsi" else None, cells)
 
     def _filtered(self, rows: DataFrame, mids: DataFrame | None, tie: str, history: DataFrame | None) -> DataFrame:

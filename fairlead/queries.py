@@ -134,6 +134,22 @@ def area_scan_exact(spark, d):
     return Query.for_area(BOX, exact=True).between(T0, T1).to_df(tables(spark, d)).select(*SHOWN)
 
 
+BROAD, PACIFIC = (-43.5, -95.25, 52.75, 101.5), (-20.0, 170.5, 30.5, -160.25)
+
+
+@query(cell_sql(BROAD, 1))
+def area_scan_mixed(spark, d):
+    """The packets of the one-degree cells, by whole ten-degree cells inside and one-degree cells at the edge."""
+    return Query.for_area(BROAD, mixed=True).between(T0, T1).to_df(tables(spark, d, cell10=True)).select(*SHOWN)
+
+
+@query(P + f"""SELECT event_id, time_ms, aisdata FROM k WHERE {INSIDE} AND mmsi > 0 AND clat IS NOT NULL AND clat BETWEEN {PACIFIC[0]} AND {PACIFIC[2]}
+    AND (clon >= {PACIFIC[1]} OR clon <= {PACIFIC[3]})""")
+def area_scan_date_line(spark, d):
+    """A box over the date line."""
+    return Query.for_area(PACIFIC, exact=True, wrap=True).between(T0, T1).to_df(tables(spark, d)).select(*SHOWN)
+
+
 @query(P + "SELECT event_id, CAST(time_ms // 600000 AS INTEGER) AS block10m, CAST(time_ms // 2592000000 AS INTEGER) AS block30d FROM p")
 def timeblock_derivation(spark, d):
     block = lambda width, name: exprs.timeblock("time_ms", width).alias(name)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fairlead import cli
 from fairlead.functions import exprs, filters, params
 from fairlead.operators import reports, routing, track
-from fairlead.plans.query import Query, cells_of
+from fairlead.plans.query import Query, cells_of, inner_cells
 from fairlead.schema import TABLES, TEN_MINUTES_MS, create_table_sql
 from fairlead.sources import archive, nmea, sinks
 from fairlead.sources.testdata import packets
@@ -172,6 +172,23 @@ def test_archive_prunes_and_agrees(spark, tiny, tmp_path):
             assert whole.count() == tables[area.table()].where(F.col("cellid").isin(*cells)).count() if len(cells) < 8000 else True
 
 
+def test_mixed_cover_and_date_line(spark, tiny, tmp_path):
+    """Mixed covers hold the packets of the one-degree cells, by fewer cells; an area over the date line is both its sides."""
+    rows, path = packets(spark, tiny), str(tmp_path / "a")
+    routing.write_tables(rows, path, cell10=True)
+    made = routing.fan_out(rows, cell10=True)
+    for box, wrap in (((-43.5, -95.25, 52.75, 101.5), False), ((0.0, 0.0, 9.5, 9.5), False), ((0.0, 0.0, 9.4, 8.5), False), ((-90.0, -180.0, 90.0, 180.0), False), ((-45.5, 120.25, 45.5, -120.5), True), ((10.0, 175.0, 12.0, -175.0), True)):
+        plain, mixed = (Query.for_area(box, mixed=m, wrap=wrap).between(0, 1 << 60) for m in (False, True))
+        want = sorted(r["digest"] for r in plain.to_df(made).collect())
+        assert sorted(r["digest"] for r in mixed.to_df(made).collect()) == want
+        assert [r["digest"] for r in mixed.to_df(spark, path).collect()] == [r["digest"] for r in plain.to_df(spark, path).collect()] and len(want) == mixed.to_df(spark, path).count()
+        cells = {c for b in plain.boxes() for c in cells_of(b)}
+        assert wrap == (len(plain.boxes()) == 2) and all((c % 360 >= 120 + 180 or c % 360 <= 60) == wrap or not wrap for c in cells)
+    assert inner_cells((0.0, 0.0, 9.5, 9.5)) == (0, 0, 18, 18) and inner_cells((0.0, 0.0, 8.5, 9.5)) is None
+    both = Query.for_area((-20.0, 150.0, 20.0, -150.0), exact=True, wrap=True).to_df(made)
+    assert both.where("NOT (carried_lon >= 150 OR carried_lon <= -150)").count() == 0 and both.where("carried_lon < 0").count() > 0 and both.where("carried_lon > 0").count() > 0
+
+
 def test_tables_are_written_in_one_job(spark, tiny, tmp_path):
     """The plan has one scan and one shuffle for the tables; all of them, or none, are there afterwards."""
     plan = routing.routed(packets(spark, tiny), "bulk", cell10=True)._jdf.queryExecution().executedPlan().toString()
