@@ -23,7 +23,9 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="fairlead")
     to = top.add_subparsers(dest="command", required=True)
     live = to.add_parser("archive", help="store packets of live sources as they come")
-    live.add_argument("sources", nargs="+", type=ingest.source_group, help="name=host:port,host:port")
+    live.add_argument("sources", nargs="*", type=ingest.source_group, help="name=host:port,host:port")
+    live.add_argument("--log", help="folder in which a receiver logs lines, a folder for each source; in place of sources")
+    live.add_argument("--once", action="store_true", help="take what the log holds and stop")
     live.add_argument("--checkpoint", required=True, help="folder that driver and executors share")
     live.add_argument("--backup", help="folder of zip files to take when the stream starts")
     live.add_argument("--every", default="10 seconds")
@@ -105,6 +107,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "archive":
         if a.backup:
             ingest.replay_files(spark, a.backup, lambda packets: write_tables(packets, a.archive))
+        if a.log:
+            ingest.archive_log(spark, a.log, a.archive, a.checkpoint, **({"availableNow": True} if a.once else {"processingTime": a.every})).awaitTermination()
+            return
         packets = ingest.without_replays(ingest.live_packets(spark, dict(a.sources)))
         ingest.archive(packets, a.archive, a.checkpoint, processingTime=a.every).awaitTermination()
     elif a.command in ("import", "generate"):

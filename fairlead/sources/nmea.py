@@ -47,7 +47,7 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*", recu
     find = {"pathGlobFilter": glob, "recursiveFileLookup": str(recursive).lower()}
     split = spark.read.options(**find).text(path).where(~F.lower(F.col("_metadata.file_name")).endswith(".zip"))
     lines = split.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-    parts = lines.mapInArrow(_cut_splits, "path string, start long, text string, open boolean")
+    parts = lines.mapInArrow(cut_splits, "path string, start long, text string, open boolean")
     sound = parts.where("not open").select("path", "text")
     joined = parts.where("open").groupBy("path").applyInArrow(_stitched, "path string, text string")
     archives = spark.read.format("binaryFile").options(**find).load(path).where(F.lower(F.substring_index("path", "/", -1)).endswith(".zip")).select("path", "content")
@@ -143,8 +143,11 @@ class Cut:
             self.left.append(self.tag)
 
 
-def _cut_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Splits ``(path, start, value)``, one behind the other, as texts that are sound and texts that are open."""
+def cut_splits(batches: Iterator[pa.RecordBatch], alone: bool = True) -> Iterator[pa.RecordBatch]:
+    """Splits ``(path, start, value)``, one behind the other, as texts that are sound and texts that are open.
+
+    A file stands ``alone``, or goes on where another one ended.
+    """
     at, cut = None, None
 
     def told(done: bool) -> pa.RecordBatch:
@@ -161,7 +164,7 @@ def _cut_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if cut is not None:
                     yield told(True)
                 at, cut = (path, start), Cut(whole=False)
-                cut.first = start > 0
+                cut.first = start > 0 or not alone
             # Most lines are tags and sentences that are whole messages.
             if line[6:9] == _ALONE and line[0] == "!" and not cut.first:
                 if cut.tag is not None:

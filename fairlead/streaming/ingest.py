@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,17 +49,18 @@ def _forget(spark: SparkSession, hours: dict[int, str], keep_ms: int) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def carry_positions(
-    packets: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], within_ms: int = CARRY_MS, tie: str = "digest", keep_ms: int = 24 * HOUR_MS, **trigger,
-) -> StreamingQuery:
-    """Carry positions forward over all micro-batches and give each, with ``carried_lat`` and ``carried_lon``, to ``store``.
+Batch = Callable[[DataFrame, int], None]
+
+
+def carrier(checkpoint: str, store: Batch, within_ms: int = CARRY_MS, tie: str = "digest", keep_ms: int = 24 * HOUR_MS) -> Batch:
+    """What carries positions forward over all micro-batches and gives each, with ``carried_lat`` and ``carried_lon``, to ``store``.
 
     A batch leaves its own positions beside the checkpoint, by hour of their time, and reads those of the hours that its
     packets may look back to. So what is written follows the batch and not the fleet, and results are those of the batch window however packets
     are cut into batches, also for packets up to ``keep_ms`` late: older hours are deleted, and with them vessels that fell silent.
     Later packets are carried and stored like any other, but see the positions of their own batch alone; there is no watermark that drops them. A batch that
     is run again replaces what it had left and doesn't see it. Positions from the future (an hour past the clock) are not kept.
-    """
+    """
 
     def carry(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("mmsi", F.coalesce(F.col("mmsi"), F.lit(-1))).persist()
@@ -83,7 +85,16 @@ def carry_positions(
         finally:
             rows.unpersist()
 
-    return packets.writeStream.foreachBatch(carry).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return carry
+
+
+def started(rows: DataFrame, checkpoint: str, run: Batch, **trigger) -> StreamingQuery:
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def carry_positions(packets: DataFrame, checkpoint: str, store: Batch, within_ms: int = CARRY_MS, tie: str = "digest", keep_ms: int = 24 * HOUR_MS, **trigger) -> StreamingQuery:
+    """``carrier`` on a stream of packets."""
+    return started(packets, checkpoint, carrier(checkpoint, store, within_ms, tie, keep_ms), **trigger)
 
 
 def without_replays(packets: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -92,17 +103,17 @@ def without_replays(packets: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["time_ms", "digest"]).drop("arrived")
 
 
-def archive(
-    packets: DataFrame, path: str, checkpoint: str, mode: str = "online", cell10: bool = False, tie: str = "digest",
-    handlers: tuple[Callable[[DataFrame, int], None], ...] = (), on_failure: Callable[[DataFrame, int, Exception], None] | None = None, spread: int = 1, **trigger,
-) -> StreamingQuery:
-    """Write each micro-batch to all tables, with positions carried from earlier ones, in one job.
+def storer(
+    path: str, mode: str = "online", cell10: bool = False, handlers: tuple[Batch, ...] = (),
+    on_failure: Callable[[DataFrame, int, Exception], None] | None = None, spread: int = 1,
+) -> Batch:
+    """What writes each micro-batch, with positions carried to it, to all tables in one job.
 
     ``handlers`` see the batch first, in their order. A batch that fails is logged with its cause and given to ``on_failure``
     (which by default keeps it under ``path/_dead_letter`` by hour and number), and the stream goes on; if that fails too,
     the stream stops, so that no packet is lost without a word. A batch that is written again after a failure replaces itself.
     ``spread``: files of a table and day in a batch; ``archive.compact`` makes one of many batches.
-    """
+    """
 
     def store(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -116,7 +127,87 @@ def archive(
         finally:
             batch.unpersist()
 
-    return carry_positions(packets, checkpoint, store, tie=tie, **trigger)
+    return store
+
+
+def archive(packets: DataFrame, path: str, checkpoint: str, tie: str = "digest", how: dict | None = None, **trigger) -> StreamingQuery:
+    """Packets of a stream into the tables, with positions carried over batches; ``how``: see ``storer``."""
+    return started(packets, checkpoint, carrier(checkpoint, storer(path, **(how or {})), tie=tie), **trigger)
+
+
+def read_log(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """Lines of live sources as a receiver has logged them: text files in a folder for each source, a stream that can be replayed.
+
+    A file counts from when it is there; its name orders it behind earlier ones of its source.
+    """
+    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    path = F.col("_metadata.file_path")
+    return lines.select(F.element_at(F.split(path, "/"), -2).alias("source"), path.alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+OPEN = "source string, path string, start long, text string, since long"
+
+
+def assembled(batch: DataFrame, held: DataFrame, now_ms: int, limit_ms: int) -> DataFrame:
+    """``(source, text, open, since)``: whole messages of a batch of ``read_log`` and, ``open``, what has yet to be completed.
+
+    ``held`` is what the batch before left open (``OPEN``). Each split of a file is cut by itself; what it begins or ends with is put together by
+    source, in the order of files, with what was held. A message that lacks a sentence for ``limit_ms`` is told as it is.
+    """
+    names = F.concat_ws("\n", "source", "path")
+    parts = batch.select(names.alias("path"), "start", "value").mapInArrow(lambda b: nmea.cut_splits(b, alone=False), "path string, start long, text string, open boolean")
+    parts = parts.withColumns({"source": F.split_part("path", F.lit("\n"), F.lit(1)), "path": F.split_part("path", F.lit("\n"), F.lit(2))}).persist()
+    sound = parts.where("not open").select("source", "text", "open", F.lit(None).cast("long").alias("since"))
+
+    def stitch(rows: pa.Table) -> pa.Table:
+        source = rows.column("source")[0].as_py()
+        ages, cut = {}, nmea.Cut(whole=True)
+        for r in sorted(rows.to_pylist(), key=lambda r: (r["path"], r["start"])):
+            lines = r["text"].split("\n")
+            ages |= {line: r["since"] for line in lines if r["since"] is not None}
+            for line in lines:
+                cut.add(line)
+        told, left = ["\n".join(cut.sound), *cut.apart], []
+        for lines in [*(unit for _, unit in cut.waiting.values()), *([[cut.tag]] if cut.tag is not None else [])]:
+            since = min((ages[x] for x in lines if x in ages), default=now_ms)
+            if now_ms - since < limit_ms:
+                left.append(("\n".join(lines), since))
+            else:
+                told.append("\n".join(lines))
+        out = [(source, t, False, None) for t in told if t] + [(source, t, True, since) for t, since in left]
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["source", "text", "open", "since"])
+
+    waiting = parts.where("open").select("source", "path", "start", "text", F.lit(None).cast("long").alias("since")).unionByName(held)
+    return sound.unionByName(waiting.groupBy("source").applyInArrow(stitch, "source string, text string, open boolean, since long"))
+
+
+def archive_log(
+    spark: SparkSession, folder: str, path: str, checkpoint: str, limit_ms: int = 60_000, files_per_batch: int = 100, how: dict | None = None, **trigger,
+) -> StreamingQuery:
+    """Logged lines of live sources into the tables: tags with their sentences and messages of several sentences also across files and batches.
+
+    What is open after a batch, some messages a source, is written beside the checkpoint under the batch's number, and the next one
+    begins with it. A query that was killed repeats its last batch from there: nothing is lost, and what it had stored replaces itself.
+    """
+    carry = carrier(checkpoint, storer(path, **(how or {})))
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        held = session.read.schema(OPEN).parquet(f"{checkpoint}/open/{number - 1}") if number else session.createDataFrame([], OPEN)
+        now_ms = session.sql("SELECT unix_millis(current_timestamp())").first()[0]
+        found = assembled(batch, held, now_ms, limit_ms).persist()
+        try:
+            kept = found.where("open").select("source", F.lit("").alias("path"), F.monotonically_increasing_id().alias("start"), "text", "since")
+            kept.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/open/{number}")
+            lines = found.where("not open").select(F.lit(None).cast("string").alias("path"), "text", F.col("source").alias("src_id"))
+            carry(nmea.packets_of(lines, "LIVE").withColumn("time_ms", F.coalesce("time_ms", F.lit(now_ms))), number)
+        finally:
+            found.unpersist()
+        if number > 1:
+            at = session._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/open/{number - 2}")
+            at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
+
+    return started(read_log(spark, folder, files_per_batch), checkpoint, run, **trigger)
 
 
 def keep_failed(batch: DataFrame, path: str, number: int) -> None:
@@ -168,7 +259,8 @@ def replay_files(spark: SparkSession, folder: str, store: Callable[[DataFrame],
 def live_packets(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:
     """Packets of live sources; one that says no time has the time of its arrival.
 
-    Each line is read for itself: of a message of several sentences on several lines no vessel is known.
+    Each line is read for itself, and a socket can't be read again: of a message of several sentences no vessel is known. For more than trying
+    out, let a receiver log the lines (``read_log``, ``archive_log``).
     """
     lines = live_sources(spark, sources).select(F.lit(None).cast("string").alias("path"), F.col("value").alias("text"), "src_id")
     return nmea.packets_of(lines, "LIVE").withColumn("time_ms", F.coalesce("time_ms", F.unix_millis(F.current_timestamp())))

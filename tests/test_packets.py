@@ -642,6 +642,48 @@ def test_live_sources_are_archived(spark, tmp_path):
     assert {(r["source_id"], r["source_type"]) for r in rows} == {("north", "LIVE")}
 
 
+def test_logged_lines_are_archived_once(spark, tmp_path, monkeypatch):
+    """Tags and messages across files and batches are whole; a query that is killed and started again loses and doubles nothing."""
+    log, out, cp = tmp_path / "log" / "north", str(tmp_path / "out"), str(tmp_path / "cp")
+    log.mkdir(parents=True)
+    whole = sentences(static(219_000_123, 9_074_729, "OXAB2", "HAMLET", 70), 3)
+    one, two = whole.split("!BSVDM,2,2")
+    files = [
+        sentences(position(1, 219_000_123, 55.0, 10.0), 0) + one,
+        sentences(position(18, 257_074_900, 60.0, 5.0), 4) + tag(9) + "\n",
+        f"!BSVDM,1,1,,A,{position(3, 503_000_001, -33.5, 151.25)},0*00\n!BSVDM,2,2{two}" + "!BSVDM,2,1,8,B,55,0*00\n",
+        "noise\n" + sentences(position(1, 219_000_123, 55.5, 10.0), 20),
+    ]
+
+    def take(**more):
+        ingest.archive_log(spark, str(tmp_path / "log"), out, cp, files_per_batch=1, **more).awaitTermination()
+        return sorted((r["mmsi"], r["msgtype"], r["name"], (r["time_ms"] - params.instant_ms("2015-03-06T05:00")) // 1000) for r in archive.read_table(spark, out, "packets_mmsi").collect())
+
+    for k in (0, 1):
+        (log / f"{k}.txt").write_text(files[k])
+        os.utime(log / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))
+    assert take() == [(219_000_123, 1, None, 0), (257_074_900, 18, None, 4)]
+    (log / "2.txt").write_text(files[2])
+    failed = []
+
+    def fails(*_):
+        failed.append(True)
+        raise RuntimeError("killed when the batch had been stored")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_forget", fails)
+        with pytest.raises(Exception, match="killed"):
+            take()
+    assert failed
+    want = [(219_000_123, 1, None, 0), (219_000_123, 5, "HAMLET", 3), (257_074_900, 18, None, 4), (503_000_001, 3, None, 9)]
+    assert take() == want
+    (log / "3.txt").write_text(files[3])
+    assert take(limit_ms=0) == sorted([*want, (219_000_123, 1, None, 20)])
+    lone = archive.read_table(spark, out, "packets_time").where("mmsi = -1").collect()
+    assert [r["aisdata"] for r in lone] == ["!BSVDM,2,1,8,B,55,0*00"] and {r["source_id"] for r in lone} == {"north"}
+    cli.main(["archive", "--log", str(tmp_path / "log"), "--once", "--archive", out, "--checkpoint", cp], spark)
+
+
 def test_failed_batches_are_logged_and_kept(spark, tiny, tmp_path, caplog):
     def fails(batch, number):
         raise ValueError("no room")
@@ -650,7 +692,7 @@ def test_failed_batches_are_logged_and_kept(spark, tiny, tmp_path, caplog):
 
     spark.read.parquet(f"{tiny}/events.parquet").write.parquet(str(tmp_path / "in"))
     stream = packets_of(ingest.read_events(spark, str(tmp_path / "in")))
-    ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp"), handlers=(fails,)).awaitTermination()
+    ingest.archive(stream, str(tmp_path / "out"), str(tmp_path / "cp"), how={"handlers": (fails,)}).awaitTermination()
     assert "no room" in caplog.text and "was not stored" in caplog.text
     assert ingest.replay(spark, str(tmp_path / "out")).count() == packets(spark, tiny).count()
 
