@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +14,10 @@ from fairlead.llm.common import stable
 from fairlead.llm.hostrules import base_rule, text_measures
 from fairlead.llm.htmlcrf import extract_pages
 
+log = logging.getLogger(__name__)
+
+#: Area under the ROC curve, on hosts held out, that trees have to reach; 0.5 is chance.
+LEAST_AUC = 0.6
 #: Labelled URLs the trees are fitted on, about: a sample by a hash of the URL.
 MOST_LABELLED = 8_000
 #: Weight of the overall rate in a suffix's rate, in URLs.
@@ -86,7 +92,7 @@ def fold(host: Column) -> Column:
 class UrlModel:
     """Fitted trees and ``suffixes(suffix, seen, bad)`` of the labelled URLs, arrays by fold (no more rows than the bounded sample has URLs)."""
 
-    def __init__(self, suffixes: DataFrame, rate: float, trees: GBTClassificationModel | None = None):
+    def __init__(self, suffixes: DataFrame | None, rate: float, trees: GBTClassificationModel | None = None):
         self.suffixes, self.rate, self.trees = suffixes, rate, trees
 
     def features(self, urls: DataFrame, training: bool = False) -> DataFrame:
@@ -141,12 +147,27 @@ def held_out_auc(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[float,
     rows = with_parts(labelled.select("url", "label"))
     out = F.pmod(F.xxhash64(F.lit("held out"), "host"), F.lit(FOLDS)) == 0
     model = fit_urls(rows.where(~out), most)
-    if model.trees is None:
-        raise ValueError("training hosts have one label only")
-    scored = model.blocks(rows.where(out & (F.col("host") != "")))
+    held = stable(rows.where(out & (F.col("host") != "") & F.col("label").isNotNull()))
+    n, bad = held.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if model.trees is None or not 0 < bad < n:
+        raise ValueError("hosts for training, or held out, have one label only")
+    scored = model.blocks(held)
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability").evaluate(scored), model
 
 
+def proved_model(labelled: DataFrame, least_auc: float = LEAST_AUC, most: int = MOST_LABELLED) -> UrlModel:
+    """The model of ``held_out_auc`` if it tells the hosts held out apart; else one that blocks nothing, and a line in the log says so."""
+    try:
+        auc, model = held_out_auc(stable(bounded_sample(labelled.select("url", F.col("label").cast("double").alias("label")), most)), most)
+    except ValueError as e:
+        log.warning("rules decide alone: %s", e)
+        return UrlModel(None, 0.0)
+    if auc < least_auc:
+        log.warning("rules decide alone: area under the ROC curve of %.2f on hosts held out", auc)
+        model.trees = None
+    return model
+
+
 def page_labels(pages: DataFrame, most: int = MOST_LABELLED, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(url, label)`` of about ``most`` different URLs, from the pages behind them and not from the URLs.
 
@@ -155,19 +176,19 @@ def page_labels(pages: DataFrame, most: int = MOST_LABELLED, id_col: str = "page
     """
     sample = stable(bounded_sample(pages.select(F.col(url_col).alias("url"), F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), most))
     texts = extract_pages(sample).select("url", text_measures(F.col("text")).alias("m")).select("url", "m.n_words", "m.n_repeat_words")
-    return texts.select("url", base_rule().cast("double").alias("label"))
+    return stable(texts.select("url", base_rule().cast("double").alias("label")))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row.
 
     The longest fitting rule decides; elsewhere the trees do, which ``labelled(url, label)`` trains (``page_labels``
-    makes such a table from pages). Null urls and urls without ``://`` have empty host and path and are allowed;
+    makes such a table from pages), if they prove themselves on hosts held out (``proved_model``); if not, all else is allowed. Null urls and urls without ``://`` have empty host and path and are allowed;
     repeated rows are judged each; other columns are ignored; an empty table gives an empty result, and labels of one
     kind, or none, leave all to the rules.
     """
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
-    model = fit_urls(labelled)
+    model = proved_model(labelled)
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     judged = model.blocks(rows.withColumns({"rule": rule, "said": said}))
     own = F.when(F.col("blocked") & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))

@@ -640,6 +640,19 @@ def test_url_trees_learn_forms_and_not_names(spark):
     assert verdicts == ["allow"] * 4 + ["block"] * 2
 
 
+def test_url_trees_that_prove_nothing_stay_out(spark, caplog):
+    """Labels that URLs say nothing about, of one kind, or none: rules decide alone, and the log says why; all urls may be null."""
+    draw = random.Random(77)
+    noise = spark.createDataFrame([(u, float(draw.random() < 0.3)) for u, _ in labelled_urls(1500)], "url string, label double")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(labelled_urls(200, seed=5))] + [(999, "http://a.com/en/1"), (1000, None)], "page_id long, url string")
+    for labels, why in ((noise, "area under"), (noise.withColumn("label", F.lit(1.0)), "one label only"), (noise.limit(0), "one label only")):
+        caplog.clear()
+        got = {r["page_id"]: r["verdict"] for r in urlgbt.judge_urls(pages, labels, queries.URL_RULES).collect()}
+        assert got.pop(999) == "block" and set(got.values()) == {"allow"} and why in caplog.text
+    nothing = pages.select("page_id", F.lit(None).cast("string").alias("url"))
+    assert {r["verdict"] for r in urlgbt.judge_urls(nothing, urlgbt.page_labels(nothing.withColumn("html", F.lit(None).cast("string"))), queries.URL_RULES).collect()} == {"allow"}
+
+
 def test_url_rules_of_one_length(spark):
     """Of two rules of one length that fit, the last by text decides, in whatever order they are given."""
     rules = [("block", "b.com/"), ("allow", "com/a/")]
@@ -878,5 +891,5 @@ def test_pipeline(spark, tiny):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
