@@ -237,15 +237,28 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+#: Names of parts that words may begin with, as in ``commentlist``.
+STEMS = tuple(sorted(x for x in PART_NAMES if len(x) > 5))
+
+
 def name_words(element: str) -> list[str]:
-    """Words of an element's names, plural s aside."""
-    return [w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in NAME_WORD.findall(element.partition(" ")[2])]
+    """Words of an element's names, plural s aside, and names of parts that they begin with."""
+    own = [w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in NAME_WORD.findall(element.partition(" ")[2])]
+    return own + [x for w in own if w not in PART_NAMES for x in STEMS if w.startswith(x)]
+
+
+def kinds(path: tuple[str, ...]) -> list[str]:
+    """Tags of the elements around a block; a header inside an article is the article's, not the page's."""
+    tags = [e.partition(" ")[0] for e in path]
+    first = min((k for k, t in enumerate(tags) if t in ("article", "main")), default=len(tags))
+    return [t if t != "header" or k < first else "headline" for k, t in enumerate(tags)]
 
 
 def path_features(path: tuple[str, ...]) -> list[str]:
     """Tags and name words of all ancestors, and which is innermost."""
-    out = {f"in:{e.partition(' ')[0]}" for e in path} | {f"name:{w}" for e in path for w in name_words(e)}
-    return sorted(out | {f"at:{path[-1].partition(' ')[0]}" if path else "at:"})
+    tags = kinds(path)
+    out = {f"in:{t}" for t in tags} | {f"name:{w}" for e in path for w in name_words(e)}
+    return sorted(out | {f"at:{tags[-1]}" if tags else "at:"})
 
 
 def text_features(block: Block) -> list[str]:
@@ -358,7 +371,7 @@ def marked_labels(page: str) -> list[tuple[Block, int]]:
         return []
     out = []
     for b in found:
-        tags = {e.partition(" ")[0] for e in b.path}
+        tags = set(kinds(b.path))
         other = tags & PAGE_PARTS or any(w in PART_NAMES for e in b.path for w in name_words(e))
         out.append((b, int(bool(tags & {"article", "main"}) and not other)))
     return out
@@ -366,9 +379,9 @@ def marked_labels(page: str) -> list[tuple[Block, int]]:
 
 # How composed pages wrap their article and their other parts.
 ARTICLE_WRAPS = ("<article>|</article>", "<main><article class='post'>|</article></main>", "<main>|</main>", "<div class='content'>|</div>", "<div id='main-content'><div class='article-body'>|</div></div>", "<section class='entry story'>|</section>", "<div class='page'><div class='post-text'>|</div></div>", "<table><tr><td class='body'>|</td></tr></table>", "<div>|</div>", "<div class='wrap'><div class='col'>|</div></div>")
-TOP_PARTS = ("<nav><ul>{links}</ul></nav>", "<header><div class='logo'>{short}</div><ul class='menu'>{links}</ul></header>", "<div class='navbar'>{inline}</div>", "<div class='ad'>{text}</div>", "<div class='cookie-notice'><p>{text}</p></div>", "<div id='breadcrumb'>{inline}</div>", "<div class='banner promo'><p>{text}</p></div>", "<form class='search'><p>{short}</p><button>{word}</button></form>", "<header><h1>{short}</h1><p>{text}</p></header>", "<div class='alert'>{text}</div>", "<div class='advert sponsored'>{text}</div>")
+TOP_PARTS = ("<nav><ul>{links}</ul></nav>", "<header><div class='logo'>{short}</div><ul class='menu'>{links}</ul></header>", "<div class='navbar'>{inline}</div>", "<div id='header'><p>{short}</p></div>", "<div class='masthead'><p>{text}</p></div>", "<div class='ad'>{text}</div>", "<div class='cookie-notice'><p>{text}</p></div>", "<div id='breadcrumb'>{inline}</div>", "<div class='banner promo'><p>{text}</p></div>", "<form class='search'><p>{short}</p><button>{word}</button></form>", "<header><h1>{short}</h1><p>{text}</p></header>", "<div class='alert'>{text}</div>", "<div class='advert sponsored'>{text}</div>")
 INNER_PARTS = ("<div class='ad'>{text}</div>", "<aside><p>{text}</p></aside>", "<div class='share'>{inline}</div>", "<form><p>{text}</p><select><option>{word}</option></select></form>", "<div class='newsletter'><p>{text}</p></div>", "<aside class='advert'>{text}</aside>", "<div class='notice'>{text}</div>", "<nav class='toc'><ul>{links}</ul></nav>")
-BOTTOM_PARTS = ("<footer>&copy; {short}</footer>", "<footer><p>{text}</p><ul>{links}</ul></footer>", "<aside class='sidebar'><h3>{short}</h3><ul>{links}</ul></aside>", "<div class='sidebar'><h3>{short}</h3><p>{text}</p></div>", "<section id='comments'><h2>{short}</h2><div class='comment'><p>{text}</p></div><div class='comment'><p>{text2}</p></div></section>", "<section class='comments'><article class='comment'><p>{text}</p></article><article class='comment'><p>{text2}</p></article></section>", "<div class='comments'><ul><li><p>{text}</p></li><li><p>{text2}</p></li></ul></div>", "<div class='related'><ul>{links}</ul></div>", "<form><p>{short}</p><label>{word}</label><button>{word}</button></form>", "<div class='footer'><p>{text}</p></div>", "<dialog><p>{text}</p></dialog>", "<div class='cookie consent'><p>{text}</p><button>{word}</button></div>", "<div class='popup subscribe'><p>{text}</p></div>")
+BOTTOM_PARTS = ("<footer>&copy; {short}</footer>", "<footer><p>{text}</p><ul>{links}</ul></footer>", "<aside class='sidebar'><h3>{short}</h3><ul>{links}</ul></aside>", "<div class='sidebar'><h3>{short}</h3><p>{text}</p></div>", "<section id='comments'><h2>{short}</h2><div class='comment'><p>{text}</p></div><div class='comment'><p>{text2}</p></div></section>", "<section class='comments'><article class='comment'><p>{text}</p></article><article class='comment'><p>{text2}</p></article></section>", "<div class='comments'><ul><li><p>{text}</p></li><li><p>{text2}</p></li></ul></div>", "<ol class='commentlist'><li><p>{text}</p></li><li><p>{text2}</p></li></ol>", "<div class='related'><ul>{links}</ul></div>", "<form><p>{short}</p><label>{word}</label><button>{word}</button></form>", "<div class='footer'><p>{text}</p></div>", "<dialog><p>{text}</p></dialog>", "<div class='cookie consent'><p>{text}</p><button>{word}</button></div>", "<div class='popup subscribe'><p>{text}</p></div>")
 
 
 def composed_pages(texts: list[str], count: int, seed: int = 5) -> list[list[tuple[Block, int]]]:
@@ -394,7 +407,7 @@ def composed_pages(texts: list[str], count: int, seed: int = 5) -> list[list[tup
         chunks += [(part(TOP_PARTS), 0) for _ in range(draw.randint(0, 4))]
         chunks.append((front, 1))
         if draw.random() < 0.8:
-            chunks.append((f"<h1>{some(3, 10)}</h1>", 1))
+            chunks.append((f"<h1>{some(3, 10)}</h1>", 1) if draw.random() < 0.7 or not re.match("<(article|main)", front) else (f"<header><h1>{some(3, 10)}</h1></header>", 1))
         for _ in range(draw.randint(1, 9)):
             body = some(3, 12) if draw.random() < 0.2 else some(10, 90)
             shape = draw.random()

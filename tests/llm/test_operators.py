@@ -245,6 +245,20 @@ def test_html_pages_written_by_hand(spark, tiny):
     assert right / total >= 0.9, (right, total)
 
 
+def test_html_headlines_stay_and_comments_go(spark, tiny):
+    """An article's own header is not the page's, and lists of comments go whatever their name is made of; on pages written by hand."""
+    model = htmlcrf.train(sorted(r["html"] for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()))
+    story = "<p>The ferry to the outer islands sails again every morning at seven, the harbour office said on Tuesday.</p><p>Tickets are sold on board only.</p>"
+    main = ["The ferry to the outer islands sails again every morning at seven, the harbour office said on Tuesday.", "Tickets are sold on board only."]
+    said = "<li><p>About time too, I had to take the bus all winter long.</p></li><li><p>Seven is too early for me, sadly.</p></li>"
+    for before, after in (
+        ("<header><p>The island post</p></header>", f"<ol class='commentlist'>{said}</ol>"), ("<nav><ul><li><a href=a>News</a></ul></nav>", f"<ul id='comments-list'>{said}</ul>"),
+        ("", f"<div class='commentarea'><ol>{said}</ol></div>"), ("<div id='header'><p>The island post</p></div>", "<footer><p>All rights reserved by the island post.</p></footer>"),
+    ):
+        page = f"<html><body>{before}<article><header><h1>Ferry sails again</h1></header>{story}</article>{after}</body></html>"
+        assert htmlcrf.extract(page, model).split("\n") == ["Ferry sails again", *main], (before, after)
+
+
 @pytest.mark.parametrize("page, want", [
     ("<html><head><meta charset=x><title>T</title><p>one<p>two", ["one", "two"]),
     ("<head><link href=a><noscript>x</noscript>text", ["xtext"]),
