@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import time
-from urllib.parse import unquote, urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -94,13 +92,15 @@ def expired(files: DataFrame, now_ms: int, hours: int = 4) -> DataFrame:
 
 
 def clean_up(spark: SparkSession, path: str, now_ms: int, hours: int = 4) -> int:
-    """Delete expired files of a folder, on the executors, and say how many went."""
-    gone = expired(files_of(spark, path), now_ms, hours)
-
-    def delete(batches):
-        for batch in batches:
-            for name in batch["path"]:
-                os.remove(unquote(urlparse(name).path))
-            yield batch[["path"]]
-
-    return gone.select("path").mapInPandas(delete, "path string").count()
+    """Delete expired files of a folder, and folders below it that this leaves empty, in whatever store they are; say how many files went."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    files = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    root, n = files.makeQualified(new(path)), 0
+    for r in expired(files_of(spark, path), now_ms, hours).select("path").toLocalIterator():
+        at = new(new(r["path"]).toUri())
+        n += bool(files.delete(at, False))
+        above = at.getParent()
+        while not above.equals(root) and above.depth() > root.depth() and files.exists(above) and not len(files.listStatus(above)):
+            files.delete(above, False)
+            above = above.getParent()
+    return n

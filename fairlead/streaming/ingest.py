@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import logging
-import os
 import zipfile
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -224,36 +222,38 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
 def replay_files(spark: SparkSession, folder: str, store: Callable[[DataFrame], None], glob: str = "*.zip", most_files: int = 50) -> dict[str, int]:
     """Take up to ``most_files`` backup files of a watched folder: ``store`` their packets, then delete them; say how many were taken and how many set aside.
 
-    A file that can't be read as a zip archive is renamed to end in ``.unreadable`` by the task that meets it, and the rest go on.
-    Files go only after ``store`` has come back, so that a failure leaves them for the next call. The folder is one
-    that all executors mount.
+    A file that can't be read as a zip archive is renamed to end in ``.unreadable``, and the rest go on. Tasks look into the files; the
+    driver renames and deletes, by the store's own file system. Files go only after ``store`` has come back, so that a failure leaves them for the next call.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").orderBy("path").limit(most_files)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").orderBy("path").limit(most_files)
+    names = [r["path"] for r in names.collect()]  # a bounded list
+    if not names:
+        return {"taken": 0, "unreadable": 0}
 
-    def sound(batches: Iterator) -> Iterator:
+    def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for name in batch["path"]:
-                at = unquote(urlparse(name).path)
+            for data in batch.column(1):
                 try:
-                    with zipfile.ZipFile(at) as z:
+                    with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as z:
                         good.append(z.testzip() is None)
                 except (zipfile.BadZipFile, EOFError, OSError):
                     good.append(False)
-                if not good[-1]:
-                    os.rename(at, at + ".unreadable")
-            yield batch.assign(good=good)
-
-    names = [(r["path"], r["good"]) for r in found.mapInPandas(sound, "path string, good boolean").collect()]  # a bounded list
-    good = [n for n, ok in names if ok]
-    for n, ok in names:
-        if not ok:
-            log.warning("%s is unreadable and set aside", n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good)], names=["path", "good"])
+
+    looked = spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(sound, "path string, good boolean").collect()
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    files = new(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    good = [r["path"] for r in looked if r["good"]]
+    for r in looked:
+        if not r["good"]:
+            log.warning("%s is unreadable and set aside", r["path"])
+            files.rename(new(r["path"]), new(r["path"] + ".unreadable"))
     if good:
         store(nmea.packets_of(nmea.read_lines(spark, good)))
-        for n in good:
-            os.remove(unquote(urlparse(n).path))
-    return {"taken": len(good), "unreadable": len(names) - len(good)}
+        for name in good:
+            files.delete(new(name), False)
+    return {"taken": len(good), "unreadable": len(looked) - len(good)}
 
 
 def live_packets(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:

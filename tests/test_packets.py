@@ -705,9 +705,14 @@ def test_reports_of_files_and_writes(spark, real):
     seen.watch(nmea.packets_of(nmea.read_lines(spark, str(real / "in")))).write.format("noop").mode("overwrite").save()
     assert (seen.report()["packets"], seen.report()["decoded"]) == (45, 44) and seen.report()["per_second"] > 0
     assert reports.eta_ms(25.0, 0, 1000) == 4000 and reports.eta_ms(0.0, 0, 5) is None and reports.eta_ms(100.0, 0, 7) == 7
-    now = files.first()["updated"]
-    assert reports.clean_up(spark, str(real / "in"), now + 1000) == 0 and reports.clean_up(spark, str(real / "in"), now + 5 * 3_600_000) == 1
-    assert not list((real / "in").glob("*.txt"))
+    (real / "in" / "deep" / "er").mkdir(parents=True)
+    (real / "in" / "deep" / "er" / "b.txt").write_text("x")
+    (real / "in" / "full").mkdir()
+    (real / "in" / "full" / "young.txt").write_text("x")
+    os.utime(real / "in" / "full" / "young.txt", (2_000_000_000, 2_000_000_000))
+    now = max(r["updated"] for r in files.collect()) + 60_000
+    assert reports.clean_up(spark, str(real / "in"), now + 1000) == 0 and reports.clean_up(spark, str(real / "in"), now + 5 * 3_600_000) == 2
+    assert sorted(x.name for x in (real / "in").iterdir()) == ["full"]
 
 
 def test_requests():
