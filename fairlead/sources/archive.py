@@ -274,7 +274,17 @@ def compact(spark: SparkSession, path: str, most_files: int = SPREAD, days: tupl
 
 
 def vacuum(spark: SparkSession, path: str, older_ms: int) -> int:
-    """Delete data files that no entry names and that were written before ``older_ms``: of compacted days and of writes that failed."""
+    """Delete data files that no entry names and that were written before ``older_ms``: of compacted days and of writes that failed; how many went.
+
+    Commits before the latest one go too, and lists that it doesn't name, if they are as old.
+    """
+    at = committed(spark, path)
+    named = {*at.entries, *at.removed}
+    for folder, stays in ((f"{path}/_log/commits", lambda name: name == f"{at.version:012d}.json"), (f"{path}/_log", lambda name: name in named or name == "commits")):
+        _, where, files = _paths(spark, folder)
+        for s in files.listStatus(where) if files.exists(where) else []:
+            if s.getModificationTime() < older_ms and not stays(s.getPath().getName()):
+                files.delete(s.getPath(), True)
     every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
     every = every.where(F.unix_millis("modificationTime") < older_ms).select("path", F.substring_index("path", "/data/", -1).alias("file"))
     n = 0

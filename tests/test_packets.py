@@ -261,6 +261,11 @@ def test_two_writers_both_count(spark, tiny, tmp_path, monkeypatch):
     assert archive.read_table(spark, path, "packets_time").count() == rows.count()
     with pytest.raises(archive.Taken):
         real(spark, path, archive.Commit(2))
+    log = tmp_path / "a" / "_log"
+    assert len(list((log / "commits").glob("*.json"))) == 2 and archive.vacuum(spark, path, 0) == 0
+    assert archive.vacuum(spark, path, int(time.time() * 1000) + 60_000) == 0
+    assert [x.name for x in (log / "commits").glob("*.json")] == ["000000000002.json"] and {x.name for x in log.iterdir()} == {"commits", *at.entries}
+    assert archive.read_table(spark, path, "packets_time").count() == rows.count()
 
 
 def test_a_vessel_is_read_from_its_files(spark, tmp_path, monkeypatch):
