@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -128,27 +129,88 @@ def thin(packets: DataFrame, min_ms: int | None = None, min_m: float | None = No
     at = [names.index(c) for c in ("mmsi", "time_ms", "lat", "lon")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        thinner = Thinner(min_ms, min_m)
         for batch in batches:
-            kept = []
-            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in at))):
-                if last is None or row[0] != last[0] or row[0] is None or row[0] == -1 or (_late(last, row, min_ms) and _far(last, row, min_m)):
-                    last = row
-                    kept.append(i)
-            yield batch.take(pa.array(kept, pa.int64()))
+            yield batch.take(pa.array(thinner.take(*(batch.column(k) for k in at))))
 
     dealt = vessel() if "aisdata" in names else [F.col("mmsi")]
     return rows.repartition(*dealt).sortWithinPartitions("mmsi", "time_ms", tie, "lat", "lon").mapInArrow(fold, rows.schema)
 
 
-def _late(last: tuple, row: tuple, min_ms: int | None) -> bool:
-    return min_ms is None or (last[1] is not None and row[1] is not None and row[1] - last[1] >= min_ms)
+#: Rows behind a kept one that are looked at one by one, and how many at once after them: first, at most.
+NEAR, BLOCK, MOST_BLOCK = 6, 64, 8192
+#: Stands for a time that isn't known; it sorts first, as null does.
+NEVER = -(1 << 62)
 
 
-def _far(last: tuple, row: tuple, min_m: float | None) -> bool:
-    """``haversine_m`` of rows of thin."""
-    if min_m is None:
-        return True
-    half = lambda a, b: math.sin(math.radians(b - a) / 2) ** 2
-    (lat1, lon1), (lat2, lon2) = last[2:], row[2:]
-    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(half(lat1, lat2) + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half(lon1, lon2)))) >= min_m
+def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """``haversine_m`` of two places."""
+    half = lambda x, y: math.sin(math.radians(y - x) / 2) ** 2
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(half(a[0], b[0]) + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * half(a[1], b[1]))))
+
+
+class Thinner:
+    """The fold of ``thin`` over batches of sorted rows: it holds the last row kept, and jumps to the next.
+
+    A duration is searched for in the sorted times; distances are computed for blocks of rows that grow as long as none is far
+    enough. Blocks only propose rows: ``metres`` decides, so that batches don't change what is kept.
+    """
+
+    def __init__(self, min_ms: int | None, min_m: float | None):
+        self.min_ms, self.min_m = min_ms, min_m
+        self.last: tuple | None = None
+
+    def take(self, mmsi: pa.Array, time_ms: pa.Array, lat: pa.Array, lon: pa.Array) -> np.ndarray:
+        """Places of the rows to keep."""
+        if not len(mmsi):
+            return np.empty(0, np.int64)
+        ids = mmsi.fill_null(-1).to_numpy(zero_copy_only=False)
+        times = time_ms.fill_null(NEVER).to_numpy(zero_copy_only=False)
+        lats, lons = (x.to_numpy(zero_copy_only=False) for x in (lat, lon))
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        kept: list = []
+        for low, high in zip(edges, edges[1:]):
+            if ids[low] == -1:
+                kept += range(low, high)
+                continue
+            i = low
+            if self.last is None or self.last[0] != ids[low]:
+                kept.append(low)
+                self.last = self._row(ids, times, lats, lons, low)
+                i += 1
+            while (i := self._next(times, lats, lons, i, high)) < high:
+                kept.append(i)
+                self.last = self._row(ids, times, lats, lons, i)
+                i += 1
+        return np.array(kept, np.int64)
+
+    @staticmethod
+    def _row(ids, times, lats, lons, i: int) -> tuple:
+        return int(ids[i]), int(times[i]), float(lats[i]), float(lons[i])
+
+    def _next(self, times, lats, lons, i: int, high: int) -> int:
+        """The first row from ``i`` on to keep, or ``high``."""
+        _, when, *place = self.last
+        if self.min_ms is not None:
+            if when == NEVER:
+                return high
+            if i < high and times[i] - when < self.min_ms:
+                # Unknown times stand in front of a vessel's others, so they never follow a known one.
+                i += int(np.searchsorted(times[i:high], when + self.min_ms))
+        if self.min_m is None:
+            return i
+        for k in range(i, min(i + NEAR, high)):
+            if metres(place, (float(lats[k]), float(lons[k]))) >= self.min_m:
+                return k
+        i, size = i + NEAR, BLOCK
+        lat0, lon0 = place
+        while i < high:
+            end = min(i + size, high)
+            north = np.radians(lats[i:end])
+            across = np.sin(np.radians(lats[i:end] - lat0) / 2) ** 2 + math.cos(math.radians(lat0)) * np.cos(north) * np.sin(np.radians(lons[i:end] - lon0) / 2) ** 2
+            far = 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(across, 1.0)))
+            for k in np.flatnonzero(far >= self.min_m * (1 - 1e-9)).tolist():
+                if metres(place, (float(lats[i + k]), float(lons[i + k]))) >= self.min_m:
+                    return i + k
+            i, size = end, min(2 * size, MOST_BLOCK)
+        return high
