@@ -27,7 +27,8 @@ def parser() -> argparse.ArgumentParser:
     live.add_argument("--log", help="folder in which a receiver logs lines, a folder for each source; in place of sources")
     live.add_argument("--once", action="store_true", help="take what the log holds and stop")
     live.add_argument("--checkpoint", required=True, help="folder that driver and executors share")
-    live.add_argument("--backup", help="folder of zip files to take when the stream starts")
+    live.add_argument("--backup", help="folder of zip files to take whenever the stream is idle")
+    live.add_argument("--batch", type=int, default=10_000, help="rows of a batch; with fewer in its last one a stream is idle")
     live.add_argument("--every", default="10 seconds")
     take = to.add_parser("import", help="read text files into the tables")
     bulk = to.add_parser("generate", help="read text files into new tables, with ten-degree cells")
@@ -105,13 +106,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("fairlead").getOrCreate()
     if a.command == "archive":
-        if a.backup:
-            ingest.replay_files(spark, a.backup, lambda packets: write_tables(packets, a.archive))
+        store = lambda packets: write_tables(packets, a.archive)
         if a.log:
-            ingest.archive_log(spark, a.log, a.archive, a.checkpoint, **({"availableNow": True} if a.once else {"processingTime": a.every})).awaitTermination()
-            return
-        packets = ingest.without_replays(ingest.live_packets(spark, dict(a.sources)))
-        ingest.archive(packets, a.archive, a.checkpoint, processingTime=a.every).awaitTermination()
+            live = ingest.archive_log(spark, a.log, a.archive, a.checkpoint, **({"availableNow": True} if a.once else {"processingTime": a.every}))
+        else:
+            packets = ingest.without_replays(ingest.live_packets(spark, dict(a.sources)))
+            live = ingest.archive(packets, a.archive, a.checkpoint, processingTime=a.every)
+        if a.backup and not a.once:
+            ingest.replay_when_idle(spark, live, a.backup, store, a.batch)
+        live.awaitTermination()
+        while a.once and a.backup and any(ingest.replay_files(spark, a.backup, store).values()):
+            pass
     elif a.command in ("import", "generate"):
         seen = reports.Ingest()
         packets = seen.watch(nmea.packets_of(nmea.read_lines(spark, a.input, a.glob, tag=a.tag)))

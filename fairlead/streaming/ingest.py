@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -219,14 +221,22 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/_dead_letter").drop("hour", "batch")
 
 
-def replay_files(spark: SparkSession, folder: str, store: Callable[[DataFrame], None], glob: str = "*.zip", most_files: int = 50) -> dict[str, int]:
-    """Take up to ``most_files`` backup files of a watched folder: ``store`` their packets, then delete them; say how many were taken and how many set aside.
+def replay_files(
+    spark: SparkSession, folder: str, store: Callable[[DataFrame], None], glob: str = "*.zip", most_files: int = 50, most_bytes: int | None = None,
+) -> dict[str, int]:
+    """Take backup files of a watched folder, by name, up to ``most_files`` and ``most_bytes`` (at least one): ``store`` their packets, then delete
+    them; say how many were taken and how many set aside.
 
     A file that can't be read as a zip archive is renamed to end in ``.unreadable``, and the rest go on. Tasks look into the files; the
     driver renames and deletes, by the store's own file system. Files go only after ``store`` has come back, so that a failure leaves them for the next call.
-    """
-    names = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").orderBy("path").limit(most_files)
-    names = [r["path"] for r in names.collect()]  # a bounded list
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length").orderBy("path").limit(most_files)
+    names, size = [], 0
+    for r in found.collect():  # a bounded list
+        size += r["length"]
+        if names and most_bytes is not None and size > most_bytes:
+            break
+        names.append(r["path"])
     if not names:
         return {"taken": 0, "unreadable": 0}
 
@@ -242,20 +252,74 @@ def replay_files(spark: SparkSession, folder: str, store: Callable[[DataFrame],
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good)], names=["path", "good"])
 
     looked = spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(sound, "path string, good boolean").collect()
-    new = spark._jvm.org.apache.hadoop.fs.Path
-    files = new(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     good = [r["path"] for r in looked if r["good"]]
     for r in looked:
         if not r["good"]:
-            log.warning("%s is unreadable and set aside", r["path"])
-            files.rename(new(r["path"]), new(r["path"] + ".unreadable"))
+            set_aside(spark, r["path"])
     if good:
         store(nmea.packets_of(nmea.read_lines(spark, good)))
+        new = spark._jvm.org.apache.hadoop.fs.Path
+        files = new(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         for name in good:
             files.delete(new(name), False)
     return {"taken": len(good), "unreadable": len(looked) - len(good)}
 
 
+def set_aside(spark: SparkSession, path: str) -> None:
+    """Rename a file to end in ``.unreadable``, and a number where an earlier one has that name."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    files = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    free = next(name for k in itertools.count() if not files.exists(new(name := f"{path}.unreadable{k or ''}")))
+    log.warning("%s is unreadable and set aside as %s", path, free)
+    files.rename(new(path), new(free))
+
+
+def is_idle(live: StreamingQuery, batch_rows: int) -> bool:
+    """Whether less than a batch waits: the stream's last micro-batch had fewer than ``batch_rows``, or it has had none and waits for its first.
+
+    A source with a limit for each batch fills its batches as long as there is a backlog.
+    """
+    last = live.lastProgress
+    return not live.status["isTriggerActive"] if last is None else last["numInputRows"] < batch_rows
+
+
+def replay_when_idle(
+    spark: SparkSession, live: StreamingQuery, folder: str, store: Callable[[DataFrame], None], batch_rows: int = 10_000, glob: str = "*.zip", step_files: int = 8,
+    step_bytes: int = 64 << 20, most_files: int = 50, rest_s: float = 60.0, look_s: float = 1.0,
+) -> dict[str, int]:
+    """As long as ``live`` runs, take backup files of a folder (``replay_files``) whenever its backlog is under a batch (``is_idle``).
+
+    Files are taken in steps of up to ``step_files`` and ``step_bytes``, and the stream is asked again before each, so that it waits for one step at most;
+    after ``most_files`` there is a rest of ``rest_s``. When ``store`` fails, the files stay, and after a rest they are taken one by
+    one; one that fails by itself is set aside as unreadable. Ends when the stream does, and raises what it failed of; says how many were taken and set aside.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    told, since, step = Counter(taken=0, unreadable=0), 0, step_files
+    while not live.awaitTermination(look_s):
+        if not is_idle(live, batch_rows):
+            continue
+        try:
+            found = replay_files(spark, folder, store, glob, step, step_bytes)
+        except Exception:  # the files are still there
+            log.exception("backup files of %s were not stored", folder)
+            if step == 1:
+                first = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").orderBy("path").first()
+                if first is not None:
+                    set_aside(spark, first["path"])
+                    told["unreadable"] += 1
+            step, since = 1, most_files
+        else:
+            told.update(found)
+            since += found["taken"]
+            step = step_files if not found["taken"] else step
+        if since >= most_files:
+            since = 0
+            if live.awaitTermination(rest_s):
+                break
+    return dict(told)
+
+
 def live_packets(spark: SparkSession, sources: dict[str, list[tuple[str, int]]]) -> DataFrame:
     """Packets of live sources; one that says no time has the time of its arrival.
 

@@ -16,6 +16,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +128,43 @@ def test_thinning_gaps(spark, times, gap):
     assert got == want
 
 
+def slowly(rows, min_ms, min_m):
+    """Thinning of sorted ``(mmsi, time_ms, lat, lon)`` row by row; the numbers of those kept."""
+    kept, last = [], None
+    for i, r in enumerate(rows):
+        if last is None or r[0] != last[0] or r[0] in (None, -1):
+            ok = True
+        else:
+            ok = min_ms is None or None not in (last[1], r[1]) and r[1] - last[1] >= min_ms
+            ok = ok and (min_m is None or track.metres(last[2:], r[2:]) >= min_m)
+        if ok:
+            last = r
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("min_ms,min_m", [(None, None), (1, None), (40, None), (900, None), (None, 0.0), (None, 3e3), (None, 9e4), (50, 2e4), (700, 5e5)])
+def test_thinning_by_blocks_is_thinning_row_by_row(min_ms, min_m):
+    """Whatever batches the rows come in, with equal times, vessels that lie still, null times and packets without a vessel."""
+    rng = random.Random(17)
+    rows = []
+    for mmsi in [None, -1, *range(1, 12)]:
+        t, lat, lon = 0, rng.uniform(-89, 89), rng.uniform(-179, 179)
+        for k in range(rng.choice([1, 2, 30, 700, 2000])):
+            t += rng.choice([0, 0, 1, 3, 40])
+            if rng.random() < (0.9 if mmsi and mmsi % 2 else 0.02):
+                lat, lon = max(-90, min(90, lat + rng.uniform(-0.1, 0.1))), max(-180, min(180, lon + rng.uniform(-0.1, 0.1)))
+            rows.append((mmsi, None if mmsi == 7 and k < 2 else t, lat, lon))
+    want = slowly(rows, min_ms, min_m)
+    for size in (1, 3, 64, 1000, len(rows)):
+        kept, thinner = [], track.Thinner(min_ms, min_m)
+        for at in range(0, len(rows), size):
+            columns = list(zip(*rows[at : at + size]))
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.float64()))]
+            kept += [at + i for i in thinner.take(*arrays).tolist()]
+        assert kept == want, size
+
+
 def test_thinning_holds_no_vessel_in_a_row(spark):
     rows = spark.range(30_000).selectExpr("id AS event_id", "IF(id % 3 = 0, 7, id) AS mmsi", "id * 1000 AS time_ms", "CAST(id % 90 AS DOUBLE) AS lat", "0D AS lon")
     thinned = track.thin(rows, min_ms=9_000, tie="event_id")
@@ -615,6 +653,63 @@ def test_backup_files_are_taken_or_set_aside(spark, real, tmp_path):
     assert ingest.replay_files(spark, str(folder), lambda p: taken.append(p.count())) == {"taken": 0, "unreadable": 0} and len(taken) == 1
 
 
+def test_backup_files_wait_for_an_idle_stream(spark, real, tmp_path, monkeypatch, caplog):
+    """While the stream's batches are full no file is taken; then files go step by step, with a rest, and one that can't be stored is set aside."""
+    source, folder, out, full = tmp_path / "lines", tmp_path / "backup", str(tmp_path / "out"), 4
+    source.mkdir()
+    folder.mkdir()
+    text = (real / "in" / "a.txt").read_text()
+    for name in ("a", "b", "poison", "z"):
+        with zipfile.ZipFile(folder / f"{name}.zip", "w") as z:
+            z.writestr("a.txt", text)
+    (folder / "poison.zip.unreadable").write_text("an earlier one")
+    for k in range(4):
+        (source / f"{k}.txt").write_text("\n".join(map(str, range(full if k < 3 else 1))))
+    seen, taken = [], []
+
+    def run(batch, number):
+        seen.append((batch.count(), len(list(folder.glob("*.zip")))))
+
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).option("latestFirst", "false").text(str(source))
+    for k in range(4):
+        os.utime(source / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))
+    live = ingest.started(lines, str(tmp_path / "cp"), run, processingTime="1 second")
+    calls, real_files = [], ingest.replay_files
+
+    def files(spark, folder, store, glob, step, size):
+        calls.append((step, live.lastProgress["numInputRows"] if live.lastProgress else 0))
+        if len(taken) == 3:
+            live.stop()
+        return real_files(spark, folder, store, glob, step, size)
+
+    def store(rows):
+        left = sorted(x.stem for x in folder.glob("*.zip"))
+        if left[0] == "poison":
+            raise RuntimeError("no such table")
+        routing.write_tables(rows, out)
+        taken.append(left[0])
+
+    monkeypatch.setattr(ingest, "replay_files", files)
+    try:
+        told = ingest.replay_when_idle(spark, live, str(folder), store, batch_rows=full, step_files=2, step_bytes=1, rest_s=0.1, look_s=0.1)
+    finally:
+        live.stop()
+    assert told == {"taken": 3, "unreadable": 1} and taken == ["a", "b", "z"]
+    assert sorted(x.name for x in folder.iterdir()) == ["poison.zip.unreadable", "poison.zip.unreadable1"]
+    assert all(rows < full for _, rows in calls) and [rows for rows, _ in seen] == [4, 4, 4, 1] and {step for step, _ in calls[:2]} == {2}
+    assert all(files == 4 for rows, files in seen[1:3])
+    timed = nmea.packets_of(nmea.read_lines(spark, str(real / "in" / "a.txt"))).where("time_ms > 0").count()
+    assert "were not stored" in caplog.text and archive.read_table(spark, out, "packets_time").count() == timed
+
+
+def test_an_idle_stream_has_less_than_a_batch():
+    class Stream:
+        def __init__(self, rows, active):
+            self.lastProgress, self.status = None if rows is None else {"numInputRows": rows}, {"isTriggerActive": active}
+
+    assert [ingest.is_idle(Stream(*x), 10) for x in ((None, True), (None, False), (10, False), (9, True), (0, False))] == [False, True, False, True, True]
+
+
 def test_live_sources_are_archived(spark, tmp_path):
     """Lines of two sockets, with and without a time of their own, end in the tables under their group's name."""
     noted = [f"\\s:x,c:{1_425_618_000 + k}*00\\!BSVDM,1,1,,A,{position(1, 219_000_123, 55.0, 10.0 + k)},0*00" for k in range(3)]
