@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.functions import exprs
+from fairlead.functions import exprs, params
 from fairlead.functions.filters import compile_filter, compose
 from fairlead.functions.params import instant_ms
 from fairlead.operators import reports, routing, track
@@ -311,7 +312,7 @@ def country_numbers(spark, d):
 
 
 @query(P + f"""SELECT event_id, '{{"src.clk":' || time_ms || ',"src.id":' || coalesce(base_station, 'null') || ',"src.reg":"' || region || '"'
-  || CASE WHEN n_name IS NULL THEN '' ELSE ',"src.cty":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"' END AS tag, sog, cog, acc, hdg
+  || CASE WHEN n_name IS NULL THEN '' ELSE ',"src.cty":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"' END AS tag, lat, lon, sog, cog, acc, hdg
 FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_country WHERE mmsi = 7 AND {INSIDE} AND msgtype IN (1, 2, 3, 18, 19, 27)""")
 def past_track_json(spark, d):
     """The past-track objects, taken apart again: numbers in JSON are written differently in different engines."""
@@ -321,7 +322,8 @@ def past_track_json(spark, d):
     shown = track.track_json(rows, "event_id")
     tenths = [F.round(number(c) * 10).cast("int").alias(c) for c in ("sog", "cog")]
     whole = [number(c).cast("int").alias(c) for c in ("acc", "hdg")]
-    return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *tenths, *whole)
+    place = [number(c).alias(c) for c in ("lat", "lon")]
+    return shown.select("event_id", F.regexp_extract(json, r'^(.*),"lat"', 1).alias("tag"), *place, *tenths, *whole)
 
 
 @query(P + """SELECT event_id, '{' || concat_ws(',', '"country":"' || 'X' || chr(CAST(65 + n_nationkey AS INTEGER)) || '"',
@@ -582,3 +584,140 @@ def export_in_chunks(spark, d):
     for end in ((T0 + T1) // 2, T1):
         sinks.resumed_export(Query.for_mmsi(*VESSELS).between(T0, end), spark, f"{folder}/archive", f"{folder}/out", chunk_ms=5 * archive.DAY_MS)
     return spark.read.text(f"{folder}/out/chunk=*").select(F.split_part("value", F.lit("|"), F.lit(1)).cast("long").alias("event_id"))
+
+
+def exported(spark: SparkSession, d: str, output: str, part: str = "", **how) -> DataFrame:
+    """The lines of an export of all packets between T0 and T1, read from its files; ``part`` is a folder of it."""
+    folder = scratch(spark, output)
+    rows = Query.for_time().between(T0, T1).to_df({"packets_time": time_table(spark, d, T0, T1)})
+    sinks.export(rows, folder, output, **how)
+    return spark.read.text(f"{folder}/{part}")
+
+
+@query(P + f"SELECT aisdata AS value FROM p WHERE {INSIDE}")
+def export_raw(spark, d):
+    return exported(spark, d, "raw")
+
+
+@query(P + f"""SELECT '{{' || concat_ws(',', '"mmsi":' || mmsi, '"time_ms":' || time_ms, '"name":"' || name || '"', '"navstat":' || navstat) || '}}' AS value
+  FROM p WHERE {INSIDE}""")
+def export_json_object(spark, d):
+    """Objects of a list of columns; what is absent is left out."""
+    return exported(spark, d, "jsonObject", columns=params.column_list("mmsi; time_ms,name;;navstat "))
+
+
+@query(P + f"""SELECT '<tr><td>' || mmsi || '</td><td>' || coalesce(callsign, '') || '</td><td>' || region || '</td></tr>' AS value FROM p WHERE {INSIDE}""")
+def export_html(spark, d):
+    return exported(spark, d, "html", columns=["mmsi", "callsign", "region"])
+
+
+@query(P + f"""SELECT strftime(make_timestamp(time_ms // 1000 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN time_ms % 1000 = 0 THEN 'Z'
+    ELSE printf('.%03dZ', time_ms % 1000) END || ' ' || aisdata AS value FROM p WHERE {INSIDE}""")
+def export_prefixed(spark, d):
+    return exported(spark, d, "prefixed_sentences")
+
+
+@query(P + f"SELECT count(*) || ' packets' AS value FROM p WHERE {INSIDE}")
+def export_footer(spark, d):
+    return exported(spark, d, "table", "_footer", columns=["mmsi"], footer=True)
+
+
+@query(P + """SELECT time_ms, mmsi, msgtype, lat, lon, sog, cog, hdg, acc, CASE WHEN msgtype IN (1, 3) THEN navstat END AS navstat, imo, name, callsign, shiptype,
+    source_country, region, base_station FROM p""")
+def file_import(spark, d):
+    """Every event written to text files, which are read in splits and put together."""
+    folder = scratch(spark, "text")
+    as_text(spark.read.parquet(f"{d}/events.parquet")).select("text").write.text(folder)
+    names = [f.name for f in PACKET if f.name not in ("digest", "aisdata", "source_id", "source_type")]
+    return nmea.packets_of(nmea.read_lines(spark, folder)).select(*names)
+
+
+@query(P + "SELECT source_id, time_ms, mmsi, msgtype, lat, lon, name FROM p")
+def stream_log(spark, d):
+    """Every event logged as text of its live source, archived as a stream in several batches, and read from the archive."""
+    folder = scratch(spark, "logged")
+    lines = as_text(spark.read.parquet(f"{d}/events.parquet")).select("src_id", "text")
+    lines.repartition(4).write.partitionBy("src_id").text(f"{folder}/log")
+    ingest.archive_log(spark, f"{folder}/log", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=8).awaitTermination()
+    source = F.split_part("source_id", F.lit("="), F.lit(2)).alias("source_id")
+    return archive.read_table(spark, f"{folder}/out", "packets_time").select(source, "time_ms", "mmsi", "msgtype", "lat", "lon", "name")
+
+
+@query(P + "SELECT event_id, mmsi, time_ms, msgtype FROM p")
+def stream_failed_batches(spark, d):
+    """Batches of a stream that a handler fails on are kept, and come back whole."""
+    folder = scratch(spark, "failed")
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
+
+    def fails(batch: DataFrame, number: int) -> None:
+        raise RuntimeError(f"batch {number} is refused")
+
+    ingest.archive(packets_of(source), f"{folder}/out", f"{folder}/checkpoint", tie="event_id", how={"handlers": (fails,)}).awaitTermination()
+    return ingest.replay(spark, f"{folder}/out").select("event_id", "mmsi", "time_ms", "msgtype")
+
+
+@query(P + "SELECT event_id, msgtype FROM p WHERE event_id % 5 <> 0")
+def drop_undecodable(spark, d):
+    """Packets without those whose payloads can't be read, here of every fifth event."""
+    lines = as_text(spark.read.parquet(f"{d}/events.parquet"))
+    spoilt = F.when(F.col("path").cast("long") % 5 == 0, F.regexp_replace("text", ",A,[^,]*", ",A,~")).otherwise(F.col("text"))
+    return nmea.decodable(nmea.packets_of(lines.withColumn("text", spoilt))).select(F.col("path").cast("long").alias("event_id"), "msgtype")
+
+
+@query(P + """SELECT event_id, 'start and duration' AS kind FROM p WHERE time_ms > epoch_ms(TIMESTAMP '2024-01-05 06:00:00')
+    AND time_ms < epoch_ms(TIMESTAMP '2024-01-07 18:30:00')
+  UNION ALL SELECT event_id, 'duration and end' FROM p WHERE time_ms > epoch_ms(TIMESTAMP '2024-01-03 00:00:00') AND time_ms < epoch_ms(TIMESTAMP '2024-01-10 00:00:00')
+  UNION ALL SELECT event_id, 'up to now' FROM p WHERE time_ms > epoch_ms(TIMESTAMP '2024-01-14 12:30:00') AND time_ms < epoch_ms(TIMESTAMP '2024-01-15 12:30:00')
+  UNION ALL SELECT event_id, 'from the hour' FROM p WHERE time_ms > epoch_ms(TIMESTAMP '2024-01-15 12:00:00') AND time_ms < epoch_ms(TIMESTAMP '2024-01-15 12:10:00')
+  UNION ALL SELECT event_id, 'end moved' FROM p WHERE time_ms > epoch_ms(TIMESTAMP '2024-01-04 23:50:00') AND time_ms < epoch_ms(TIMESTAMP '2024-01-05 00:00:00')
+  UNION ALL SELECT event_id, 'start moved' FROM p WHERE time_ms > epoch_ms(TIMESTAMP '2024-01-15 12:30:00') AND time_ms < epoch_ms(TIMESTAMP '2024-01-15 12:40:00')""")
+def interval_forms(spark, d):
+    """Scans of intervals given in every form there is, now being the end of the others."""
+    forms = {
+        "start and duration": params.interval_ms("2024-1-5T6/P2DT12H30M"), "duration and end": params.interval_ms("P1W/2024-01-10Z"), "up to now": params.ending_now("PT24H", T1),
+        "from the hour": params.default_interval(T1), "start moved": params.repaired(T1, T0), "end moved": params.repaired(T1, T0, moved="end"),
+    }
+    found = [Query.for_time().between(*x).to_df({"packets_time": time_table(spark, d, *x)}).select("event_id", F.lit(kind).alias("kind")) for kind, x in forms.items()]
+    return functools.reduce(DataFrame.union, found)
+
+
+@query(P + f"""SELECT CAST(b.b AS INTEGER) AS timeblock, count(p.mmsi) AS n FROM (SELECT unnest(range({T0 // 600000}, {T1 // 600000} + 1)) AS b) b
+  LEFT JOIN p ON p.time_ms // 600000 = b.b GROUP BY 1""")
+def interval_blocks(spark, d):
+    """Packets by time block of an interval, for every block that it touches."""
+    first, last = exprs.timeblocks(T0, T1, TEN_MINUTES_MS)
+    rows = packets(spark, d, first * TEN_MINUTES_MS, (last + 1) * TEN_MINUTES_MS - 1)
+    counted = rows.groupBy(exprs.timeblock("time_ms", TEN_MINUTES_MS).alias("timeblock")).agg(F.count("*").alias("n"))
+    every = spark.range(first, last + 1).select(F.col("id").cast("int").alias("timeblock"))
+    return every.join(counted, "timeblock", "left").select("timeblock", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(P + "SELECT count(*) AS packets, count(msgtype) AS decoded, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM p")
+def ingest_counters(spark, d):
+    """What a write of all packets to an archive says of itself."""
+    seen = reports.Ingest()
+    routing.write_tables(seen.watch(packets(spark, d)), scratch(spark, "counted"))
+    told = seen.report()
+    names = ["packets", "decoded", "first_ms", "last_ms"]
+    return spark.createDataFrame([tuple(told[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query(P + f"""SELECT event_id, 'vessels' AS kind FROM p WHERE {INSIDE} AND mmsi IN (3, 7, 11)
+  UNION ALL SELECT event_id, 'time' FROM p WHERE {INSIDE}
+  UNION ALL SELECT event_id, 'area' FROM k WHERE {INSIDE} AND mmsi > 0 AND clat IS NOT NULL AND {CELL.format(d=1, n=360)} IN ({', '.join(map(str, cells_of(BOX, 1)))})""")
+def choice_of_scan(spark, d):
+    """Vessels are asked for before an area, an area (two corners in text, in any order) before time alone."""
+    box = params.bounding_box("25.75,-60.25,-30.5,40.5")
+    asked = {"vessels": (list(VESSELS), box), "area": (None, box), "time": (None, None)}
+    stored = tables(spark, d)
+    stored |= {"packets_time": time_table(spark, d, T0, T1)} | mmsi_table(spark, d)
+    found = [Query.choose(*x).between(T0, T1).to_df(stored).select("event_id", F.lit(kind).alias("kind")) for kind, x in asked.items()]
+    return functools.reduce(DataFrame.union, found)
+
+
+@query(P + "SELECT event_id FROM p WHERE source_type = 'LIVE' AND region IN ('801', '805') AND msgtype = 5 AND name IN ('SHIP 1', 'SHIP 17', 'SHIP 29', 'SHIP 33')")
+def filter_composed(spark, d):
+    """A filter put together from facets; blank ones and any say nothing."""
+    names = [f"SHIP {k}" for k in (1, 17, 29, 33)]
+    text = compose(source_type="LIVE", source_region=["801", "805"], source_bs="", source_country="any", message_type="5", message_name=names)
+    return packets(spark, d).where(compile_filter(text)).select("event_id")
