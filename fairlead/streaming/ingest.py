@@ -79,7 +79,10 @@ def carrier(checkpoint: str, store: Batch, within_ms: int = CARRY_MS, tie: str =
                 held = spark.read.option("basePath", folder).schema(schema).parquet(*paths).where(F.col("batch") < number).select(*columns)
             both = rows.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)), allowMissingColumns=True)
             store(carry_forward(both, within_ms, tie).where("not held").drop("held"), number)
-            left = own.withColumns({"hour": hour, "batch": F.lit(number).cast("long")}).repartition("hour")
+            latest = max([*kept, own.agg(F.max(hour)).first()[0]], key=lambda h: -1 if h is None else h)
+            # Hours that would be forgotten at once are not written.
+            recent = own if latest is None else own.where(hour > latest - 1 - keep_ms / HOUR_MS)
+            left = recent.withColumns({"hour": hour, "batch": F.lit(number).cast("long")}).repartition("hour")
             left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(folder)
             _forget(spark, _hours(spark, folder), keep_ms)
         finally:
@@ -148,15 +151,19 @@ def read_log(spark: SparkSession, folder: str, files_per_batch: int = 100) -> Da
 OPEN = "source string, path string, start long, text string, since long"
 
 
-def assembled(batch: DataFrame, held: DataFrame, now_ms: int, limit_ms: int) -> DataFrame:
-    """``(source, text, open, since)``: whole messages of a batch of ``read_log`` and, ``open``, what has yet to be completed.
+def cut_batch(batch: DataFrame) -> DataFrame:
+    """``(source, path, start, text, open)``: lines of ``read_log`` told apart, each split of a file by itself."""
+    names = F.concat_ws("\n", "source", "path")
+    parts = batch.select(names.alias("path"), "start", "value").mapInArrow(lambda b: nmea.cut_splits(b, alone=False), "path string, start long, text string, open boolean")
+    return parts.withColumns({"source": F.split_part("path", F.lit("\n"), F.lit(1)), "path": F.split_part("path", F.lit("\n"), F.lit(2))})
+
 
-    ``held`` is what the batch before left open (``OPEN``). Each split of a file is cut by itself; what it begins or ends with is put together by
+def assembled(parts: DataFrame, held: DataFrame, now_ms: int, limit_ms: int) -> DataFrame:
+    """``(source, text, open, since)``: whole messages of ``cut_batch`` and, ``open``, what has yet to be completed.
+
+    ``held`` is what the batch before left open (``OPEN``). What a split begins or ends with is put together by
     source, in the order of files, with what was held. A message that lacks a sentence for ``limit_ms`` is told as it is.
     """
-    names = F.concat_ws("\n", "source", "path")
-    parts = batch.select(names.alias("path"), "start", "value").mapInArrow(lambda b: nmea.cut_splits(b, alone=False), "path string, start long, text string, open boolean")
-    parts = parts.withColumns({"source": F.split_part("path", F.lit("\n"), F.lit(1)), "path": F.split_part("path", F.lit("\n"), F.lit(2))}).persist()
     sound = parts.where("not open").select("source", "text", "open", F.lit(None).cast("long").alias("since"))
 
     def stitch(rows: pa.Table) -> pa.Table:
@@ -195,7 +202,8 @@ def archive_log(
         session = batch.sparkSession
         held = session.read.schema(OPEN).parquet(f"{checkpoint}/open/{number - 1}") if number else session.createDataFrame([], OPEN)
         now_ms = session.sql("SELECT unix_millis(current_timestamp())").first()[0]
-        found = assembled(batch, held, now_ms, limit_ms).persist()
+        parts = cut_batch(batch).persist()
+        found = assembled(parts, held, now_ms, limit_ms).persist()
         try:
             kept = found.where("open").select("source", F.lit("").alias("path"), F.monotonically_increasing_id().alias("start"), "text", "since")
             kept.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/open/{number}")
@@ -203,6 +211,7 @@ def archive_log(
             carry(nmea.packets_of(lines, "LIVE").withColumn("time_ms", F.coalesce("time_ms", F.lit(now_ms))), number)
         finally:
             found.unpersist()
+            parts.unpersist()
         if number > 1:
             at = session._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/open/{number - 2}")
             at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
