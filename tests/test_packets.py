@@ -781,7 +781,14 @@ def test_logged_lines_are_archived_once(spark, tmp_path, monkeypatch):
     assert take(limit_ms=0) == sorted([*want, (219_000_123, 1, None, 20)])
     lone = archive.read_table(spark, out, "packets_time").where("mmsi = -1").collect()
     assert [r["aisdata"] for r in lone] == ["!BSVDM,2,1,8,B,55,0*00"] and {r["source_id"] for r in lone} == {"north"}
-    cli.main(["archive", "--log", str(tmp_path / "log"), "--once", "--archive", out, "--checkpoint", cp], spark)
+    backup = tmp_path / "backup"
+    backup.mkdir()
+    with zipfile.ZipFile(backup / "1.zip", "w") as z:
+        z.writestr("a.txt", sentences(position(1, 338_000_001, 40.0, -70.0), 30))
+    (backup / "2.zip").write_bytes(b"no zip")
+    cli.main(["archive", "--log", str(tmp_path / "log"), "--once", "--archive", out, "--checkpoint", cp, "--backup", str(backup)], spark)
+    assert [x.name for x in backup.iterdir()] == ["2.zip.unreadable"]
+    assert sum(r["mmsi"] == 338_000_001 for r in archive.read_table(spark, out, "packets_mmsi").collect()) == 1
 
 
 def test_failed_batches_are_logged_and_kept(spark, tiny, tmp_path, caplog):
