@@ -32,7 +32,10 @@ def carry_forward(packets: DataFrame, within_ms: int = CARRY_MS, tie: str = "dig
 
 
 #: Columns that a packet's message has and its vessel keeps until it sends others, by the name they have for the vessel.
-TARGET = {"target_imo": "imo", "target_name": "name", "target_callsign": "callsign", "target_type": "shiptype", "target_navstat": "navstat", "target_sog": "sog", "target_cog": "cog", "target_hdg": "hdg"}
+TARGET = {
+    "target_imo": "imo", "target_name": "name", "target_callsign": "callsign", "target_type": "shiptype", "target_navstat": "navstat",
+    "target_sog": "sog", "target_cog": "cog", "target_hdg": "hdg",
+}
 
 
 def with_targets(packets: DataFrame, tie: str = "digest", history: DataFrame | None = None) -> DataFrame:
@@ -104,7 +107,8 @@ def source_json(rows: DataFrame, *names: str) -> DataFrame:
     """``json`` (behind columns named): where a packet came from, without what isn't known; a blank region is not known."""
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     region = F.when(~blank(has("region")), has("region"))
-    return rows.select(*names, F.to_json(F.struct(has("source_alpha2").alias("country"), has("source_type").alias("type"), has("base_station").alias("bs"), has("source_id").alias("id"), region.alias("region"))).alias("json"))
+    known = {"country": has("source_alpha2"), "type": has("source_type"), "bs": has("base_station"), "id": has("source_id"), "region": region}
+    return rows.select(*names, F.to_json(F.struct(*[column.alias(name) for name, column in known.items()])).alias("json"))
 
 
 def drop_repeats_within(packets: DataFrame, window_ms: int, payload: str = "payload", tie: str = "digest") -> DataFrame:

@@ -172,7 +172,10 @@ def pk_dedup(spark, d):
 
 def route_sql(mode):
     own, timed, area = ("mmsi > 0", "TRUE", "AND mmsi > 0") if mode == "online" else ("mmsi >= 0", "time_ms > 0", "")
-    parts = [("packets_time", "time_ms > 0"), ("packets_mmsi", f"{own} AND {timed}"), ("packets_area_cell1", f"time_ms > 0 AND clat IS NOT NULL {area}"), ("packets_area_unknown", f"time_ms > 0 AND {own} AND clat IS NULL")]
+    parts = [
+        ("packets_time", "time_ms > 0"), ("packets_mmsi", f"{own} AND {timed}"), ("packets_area_cell1", f"time_ms > 0 AND clat IS NOT NULL {area}"),
+        ("packets_area_unknown", f"time_ms > 0 AND {own} AND clat IS NULL"),
+    ]
     parts += [("packets_area_cell10", "time_ms > 0 AND clat IS NOT NULL")] if mode == "bulk" else []
     return P + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM k WHERE {w}" for n, w in parts) + ") WHERE n > 0"
 
@@ -297,8 +300,11 @@ def filter_source_country(spark, d):
     return query.to_df({"packets_time": time_table(spark, d, T0, T1)}, mids=countries(spark, d)).select("event_id")
 
 
-@query("""SELECT o_orderkey, CAST(CASE WHEN m BETWEEN 200000000 AND 799999999 THEN m // 1000000 WHEN m BETWEEN 2000000 AND 7999999 THEN m // 10000 WHEN m BETWEEN 111200000 AND 111799999 THEN m // 1000 % 1000 WHEN m BETWEEN 982000000 AND 987999999 OR m BETWEEN 992000000 AND 997999999 THEN m // 10000 % 1000 END AS INTEGER) AS part
-  FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 7919 % 1000000000 WHEN 1 THEN o_orderkey * 104729 % 10000000 WHEN 2 THEN 111000000 + o_orderkey * 31 % 1000000 ELSE 980000000 + o_orderkey * 911 % 20000000 END AS m
+@query("""SELECT o_orderkey, CAST(CASE WHEN m BETWEEN 200000000 AND 799999999 THEN m // 1000000 WHEN m BETWEEN 2000000 AND 7999999 THEN m // 10000
+    WHEN m BETWEEN 111200000 AND 111799999 THEN m // 1000 % 1000
+    WHEN m BETWEEN 982000000 AND 987999999 OR m BETWEEN 992000000 AND 997999999 THEN m // 10000 % 1000 END AS INTEGER) AS part
+  FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 7919 % 1000000000 WHEN 1 THEN o_orderkey * 104729 % 10000000
+    WHEN 2 THEN 111000000 + o_orderkey * 31 % 1000000 ELSE 980000000 + o_orderkey * 911 % 20000000 END AS m
   FROM orders)""")
 def country_numbers(spark, d):
     k = F.col("o_orderkey")
@@ -394,7 +400,8 @@ def duplicate_window(spark, d):
     return track.drop_repeats_within(packets(spark, d).withColumn("payload", F.col("msgtype")), 3_600_000, tie="event_id").select("event_id")
 
 
-THIN_SQL = P.replace("WITH p", "WITH RECURSIVE p").replace("{", "{{").replace("}", "}}") + """, s AS (SELECT mmsi, event_id, time_ms, lat, lon, row_number() OVER (PARTITION BY mmsi ORDER BY time_ms, event_id) AS rn
+THIN_SQL = P.replace("WITH p", "WITH RECURSIVE p").replace("{", "{{").replace("}", "}}") + """, s AS (SELECT mmsi, event_id, time_ms, lat, lon,
+    row_number() OVER (PARTITION BY mmsi ORDER BY time_ms, event_id) AS rn
   FROM p {where}),
 w AS (SELECT mmsi, event_id, rn, time_ms AS kt, lat AS klat, lon AS klon, TRUE AS kept FROM s WHERE rn = 1
 
@@ -480,7 +487,8 @@ def time_text(spark, d):
 
 
 REPO_SQL = """SELECT name, updated, size, complete
-  FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '.' ELSE '' END || 'f' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 5 = 0 THEN '.download' ELSE '.zip' END AS name, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS updated, o_orderkey AS size, o_orderkey % 5 <> 0 AS complete
+  FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '.' ELSE '' END || 'f' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 5 = 0 THEN '.download' ELSE '.zip' END AS name,
+    CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS updated, o_orderkey AS size, o_orderkey % 5 <> 0 AS complete
   FROM orders)
   WHERE name NOT LIKE '.%'"""
 

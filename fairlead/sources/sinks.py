@@ -41,7 +41,8 @@ def kml_tracks(rows: DataFrame, max_points: int = 10_000) -> DataFrame:
     cut = placed.withColumns({"day": day, "run": F.floor(order / max_points)})
     point = F.struct("time_ms", "digest", F.format_string("%.6f,%.6f", "lon", "lat").alias("at"))
     lines = cut.groupBy("mmsi", "day", "run").agg(F.sort_array(F.collect_list(point)).alias("p"))
-    return lines.select("mmsi", F.concat(F.lit("<Placemark><name>"), F.col("mmsi").cast("string"), F.lit("</name><LineString><coordinates>"), F.array_join(F.col("p.at"), " "), F.lit("</coordinates></LineString></Placemark>")).alias("value"))
+    named = [F.lit("<Placemark><name>"), F.col("mmsi").cast("string"), F.lit("</name><LineString><coordinates>")]
+    return lines.select("mmsi", F.concat(*named, F.array_join(F.col("p.at"), " "), F.lit("</coordinates></LineString></Placemark>")).alias("value"))
 
 
 def html_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
