@@ -34,7 +34,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
     Fewer than ``width`` words make one shingle; no word gives zero.
     """
-    hashes = shingle_hashes(text, width, seed)
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """``fingerprint`` of a text's shingle hashes, repeats included."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, dtype=np.int64)

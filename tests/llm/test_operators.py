@@ -897,6 +897,24 @@ def test_texts_split_together_as_alone():
         assert list(linewindows.split_all(texts, wrap)) == [linewindows.split_lines(t, wrap) for t in texts]
 
 
+def test_pipeline_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """Operator 1's fingerprints propose pairs, equal ones and those of three bits; exact similarity refuses pairs of theirs that are not alike."""
+    draw, told = random.Random(8), []
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(3000)]
+    again = ["a"] * 100
+    texts = {5: " ".join(long), 6: " ".join(long[5:]), 7: " ".join(again + long[:60]), 8: " ".join(again + long[100:160]), 9: " ".join(long[200:300])}
+    prints = {d: simhash.fingerprint(t, 5) for d, t in texts.items()}
+    assert 0 < (prints[5] ^ prints[6]).bit_count() <= 3 and prints[7] == prints[8]
+    proposed = shingles._near_prints
+    monkeypatch.setattr(shingles, "_near_prints", lambda *x: told.append(proposed(*x)) or told[-1])
+    frame = spark.createDataFrame([(d, t, "en", "x", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    assert kept == set(components(texts, similar_links(texts)).values()) == {5, 7, 8, 9}
+    named = {shingles.set_hash(shingles.shingle_set(t)): d for d, t in texts.items()}
+    assert {frozenset((named[r["a"]], named[r["b"]])) for r in told[0].collect()} == {frozenset((5, 6)), frozenset((7, 8))}
+
+
 def test_pipeline(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, tiny)
