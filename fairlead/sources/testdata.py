@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +45,45 @@ def packets(spark: SparkSession, sf_dir: str, t0_ms: int | None = None, t1_ms: i
     return packets_of(events)
 
 
-def _bits(value, width: int):
-    """A whole number, or a negative one in two's complement, as so many 0 and 1."""
-    return F.substring(F.lpad(F.bin(value.cast("long")), 64, "0"), 65 - width, width)
+#: Fields of each kind's payload, in their order: column (none: zeros) and bits; of a text, its characters of six bits.
+_HEAD = [("msgtype", 6), (None, 2), ("mmsi", 30)]
+_PLACE = [("acc", 1), ("lon", 28), ("lat", 27), ("cog", 12), ("hdg", 9)]
+_REPORT = [*_HEAD, ("navstat", 4), (None, 8), ("sog", 10), *_PLACE, (None, 31)]
+_LAYOUTS = {
+    1: _REPORT, 3: _REPORT, 18: [*_HEAD, (None, 8), ("sog", 10), *_PLACE, (None, 35)], None: [*_HEAD, (None, 16)],
+    5: [*_HEAD, (None, 2), ("imo", 30), ("callsign", 42), ("name", 120), ("shiptype", 8), (None, 184)],
+}
+_TEXTS = ("callsign", "name")
+_ARMOUR = np.array([k + 48 if k < 40 else k + 56 for k in range(64)], dtype=np.uint8)
+_SIX = np.zeros(256, dtype=np.int64)
+_SIX[np.frombuffer(SIX_BIT.encode(), dtype=np.uint8)] = np.arange(64)
 
 
-def _text_bits(text, chars: int):
-    code = lambda c: F.call_function("instr", F.lit(SIX_BIT), c) - 1
-    padded = F.rpad(text, chars, "@")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chars - 1)), lambda i: _bits(code(F.substring(padded, i + 1, F.lit(1))), 6)), "")
+def _field_bits(values: pd.Series, width: int, text: bool) -> np.ndarray:
+    """A row of so many 0 and 1 for each value: a whole number, a negative one in two's complement, or a text of six-bit characters."""
+    if text:
+        raw = b"".join(x[: width // 6].ljust(width // 6, "@").encode("latin-1", "replace") for x in values)
+        codes = _SIX[np.frombuffer(raw, dtype=np.uint8)].reshape(len(values), -1)
+        return (codes[:, :, None] >> np.arange(5, -1, -1) & 1).reshape(len(values), -1)
+    return values.to_numpy(np.int64)[:, None] >> np.arange(width - 1, -1, -1) & 1
+
+
+def _payloads(told: pd.DataFrame) -> pd.Series:
+    """The payload of each row by its kind; null where a field that it has is null."""
+    out = pd.Series([None] * len(told), index=told.index, dtype=object)
+    kinds = told["msgtype"].where(told["msgtype"].isin([k for k in _LAYOUTS if k is not None]), -1)
+    for kind in kinds.unique():
+        layout = _LAYOUTS[None if kind == -1 else int(kind)]
+        rows = told[kinds == kind]
+        rows = rows.dropna(subset=[c for c, _ in layout if c is not None])
+        if not (n := len(rows)):
+            continue
+        bits = np.concatenate([np.zeros((n, w), np.int64) if c is None else _field_bits(rows[c], w, c in _TEXTS) for c, w in layout], axis=1)
+        letters = bits[:, : bits.shape[1] // 6 * 6].reshape(n, -1, 6) @ (1 << np.arange(5, -1, -1))
+        size = letters.shape[1]
+        whole = _ARMOUR[letters].tobytes().decode()
+        out.loc[rows.index] = [whole[i : i + size] for i in range(0, len(whole), size)]
+    return out
 
 
 def as_text(events: DataFrame) -> DataFrame:
@@ -60,22 +92,15 @@ def as_text(events: DataFrame) -> DataFrame:
     Static reports come in two sentences. Types without a position say their vessel alone.
     """
     p = packets_of(events)
-    c, kind, zero = F.col, F.col("msgtype"), lambda n: F.lit("0" * n)
-    head = [_bits(kind, 6), zero(2), _bits(c("mmsi"), 30)]
-    place = [_bits(c("acc"), 1), _bits(F.round(c("lon") * 600_000), 28), _bits(F.round(c("lat") * 600_000), 27), _bits(c("cog"), 12), _bits(c("hdg"), 9)]
-    bits = (
-        F.when(kind.isin(1, 3), F.concat(*head, _bits(c("navstat"), 4), zero(8), _bits(c("sog"), 10), *place, zero(31)))
-        .when(kind == 18, F.concat(*head, zero(8), _bits(c("sog"), 10), *place, zero(35)))
-        .when(kind == 5, F.concat(*head, zero(2), _bits(c("imo"), 30), _text_bits(c("callsign"), 7), _text_bits(c("name"), 20), _bits(c("shiptype"), 8), zero(184)))
-        .otherwise(F.concat(*head, zero(16)))
-    )
-    value = lambda i: F.conv(F.substring(c("bits"), i * 6 + 1, F.lit(6)), 2, 10).cast("int")
-    letter = lambda i: F.char(value(i) + F.when(value(i) < 40, 48).otherwise(56))
-    payload = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("bits") / 6).cast("int") - 1), letter), "")
+    c, kind = F.col, F.col("msgtype")
+    of = F.pandas_udf(_payloads, "string")
+    said = {f: c(f).alias(f) for f in dict.fromkeys(f for layout in _LAYOUTS.values() for f, _ in layout if f is not None)}
+    said |= {f: F.round(c(f) * 600_000).cast("long").alias(f) for f in ("lon", "lat")}
+    payload = of(F.struct(*said.values()))
     ts = F.timestamp_millis(c("time_ms"))
     none = lambda x: F.coalesce(x, F.lit(""))
     tag = F.concat(F.lit("$PGHP,1,"), F.date_format(ts, "y,M,d,H,m,s,"), (c("time_ms") % 1000).cast("string"), F.lit(","), F.concat_ws(",", "source_country", none(c("region")), none(c("base_station"))), F.lit(",,2D*5B\n"))
     one = F.concat(tag, F.lit("!BSVDM,1,1,,A,"), c("payload"), F.lit(",0*00"))
     two = F.concat(tag, F.lit("!BSVDM,2,1,3,A,"), F.substring("payload", 1, 58), F.lit(",0*00\n!BSVDM,2,2,3,A,"), F.substring(c("payload"), F.lit(59), F.lit(999)), F.lit(",2*00"))
-    rows = p.withColumn("bits", bits).withColumn("payload", payload)
+    rows = p.withColumn("payload", payload)
     return rows.select(c("event_id").cast("string").alias("path"), F.when(kind == 5, two).otherwise(one).alias("text"), c("source_id").alias("src_id"))

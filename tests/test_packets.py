@@ -27,7 +27,7 @@ from fairlead.functions import exprs, filters, params
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of, inner_cells
 from fairlead.schema import TABLES, TEN_MINUTES_MS, create_table_sql
-from fairlead.sources import archive, nmea, sinks
+from fairlead.sources import archive, nmea, sinks, testdata
 from fairlead.sources.testdata import packets
 from fairlead.streaming import ingest
 
@@ -927,3 +927,17 @@ def test_library_stands_without_its_optional_part(tmp_path):
     (tmp_path / "fairlead" / "llm" / "__init__.py").write_text("")
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
     assert "no_such_module" in run().stderr
+
+
+def test_packet_text_is_made_by_arrow_batches(spark):
+    """Payloads are made a batch at a time and not by expressions for each letter; fields keep their places, signs and nulls."""
+    events = spark.sql("""SELECT * FROM VALUES (-5L, TIMESTAMP_NTZ'1969-12-31 23:59:59', -1L, 'view', 1D, '{}'), (7L, TIMESTAMP_NTZ'2024-01-01', NULL, 'signup', 1D, 'x'),
+        (13L, TIMESTAMP_NTZ'2024-01-01', 987654321L, 'signup', 1D, 'x'), (11L, TIMESTAMP_NTZ'2024-01-01', 5L, 'error', 1D, 'x') AS t(event_id, ts, user_id, event_type, value, props)""")
+    made = testdata.as_text(events)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["path"]: r["text"] for r in made.collect()}
+    assert got["7"] is None and len(got["11"].split(",")[-2]) == 9
+    back = {r["path"]: r for r in nmea.packets_of(made.where("text is not null")).collect()}
+    assert [(back["13"][c]) for c in ("msgtype", "mmsi", "imo", "name", "callsign", "shiptype")] == [5, 987654321, 9000013, "SHIP 13", "CS13", 33]
+    own = {str(r["event_id"]): r for r in testdata.packets_of(events).collect()}
+    assert all(abs(back["-5"][c] - own["-5"][c]) < 1e-6 for c in ("lat", "lon")) and back["-5"]["mmsi"] == (1 << 30) - 1
