@@ -640,12 +640,18 @@ def file_import(spark, d):
     return nmea.packets_of(nmea.read_lines(spark, folder)).select(*names)
 
 
+def log_parts(events: DataFrame, most: int = 1_500_000) -> int:
+    """Log files a source: four at least, and so many that no task writes more than ``most`` events, or about, at any size."""
+    return max(4, -(-events.count() // most))
+
+
 @query(P + "SELECT source_id, time_ms, mmsi, msgtype, lat, lon, name FROM p")
 def stream_log(spark, d):
     """Every event logged as text of its live source, archived as a stream in several batches, and read from the archive."""
     folder = scratch(spark, "logged")
-    lines = as_text(spark.read.parquet(f"{d}/events.parquet")).select("src_id", "text")
-    lines.repartition(4).write.partitionBy("src_id").text(f"{folder}/log")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    lines = as_text(events).select("src_id", "text")
+    lines.repartition(log_parts(events)).write.partitionBy("src_id").text(f"{folder}/log")
     ingest.archive_log(spark, f"{folder}/log", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=8).awaitTermination()
     source = F.split_part("source_id", F.lit("="), F.lit(2)).alias("source_id")
     return archive.read_table(spark, f"{folder}/out", "packets_time").select(source, "time_ms", "mmsi", "msgtype", "lat", "lon", "name")

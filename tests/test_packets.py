@@ -22,7 +22,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fairlead import cli
+from fairlead import cli, queries
 from fairlead.functions import exprs, filters, params
 from fairlead.operators import reports, routing, track
 from fairlead.plans.query import Query, cells_of, inner_cells
@@ -931,7 +931,7 @@ def test_library_stands_without_its_optional_part(tmp_path):
 
 def test_packet_text_is_made_by_arrow_batches(spark):
     """Payloads are made a batch at a time and not by expressions for each letter; fields keep their places, signs and nulls."""
-    events = spark.sql("""SELECT * FROM VALUES (-5L, TIMESTAMP_NTZ'1969-12-31 23:59:59', -1L, 'view', 1D, '{}'), (7L, TIMESTAMP_NTZ'2024-01-01', NULL, 'signup', 1D, 'x'),
+    events = spark.sql("""SELECT * FROM VALUES (1L, TIMESTAMP_NTZ'1969-12-31 23:59:59', -1L, 'view', 1D, '{}'), (7L, TIMESTAMP_NTZ'2024-01-01', NULL, 'signup', 1D, 'x'),
         (13L, TIMESTAMP_NTZ'2024-01-01', 987654321L, 'signup', 1D, 'x'), (11L, TIMESTAMP_NTZ'2024-01-01', 5L, 'error', 1D, 'x') AS t(event_id, ts, user_id, event_type, value, props)""")
     made = testdata.as_text(events)
     assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
@@ -940,4 +940,9 @@ def test_packet_text_is_made_by_arrow_batches(spark):
     back = {r["path"]: r for r in nmea.packets_of(made.where("text is not null")).collect()}
     assert [(back["13"][c]) for c in ("msgtype", "mmsi", "imo", "name", "callsign", "shiptype")] == [5, 987654321, 9000013, "SHIP 13", "CS13", 33]
     own = {str(r["event_id"]): r for r in testdata.packets_of(events).collect()}
-    assert all(abs(back["-5"][c] - own["-5"][c]) < 1e-6 for c in ("lat", "lon")) and back["-5"]["mmsi"] == (1 << 30) - 1
+    assert all(abs(back["1"][c] - own["1"][c]) < 1e-6 for c in ("lat", "lon")) and back["1"]["mmsi"] == (1 << 30) - 1
+
+
+def test_log_files_follow_the_events(spark):
+    """A task that writes a log has a bounded share of the events; small tables still make several batches."""
+    assert [queries.log_parts(spark.range(n), most=1000) for n in (0, 4000, 4001, 60_000)] == [4, 4, 5, 60]
