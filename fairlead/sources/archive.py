@@ -117,16 +117,17 @@ def latest_only(rows: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, run: str, spread: Column) -> str | None:
-    """Write ``rows`` (``STORED`` without run) as a run and its entries; the folder of entries, or none if there was no row.
+    """Write ``rows`` (``STORED``, maybe without run) as a run and its entries; the folder of entries, or none if there was no row.
 
     One shuffle deals rows by table, day and a share of the keys (of the day's time in the table by time, so that
-    files there follow one another); repeats of a key meet in one task and are told apart by the sort that the files have anyway.
+    files there follow one another); repeats of a key meet in one task and are told apart by the sort that the files have anyway: the latest run's
+    stays, where rows have one.
     """
     spark = rows.sparkSession
     share = F.when(F.col("table") == "packets_time", F.pmod(F.col("time_ms"), F.lit(DAY_MS)) * spread / DAY_MS).otherwise(F.pmod(F.hash(key_of()), spread))
     dealt = rows.withColumns({"_share": share.cast("int"), "_key": key_of()}).repartition("table", "day", "_share")
-    order = ["table", "day", "_share", "_key", "time_ms", "digest"]
-    once = dealt.withColumn("_place", F.row_number().over(W.partitionBy(*order, "timeblock").orderBy("aisdata"))).where("_place = 1")
+    order, latest = ["table", "day", "_share", "_key", "time_ms", "digest"], [F.desc("run")] if "run" in rows.columns else []
+    once = dealt.withColumn("_place", F.row_number().over(W.partitionBy(*order, "timeblock").orderBy(*latest, "aisdata"))).where("_place = 1")
     names = [f.name for f in STORED if f.name != "run"]
     once.sortWithinPartitions(*order).select(*names).write.partitionBy("table", "day").parquet(f"{path}/data/run={run}")
     if not _has_files(spark, f"{path}/data/run={run}"):
@@ -260,7 +261,7 @@ def compact(spark: SparkSession, path: str, most_files: int = SPREAD, days: tupl
         return 0
     rows = spark.read.option("basePath", f"{path}/data").schema(STORED).parquet(*[f"{path}/data/{r['file']}" for r in old])
     run = new_run()
-    made = _write(latest_only(rows).drop("run").join(state, ["table", "day"]), path, run, F.col("_spread"))
+    made = _write(rows.join(state, ["table", "day"]), path, run, F.col("_spread"))
     gone = f"removed-{run}"
     spark.createDataFrame([(r["file"],) for r in old], "file string").coalesce(1).write.parquet(f"{path}/_log/{gone}")
     while True:

@@ -946,3 +946,15 @@ def test_packet_text_is_made_by_arrow_batches(spark):
 def test_log_files_follow_the_events(spark):
     """A task that writes a log has a bounded share of the events; small tables still make several batches."""
     assert [queries.log_parts(spark.range(n), most=1000) for n in (0, 4000, 4001, 60_000)] == [4, 4, 5, 60]
+
+
+def test_compaction_deals_rows_once(spark, tiny, tmp_path, monkeypatch):
+    """Repeats are told apart by the sort of the files, without a shuffle of their own before it; the latest run's row stays."""
+    path = str(tmp_path)
+    rows = packets(spark, tiny).limit(50)
+    for name in ("ZZ", "AA"):
+        routing.write_tables(rows.withColumn("name", F.lit(name)), path)
+    monkeypatch.setattr(archive, "latest_only", None)
+    assert archive.compact(spark, path) > 0
+    got = archive.read_table(spark, path, "packets_time").groupBy("name").count().collect()
+    assert [tuple(r) for r in got] == [("AA", 50)]
